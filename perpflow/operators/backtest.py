@@ -38,7 +38,7 @@ class Backtest:
 
     @property
     def summary(self) -> DataFrame:
-        return performance(self.jobs, self.equity, self.trades, self.grid)
+        return performance(self.jobs, self.equity, self.trades)
 
     @property
     def per_symbol(self) -> DataFrame:

@@ -99,17 +99,17 @@ def lead_in(df: DataFrame, keys: Sequence[str], order: str, grid: Grid, before:
         .withColumn("_loan", F.explode(F.filter(wants, lambda x: x["want"] > 0)))
         .select(
             *part,
-            F.col("_loan.to").alias("_to"),
+            F.col("_loan.to").alias("_loan_to"),
             F.greatest(
                 F.size(F.filter("_tail", lambda t: t >= F.col("_loan.want"))) - 1, F.lit(0)
-            ).alias("_from_slot"),
+            ).alias("_loan_slot"),
         )
     )
     placed = rows.repartition(*part)
     borrowed = (
         placed.join(loans, part)
-        .filter(grid.slot(df, order) >= F.col("_from_slot"))
-        .withColumn(CHUNK, F.col("_to"))
+        .filter(grid.slot(df, order) >= F.col("_loan_slot"))
+        .withColumn(CHUNK, F.col("_loan_to"))
         .withColumn(OWN, F.lit(False))
         .select(*rows.columns, OWN)
         .repartition(*part)
@@ -159,6 +159,31 @@ def add_running(rows: DataFrame, bases: DataFrame, keys: Sequence[str], order: S
     )
 
 
+def running_path(steps: DataFrame, keys: Sequence[str], order: Sequence[str], grid: Grid, delta: str) -> DataFrame:
+    """Running sum ``gain`` of ``delta`` and running maximum ``high`` of that sum.
+
+    Both come from one ordered pass per chunk: a chunk's own sum and maximum are relative to
+    its start, so one row per chunk is enough to shift them. Both branches below read the
+    same columns, which lets Spark reuse the one shuffle of the full rows.
+    """
+    part = [*keys, CHUNK]
+    placed = (
+        steps.select(*keys, *order, delta).withColumn(CHUNK, grid.chunk(steps, order[0])).repartition(*part)
+    )
+    so_far = window(keys, *order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = placed.withColumn("_g", F.sum(delta).over(so_far)).withColumn("_h", F.max("_g").over(so_far))
+    per_chunk = local.groupBy(*part).agg(F.sum(delta).alias("_sum"), F.max("_g").alias("_top"))
+    earlier = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    shifts = (
+        per_chunk.withColumn("_base", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)))
+        .withColumn("_roof", F.max(F.col("_base") + F.col("_top")).over(earlier))
+        .select(*part, "_base", "_roof")
+    )
+    gain = F.col("_base") + F.col("_g")
+    high = F.greatest(F.col("_roof"), F.col("_base") + F.col("_h"))
+    return local.join(shifts, part).select(*keys, *order, gain.alias("gain"), high.alias("high"))
+
+
 def newest(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
     """The last ``n`` rows of every series; Spark keeps only n per task before it shuffles."""
     latest_first = W.partitionBy(*keys).orderBy(F.col(order).desc())

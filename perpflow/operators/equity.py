@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from perpflow.functions.numeric import profit_factor
 from perpflow.operators.asof import previous_row
-from perpflow.operators.chunks import Grid, lead_in, own, running, window
+from perpflow.operators.chunks import Grid, lead_in, own, running_path, window
 from perpflow.operators.signals import RUN
 
 
@@ -29,7 +27,7 @@ def mark_to_market(bars: DataFrame, fills: DataFrame, grid: Grid) -> DataFrame:
 def equity_curve(jobs: DataFrame, bars: DataFrame, fills: DataFrame, grid: Grid) -> DataFrame:
     """One row per (run, bar, symbol) in (timestamp, symbol) order, after fills and marking.
 
-    Cash moves by realised results and fees only; equity adds the unrealised result of every
+    The peak starts with the first row. Cash moves by realised results and fees only; equity adds the unrealised result of every
     symbol. As a running sum over the whole run of: realised - fees + change of unrealised.
     """
     marked = mark_to_market(bars, fills, grid)
@@ -38,21 +36,18 @@ def equity_curve(jobs: DataFrame, bars: DataFrame, fills: DataFrame, grid: Grid)
     moved = own(led.withColumn("moved", F.col("unrealized_pnl") - before))
     booked = fills.groupBy(*RUN, F.col("fill_time").alias("timestamp")).agg(
         F.sum(F.col("realized_pnl") - F.col("fee")).alias("booked"))
-    steps = moved.join(booked, [*RUN, "timestamp"], "left").join(jobs.select("run_id", "initial_cash"), "run_id")
-    delta = F.col("moved") + F.coalesce("booked", F.lit(0.0))
-    total = running(steps, ["run_id"], ["timestamp", "symbol"], grid, {"gain": ("sum", delta)})
-    return total.select("run_id", "timestamp", "symbol", (F.col("initial_cash") + F.col("gain")).alias("equity"), "unrealized_pnl")
-
+    steps = moved.join(booked, [*RUN, "timestamp"], "left").withColumn(
+        "delta", F.col("moved") + F.coalesce("booked", F.lit(0.0)))
+    path = running_path(steps, ["run_id"], ["timestamp", "symbol"], grid, "delta")
+    start = F.col("initial_cash")
+    curve = path.join(jobs.select("run_id", "initial_cash"), "run_id").select(
+        "run_id", "timestamp", "symbol", (start + F.col("gain")).alias("equity"), (start + F.col("high")).alias("peak"))
+    return curve.withColumn("drawdown", drawdown(F.col("equity"), F.col("peak")))
 
-def drawdowns(curve: DataFrame, keys: Sequence[str], order: Sequence[str], grid: Grid, floor: str | None = None) -> DataFrame:
-    """Add the running ``peak`` and ``drawdown`` (share of the peak; 0 while the peak is not positive).
 
-    ``floor`` names a column the peak starts from, else it starts at the first row.
-    """
-    level = F.col("equity") if floor is None else F.greatest("equity", floor)
-    peaked = running(curve, keys, order, grid, {"peak": ("max", level)})
-    fall = F.when(F.col("peak") > 0, (F.col("peak") - F.col("equity")) / F.col("peak")).otherwise(0.0)
-    return peaked.withColumn("drawdown", F.greatest(fall, F.lit(0.0)))
+def drawdown(equity: Column, peak: Column) -> Column:
+    """Fall below the peak as a share of it; 0 while the peak is not positive."""
+    return F.when(peak > 0, (peak - equity) / peak).otherwise(0.0)
 
 
 def _trade_stats():
@@ -73,10 +68,9 @@ def _rates():
     ]
 
 
-def performance(jobs: DataFrame, curve: DataFrame, trades: DataFrame, grid: Grid) -> DataFrame:
+def performance(jobs: DataFrame, curve: DataFrame, trades: DataFrame) -> DataFrame:
     """Per run: final equity, total return, maximum drawdown, trades, win rate, profit factor."""
-    falls = drawdowns(curve, ["run_id"], ["timestamp", "symbol"], grid)
-    ends = falls.groupBy("run_id").agg(
+    ends = curve.groupBy("run_id").agg(
         F.max("drawdown").alias("max_drawdown"),
         F.max(F.struct("timestamp", "symbol", "equity"))["equity"].alias("final_equity"),
     )

@@ -53,8 +53,8 @@ def missing_points(gaps: DataFrame, keys: Sequence[str], grid: Grid) -> DataFram
     start, end = F.unix_micros("gap_start"), F.unix_micros("gap_end")
     pieces = gaps.select(*keys, end.alias("_end"), F.explode(F.sequence(start, end, F.lit(piece))).alias("_a"))
     upto = F.least(F.col("_end"), F.col("_a") + piece - step)
-    points = F.explode(F.sequence(F.col("_a"), upto, F.lit(step)))
-    return pieces.select(*keys, F.timestamp_micros(points).alias("timestamp"))
+    points = pieces.select(*keys, F.explode(F.sequence(F.col("_a"), upto, F.lit(step))).alias("_p"))
+    return points.select(*keys, F.timestamp_micros("_p").alias("timestamp"))
 
 
 def fill_gaps(stored: DataFrame, landed: DataFrame, ranges: DataFrame, keys: Sequence[str], grid: Grid,

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from perpflow.functions.numeric import micros
-from perpflow.operators.chunks import CHUNK, Grid, add_running, chunk_totals
+from perpflow.operators.chunks import CHUNK, Grid, add_running, chunk_totals, running_path
+from perpflow.operators.equity import drawdown
 
 DEFAULT_PERCENTILES = (5, 25, 50, 75, 95)
 
@@ -45,7 +46,7 @@ def assign_windows(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], trai
     step_us = test_us if step is None else micros(step)
     _positive(train_period=train_us, test_period=test_us, step=step_us)
     bounds = ranges.select(*keys, F.unix_micros("range_start").alias("_a"), F.unix_micros("range_end").alias("_b"))
-    joined = rows.join(bounds, [*keys]) if keys else rows.crossJoin(F.broadcast(bounds))
+    joined = rows.join(bounds, [*keys])
     at = F.unix_micros("timestamp") - F.col("_a")
     count = F.floor((F.col("_b") - F.col("_a") - train_us - test_us) / step_us) + 1
 
@@ -56,7 +57,7 @@ def assign_windows(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], trai
         return F.transform(numbers, lambda n: F.struct(n.alias("window_no"), F.lit(part).alias("part")))
 
     hits = F.concat(covering(0, train_us, "train"), covering(train_us, test_us, "test"))
-    return joined.select(*rows.columns, F.inline(hits)) if keys else joined.select(*rows.columns, F.inline(hits))
+    return joined.select(*rows.columns, F.inline(hits))
 
 
 def draw(seed: int, run: Column, sim: Column, k: Column, n: Column) -> Column:
@@ -80,42 +81,25 @@ def bootstrap_paths(trades: DataFrame, jobs: DataFrame, grid: Grid, simulations:
     Draw k of a simulation picks a trade by index; the draws meet the trades in an equi-join
     on (run, index), so every trade is hit about ``simulations`` times and no key is hot.
     Draws are generated in pieces of ``piece`` and the equity path is chunked the same way.
+    The peak starts at the initial cash.
     """
     _positive(simulations=simulations)
     indexed = number_trades(trades, grid).select("run_id", "idx", "realized_pnl")
-    sizes = indexed.groupBy("run_id").agg((F.max("idx") + 1).alias("n")).join(jobs.select("run_id", "initial_cash"), "run_id")
+    sizes = indexed.groupBy("run_id").agg((F.max("idx") + 1).alias("n"))
     pieces = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(piece).cast("bigint")))
     sims = sizes.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
     starts = sims.withColumn("_from", pieces).repartition("run_id", "sim", "_from")
     upto = F.least(F.col("n"), F.col("_from") + piece) - 1
     draws = starts.withColumn("k", F.explode(F.sequence(F.col("_from"), upto))).select(
-        "run_id", "sim", "k", "initial_cash",
-        draw(seed, F.col("run_id"), F.col("sim"), F.col("k"), F.col("n")).alias("idx"),
-    )
-    drawn = draws.join(indexed, ["run_id", "idx"])
-    steps = Grid(1, piece, 1)
-    rows = drawn.withColumn(CHUNK, steps.chunk(drawn, "k"))
-    return _path_ends(rows)
-
-
-def _path_ends(rows: DataFrame) -> DataFrame:
-    """Final equity and drawdown per (run, sim) from one ordered pass per piece.
-
-    A piece is summarised by its gain, its highest and its deepest drawdown given any start;
-    since drawdown is relative to the peak, pieces are first given their starting gain and
-    starting peak, then summarised.
-    """
-    keys = ["run_id", "sim"]
-    gain = {"gain": ("sum", F.col("realized_pnl"))}
-    bases = chunk_totals(rows, keys, gain)
-    path = add_running(rows, bases, keys, ["k"], gain).withColumn("equity", F.col("initial_cash") + F.col("gain"))
-    peak = {"peak": ("max", F.greatest("equity", "initial_cash"))}
-    peaked = add_running(path, chunk_totals(path, keys, peak), keys, ["k"], peak)
-    fall = F.when(F.col("peak") > 0, (F.col("peak") - F.col("equity")) / F.col("peak")).otherwise(0.0)
-    return peaked.groupBy(*keys).agg(
-        F.max_by("equity", "k").alias("final_equity"),
-        F.max(fall).alias("max_drawdown"),
-        F.first("initial_cash").alias("initial_cash"),
+        "run_id", "sim", "k", draw(seed, F.col("run_id"), F.col("sim"), F.col("k"), F.col("n")).alias("idx"))
+    drawn = draws.join(indexed, ["run_id", "idx"]).drop("idx")
+    path = running_path(drawn, ["run_id", "sim"], ["k"], Grid(1, piece, 1), "realized_pnl")
+    start = F.col("initial_cash")
+    equity, peak = start + F.col("gain"), start + F.greatest("high", F.lit(0.0))
+    return path.join(jobs.select("run_id", "initial_cash"), "run_id").groupBy("run_id", "sim").agg(
+        F.max_by(equity, "k").alias("final_equity"),
+        F.max(drawdown(equity, peak)).alias("max_drawdown"),
+        F.max(start).alias("initial_cash"),
     )
 
 
