@@ -63,7 +63,7 @@ def _fold_chunk(rows: pd.DataFrame) -> pd.DataFrame:
     The average price is kept as factor * (average at chunk start) + offset.
     """
     rows = rows.sort_values(_ORDER, kind="stable")
-    quantity = float(rows["start_quantity"].iloc[0])
+    quantity, chunk = float(rows["start_quantity"].iloc[0]), int(rows[CHUNK].iloc[0])
     factor, offset = 1.0, 0.0
     out, bar, at_bar = [], None, quantity
     for step, r in enumerate(rows.itertuples(index=False)):
@@ -88,7 +88,7 @@ def _fold_chunk(rows: pd.DataFrame) -> pd.DataFrame:
         elif (after > 0) != (before > 0):
             factor, offset = 0.0, price
         quantity = after
-        out.append((r.run_id, r.symbol, r._chunk, r.fill_time, step, r.seq, "BUY" if signed > 0 else "SELL",
+        out.append((r.run_id, r.symbol, chunk, r.fill_time, step, r.seq, "BUY" if signed > 0 else "SELL",
                     abs(signed), price, price * abs(signed) * r.fee_rate, before, after, f0, o0, factor, offset))
     names = [c.split()[0] for c in _FOLD_SCHEMA.split(", ")]
     return pd.DataFrame(out, columns=names)

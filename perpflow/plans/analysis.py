@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from perpflow.operators import feature_maps, level_analysis as LA, liquidity as LQ, premium_discount as PD
 from perpflow.plans.common import (
-    CANDLES_DAILY, CANDLES_HOURLY, DAILY, FUNDING, HOURLY, LIQUIDATIONS, OPEN_INTEREST, RATIOS, query, rounded, tidy, with_ctes,
+    CANDLES_DAILY, CANDLES_HOURLY, DAILY, FUNDING, HOURLY, LIQUIDATIONS, OPEN_INTEREST, ORACLES, RATIOS, query, rounded,
+    tidy, with_ctes,
 )
 from perpflow.sources import adapters as A
 
@@ -74,7 +75,7 @@ def _label(df: DataFrame) -> DataFrame:
 
 _FUNDING_LABELLED = FUNDING + ",\nfl AS (SELECT concat(exchange, '/', symbol) AS name, timestamp, funding_rate FROM funding)"
 _OI_LABELLED = OPEN_INTEREST + ",\nol AS (SELECT concat(exchange, '/', symbol) AS name, timestamp, open_interest FROM oi)"
-_SPIKE = "'sim' AS source, spike_magnitude, abs(spike_magnitude) > 2.5 AS is_abnormal_spike,"
+_SPIKE = "'sim' AS source, spike_magnitude, (abs(spike_magnitude) > 2.5)::VARCHAR AS is_abnormal_spike,"
 _OI_CONFIG = LA.LevelConfig(spike_window=30, spike_zscore_threshold=2.5)
 
 
@@ -276,7 +277,7 @@ def _liquidity_sql(fn: str, where: str, latest: bool) -> str:
   least(liquidation_event_count / 30.0e0, 1.0e0) AS confidence_level, long_liquidation_volume, short_liquidation_volume,
   long_liquidation_volume + short_liquidation_volume AS total_liquidation_volume, liquidation_event_count,
   (long_liquidation_volume - short_liquidation_volume) / nullif(long_liquidation_volume + short_liquidation_volume, 0) AS liquidation_bias,
-  liquidation_intensity, abs(liquidation_intensity) > 2.0 AS is_abnormal_liquidation, long_short_ratio,
+  liquidation_intensity, (abs(liquidation_intensity) > 2.0)::VARCHAR AS is_abnormal_liquidation, long_short_ratio,
   r.b AS top_trader_account_bias, r.b AS top_trader_position_bias, r.b AS top_trader_bias, market_crowdedness,
   market_participation, current_open_interest, current_price, liquidity_pressure, liquidity_shift
   FROM {newest('m_liq') if latest else 'm_liq'} q {joins}"""
@@ -323,12 +324,17 @@ def liquidity_exchange_totals(spark: SparkSession, sf: str) -> DataFrame:
 # --- analysis rows as features ----------------------------------------------------------------
 
 def _map_sql(inner: str, prefix: str, fields: list[str], extra: dict[str, str] | None = None) -> str:
-    cells = [(f"'{prefix}.{f}'", f"{f}::DOUBLE") for f in fields] + [(f"'{prefix}.{k}'", v) for k, v in (extra or {}).items()]
+    def number(f: str) -> str:
+        return f"CASE {f} WHEN 'true' THEN 1.0e0 WHEN 'false' THEN 0.0e0 END" if f.startswith("is_") else f"{f}::DOUBLE"
+
+    cells = [(f"'{prefix}.{f}'", number(f)) for f in fields] + [(f"'{prefix}.{k}'", v) for k, v in (extra or {}).items()]
     parts = " UNION ALL ".join(f"SELECT symbol, as_of AS timestamp, {n} AS feature_name, {v} AS value FROM a" for n, v in cells)
     return f"WITH a AS ({inner}) SELECT symbol, timestamp, feature_name, round(value, 3) + 0.0e0 AS value FROM ({parts}) AS m WHERE value IS NOT NULL"
 
 
-from perpflow.plans.common import ORACLES  # noqa: E402
+
+def _flag(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.col(name) == "true")
 
 
 def _three(df: DataFrame) -> DataFrame:
@@ -337,7 +343,7 @@ def _three(df: DataFrame) -> DataFrame:
 
 @query("analysis_features_open_interest", _map_sql(ORACLES["open_interest_latest"], "open_interest_analysis_sim", feature_maps.OPEN_INTEREST_FIELDS))
 def analysis_features_open_interest(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(_three(feature_maps.open_interest_features(open_interest_latest(spark, sf))), 9)
+    return tidy(_three(feature_maps.open_interest_features(_flag(open_interest_latest(spark, sf), "is_abnormal_spike"))), 9)
 
 
 @query("analysis_features_funding", _map_sql(ORACLES["funding_latest"], "funding_rate_analysis", feature_maps.FUNDING_FIELDS))
@@ -355,4 +361,4 @@ def analysis_features_range(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("analysis_features_liquidity", _map_sql(ORACLES["liquidity_latest"], "liquidity_analysis", feature_maps.LIQUIDITY_FIELDS))
 def analysis_features_liquidity(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(_three(feature_maps.liquidity_features(liquidity_latest(spark, sf))), 9)
+    return tidy(_three(feature_maps.liquidity_features(_flag(liquidity_latest(spark, sf), "is_abnormal_liquidation"))), 9)

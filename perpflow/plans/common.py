@@ -32,7 +32,7 @@ def _nudge(digits: int) -> float:
 
 
 def tidy(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
-    """Comparable output: doubles rounded (no negative zero), instants without zone.
+    """Comparable output: doubles rounded (no negative zero), instants without zone, flags as text.
 
     A small offset keeps decimals that end in 5 off the rounding edge, where the last bit of
     a sum would decide.
@@ -44,6 +44,8 @@ def tidy(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
             columns.append((F.round(F.col(name) + F.lit(_nudge(d)), d) + F.lit(0.0)).alias(name))
         elif kind == "timestamp":
             columns.append(F.col(name).cast("timestamp_ntz").alias(name))
+        elif kind == "boolean":
+            columns.append(F.col(name).cast("string").alias(name))
         elif kind == "int":
             columns.append(F.col(name).cast("bigint").alias(name))
         else:
