@@ -18,7 +18,7 @@ from perpflow.session import cut_lineage
 
 @dataclass(frozen=True)
 class Backtest:
-    """Result tables, all keyed by run_id; every one is lazy except ``fills``."""
+    """Result tables, all keyed by run_id, lazy beyond the checkpointed orders and fills."""
 
     jobs: DataFrame
     failed_jobs: DataFrame
@@ -49,8 +49,8 @@ def run_backtests(jobs: DataFrame, bars: DataFrame, signals: DataFrame | Callabl
                   grid: Grid, *, checkpoint: bool = True) -> Backtest:
     """Replay every job. ``signals`` is a table, or a function from the jobs' bars to one.
 
-    The fills are checkpointed once: trades, marking, cash and summary all read them, and
-    they are small next to the bars.
+    Orders and folded fills are checkpointed once each: they are small next to the bars, and
+    trades, marking, cash and summary all read them.
     """
     checked = check_jobs(jobs)
     good = runnable(jobs)
@@ -58,13 +58,14 @@ def run_backtests(jobs: DataFrame, bars: DataFrame, signals: DataFrame | Callabl
     table = signals(run_bars) if callable(signals) else signals
     accepted, rejected = screen_signals(good, table)
     orders = next_bar_orders(accepted, run_bars, grid)
-    fills = fold_positions(priced(orders, good), grid)
+    if checkpoint:
+        orders = cut_lineage(orders)
     return Backtest(
         jobs=good,
         failed_jobs=checked.filter("error IS NOT NULL").select("run_id", "error"),
         rejected_signals=rejected,
         unfilled_signals=unfilled(orders),
-        fills=cut_lineage(fills) if checkpoint else fills,
+        fills=fold_positions(priced(orders, good), grid, checkpoint=checkpoint),
         bars=run_bars,
         grid=grid,
     )

@@ -67,19 +67,23 @@ def own(df: DataFrame) -> DataFrame:
     return df.filter(F.col(OWN)).drop(CHUNK, OWN)
 
 
-def lead_in(df: DataFrame, keys: Sequence[str], order: str, grid: Grid, before: int) -> DataFrame:
+def lead_in(df: DataFrame, keys: Sequence[str], order: str, grid: Grid, before: int,
+            count_on: DataFrame | None = None) -> DataFrame:
     """Add ``_chunk`` and ``_own``; every chunk also gets the ``before`` rows that precede it.
 
     Rows per chunk and per trailing slot are counted first (a small aggregate over the key
     columns only). The full rows are shuffled once by (series, chunk); what travels in
-    addition is the borrowed tail.
+    addition is the borrowed tail. ``count_on`` may name a cheaper table with the same keys
+    and order values to count on.
     """
     part = [*keys, CHUNK]
     rows = df.withColumn(CHUNK, grid.chunk(df, order))
     if before <= 0:
         return rows.withColumn(OWN, F.lit(True))
 
-    counted = rows.withColumn("_slot", grid.slot(df, order)).groupBy(*part).agg(
+    basis = df if count_on is None else count_on
+    placed_keys = basis.select(*keys, grid.chunk(basis, order).alias(CHUNK), grid.slot(basis, order).alias("_slot"))
+    counted = placed_keys.groupBy(*part).agg(
         F.array(*[F.count_if(F.col("_slot") >= s) for s in range(grid.slots)]).alias("_tail")
     )
     following = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(1, before)

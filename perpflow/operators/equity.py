@@ -31,7 +31,7 @@ def equity_curve(jobs: DataFrame, bars: DataFrame, fills: DataFrame, grid: Grid)
     symbol. As a running sum over the whole run of: realised - fees + change of unrealised.
     """
     marked = mark_to_market(bars, fills, grid)
-    led = lead_in(marked.select(*RUN, "timestamp", "unrealized_pnl"), RUN, "timestamp", grid, 1)
+    led = lead_in(marked.select(*RUN, "timestamp", "unrealized_pnl"), RUN, "timestamp", grid, 1, count_on=bars)
     before = F.coalesce(F.lag("unrealized_pnl").over(window(RUN, "timestamp")), F.lit(0.0))
     moved = own(led.withColumn("moved", F.col("unrealized_pnl") - before))
     booked = fills.groupBy(*RUN, F.col("fill_time").alias("timestamp")).agg(

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from perpflow.operators.chunks import CHUNK, Grid
 from perpflow.operators.signals import EXIT, RUN
+from perpflow.session import cut_lineage
 
 _ORDER = ["fill_time", "timestamp", "emit_symbol", "seq"]
 
@@ -94,10 +95,11 @@ def _fold_chunk(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=names)
 
 
-def fold_positions(orders: DataFrame, grid: Grid) -> DataFrame:
+def fold_positions(orders: DataFrame, grid: Grid, *, checkpoint: bool = True) -> DataFrame:
     """Fills with the position before and after each, the average price and the realised result.
 
-    ``orders`` come from ``signals.priced``. Fills that close something are the trades.
+    ``orders`` come from ``signals.priced``. Fills that close something are the trades. The
+    folded chunks are read twice here and again by every result, hence the checkpoint.
     """
     chunked = orders.withColumn("emit_symbol", F.coalesce("emit_symbol", "symbol")).withColumn(
         CHUNK, grid.chunk(orders, "fill_time"))
@@ -123,6 +125,8 @@ def fold_positions(orders: DataFrame, grid: Grid) -> DataFrame:
         .groupBy(*RUN, CHUNK)
         .applyInPandas(_fold_chunk, _FOLD_SCHEMA)
     )
+    if checkpoint:
+        folded = cut_lineage(folded)
     last = folded.groupBy(*RUN, CHUNK).agg(
         F.max_by("factor_after", "step").alias("a"), F.max_by("offset_after", "step").alias("b"))
     averages = carry_affine(last, RUN, [CHUNK], "a", "b", "start_average")
