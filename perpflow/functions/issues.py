@@ -13,13 +13,24 @@ ISSUES_TYPE = f"array<{ISSUE_TYPE}>"
 def issue(when: Column, severity: str | Column, category: str, message: str | Column,
           subject: str | None = None) -> Column:
     """An issue where ``when`` holds, NULL elsewhere (also where ``when`` is NULL)."""
+    if isinstance(severity, str) and isinstance(message, str):
+        # All literals: one parsed expression instead of a tree built call by call.
+        name = "CAST(NULL AS STRING)" if subject is None else _text(subject)
+        body = F.expr(f"named_struct('severity', {_text(severity)}, 'category', {_text(category)}, "
+                      f"'message', {_text(message)}, 'subject', {name})")
+        return F.when(when, body)
     level = F.lit(severity) if isinstance(severity, str) else severity
     text = F.lit(message) if isinstance(message, str) else message
     body = F.struct(
         level.alias("severity"), F.lit(category).alias("category"),
         text.alias("message"), F.lit(subject).cast("string").alias("subject"),
     )
-    return F.when(when, body).cast(ISSUE_TYPE)
+    return F.when(when, body)
+
+
+def _text(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def gather(checks: Sequence[Column]) -> Column:

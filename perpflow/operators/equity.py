@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from perpflow.functions.numeric import profit_factor
@@ -38,7 +40,9 @@ def equity_curve(jobs: DataFrame, bars: DataFrame, fills: DataFrame, grid: Grid)
         F.sum(F.col("realized_pnl") - F.col("fee")).alias("booked"))
     steps = moved.join(booked, [*RUN, "timestamp"], "left").withColumn(
         "delta", F.col("moved") + F.coalesce("booked", F.lit(0.0)))
-    path = running_path(steps, ["run_id"], ["timestamp", "symbol"], grid, "delta")
+    # A chunk of the account holds every symbol, so it spans fewer bars.
+    account = replace(grid, rows=max(grid.rows // 32, 1))
+    path = running_path(steps, ["run_id"], ["timestamp", "symbol"], account, "delta")
     start = F.col("initial_cash")
     curve = path.join(jobs.select("run_id", "initial_cash"), "run_id").select(
         "run_id", "timestamp", "symbol", (start + F.col("gain")).alias("equity"), (start + F.col("high")).alias("peak"))

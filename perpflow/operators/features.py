@@ -300,13 +300,13 @@ def run_features(modules: Sequence[FeatureModule], inputs: Mapping[str, DataFram
     features = compute_features(modules, inputs, keys, grid)
     if features is None:
         return FeatureRun(None)
-    issues = check_features(features, grid)
+    issues = check_features(features)
     if persist and store is not None:
         store.write(features)
     return FeatureRun(features, issues)
 
 
-def check_features(features: DataFrame, grid: Grid) -> DataFrame:
+def check_features(features: DataFrame) -> DataFrame:
     """Problems in a long feature table as (severity, feature_name, symbol, timestamp, problem, count).
 
     A repeated (symbol, feature, timestamp, version) is reported twice, as a duplicate and as
@@ -321,10 +321,11 @@ def check_features(features: DataFrame, grid: Grid) -> DataFrame:
     ))
     per_row = features.select(*key, F.explode(kinds).alias("problem"), F.lit(1).cast("bigint").alias("count"))
     copies = features.groupBy(*key).count().filter("count > 1")
-    repeated = copies.select(*key, F.lit("duplicate").alias("problem"), "count").unionByName(
-        copies.select(*key, F.lit("not_increasing").alias("problem"), (F.col("count") - 1).alias("count"))
-    )
-    return per_row.unionByName(repeated).select(F.lit("ERROR").alias("severity"), *key, "problem", "count")
+    both = F.inline(F.array(
+        F.struct(F.lit("duplicate").alias("problem"), F.col("count").alias("count")),
+        F.struct(F.lit("not_increasing").alias("problem"), (F.col("count") - 1).alias("count")),
+    ))
+    return per_row.unionByName(copies.select(*key, both)).select(F.lit("ERROR").alias("severity"), *key, "problem", "count")
 
 
 # --- look-back clips --------------------------------------------------------------------------

@@ -17,20 +17,24 @@ def _rows(df: DataFrame, keys: Sequence[str], severity: str, problem: str, detai
                      "timestamp", note.alias("detail"))
 
 
-def missing_values(df: DataFrame, keys: Sequence[str], columns: Sequence[str], label: str) -> DataFrame:
+def row_checks(df: DataFrame, keys: Sequence[str], required: Sequence[str], label: str, *, candles: bool = False) -> DataFrame:
+    """Findings that one row shows by itself, in one pass: missing values, high below low, no zone.
+
+    A timestamp column without zone is wrong for every row, a zoned one for none.
+    """
     absent = F.lit(False)
-    for c in columns:
+    for c in required:
         absent = absent | F.col(c).isNull()
-    return _rows(df.filter(absent), keys, "WARNING", f"missing {label}")
-
-
-def inverted_candles(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return _rows(df.filter(F.col("high") < F.col("low")), keys, "ERROR", "high below low")
+    naive = dict(df.dtypes)["timestamp"] == "timestamp_ntz"
+    found = [_mark(absent, "WARNING", f"missing {label}"), _mark(F.lit(naive), "ERROR", "naive timestamp")]
+    if candles:
+        found.append(_mark(F.col("high") < F.col("low"), "ERROR", "high below low"))
+    marks = df.select(*keys, "timestamp", F.inline(F.array_compact(F.array(*found))))
+    return marks.select(*keys, "severity", "problem", "timestamp", F.lit(None).cast("double").alias("detail"))
 
 
-def naive_timestamps(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A column without zone is wrong for every row; a zoned one for none."""
-    return _rows(df.filter(F.lit(dict(df.dtypes)["timestamp"] == "timestamp_ntz")), keys, "ERROR", "naive timestamp")
+def _mark(when: Column, severity: str, problem: str) -> Column:
+    return F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(problem).alias("problem")))
 
 
 def duplicates(df: DataFrame, keys: Sequence[str], problem: str = "duplicate timestamp") -> DataFrame:
@@ -83,8 +87,7 @@ def series_report(df: DataFrame, keys: Sequence[str], value: str, grid: Grid, *,
                   outlier_zscore: float | None = None, expected_interval=None) -> DataFrame:
     """Report for a one-value series (funding rate, open interest)."""
     return _union([
-        missing_values(df, keys, [value], value),
-        naive_timestamps(df, keys),
+        row_checks(df, keys, [value], value),
         duplicates(df, keys),
         outliers(df, keys, F.col(value), outlier_zscore, value),
         gaps(df, keys, grid, expected_interval),
@@ -94,9 +97,7 @@ def series_report(df: DataFrame, keys: Sequence[str], value: str, grid: Grid, *,
 def candle_report(df: DataFrame, keys: Sequence[str], grid: Grid, *,
                   outlier_zscore: float | None = None, expected_interval=None) -> DataFrame:
     return _union([
-        missing_values(df, keys, ["high", "low", "close"], "candle"),
-        inverted_candles(df, keys),
-        naive_timestamps(df, keys),
+        row_checks(df, keys, ["high", "low", "close"], "candle", candles=True),
         duplicates(df, keys),
         outliers(df, keys, F.col("close"), outlier_zscore, "close"),
         gaps(df, keys, grid, expected_interval),
@@ -127,8 +128,7 @@ def liquidity_report(sources: dict[str, DataFrame], grid: Grid, *, outlier_zscor
         columns, value = LIQUIDITY_SOURCES[name]
         pooled = outliers(df, ["symbol"], value(), outlier_zscore, name)
         found = _union([
-            missing_values(df, keys, columns, name),
-            naive_timestamps(df, keys),
+            row_checks(df, keys, columns, name),
             duplicates(df, keys),
             gaps(df, keys, grid, expected_interval),
         ]).unionByName(pooled, allowMissingColumns=True)

@@ -47,11 +47,17 @@ def apply_rules(features: DataFrame, rules: DataFrame) -> DataFrame:
     return grouped.join(sizes, SECTION).withColumn("passed", passed)
 
 
-def _finding(df: DataFrame, severity: str, problem: str, subject: Column) -> DataFrame:
-    return df.select(*SECTION, F.lit(severity).alias("severity"), F.lit(problem).alias("problem"),
+def _finding(df: DataFrame, severity: str, problem: Column, subject: Column) -> DataFrame:
+    return df.select(*SECTION, F.lit(severity).alias("severity"), problem.alias("problem"),
                      subject.cast("string").alias("subject"))
 
 
+def _problems(df: DataFrame, problems: list[Column], subject: Column) -> DataFrame:
+    """One pass over the rows for several checks, each NULL or the name of its problem."""
+    found = df.withColumn("_p", F.explode(F.array_compact(F.array(*problems))))
+    return _finding(found, "ERROR", F.col("_p"), subject)
+
+
 def audit_rules(rules: DataFrame) -> DataFrame:
     """Problems in any number of rule sets as (strategy, section, severity, problem, subject).
 
@@ -63,26 +69,29 @@ def audit_rules(rules: DataFrame) -> DataFrame:
     empty = on.groupBy(*SECTION).agg(F.count("name").alias("n")).filter("n = 0")
     live = conditions.filter("enabled")
     name = F.col("name")
+    incomplete = [
+        F.when(F.coalesce(F.trim("feature"), F.lit("")) == "", "condition without feature"),
+        F.when(F.col("value").isNull(), "condition without value"),
+        F.when((F.col("operator") == "BETWEEN") & F.col("value_high").isNull(), "BETWEEN without upper value"),
+    ]
     parts = [
-        _finding(empty, "ERROR", "enabled section without conditions", F.lit(None)),
-        _finding(live.filter(F.coalesce(F.trim("feature"), F.lit("")) == ""), "ERROR", "condition without feature", name),
-        _finding(live.filter("value IS NULL"), "ERROR", "condition without value", name),
-        _finding(live.filter("operator = 'BETWEEN' AND value_high IS NULL"), "ERROR", "BETWEEN without upper value", name),
+        _finding(empty, "ERROR", F.lit("enabled section without conditions"), F.lit(None)),
+        _problems(live, incomplete, name),
     ]
     repeated = conditions.groupBy(*SECTION, "name").count().filter("count > 1")
-    parts.append(_finding(repeated, "ERROR", "duplicate condition name", name))
+    parts.append(_finding(repeated, "ERROR", F.lit("duplicate condition name"), name))
     signature = ["feature", "operator", "value", "value_high"]
     same = conditions.groupBy(*SECTION, *signature).agg(
         F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
-    parts.append(_finding(same.filter("n > 1"), "WARNING", "identical conditions", F.col("names")))
-    parts += _contradictions(live.filter("logic = 'ALL' AND value IS NOT NULL AND feature != ''"))
+    parts.append(_finding(same.filter("n > 1"), "WARNING", F.lit("identical conditions"), F.col("names")))
+    parts.append(_contradictions(live.filter("logic = 'ALL' AND value IS NOT NULL AND feature != ''")))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
     return result
 
 
-def _contradictions(rules: DataFrame) -> list[DataFrame]:
+def _contradictions(rules: DataFrame) -> DataFrame:
     """Bounds of each (section, feature) with at least two conditions that exclude each other.
 
     Of several bounds at the same value the first given one sets whether the value itself is
@@ -105,15 +114,15 @@ def _contradictions(rules: DataFrame) -> list[DataFrame]:
     )
     low, up = F.col("lower"), F.col("upper")
     never = (low["v"] > up["v"]) | ((low["v"] == up["v"]) & ~(low["closed"] & up["closed"]))
-    feature = F.col("feature")
-    each = bounds.withColumn("e", F.explode("eq"))
-    e = F.col("e")
-    below = (e < low["v"]) | ((e == low["v"]) & ~low["closed"])
-    above = (e > up["v"]) | ((e == up["v"]) & ~up["closed"])
-    return [
-        _finding(bounds.filter(F.size("eq") > 1), "ERROR", "contradictory EQ values", feature),
-        _finding(bounds.filter(never), "ERROR", "bounds never both hold", feature),
-        _finding(each.filter(below), "ERROR", "EQ below lower bound", feature),
-        _finding(each.filter(above), "ERROR", "EQ above upper bound", feature),
-        _finding(each.filter(F.array_contains("neq", e)), "ERROR", "EQ and NEQ on one value", feature),
-    ]
+    def each(e: Column) -> Column:
+        below = (e < low["v"]) | ((e == low["v"]) & ~low["closed"])
+        above = (e > up["v"]) | ((e == up["v"]) & ~up["closed"])
+        return F.array(
+            F.when(below, "EQ below lower bound"),
+            F.when(above, "EQ above upper bound"),
+            F.when(F.array_contains("neq", e), "EQ and NEQ on one value"),
+        )
+
+    whole = F.array(F.when(F.size("eq") > 1, "contradictory EQ values"), F.when(never, "bounds never both hold"))
+    problems = F.array_compact(F.concat(whole, F.flatten(F.transform("eq", each))))
+    return _finding(bounds.withColumn("_p", F.explode(problems)), "ERROR", F.col("_p"), F.col("feature"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from perpflow.operators import feature_maps, level_analysis as LA, liquidity as LQ, premium_discount as PD
 from perpflow.plans.common import (
-    CANDLES_DAILY, CANDLES_HOURLY, DAILY, FUNDING, HOURLY, LIQUIDATIONS, OPEN_INTEREST, ORACLES, RATIOS, query, rounded,
-    tidy, with_ctes,
+    CANDLES_DAILY, CANDLES_HOURLY, DAILY, FUNDING, HOURLY, LIQUIDATIONS, OPEN_INTEREST, ORACLES, RATIOS, daily_bars,
+    hourly_bars, query, rounded, stored, tidy, with_ctes,
 )
 from perpflow.sources import adapters as A
 
@@ -89,23 +89,23 @@ def _oi_out(df: DataFrame) -> DataFrame:
 
 @query("funding_series", _level_sql(_FUNDING_LABELLED, "fl", "name", "funding_rate", "funding", "funding", False, False, 9))
 def funding_series(spark: SparkSession, sf: str) -> DataFrame:
-    return _funding_out(LA.funding_series(_label(A.funding_events(spark, sf)), HOURLY))
+    return _funding_out(LA.funding_series(_label(stored(A.funding_events, spark, sf)), HOURLY))
 
 
 @query("funding_latest", _level_sql(_FUNDING_LABELLED, "fl", "name", "funding_rate", "funding", "funding", False, True, 9))
 def funding_latest(spark: SparkSession, sf: str) -> DataFrame:
-    return _funding_out(LA.funding_latest(_label(A.funding_events(spark, sf))))
+    return _funding_out(LA.funding_latest(_label(stored(A.funding_events, spark, sf))))
 
 
 @query("open_interest_series", _level_sql(_OI_LABELLED, "ol", "name", "open_interest", "oi", "oi", True, False, 4, _SPIKE, ("spike_magnitude",)))
 def open_interest_series(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _label(A.open_interest_events(spark, sf))
+    rows = _label(stored(A.open_interest_events, spark, sf))
     return _oi_out(LA.open_interest_series(rows, HOURLY, config=_OI_CONFIG, source="sim"))
 
 
 @query("open_interest_latest", _level_sql(_OI_LABELLED, "ol", "name", "open_interest", "oi", "oi", True, True, 4, _SPIKE, ("spike_magnitude",)))
 def open_interest_latest(spark: SparkSession, sf: str) -> DataFrame:
-    return _oi_out(LA.open_interest_latest(_label(A.open_interest_events(spark, sf)), config=_OI_CONFIG, source="sim"))
+    return _oi_out(LA.open_interest_latest(_label(stored(A.open_interest_events, spark, sf)), config=_OI_CONFIG, source="sim"))
 
 
 _RAW_LEVEL_SQL = """raw AS (SELECT upper(event_type) AS name, date_trunc('hour', ts) AS timestamp, event_id,
@@ -162,31 +162,31 @@ def _range_sql(cte: str, source: str, label: str, *, fractal: bool = True, lates
 
 @query("range_series_daily", _range_sql(CANDLES_DAILY, "daily", "1d"))
 def range_series_daily(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(PD.range_series(A.candles_lineitem(spark, sf), DAILY, label="1d"))
+    return tidy(PD.range_series(daily_bars(spark, sf), DAILY, label="1d"))
 
 
 @query("range_series_band", _range_sql(CANDLES_HOURLY, "candles", "1h", fractal=False, band=0.2))
 def range_series_band(spark: SparkSession, sf: str) -> DataFrame:
     """Extremum swings with an equilibrium band of a fifth of the range."""
     config = PD.RangeConfig(method="EXTREMUM", equilibrium_band_pct=0.2)
-    return tidy(PD.range_series(A.candles_events(spark, sf), HOURLY, config=config, label="1h"))
+    return tidy(PD.range_series(hourly_bars(spark, sf), HOURLY, config=config, label="1h"))
 
 
 @query("range_latest", _range_sql(CANDLES_HOURLY, "candles", "1h", latest=True))
 def range_latest(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(PD.range_latest(A.candles_events(spark, sf), label="1h"))
+    return tidy(PD.range_latest(hourly_bars(spark, sf), label="1h"))
 
 
 @query("range_latest_extremum", _range_sql(CANDLES_DAILY, "daily", "1d", fractal=False, latest=True))
 def range_latest_extremum(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(PD.range_latest(A.candles_lineitem(spark, sf), config=PD.RangeConfig(method="EXTREMUM"), label="1d"))
+    return tidy(PD.range_latest(daily_bars(spark, sf), config=PD.RangeConfig(method="EXTREMUM"), label="1d"))
 
 
 @query("swing_points", rounded(with_ctes(CANDLES_DAILY, *_range_ctes("daily", True)[:1], body="""
   SELECT symbol, timestamp, 'HIGH' AS kind, sh AS price FROM c1 WHERE sh IS NOT NULL
   UNION ALL SELECT symbol, timestamp, 'LOW', sl FROM c1 WHERE sl IS NOT NULL"""), ["price"]))
 def swing_points(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(PD.swings(A.candles_lineitem(spark, sf), DAILY))
+    return tidy(PD.swings(daily_bars(spark, sf), DAILY))
 
 
 @query("swing_points_latest", rounded(with_ctes(CANDLES_HOURLY, """
@@ -285,10 +285,10 @@ def _liquidity_sql(fn: str, where: str, latest: bool) -> str:
 
 
 def _inputs(spark: SparkSession, sf: str) -> LQ.LiquidityInputs:
-    ratio = A.ratio_events(spark, sf)
+    ratio = stored(A.ratio_events, spark, sf)
     return LQ.LiquidityInputs(
-        liquidations=A.liquidation_events(spark, sf), global_ratio=ratio, top_trader_account_ratio=ratio,
-        top_trader_position_ratio=ratio, open_interest=A.open_interest_events(spark, sf), price=_price_events(spark, sf))
+        liquidations=stored(A.liquidation_events, spark, sf), global_ratio=ratio, top_trader_account_ratio=ratio,
+        top_trader_position_ratio=ratio, open_interest=stored(A.open_interest_events, spark, sf), price=_price_events(spark, sf))
 
 
 _SUM = LQ.LiquidityConfig(analysis_window=30, spike_window=24, spike_zscore_threshold=2.0)

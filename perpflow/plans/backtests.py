@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from perpflow.operators import research as R, signals as S
 from perpflow.operators.backtest import Backtest, run_backtests, run_per_symbol
 from perpflow.operators.equity import mark_to_market
-from perpflow.plans.common import CANDLES_DAILY, CANDLES_HOURLY, DAILY, HOURLY, query, rounded, tidy, with_ctes
+from perpflow.plans.common import CANDLES_DAILY, CANDLES_HOURLY, HOURLY, daily_bars, hourly_bars, query, rounded, tidy, with_ctes
 from perpflow.schema import JOB
 from perpflow.sources import adapters as A
 
@@ -23,13 +23,14 @@ def _job(spark: SparkSession, *runs: tuple) -> DataFrame:
     return spark.createDataFrame(rows, JOB)
 
 
-def _cross(spark: SparkSession, sf: str, run: str = "sma") -> DataFrame:
-    return A.sma_cross_signals(A.candles_events(spark, sf), HOURLY).withColumn("run_id", F.lit(run))
+def _cross(bars: DataFrame, run: str = "sma") -> DataFrame:
+    return A.sma_cross_signals(bars, HOURLY).withColumn("run_id", F.lit(run))
 
 
 def _flagship(spark: SparkSession, sf: str) -> Backtest:
     jobs = _job(spark, ("sma", SYMBOLS, START, END, None, None))
-    return run_backtests(jobs, A.candles_events(spark, sf), _cross(spark, sf), HOURLY)
+    bars = hourly_bars(spark, sf)
+    return run_backtests(jobs, bars, _cross(bars), HOURLY)
 
 
 _SIGNALS = """s AS (SELECT symbol, timestamp, open, close,
@@ -65,8 +66,8 @@ _RATES = """wins / nullif({n}, 0)::DOUBLE AS win_rate,
 @query("signals_next_bar", rounded(with_ctes(CANDLES_HOURLY, _SIGNALS, body="""
   SELECT symbol, timestamp, action, quantity, fill_time, fill_open FROM signals WHERE fill_time IS NOT NULL"""), ["quantity", "fill_open"]))
 def signals_next_bar(spark: SparkSession, sf: str) -> DataFrame:
-    bars = A.candles_events(spark, sf).withColumn("run_id", F.lit("sma"))
-    orders = S.next_bar_orders(_cross(spark, sf), bars, HOURLY)
+    bars = hourly_bars(spark, sf)
+    orders = S.next_bar_orders(_cross(bars), bars.withColumn("run_id", F.lit("sma")), HOURLY)
     return tidy(orders.filter("fill_time IS NOT NULL").select("symbol", "timestamp", "action", "quantity", "fill_time", "fill_open"))
 
 
@@ -74,7 +75,7 @@ def signals_next_bar(spark: SparkSession, sf: str) -> DataFrame:
   SELECT symbol, timestamp, 'EXIT' AS action FROM last"""))
 def signals_unfilled(spark: SparkSession, sf: str) -> DataFrame:
     """An exit on every bar: only those of the last bar of a symbol stay unfilled."""
-    bars = A.candles_events(spark, sf).withColumn("run_id", F.lit("x"))
+    bars = hourly_bars(spark, sf).withColumn("run_id", F.lit("x"))
     exits = bars.select("run_id", "symbol", "timestamp", F.col("symbol").alias("emit_symbol"), F.lit(0).cast("bigint").alias("seq"),
                         F.lit("EXIT").alias("action"), F.lit(None).cast("double").alias("quantity"))
     return tidy(S.unfilled(S.next_bar_orders(exits, bars, HOURLY)).select("symbol", "timestamp", "action"))
@@ -84,12 +85,11 @@ def signals_unfilled(spark: SparkSession, sf: str) -> DataFrame:
   SELECT e.symbol AS emit_symbol, e.timestamp, t.symbol, min(b.timestamp) AS fill_time
   FROM candles e CROSS JOIN (SELECT DISTINCT symbol FROM candles) t
   LEFT JOIN candles b ON b.symbol = t.symbol AND (b.timestamp > e.timestamp OR (b.timestamp = e.timestamp AND b.symbol > e.symbol))
-  WHERE date_part('hour', e.timestamp) = 7 GROUP BY 1, 2, 3"""))
+  GROUP BY 1, 2, 3"""))
 def signals_cross_symbol(spark: SparkSession, sf: str) -> DataFrame:
     """Signals of one symbol's bar for every symbol: later-sorting targets fill on the same timestamp."""
-    bars = A.candles_events(spark, sf).withColumn("run_id", F.lit("x"))
-    emits = bars.filter(F.hour("timestamp") == 7)
-    targets = emits.withColumn("emit_symbol", F.col("symbol")).withColumn("symbol", F.explode(F.array(*[F.lit(s) for s in SYMBOLS])))
+    bars = hourly_bars(spark, sf).withColumn("run_id", F.lit("x"))
+    targets = bars.withColumn("emit_symbol", F.col("symbol")).withColumn("symbol", F.explode(F.array(*[F.lit(s) for s in SYMBOLS])))
     signals = targets.select("run_id", "symbol", "timestamp", "emit_symbol")
     return tidy(S.next_bar_orders(signals, bars, HOURLY).select("emit_symbol", "timestamp", "symbol", "fill_time"))
 
@@ -144,7 +144,8 @@ def backtest_summary(spark: SparkSession, sf: str) -> DataFrame:
 def backtest_attribution(spark: SparkSession, sf: str) -> DataFrame:
     """Shared capital, results per symbol; a symbol that never trades is listed."""
     jobs = _job(spark, ("sma", [*SYMBOLS, "idle"], START, END, None, None))
-    return tidy(run_backtests(jobs, A.candles_events(spark, sf), _cross(spark, sf), HOURLY).per_symbol)
+    bars = hourly_bars(spark, sf)
+    return tidy(run_backtests(jobs, bars, _cross(bars), HOURLY).per_symbol)
 
 
 @query("backtest_per_symbol", rounded(with_ctes(CANDLES_HOURLY, _SIGNALS, _FILLS, f"st AS (SELECT symbol, sum(fee) AS exit_fees, {_STATS.format(n='num_trades')} FROM trades GROUP BY symbol)", body=f"""
@@ -152,7 +153,8 @@ def backtest_attribution(spark: SparkSession, sf: str) -> DataFrame:
 def backtest_per_symbol(spark: SparkSession, sf: str) -> DataFrame:
     """One run per symbol, each with the whole capital."""
     jobs = _job(spark, ("sma", SYMBOLS, START, END, None, None))
-    runs = run_per_symbol(jobs, A.candles_events(spark, sf), _cross(spark, sf), HOURLY)
+    bars = hourly_bars(spark, sf)
+    runs = run_per_symbol(jobs, bars, _cross(bars), HOURLY)
     return tidy(runs.summary.select("run_id", "num_trades", "win_rate", "profit_factor"))
 
 
@@ -168,9 +170,10 @@ _GRID_RUNS = [("free", SYMBOLS, START, END, 0.0, 0.0), ("costly", SYMBOLS, START
   ["realized_pnl", "closing_fees"]))
 def backtest_many_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Several cost settings in one job; a bad job is a row with its error."""
-    one = _cross(spark, sf).drop("run_id")
+    bars = hourly_bars(spark, sf)
+    one = _cross(bars).drop("run_id")
     signals = one.withColumn("run_id", F.explode(F.array(*[F.lit(r[0]) for r in _GRID_RUNS])))
-    bt = run_backtests(_job(spark, *_GRID_RUNS), A.candles_events(spark, sf), signals, HOURLY)
+    bt = run_backtests(_job(spark, *_GRID_RUNS), bars, signals, HOURLY)
     done = bt.trades.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("num_trades"), F.sum("realized_pnl").alias("realized_pnl"), F.sum("fee").alias("closing_fees"))
     return tidy(done.unionByName(bt.failed_jobs, allowMissingColumns=True).fillna(0, ["num_trades"]))
@@ -200,7 +203,7 @@ walk AS (
 def backtest_flips(spark: SparkSession, sf: str) -> DataFrame:
     """A signal on every bar (long, short, exit by hour): extends, reductions, closes and flips."""
     hour = F.pmod(F.hour("timestamp"), F.lit(3))
-    bars = A.candles_events(spark, sf)
+    bars = hourly_bars(spark, sf)
     signals = bars.select(
         F.lit("flip").alias("run_id"), "symbol", "timestamp", F.col("symbol").alias("emit_symbol"), F.lit(0).cast("bigint").alias("seq"),
         F.when(hour == 0, "ENTER_LONG").when(hour == 1, "ENTER_SHORT").otherwise("EXIT").alias("action"),
@@ -236,7 +239,7 @@ def walk_forward_windows(spark: SparkSession, sf: str) -> DataFrame:
   GROUP BY 1, 2, 3"""), ["mean_close"]))
 def walk_forward_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Bars assigned to every train and test window that covers them."""
-    bars = A.candles_lineitem(spark, sf)
+    bars = daily_bars(spark, sf)
     rows = R.assign_windows(bars.select("symbol", "timestamp", "close"), _span(bars), ["symbol"], _days(360), _days(90))
     return tidy(rows.groupBy("symbol", "window_no", "part").agg(F.count(F.lit(1)).alias("bars"), F.avg("close").alias("mean_close")))
 

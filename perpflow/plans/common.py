@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from perpflow.operators.chunks import Grid
+from perpflow.session import cut_lineage
+from perpflow.sources import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +29,23 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def stored(adapter: Query, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A derived series as the table it would be in practice.
+
+    Operators that pass over a series more than once read this small table; the raw events
+    behind it are scanned once.
+    """
+    return cut_lineage(adapter(spark, sf_dir))
+
+
+def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(A.candles_events, spark, sf_dir)
+
+
+def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(A.candles_lineitem, spark, sf_dir)
+
+
 def _nudge(digits: int) -> float:
     return float(f"1.37e-{digits + 2}")
 

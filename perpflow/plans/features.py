@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from perpflow.operators import features as M
 from perpflow.operators.asof import with_timeframe
 from perpflow.plans.common import (
-    CANDLES_DAILY, CANDLES_HOURLY, DAILY, FUNDING, HOURLY, LIQUIDATIONS, OPEN_INTEREST, RATIOS, query, rounded, tidy, with_ctes,
+    CANDLES_DAILY, CANDLES_HOURLY, DAILY, FUNDING, HOURLY, LIQUIDATIONS, OPEN_INTEREST, RATIOS, daily_bars, hourly_bars,
+    query, rounded, stored, tidy, with_ctes,
 )
 from perpflow.schema import step_micros
 from perpflow.sources import adapters as A
@@ -75,12 +76,12 @@ def _price(bars: DataFrame, grid) -> DataFrame:
 
 @query("features_price_daily", _price_sql(CANDLES_DAILY, "daily"))
 def features_price_daily(spark: SparkSession, sf: str) -> DataFrame:
-    return _price(A.candles_lineitem(spark, sf), DAILY)
+    return _price(daily_bars(spark, sf), DAILY)
 
 
 @query("features_price_hourly", _price_sql(CANDLES_HOURLY, "candles"))
 def features_price_hourly(spark: SparkSession, sf: str) -> DataFrame:
-    return _price(A.candles_events(spark, sf), HOURLY)
+    return _price(hourly_bars(spark, sf), HOURLY)
 
 
 _KEY = "exchange, symbol"
@@ -97,7 +98,7 @@ def _one(module: M.FeatureModule, df: DataFrame, digits: int) -> DataFrame:
 
 @query("features_funding", rounded(with_ctes(FUNDING, body=_long_sql("funding", "funding_standard", _FUNDING, NAMED)), ["value"], 9))
 def features_funding(spark: SparkSession, sf: str) -> DataFrame:
-    return _one(M.funding_module(), A.funding_events(spark, sf), 9)
+    return _one(M.funding_module(), stored(A.funding_events, spark, sf), 9)
 
 
 _OI = {
@@ -110,7 +111,7 @@ _OI = {
 
 @query("features_open_interest", rounded(with_ctes(OPEN_INTEREST, body=_long_sql("oi", "open_interest", _OI, NAMED)), ["value"]))
 def features_open_interest(spark: SparkSession, sf: str) -> DataFrame:
-    return _one(M.open_interest_module(), A.open_interest_events(spark, sf), 6)
+    return _one(M.open_interest_module(), stored(A.open_interest_events, spark, sf), 6)
 
 
 _L, _S = "long_liquidation_usd", "short_liquidation_usd"
@@ -123,7 +124,7 @@ _LIQ = {
 
 @query("features_liquidation", rounded(with_ctes(LIQUIDATIONS, body=_long_sql("liq", "liquidation", _LIQ, NAMED)), ["value"], 5))
 def features_liquidation(spark: SparkSession, sf: str) -> DataFrame:
-    return _one(M.liquidation_module(), A.liquidation_events(spark, sf), 5)
+    return _one(M.liquidation_module(), stored(A.liquidation_events, spark, sf), 5)
 
 
 _RATIO = {
@@ -137,7 +138,7 @@ _RATIO = {
     RATIOS, "r2 AS (SELECT *, long_account_ratio / nullif(short_account_ratio, 0) AS ratio FROM ratios)",
     body=_long_sql("r2", "long_short_ratio_global", _RATIO, NAMED)), ["value"]))
 def features_long_short(spark: SparkSession, sf: str) -> DataFrame:
-    return _one(M.long_short_module(), A.ratio_events(spark, sf), 6)
+    return _one(M.long_short_module(), stored(A.ratio_events, spark, sf), 6)
 
 
 def _all_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,11 +146,11 @@ def _all_features(spark: SparkSession, sf: str) -> DataFrame:
     modules = [M.price_module(), M.funding_module("oi_weighted"), M.open_interest_module(), M.liquidation_module(),
                M.long_short_module("top_account"), M.long_short_module("top_position")]
     inputs = {
-        "price": A.candles_events(spark, sf),
-        "funding_oi_weighted": _named(A.funding_events(spark, sf)),
-        "open_interest": _named(A.open_interest_events(spark, sf)),
-        "liquidation": _named(A.liquidation_events(spark, sf)),
-        "long_short_ratio_top_account": _named(A.ratio_events(spark, sf)),
+        "price": hourly_bars(spark, sf),
+        "funding_oi_weighted": _named(stored(A.funding_events, spark, sf)),
+        "open_interest": _named(stored(A.open_interest_events, spark, sf)),
+        "liquidation": _named(stored(A.liquidation_events, spark, sf)),
+        "long_short_ratio_top_account": _named(stored(A.ratio_events, spark, sf)),
     }
     return M.compute_features(modules, inputs, ["exchange", "symbol", "timeframe"], HOURLY)
 
@@ -188,16 +189,16 @@ def feature_checks(spark: SparkSession, sf: str) -> DataFrame:
     features = A.table(spark, sf, "events").select(
         F.upper("event_type").alias("symbol"), F.lit("price.last").alias("feature_name"),
         F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("timestamp"), value.alias("value"), F.lit("v1").alias("version"))
-    return tidy(M.check_features(features, HOURLY))
+    return tidy(M.check_features(features))
 
 
 @query("lookback_bars", rounded(with_ctes(CANDLES_HOURLY, body="""
   SELECT m.symbol, m.timestamp AS now, b.timestamp, b.close FROM candles m JOIN candles b ON b.symbol = m.symbol
-    AND b.timestamp <= m.timestamp AND b.timestamp >= m.timestamp - INTERVAL 6 HOUR WHERE date_part('hour', m.timestamp) % 4 = 0"""), ["close"]))
+    AND b.timestamp <= m.timestamp AND b.timestamp >= m.timestamp - INTERVAL 6 HOUR"""), ["close"]))
 def lookback_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """What a look-back of 6 periods shows every fourth hour: up to 7 bars."""
-    bars = A.candles_events(spark, sf).select("symbol", "timestamp", "close")
-    moments = bars.filter(F.pmod(F.hour("timestamp"), F.lit(4)) == 0).select("symbol", F.col("timestamp").alias("now"))
+    """What a look-back of 6 periods shows at every bar: up to 7 bars."""
+    bars = hourly_bars(spark, sf).select("symbol", "timestamp", "close")
+    moments = bars.select("symbol", F.col("timestamp").alias("now"))
     return tidy(M.lookback(bars, moments, ["symbol"], step_micros("1h"), 6).select("symbol", "now", "timestamp", "close"))
 
 
@@ -208,7 +209,7 @@ _FOUR_HOURS = """h4 AS (SELECT symbol, time_bucket(INTERVAL 4 HOUR, timestamp) A
 
 
 def _higher(spark: SparkSession, sf: str, closed_only: bool) -> DataFrame:
-    bars = A.candles_events(spark, sf).select("symbol", "timestamp", "close")
+    bars = hourly_bars(spark, sf).select("symbol", "timestamp", "close")
     wide = step_micros("4h")
     start = F.timestamp_micros(F.unix_micros("timestamp") - F.pmod(F.unix_micros("timestamp"), F.lit(wide)))
     four = bars.groupBy("symbol", start.alias("bar")).agg(F.max_by("close", "timestamp").alias("close")).select(

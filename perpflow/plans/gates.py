@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from perpflow.operators import gates as G, rules as RL, score as SC
 from perpflow.operators.features import to_long
-from perpflow.plans.common import CANDLES_HOURLY, query, rounded, tidy, with_ctes
+from perpflow.plans.common import CANDLES_HOURLY, query, rounded, stored, tidy, with_ctes
 from perpflow.schema import RULE
 from perpflow.sources import adapters as A
 
@@ -172,7 +172,7 @@ _SCORE = SC.ScoreConfig("v1", weights={"funding": 0.6, "open_interest": 0.4}, re
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return SC.score(_inputs(spark, sf), _SCORE, _PROVIDERS, arrival="arrival")
+    return SC.score(stored(_inputs, spark, sf), _SCORE, _PROVIDERS, arrival="arrival")
 
 
 def _exploded(df: DataFrame, issues: str) -> DataFrame:

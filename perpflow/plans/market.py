@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from perpflow.operators import gaps as G, quality
 from perpflow.operators.dedupe import last_wins, latest, merge_last_wins
 from perpflow.plans.common import (
-    CANDLES_DAILY, CANDLES_HOURLY, DAILY, FUNDING, HOURLY, LIQUIDATIONS, OPEN_INTEREST, RATIOS, query, rounded, tidy, with_ctes,
+    CANDLES_DAILY, CANDLES_HOURLY, DAILY, FUNDING, HOURLY, LIQUIDATIONS, OPEN_INTEREST, RATIOS, query, rounded, stored, tidy, with_ctes,
 )
 from perpflow.sources import adapters as A, landing as L
 from perpflow.sources.store import chronological, clip, covered_range, observations, with_version
@@ -261,13 +261,13 @@ def _ranges(df: DataFrame) -> DataFrame:
 
 @query("gap_islands", with_ctes(FUNDING, _missing_sql(), body="SELECT * FROM islands"))
 def gap_islands(spark: SparkSession, sf: str) -> DataFrame:
-    rows = A.funding_events(spark, sf)
+    rows = stored(A.funding_events, spark, sf)
     return tidy(G.find_gaps(rows, _ranges(rows), ["exchange", "symbol"], HOURLY))
 
 
 @query("gap_points", with_ctes(FUNDING, _missing_sql(), body="SELECT * FROM missing"))
 def gap_points(spark: SparkSession, sf: str) -> DataFrame:
-    rows = A.funding_events(spark, sf)
+    rows = stored(A.funding_events, spark, sf)
     gaps = G.find_gaps(rows, _ranges(rows), ["exchange", "symbol"], HOURLY)
     return tidy(G.missing_points(gaps, ["exchange", "symbol"], HOURLY))
 
@@ -279,10 +279,10 @@ merged AS (SELECT * FROM stored UNION ALL
 
 
 def _filled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows, hour = A.funding_events(spark, sf), F.hour("timestamp")
-    stored = rows.filter(F.pmod(hour, F.lit(4)) != 0)
+    rows, hour = stored(A.funding_events, spark, sf), F.hour("timestamp")
+    held = rows.filter(F.pmod(hour, F.lit(4)) != 0)
     landed = rows.filter(F.pmod(hour, F.lit(8)) != 4).withColumn("funding_rate", F.col("funding_rate") + 1)
-    return G.fill_gaps(stored, landed, _ranges(rows), ["exchange", "symbol"], HOURLY)
+    return G.fill_gaps(held, landed, _ranges(rows), ["exchange", "symbol"], HOURLY)
 
 
 @query("gap_fill_rows", rounded(with_ctes(FUNDING, _STORED_SQL, body="SELECT * FROM merged"), ["funding_rate"], 10))

@@ -9,7 +9,7 @@ commits.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -110,6 +110,14 @@ def clip(df: DataFrame, start: datetime | None, end: datetime | None) -> DataFra
     return df
 
 
+def history(df: DataFrame, now: datetime, step: timedelta, periods: int | None = None,
+            start: datetime | None = None) -> DataFrame:
+    """What was known at ``now``: from ``start`` (never after now), else ``periods`` steps back."""
+    if start is None:
+        start = now - step * periods if periods is not None else None
+    return clip(df, None if start is None else min(start, now), now)
+
+
 def covered_range(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from perpflow.operators.chunks import Grid
 from perpflow.operators.gaps import fill_gaps, find_gaps, missing_points
 from perpflow.schema import CANDLE, FEATURE_VALUE
-from perpflow.sources.store import FeatureStore, SeriesStore, observations_from_features
+from perpflow.sources.store import FeatureStore, SeriesStore, history, observations_from_features
 from perpflow.streaming.streams import SignalLedger, flag_signal_stream, stream_into_store
 
 
@@ -50,6 +50,13 @@ def test_range_is_inclusive_and_pruned(spark, hour, tmp_path):
     assert (covered.first_timestamp, covered.last_timestamp) == (hour(0).replace(tzinfo=None), hour(1900).replace(tzinfo=None))
 
 
+def test_history_never_looks_ahead(spark, hour):
+    df, step = points(spark, hour, range(10)), timedelta(hours=1)
+    assert history(df, hour(5), step, periods=2).count() == 3
+    assert [r.v for r in history(df, hour(5), step, start=hour(8)).collect()] == [5.0]
+    assert history(df, hour(5), step).count() == 6
+
+
 def feature(spark, hour, rows):
     full = [("btcusdt", n, hour(h), v, ver, s) for n, h, v, ver, s in rows]
     return spark.createDataFrame(full, "symbol string, feature_name string, timestamp timestamp, value double, version string, ingest_seq bigint")
