@@ -67,6 +67,20 @@ def own(df: DataFrame) -> DataFrame:
     return df.filter(F.col(OWN)).drop(CHUNK, OWN)
 
 
+def placed_rows(df: DataFrame, keys: Sequence[str], order: str, grid: Grid) -> DataFrame:
+    """Rows with their ``_chunk``, shuffled by (series, chunk).
+
+    Keys and positions are never NULL in canonical data; a row without one is in no series.
+    Saying so here, and not leaving it to the joins further up, keeps all readers of this
+    shuffle identical, so that Spark runs it once.
+    """
+    part = [*keys, CHUNK]
+    known = F.lit(True)
+    for name in part:
+        known = known & F.col(name).isNotNull()
+    return df.withColumn(CHUNK, grid.chunk(df, order)).filter(known).repartition(*part)
+
+
 def lead_in(df: DataFrame, keys: Sequence[str], order: str, grid: Grid, before: int,
             count_on: DataFrame | None = None) -> DataFrame:
     """Add ``_chunk`` and ``_own``; every chunk also gets the ``before`` rows that precede it.
@@ -77,9 +91,8 @@ def lead_in(df: DataFrame, keys: Sequence[str], order: str, grid: Grid, before:
     and order values to count on.
     """
     part = [*keys, CHUNK]
-    rows = df.withColumn(CHUNK, grid.chunk(df, order))
     if before <= 0:
-        return rows.withColumn(OWN, F.lit(True))
+        return df.withColumn(CHUNK, grid.chunk(df, order)).withColumn(OWN, F.lit(True))
 
     basis = df if count_on is None else count_on
     placed_keys = basis.select(*keys, grid.chunk(basis, order).alias(CHUNK), grid.slot(basis, order).alias("_slot"))
@@ -109,13 +122,14 @@ def lead_in(df: DataFrame, keys: Sequence[str], order: str, grid: Grid, before:
             ).alias("_loan_slot"),
         )
     )
-    placed = rows.repartition(*part)
+    placed = placed_rows(df, keys, order, grid)
     borrowed = (
-        placed.join(loans, part)
+        # Few loans per partition: hashing them spares a second sort of the full rows.
+        placed.join(loans.hint("shuffle_hash"), part)
         .filter(grid.slot(df, order) >= F.col("_loan_slot"))
         .withColumn(CHUNK, F.col("_loan_to"))
         .withColumn(OWN, F.lit(False))
-        .select(*rows.columns, OWN)
+        .select(*placed.columns, OWN)
         .repartition(*part)
     )
     return placed.withColumn(OWN, F.lit(True)).unionByName(borrowed)
@@ -171,9 +185,7 @@ def running_path(steps: DataFrame, keys: Sequence[str], order: Sequence[str], gr
     same columns, which lets Spark reuse the one shuffle of the full rows.
     """
     part = [*keys, CHUNK]
-    placed = (
-        steps.select(*keys, *order, delta).withColumn(CHUNK, grid.chunk(steps, order[0])).repartition(*part)
-    )
+    placed = placed_rows(steps.select(*keys, *order, delta), keys, order[0], grid)
     so_far = window(keys, *order).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = placed.withColumn("_g", F.sum(delta).over(so_far)).withColumn("_h", F.max("_g").over(so_far))
     per_chunk = local.groupBy(*part).agg(F.sum(delta).alias("_sum"), F.max("_g").alias("_top"))
