@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,11 +39,15 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; every executor can reach it.
 
-    Only a session that names none (a laptop, a unit test) gets a scratch folder.
+    A local session that names none (a laptop, a unit test) gets a scratch folder. A cluster
+    session without the setting is refused: a folder of this machine would lose data there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-checkpoint-")
+        named = spark.sparkContext.getCheckpointDir()
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = named or tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -56,3 +61,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/perpflow-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Remove the table behind a result of ``cut_lineage`` once no later step reads it."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/perpflow-" not in file or folder.rpartition("/")[2] not in file:
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
