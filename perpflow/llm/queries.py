@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from perpflow.llm import chat, quality
+from perpflow.llm.decontaminate import contaminated
 from perpflow.llm.pieces import digests
+from perpflow.llm.pii import personal_data
 from perpflow.llm.suffix_dedup import remove_repeats
 from perpflow.llm.token_counts import token_counts
 
@@ -44,3 +47,27 @@ def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_counts")
 def token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op3_pii_bootstrap")
+def pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op8_benchmark_decontamination")
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "distance", "first_word")
+
+
+@query("op9_chat_formatting")
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], given.schema)
+    return chat.digests(chat.format_examples(given.unionByName(own)))
+
+
+@query("op10_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
