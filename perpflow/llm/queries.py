@@ -11,6 +11,7 @@ from perpflow.llm import chat, quality
 from perpflow.llm.decontaminate import contaminated
 from perpflow.llm.pieces import digests
 from perpflow.llm.pii import personal_data
+from perpflow.llm.sketches import fingerprints
 from perpflow.llm.suffix_dedup import remove_repeats
 from perpflow.llm.token_counts import token_counts
 
@@ -71,3 +72,8 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_classifier")
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_document_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
