@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from perpflow.llm import chat, quality
 from perpflow.llm.decontaminate import contaminated
+from perpflow.llm.jaccard import linked_components
 from perpflow.llm.pieces import digests
 from perpflow.llm.pii import personal_data
 from perpflow.llm.sketches import fingerprints
@@ -77,3 +78,8 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_document_fingerprints")
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op5_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_components(table(spark, sf_dir, "documents"))
