@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from perpflow.llm import chat, quality
 from perpflow.llm.decontaminate import contaminated
 from perpflow.llm.jaccard import linked_components
+from perpflow.llm.passages import repeated_passages
 from perpflow.llm.pieces import digests
 from perpflow.llm.pii import personal_data
 from perpflow.llm.sketches import fingerprints
@@ -83,3 +84,8 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(table(spark, sf_dir, "documents"))
+
+
+@query("op7_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
