@@ -9,7 +9,7 @@
    Fenwick tree over positions in the source.
 4. Chains are aligned on the words themselves: segments are extended while words agree, and gaps between
    them get a longest common subsequence.
-5. Aligned stretches of one document that touch are one passage, whichever sources they come from.
+5. Aligned stretches of one document that touch (``APART`` words between them at most) are one passage, whichever sources they come from.
    Passages of ``MIN_WORDS`` words and of ``IDENTITY`` or more are results; the first occurrence stays.
 
 Cases: null text is empty; texts under ``K`` words have no seeds; a repeat inside one document does not
@@ -29,12 +29,14 @@ from perpflow.llm.text import grams, joined, minimizers, slices, steady, words
 from perpflow.session import cut_lineage, drop_written
 
 K = 8
-GAP_COST = 0.5
+GAP_COST = 0.15
 MIN_CHAIN = 10
 MIN_WORDS = 40
 IDENTITY = 0.8
-#: Gaps of more words than this on either side are left unaligned (they cost more than most chains gain).
-GAP_MOST = 60
+#: A chain with a gap of more words than this on either side is aligned as two stretches.
+GAP_MOST = 24
+#: Stretches of one document with this many words between them, or fewer, are one passage.
+APART = 3
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,16 +164,20 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def align(doc: np.ndarray, source: np.ndarray, x: list[int], y: list[int], size: list[int]) -> tuple[int, int, int, int, int] | None:
-    """(start, stop, source start, source stop, words that agree) of a chain on word hashes, or None where it isn't on them."""
+def align(doc: np.ndarray, source: np.ndarray, x: list[int], y: list[int], size: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """(start, stop, source start, source stop, words that agree) of each stretch of a chain, judged on word hashes."""
     x, y, size = (np.array(v, dtype=np.int64) for v in (x, y, size))
-    if x[-1] + size[-1] > len(doc) or y[-1] + size[-1] > len(source) or doc[x[0]] != source[y[0]]:
-        return None
+    if x[-1] + size[-1] > len(doc) or y[-1] + size[-1] > len(source):
+        return []
+    gaps = np.maximum(x[1:] - x[:-1] - size[:-1], y[1:] - y[:-1] - size[:-1])
+    cuts = np.concatenate([[0], np.flatnonzero(gaps > GAP_MOST) + 1, [len(x)]])
+    return [_stretch(doc, source, x[a:b], y[a:b], size[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _stretch(doc: np.ndarray, source: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> tuple[int, int, int, int, int]:
     agree = sum(int((doc[a : a + n] == source[b : b + n]).sum()) for a, b, n in zip(x.tolist(), y.tolist(), size.tolist(), strict=True))
     for i in range(len(x) - 1):
-        a, b = doc[x[i] + size[i] : x[i + 1]], source[y[i] + size[i] : y[i + 1]]
-        if len(a) <= GAP_MOST and len(b) <= GAP_MOST:
-            agree += _common(a, b)
+        agree += _common(doc[x[i] + size[i] : x[i + 1]], source[y[i] + size[i] : y[i + 1]])
     left, left_y, more = extend(doc[: x[0]][::-1], source[: y[0]][::-1])
     right, right_y, again = extend(doc[x[-1] + size[-1] :], source[y[-1] + size[-1] :])
     return int(x[0]) - left, int(x[-1] + size[-1]) + right, int(y[0]) - left_y, int(y[-1] + size[-1]) + right_y, agree + more + again
@@ -222,8 +228,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known[r["text"]] = words(*joined(pa.array([r["text"]], pa.string())))[2]
             x = [a - r["first"] for a in r["x"]]
             found = align(np.array(r["words"], dtype=np.int64).view(np.uint64), known[r["text"]], x, r["y"], r["size"])
-            if found:
-                rows.append((r["doc_id"], r["source"], found[0] + r["first"], found[1] + r["first"], *found[2:]))
+            rows += [(r["doc_id"], r["source"], f[0] + r["first"], f[1] + r["first"], *f[2:]) for f in found]
         columns = zip(*rows, strict=True) if rows else [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
@@ -240,7 +245,7 @@ def _merged(least: int, identity: float):
             out = []
             for r in batch.to_pylist():
                 share = r["agree"] / max(r["stop"] - r["start"], r["source_stop"] - r["source_start"], 1)
-                if now and now[0] == r["doc_id"] and r["start"] <= now[2] + 1:
+                if now and now[0] == r["doc_id"] and r["start"] <= now[2] + APART:
                     fresh = max(0, r["stop"] - now[2])
                     now[2] = max(now[2], r["stop"])
                     now[3] += fresh * share
