@@ -21,7 +21,6 @@ def asof_join(left: DataFrame, rights: Sequence[tuple[DataFrame, dict[str, str]]
     """
     sign = -1 if forward else 1
     pick = F.min_by if forward else F.max_by
-    nearest = F.first if forward else F.last
     equal = F.lit(True) if tie is None else tie
     # Place of the left row among right rows (rank 0) of the same position.
     rank = F.when(equal, F.lit(sign)).otherwise(F.lit(-sign))
@@ -41,15 +40,14 @@ def asof_join(left: DataFrame, rights: Sequence[tuple[DataFrame, dict[str, str]]
             edge.select(*keys, CHUNK, F.struct(*columns.values()).alias(f"_v{i}")), allowMissingColumns=True
         )
     values = [f"_v{i}" for i in range(len(rights))]
-    along = W.partitionBy(*keys).orderBy(CHUNK)
-    here = window(keys, order, "_rank")
-    if forward:
-        outside, inside = along.rangeBetween(1, W.unboundedFollowing), here.rowsBetween(W.currentRow, W.unboundedFollowing)
-    else:
-        outside, inside = along.rangeBetween(W.unboundedPreceding, -1), here.rowsBetween(W.unboundedPreceding, W.currentRow)
-    far = edges.select(*keys, CHUNK, *[nearest(v, ignorenulls=True).over(outside).alias(f"_far{v}") for v in values])
+    # Both directions look back, forward over descending rows: such a frame grows by one row at a
+    # time, while one that ends at the last row is computed anew for every row.
+    way = F.desc if forward else F.asc
+    outside = W.partitionBy(*keys).orderBy(way(CHUNK)).rangeBetween(W.unboundedPreceding, -1)
+    inside = window(keys, way(order), way("_rank")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    far = edges.select(*keys, CHUNK, *[F.last(v, ignorenulls=True).over(outside).alias(f"_far{v}") for v in values])
     far = far.groupBy(*keys, CHUNK).agg(*[F.first(f"_far{v}", ignorenulls=True).alias(f"_far{v}") for v in values])
-    near = both.select("*", *[nearest(v, ignorenulls=True).over(inside).alias(f"_near{v}") for v in values])
+    near = both.select("*", *[F.last(v, ignorenulls=True).over(inside).alias(f"_near{v}") for v in values])
     found = near.filter("_is_left").join(far, [*keys, CHUNK], "left")
     picked = [
         F.coalesce(f"_near_v{i}", f"_far_v{i}")[name].alias(name)

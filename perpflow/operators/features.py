@@ -58,8 +58,10 @@ class _Ema:
     """Exponential average with y0 = x0 and weight 2/(span+1), exact over any number of chunks.
 
     Inside a block the recurrence is a running sum of x * r^-j (r = 1 - weight, j = row in
-    block); blocks are short enough for r^-j to stay finite. Across blocks the carried value
-    is a sum over the few earlier blocks whose weight has not underflowed to zero.
+    block); blocks are short enough for r^-j to stay finite. Chunks may hold few rows, so blocks
+    are strung together by row number: a stretch is as many rows as the longest block, a block
+    belongs to the stretch it begins in. Within a stretch the carried value is a running sum again;
+    across stretches it is a sum over the few earlier ones whose weight has not underflowed to zero.
     """
 
     value: str
@@ -76,7 +78,7 @@ class _Ema:
 
     @property
     def block_rows(self) -> int:
-        return max(int(250 / -math.log10(self.decay)), 1)
+        return max(int(120 / -math.log10(self.decay)), 1)
 
     def local(self, rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
         """Add the block of each own row and its average as if the block started from zero."""
@@ -95,18 +97,24 @@ class _Ema:
         blocks = self.local(chunked.withColumn(OWN, F.lit(True)), keys, order).groupBy(*keys, CHUNK, "_block").agg(
             F.count(F.lit(1)).alias("_n"), F.max_by("_local", "_j").alias("_end"), F.min_by(self.value, "_j").alias("_x0")
         )
-        horizon = 330 / -math.log10(self.decay)
-        back = math.ceil(horizon / self.block_rows) + 2 * (math.ceil(horizon / self.grid.rows) + 2)
         along = W.partitionBy(*keys).orderBy(CHUNK, "_block")
-        earlier = F.coalesce(F.sum("_n").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        decay, before = F.lit(self.decay), F.col("_before")
-        past = F.collect_list(F.struct("_end", (before + F.col("_n")).alias("at"))).over(along.rowsBetween(-back, -1))
-        carried = F.aggregate("_past", F.lit(0.0), lambda acc, p: acc + p["_end"] * F.pow(decay, before - p["at"]))
-        first = F.first("_x0").over(along.rowsBetween(W.unboundedPreceding, 0))
+        decay, size = F.lit(self.decay), self.block_rows
+        placed = (
+            blocks.withColumn("_before", F.coalesce(F.sum("_n").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+            .withColumn("_first", F.first("_x0").over(along.rowsBetween(W.unboundedPreceding, 0)))
+            .withColumn("_stretch", F.floor(F.col("_before") / size)))
+        # Ends of blocks as seen from the start of their stretch.
+        seen = F.col("_end") * F.pow(decay, F.col("_stretch") * size - F.col("_before") - F.col("_n"))
+        sums = placed.groupBy(*keys, "_stretch").agg(F.sum(seen).alias("_sum"))
+        back = math.ceil(330 / -math.log10(self.decay) / size) + 2
+        past = F.collect_list(F.struct("_stretch", "_sum")).over(W.partitionBy(*keys).orderBy("_stretch").rangeBetween(-back, -1))
+        weighed = F.aggregate("_past", F.lit(0.0), lambda acc, p: acc + p["_sum"] * F.pow(decay, (F.col("_stretch") - p["_stretch"]) * size))
+        bases = sums.withColumn("_past", past).select(*keys, "_stretch", weighed.alias("_base"))
+        inside = W.partitionBy(*keys, "_stretch").orderBy(CHUNK, "_block").rowsBetween(W.unboundedPreceding, -1)
+        carried = F.pow(decay, F.col("_before") - F.col("_stretch") * size) * (F.coalesce("_local_sum", F.lit(0.0)) + F.col("_base"))
         return (
-            blocks.withColumn("_before", earlier)
-            .withColumns({"_first": first, "_past": past})
-            .select(*keys, CHUNK, "_block", (carried + F.col("_first") * F.pow(decay, before)).alias("_start"))
+            placed.withColumn("_local_sum", F.sum(seen).over(inside)).join(bases, [*keys, "_stretch"])
+            .select(*keys, CHUNK, "_block", (carried + F.col("_first") * F.pow(decay, F.col("_before"))).alias("_start"))
         )
 
     def finish(self, rows: DataFrame, starts: DataFrame, keys: Sequence[str], name: str) -> DataFrame:

@@ -323,13 +323,13 @@ def liquidity_exchange_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- analysis rows as features ----------------------------------------------------------------
 
-def _map_sql(inner: str, prefix: str, fields: list[str], extra: dict[str, str] | None = None) -> str:
+def _map_sql(inner: str, prefix: str, fields: list[str], extra: dict[str, str] | None = None, digits: int = 3) -> str:
     def number(f: str) -> str:
         return f"CASE {f} WHEN 'true' THEN 1.0e0 WHEN 'false' THEN 0.0e0 END" if f.startswith("is_") else f"{f}::DOUBLE"
 
     cells = [(f"'{prefix}.{f}'", number(f)) for f in fields] + [(f"'{prefix}.{k}'", v) for k, v in (extra or {}).items()]
     parts = " UNION ALL ".join(f"SELECT symbol, as_of AS timestamp, {n} AS feature_name, {v} AS value FROM a" for n, v in cells)
-    return f"WITH a AS ({inner}) SELECT symbol, timestamp, feature_name, round(value, 3) + 0.0e0 AS value FROM ({parts}) AS m WHERE value IS NOT NULL"
+    return f"WITH a AS ({inner}) SELECT symbol, timestamp, feature_name, round(value, {digits}) + 0.0e0 AS value FROM ({parts}) AS m WHERE value IS NOT NULL"
 
 
 
@@ -337,18 +337,18 @@ def _flag(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.col(name) == "true")
 
 
-def _three(df: DataFrame) -> DataFrame:
-    return df.withColumn("value", F.round("value", 3) + F.lit(0.0))
+def _places(df: DataFrame, digits: int = 3) -> DataFrame:
+    return df.withColumn("value", F.round("value", digits) + F.lit(0.0))
 
 
 @query("analysis_features_open_interest", _map_sql(ORACLES["open_interest_latest"], "open_interest_analysis_sim", feature_maps.OPEN_INTEREST_FIELDS))
 def analysis_features_open_interest(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(_three(feature_maps.open_interest_features(_flag(open_interest_latest(spark, sf), "is_abnormal_spike"))), 9)
+    return tidy(_places(feature_maps.open_interest_features(_flag(open_interest_latest(spark, sf), "is_abnormal_spike"))), 9)
 
 
-@query("analysis_features_funding", _map_sql(ORACLES["funding_latest"], "funding_rate_analysis", feature_maps.FUNDING_FIELDS))
+@query("analysis_features_funding", _map_sql(ORACLES["funding_latest"], "funding_rate_analysis", feature_maps.FUNDING_FIELDS, digits=9))
 def analysis_features_funding(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(_three(feature_maps.funding_features(funding_latest(spark, sf))), 9)
+    return tidy(_places(feature_maps.funding_features(funding_latest(spark, sf)), 9), 9)
 
 
 _ZONE_FLAGS = {f"zone_is_{z.lower()}": f"CASE WHEN zone = '{z}' THEN 1.0 ELSE 0.0 END" for z in PD.ZONES}
@@ -356,9 +356,9 @@ _ZONE_FLAGS = {f"zone_is_{z.lower()}": f"CASE WHEN zone = '{z}' THEN 1.0 ELSE 0.
 
 @query("analysis_features_range", _map_sql(ORACLES["range_latest"], "premium_discount_analysis_1h", feature_maps.RANGE_FIELDS, _ZONE_FLAGS))
 def analysis_features_range(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(_three(feature_maps.range_features(range_latest(spark, sf))), 9)
+    return tidy(_places(feature_maps.range_features(range_latest(spark, sf))), 9)
 
 
 @query("analysis_features_liquidity", _map_sql(ORACLES["liquidity_latest"], "liquidity_analysis", feature_maps.LIQUIDITY_FIELDS))
 def analysis_features_liquidity(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(_three(feature_maps.liquidity_features(_flag(liquidity_latest(spark, sf), "is_abnormal_liquidation"))), 9)
+    return tidy(_places(feature_maps.liquidity_features(_flag(liquidity_latest(spark, sf), "is_abnormal_liquidation"))), 9)

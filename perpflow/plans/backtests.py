@@ -217,7 +217,7 @@ def backtest_flips(spark: SparkSession, sf: str) -> DataFrame:
 _SPAN = """span AS (SELECT symbol, min(timestamp) AS range_start, max(timestamp) AS range_end FROM daily GROUP BY symbol),
 windows AS (SELECT symbol, n AS window_no, range_start + n * INTERVAL 90 DAY AS train_start, range_start + n * INTERVAL 90 DAY + INTERVAL 360 DAY AS train_end,
    range_start + n * INTERVAL 90 DAY + INTERVAL 360 DAY AS test_start, range_start + n * INTERVAL 90 DAY + INTERVAL 450 DAY AS test_end, range_end
-  FROM span CROSS JOIN (SELECT unnest(range(0, 200)) AS n) AS k)"""
+  FROM (SELECT *, unnest(range(0, date_diff('day', range_start, range_end) // 90 + 1)) AS n FROM span) AS k)"""
 
 
 def _span(bars: DataFrame) -> DataFrame:

@@ -9,11 +9,11 @@ SERIES_KEY = ["exchange", "symbol", "timeframe"]
 # Bar codes and their length in seconds.
 TIMEFRAME_SECONDS = {
     "1m": 60,
-    "3m": 180,
     "5m": 300,
     "15m": 900,
     "30m": 1800,
     "1h": 3600,
+    "2h": 7200,
     "4h": 14400,
     "6h": 21600,
     "8h": 28800,

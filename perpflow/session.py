@@ -59,7 +59,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     has statistics and prunes columns.
     """
     path = f"{shared_folder(df.sparkSession)}/perpflow-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -36,14 +36,16 @@ def candles_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candles_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars. The day has no clock, so open and close use a full tie-break order.
 
-    The order is compared as one struct inside min_by/max_by: no per-day sort is needed.
+    The order is one number inside min_by/max_by, which keeps this a hash aggregate.
     """
     ticks = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("P"), F.pmod("l_partkey", F.lit(5)).cast("string")).alias("symbol"),
         F.col("l_shipdate").cast("timestamp").alias("timestamp"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_extendedprice").alias("traded"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").alias("tick"),
+        F.expr(
+            "cast(l_orderkey as decimal(38,0)) * 1000 * 1000000000000 * 10000000 + cast(l_linenumber as decimal(38,0)) * 1000000000000 * 10000000 "
+            "+ cast(l_partkey as decimal(38,0)) * 10000000 + l_suppkey").cast("decimal(38,0)").alias("tick"),
     )
     return ticks.groupBy("symbol", "timestamp").agg(
         F.min_by("price", "tick").alias("open"),

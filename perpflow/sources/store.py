@@ -56,8 +56,13 @@ class _Table:
 
     def upsert(self, batch: DataFrame, seq: str) -> None:
         touched = batch.withColumn("period", _period())
-        # Joining on the partition columns limits the read to the touched partitions.
-        stored = self.load().join(touched.select(*self.partitions).distinct(), self.partitions, "left_semi")
+        # First and last value of each partition column, one row, prune the read; the join does the rest.
+        edges = touched.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in self.partitions for f in (F.min, F.max)]).first()
+        stored = self.load()
+        for c in self.partitions:
+            low, high = edges[f"min_{c}"], edges[f"max_{c}"]
+            stored = stored.filter(F.lit(False) if low is None else F.col(c).between(low, high))
+        stored = stored.join(touched.select(*self.partitions).distinct(), self.partitions, "left_semi")
         merged = merge_last_wins(stored.select(*self.schema.names), touched, self.key, seq)
         # Rebalance groups a partition's rows for writing and splits partitions that are too big.
         (
