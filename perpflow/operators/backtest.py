@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from perpflow.operators.chunks import Grid
 from perpflow.operators.equity import attribution, equity_curve, performance
-from perpflow.operators.positions import fold_positions, trades
+from perpflow.operators.positions import fold_positions, held_at_end, idle_exits, settle, trades
 from perpflow.operators.signals import (
-    check_jobs, job_bars, next_bar_orders, one_job_per_symbol, priced, runnable, screen_signals, unfilled,
+    EXIT, NO_POSITION, RUN, check_jobs, job_bars, next_bar_orders, one_job_per_symbol, priced, runnable, screen_signals, unfilled,
 )
 from perpflow.session import cut_lineage
 
@@ -60,12 +60,18 @@ def run_backtests(jobs: DataFrame, bars: DataFrame, signals: DataFrame | Callabl
     orders = next_bar_orders(accepted, run_bars, grid)
     if checkpoint:
         orders = cut_lineage(orders)
+    settled = settle(priced(orders, good), grid, checkpoint=checkpoint)
+    # A signal of the last bar is judged by what is held after all fills.
+    late = unfilled(orders).join(held_at_end(settled), RUN, "left").withColumn(
+        "_idle", (F.col("action") == EXIT) & (F.coalesce("held", F.lit(0)) == 0)).drop("held")
+    idle = idle_exits(settled).select(*rejected.drop("reason").columns).unionByName(
+        late.filter("_idle").select(*rejected.drop("reason").columns)).withColumn("reason", F.lit(NO_POSITION))
     return Backtest(
         jobs=good,
         failed_jobs=checked.filter("error IS NOT NULL").select("run_id", "error"),
-        rejected_signals=rejected,
-        unfilled_signals=unfilled(orders),
-        fills=fold_positions(priced(orders, good), grid, checkpoint=checkpoint),
+        rejected_signals=rejected.unionByName(idle),
+        unfilled_signals=late.filter("NOT _idle").drop("_idle"),
+        fills=fold_positions(settled, checkpoint=checkpoint),
         bars=run_bars,
         grid=grid,
     )

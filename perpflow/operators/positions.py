@@ -1,154 +1,91 @@
 """Net positions from orders: extend, reduce, close, flip, exit.
 
 The state of one (run, symbol) is (quantity, average price). Both are affine in their value
-at the start of any stretch of fills: all exits of a bar size themselves from the quantity q
-before it, so the bar maps q to (1 - exits) * q + entries; an extension mixes the average
-with the fill price; a reduction keeps it; open, flip and close replace it. Stretches
-therefore compose, and a long series is folded chunk by chunk in parallel:
-
-1. per chunk, compose the quantity maps (aggregate);
-2. carry the quantity over the one-row-per-chunk table;
-3. fold each chunk from its true quantity, tracking the average as factor and offset;
-4. carry the average the same way and finish with plain columns.
+before a bar or a fill: all exits of a bar size themselves from the quantity q before it, so the
+bar maps q to (1 - exits) * q + entries; an extension mixes the average with the fill price; a
+reduction keeps it; open, flip and close replace it. Affine maps compose, and ``carry_affine``
+composes them chunk by chunk in parallel.
+
+Quantities are counted in whole ``UNIT``s, so sums do not depend on how a series is cut: 0.1 +
+0.2 + 0.3 - 0.6 is flat, where doubles added in turn keep a remainder. This is a deviation on purpose.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from perpflow.operators.chunks import CHUNK, Grid
+from perpflow.operators.scans import carry_affine
 from perpflow.operators.signals import EXIT, RUN
 from perpflow.session import cut_lineage
 
 _ORDER = ["fill_time", "timestamp", "emit_symbol", "seq"]
+#: Smallest quantity that is told apart.
+UNIT = 1e-8
 
 
-def carry_affine(steps: DataFrame, keys: Sequence[str], order: Sequence[str], factor: str, offset: str, name: str) -> DataFrame:
-    """``name`` = value before each step of x -> factor*x + offset, starting from 0 per key.
+def settle(orders: DataFrame, grid: Grid, *, checkpoint: bool = True) -> DataFrame:
+    """Orders with their signed quantity and the quantity held before, in units; NULL for an exit without a position.
 
-    One sorted stream per partition; only the current key's value is held.
+    ``orders`` come from ``signals.priced``. The quantity before a bar is carried over bars; within a
+    bar it is a running sum.
     """
-    wanted = steps.select(*keys, *order, factor, offset)
-    schema = wanted.select(*keys, *order).schema.add(name, "double")
-    key_names = list(keys)
+    placed = orders.withColumn("emit_symbol", F.coalesce("emit_symbol", "symbol")).withColumn(CHUNK, grid.chunk(orders, "fill_time"))
+    units = F.round(F.col("quantity") / F.lit(UNIT)).cast("bigint")
+    asked = F.when(F.col("action") == "ENTER_LONG", units).when(F.col("action") == "ENTER_SHORT", -units)
+    placed = placed.withColumn("_asked", asked)
+    per_bar = placed.groupBy(*RUN, CHUNK, "fill_time").agg(
+        (F.lit(1).cast("bigint") - F.count_if(F.col("action") == EXIT)).alias("_a"), F.coalesce(F.sum("_asked"), F.lit(0).cast("bigint")).alias("_b"))
+    bars = carry_affine(per_bar, RUN, CHUNK, ["fill_time"], "_a", "_b", "_held", "bigint").drop("_a", "_b")
+    # An exit of a flat bar has nothing to do; its size stays NULL and is passed over by the sum.
+    signed = F.coalesce("_asked", F.when(F.col("_held") != 0, -F.col("_held")))
+    in_bar = W.partitionBy(*RUN, CHUNK, "fill_time").orderBy("timestamp", "emit_symbol", "seq").rowsBetween(W.unboundedPreceding, -1)
+    settled = placed.join(bars, [*RUN, CHUNK, "fill_time"]).withColumn("signed", signed)
+    settled = settled.withColumn("before", F.col("_held") + F.coalesce(F.sum("signed").over(in_bar), F.lit(0))).drop("_asked", "_held")
+    return cut_lineage(settled) if checkpoint else settled
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, value = None, 0.0
-        for batch in batches:
-            before = []
-            for key, a, b in zip(zip(*[batch[k] for k in key_names]), batch[factor], batch[offset]):
-                if key != current:
-                    current, value = key, 0.0
-                before.append(value)
-                value = a * value + b
-            out = batch.drop(columns=[factor, offset])
-            out[name] = before
-            yield out
 
-    return wanted.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(scan, schema)
+def idle_exits(settled: DataFrame) -> DataFrame:
+    """Exits that found no position."""
+    return settled.filter("signed IS NULL").drop("signed", "before", CHUNK)
 
 
-_FOLD_SCHEMA = (
-    "run_id string, symbol string, _chunk bigint, fill_time timestamp, step bigint, seq bigint, side string, "
-    "quantity double, fill_price double, fee double, quantity_before double, quantity_after double, "
-    "factor_before double, offset_before double, factor_after double, offset_after double"
-)
+def held_at_end(settled: DataFrame) -> DataFrame:
+    """(run_id, symbol, held): units left after the last fill."""
+    return settled.groupBy(*RUN).agg(F.coalesce(F.sum("signed"), F.lit(0)).alias("held"))
 
 
-def _fold_chunk(rows: pd.DataFrame) -> pd.DataFrame:
-    """Fold the ordered orders of one chunk from the quantity it starts with.
-
-    The average price is kept as factor * (average at chunk start) + offset.
-    """
-    rows = rows.sort_values(_ORDER, kind="stable")
-    quantity, chunk = float(rows["start_quantity"].iloc[0]), int(rows[CHUNK].iloc[0])
-    factor, offset = 1.0, 0.0
-    out, bar, at_bar = [], None, quantity
-    for step, r in enumerate(rows.itertuples(index=False)):
-        if r.fill_time != bar:
-            bar, at_bar = r.fill_time, quantity
-        if r.action == EXIT:
-            if at_bar == 0.0:
-                continue  # nothing to exit
-            signed = -at_bar
-        else:
-            signed = r.quantity if r.action == "ENTER_LONG" else -r.quantity
-        price = r.buy_price if signed > 0 else r.sell_price
-        before, f0, o0 = quantity, factor, offset
-        after = before + signed
-        if before == 0.0:
-            factor, offset = 0.0, price
-        elif (before > 0) == (signed > 0):
-            share = abs(before) / abs(after)
-            factor, offset = f0 * share, o0 * share + price * abs(signed) / abs(after)
-        elif after == 0.0:
-            factor, offset = 0.0, 0.0
-        elif (after > 0) != (before > 0):
-            factor, offset = 0.0, price
-        quantity = after
-        out.append((r.run_id, r.symbol, chunk, r.fill_time, step, r.seq, "BUY" if signed > 0 else "SELL",
-                    abs(signed), price, price * abs(signed) * r.fee_rate, before, after, f0, o0, factor, offset))
-    names = [c.split()[0] for c in _FOLD_SCHEMA.split(", ")]
-    return pd.DataFrame(out, columns=names)
-
-
-def fold_positions(orders: DataFrame, grid: Grid, *, checkpoint: bool = True) -> DataFrame:
+def fold_positions(settled: DataFrame, *, checkpoint: bool = True) -> DataFrame:
     """Fills with the position before and after each, the average price and the realised result.
 
-    ``orders`` come from ``signals.priced``. Fills that close something are the trades. The
-    folded chunks are read twice here and again by every result, hence the checkpoint.
+    Fills that close something are the trades. Every result reads the fills again, hence the checkpoint.
     """
-    chunked = orders.withColumn("emit_symbol", F.coalesce("emit_symbol", "symbol")).withColumn(
-        CHUNK, grid.chunk(orders, "fill_time"))
-    is_exit = F.col("action") == EXIT
-    signed = F.when(F.col("action") == "ENTER_LONG", F.col("quantity")).otherwise(-F.col("quantity"))
-    per_bar = chunked.groupBy(*RUN, CHUNK, "fill_time").agg(
-        (F.lit(1.0) - F.count_if(is_exit)).alias("a"),
-        F.coalesce(F.sum(F.when(~is_exit, signed)), F.lit(0.0)).alias("b"),
-    )
-    # At most grid.rows bars per chunk, so the sorted list is bounded.
-    maps = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("fill_time", "a", "b"))),
-        F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")),
-        lambda acc, x: F.struct((acc["a"] * x["a"]).alias("a"), (acc["b"] * x["a"] + x["b"]).alias("b")),
-    )
-    per_chunk = per_bar.groupBy(*RUN, CHUNK).agg(maps.alias("m")).select(*RUN, CHUNK, "m.a", "m.b")
-    starts = carry_affine(per_chunk, RUN, [CHUNK], "a", "b", "start_quantity")
-
-    columns = [*RUN, CHUNK, *_ORDER, "action", "quantity", "buy_price", "sell_price", "fee_rate"]
-    folded = (
-        chunked.select(*columns)
-        .join(starts, [*RUN, CHUNK])
-        .groupBy(*RUN, CHUNK)
-        .applyInPandas(_fold_chunk, _FOLD_SCHEMA)
-    )
-    if checkpoint:
-        folded = cut_lineage(folded)
-    last = folded.groupBy(*RUN, CHUNK).agg(
-        F.max_by("factor_after", "step").alias("a"), F.max_by("offset_after", "step").alias("b"))
-    averages = carry_affine(last, RUN, [CHUNK], "a", "b", "start_average")
-    start = F.col("start_average")
-    held, left = F.col("quantity_before"), F.col("quantity_after")
-    closing = F.when(held * left < 0, F.abs(held)).otherwise(F.greatest(F.abs(held) - F.abs(left), F.lit(0.0)))
-    return (
-        folded.join(averages, [*RUN, CHUNK])
-        .withColumns({
-            "average_before": F.col("factor_before") * start + F.col("offset_before"),
-            "average_after": F.col("factor_after") * start + F.col("offset_after"),
-            "closed_quantity": F.when(held == 0, 0.0).otherwise(closing),
-        })
-        .withColumn(
-            "realized_pnl",
-            F.when(F.col("closed_quantity") > 0,
-                   (F.col("fill_price") - F.col("average_before")) * F.col("closed_quantity") * F.signum("quantity_before"))
-            .otherwise(0.0),
-        )
-        .select("run_id", "symbol", "fill_time", "step", "side", "quantity", "fill_price", "fee", "quantity_before",
-                "quantity_after", "average_before", "average_after", "closed_quantity", "realized_pnl")
-    )
+    before, signed = F.col("before"), F.col("signed")
+    after, price = before + signed, F.when(signed > 0, F.col("buy_price")).otherwise(F.col("sell_price"))
+    extends = (before != 0) & (F.signum(before) == F.signum(signed))
+    keeps = (before != 0) & (after != 0) & (F.signum(after) == F.signum(before))
+    share = F.abs(before) / F.abs(after)
+    steps = settled.filter("signed IS NOT NULL AND signed <> 0").select(
+        *RUN, CHUNK, *_ORDER, "signed", "before", "fee_rate", price.alias("fill_price"),
+        F.when(extends, share).when(keeps, 1.0).otherwise(0.0).alias("_a"),
+        F.when(extends, price * F.abs(signed) / F.abs(after)).when(keeps | (after == 0), 0.0).otherwise(price).alias("_b"))
+    averaged = carry_affine(steps, RUN, CHUNK, _ORDER, "_a", "_b", "average_before")
+    unit = F.lit(UNIT)
+    amount = lambda c: F.round(c * unit, 8)
+    held, left = F.col("before"), F.col("before") + F.col("signed")
+    closing = F.when(held * F.signum(left) < 0, F.abs(held)).otherwise(F.greatest(F.abs(held) - F.abs(left), F.lit(0)))
+    closed = F.when(held == 0, F.lit(0)).otherwise(closing)
+    fills = averaged.select(
+        *RUN, "fill_time", (F.row_number().over(W.partitionBy(*RUN, CHUNK).orderBy(*_ORDER)) - 1).cast("bigint").alias("step"),
+        F.when(F.col("signed") > 0, "BUY").otherwise("SELL").alias("side"), amount(F.abs("signed")).alias("quantity"), "fill_price",
+        (F.col("fill_price") * amount(F.abs("signed")) * F.col("fee_rate")).alias("fee"), amount(held).alias("quantity_before"),
+        amount(left).alias("quantity_after"), "average_before", (F.col("_a") * F.col("average_before") + F.col("_b")).alias("average_after"),
+        amount(closed).alias("closed_quantity"))
+    fills = fills.withColumn(
+        "realized_pnl",
+        F.when(F.col("closed_quantity") > 0,
+               (F.col("fill_price") - F.col("average_before")) * F.col("closed_quantity") * F.signum("quantity_before")).otherwise(0.0))
+    return cut_lineage(fills) if checkpoint else fills
 
 
 def trades(fills: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ RUN = ["run_id", "symbol"]
 # What a signal may ask for.
 ENTRIES = ["ENTER_LONG", "ENTER_SHORT"]
 EXIT = "EXIT"
+NO_POSITION = "no open position"
 
 
 def check_jobs(jobs: DataFrame) -> DataFrame:

@@ -23,13 +23,22 @@ def _job(spark: SparkSession, *runs: tuple) -> DataFrame:
     return spark.createDataFrame(rows, JOB)
 
 
+def _jobs(bars: DataFrame, run: str, fee: float | None, slip: float | None) -> DataFrame:
+    """One job over all symbols and the whole span of the bars."""
+    hour = F.expr("INTERVAL 1 HOUR")
+    return bars.groupBy("timeframe").agg(
+        F.array_sort(F.collect_set("symbol")).alias("symbols"), F.min("timestamp").alias("start"), (F.max("timestamp") + hour).alias("end")
+    ).select(F.lit(run).alias("run_id"), F.lit("sim").alias("exchange"), "symbols", "timeframe", "start", "end", F.lit(10_000.0).alias("initial_cash"),
+             F.lit(fee).cast("double").alias("fee_rate"), F.lit(slip).cast("double").alias("slippage_bps"))
+
+
 def _cross(bars: DataFrame, run: str = "sma") -> DataFrame:
     return A.sma_cross_signals(bars, HOURLY).withColumn("run_id", F.lit(run))
 
 
 def _flagship(spark: SparkSession, sf: str) -> Backtest:
-    jobs = _job(spark, ("sma", SYMBOLS, START, END, None, None))
     bars = hourly_bars(spark, sf)
+    jobs = _jobs(bars, "sma", None, None)
     return run_backtests(jobs, bars, _cross(bars), HOURLY)
 
 
@@ -71,14 +80,35 @@ def signals_next_bar(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(orders.filter("fill_time IS NOT NULL").select("symbol", "timestamp", "action", "quantity", "fill_time", "fill_open"))
 
 
-@query("signals_unfilled", with_ctes(CANDLES_HOURLY, """last AS (SELECT symbol, max(timestamp) AS timestamp FROM candles GROUP BY symbol)""", body="""
-  SELECT symbol, timestamp, 'EXIT' AS action FROM last"""))
+_EVERY_BAR = """every AS (SELECT symbol, timestamp, hour(timestamp) % 4 AS turn, lead(timestamp) OVER (PARTITION BY symbol ORDER BY timestamp) AS next_time FROM candles),
+states AS (SELECT *, last_value(CASE WHEN next_time IS NOT NULL AND turn < 2 THEN turn END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY timestamp
+   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM every WHERE turn < 3),
+exits AS (SELECT symbol, timestamp, next_time, turn, coalesce(before, 1) = 0 AS holding FROM states)"""
+
+
+def _exit_run(spark: SparkSession, sf: str) -> Backtest:
+    """Buys at hours 0, 4, 8 ..., exits in the two hours after: the second exit finds nothing; and one more signal on the last bar."""
+    turn = F.pmod(F.hour("timestamp"), F.lit(4))
+    bars = hourly_bars(spark, sf)
+    table = bars.filter(turn < 3).select(
+        F.lit("x").alias("run_id"), "symbol", "timestamp", F.col("symbol").alias("emit_symbol"), F.lit(0).cast("bigint").alias("seq"),
+        F.when(turn == 0, "ENTER_LONG").otherwise("EXIT").alias("action"), F.when(turn == 0, 0.1).alias("quantity"))
+    return run_backtests(_jobs(bars, "x", 0.0, 0.0), bars, table, HOURLY)
+
+
+@query("signals_unfilled", with_ctes(CANDLES_HOURLY, _EVERY_BAR, body="""
+  SELECT symbol, timestamp, CASE WHEN turn = 0 THEN 'ENTER_LONG' ELSE 'EXIT' END AS action FROM exits
+  WHERE next_time IS NULL AND (turn = 0 OR holding)"""))
 def signals_unfilled(spark: SparkSession, sf: str) -> DataFrame:
-    """An exit on every bar: only those of the last bar of a symbol stay unfilled."""
-    bars = hourly_bars(spark, sf).withColumn("run_id", F.lit("x"))
-    exits = bars.select("run_id", "symbol", "timestamp", F.col("symbol").alias("emit_symbol"), F.lit(0).cast("bigint").alias("seq"),
-                        F.lit("EXIT").alias("action"), F.lit(None).cast("double").alias("quantity"))
-    return tidy(S.unfilled(S.next_bar_orders(exits, bars, HOURLY)).select("symbol", "timestamp", "action"))
+    """Signals of the last bar of a symbol, exits only where something is held."""
+    return tidy(_exit_run(spark, sf).unfilled_signals.select("symbol", "timestamp", "action"))
+
+
+@query("exit_rejects", with_ctes(CANDLES_HOURLY, _EVERY_BAR, body="""
+  SELECT symbol, timestamp, 'no open position' AS reason FROM exits WHERE turn > 0 AND NOT holding"""))
+def exit_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Exits that found no position, filled bar or not."""
+    return tidy(_exit_run(spark, sf).rejected_signals.select("symbol", "timestamp", "reason"))
 
 
 @query("signals_cross_symbol", with_ctes(CANDLES_HOURLY, body="""
@@ -208,7 +238,7 @@ def backtest_flips(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("flip").alias("run_id"), "symbol", "timestamp", F.col("symbol").alias("emit_symbol"), F.lit(0).cast("bigint").alias("seq"),
         F.when(hour == 0, "ENTER_LONG").when(hour == 1, "ENTER_SHORT").otherwise("EXIT").alias("action"),
         (1 + F.pmod(F.dayofmonth("timestamp"), F.lit(3))).cast("double").alias("quantity"))
-    bt = run_backtests(_job(spark, ("flip", SYMBOLS, START, END, 0.0, 0.0)), bars, signals, HOURLY)
+    bt = run_backtests(_jobs(bars, "flip", 0.0, 0.0), bars, signals, HOURLY)
     return tidy(bt.trades.drop("run_id", "step", "fee"))
 
 

@@ -205,3 +205,15 @@ def test_walk_forward_drops_partial_windows(spark, hour):
     assert walk_forward(span, ["k"], 90 * h, 20 * h).count() == 0
     with pytest.raises(ValueError):
         walk_forward(span, ["k"], 0, 20 * h)
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 1000])
+def test_fractions_close_alike_on_every_grid(spark, hour, rows):
+    b = bars(spark, hour, list(enumerate(PRICES)))
+    table = signals(spark, hour, [(0, "BTCUSDT", "ENTER_LONG", 0.1), (1, "BTCUSDT", "ENTER_LONG", 0.2), (2, "BTCUSDT", "ENTER_LONG", 0.3),
+                                  (3, "BTCUSDT", "ENTER_SHORT", 0.6), (5, "BTCUSDT", "EXIT", None), (9, "BTCUSDT", "EXIT", None)])
+    bt = run_backtests(job(spark, hour, ["BTCUSDT"]), b, table, Grid("1h", rows, 1))
+    (t,) = bt.trades.collect()
+    assert (t.quantity, t.exit_price) == (0.6, 99.0) and abs(t.entry_price - (10.1 + 20.4 + 30.3) / 0.6) < 1e-9
+    assert [r.reason for r in bt.rejected_signals.collect()] == ["no open position"] * 2
+    assert bt.unfilled_signals.count() == 0
