@@ -80,15 +80,15 @@ def signals_next_bar(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(orders.filter("fill_time IS NOT NULL").select("symbol", "timestamp", "action", "quantity", "fill_time", "fill_open"))
 
 
-_EVERY_BAR = """every AS (SELECT symbol, timestamp, hour(timestamp) % 4 AS turn, lead(timestamp) OVER (PARTITION BY symbol ORDER BY timestamp) AS next_time FROM candles),
-states AS (SELECT *, last_value(CASE WHEN next_time IS NOT NULL AND turn < 2 THEN turn END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY timestamp
+_EVERY_BAR = """every AS (SELECT symbol, timestamp, (hour(timestamp) + 1) % 4 AS turn, lead(timestamp) OVER (PARTITION BY symbol ORDER BY timestamp) AS next_time FROM candles),
+states AS (SELECT *, last_value(CASE WHEN next_time IS NOT NULL THEN turn END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY timestamp
    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM every WHERE turn < 3),
 exits AS (SELECT symbol, timestamp, next_time, turn, coalesce(before, 1) = 0 AS holding FROM states)"""
 
 
 def _exit_run(spark: SparkSession, sf: str) -> Backtest:
-    """Buys at hours 0, 4, 8 ..., exits in the two hours after: the second exit finds nothing; and one more signal on the last bar."""
-    turn = F.pmod(F.hour("timestamp"), F.lit(4))
+    """Buys every fourth hour, exits in the two hours after: the second exit finds nothing."""
+    turn = F.pmod(F.hour("timestamp") + 1, F.lit(4))
     bars = hourly_bars(spark, sf)
     table = bars.filter(turn < 3).select(
         F.lit("x").alias("run_id"), "symbol", "timestamp", F.col("symbol").alias("emit_symbol"), F.lit(0).cast("bigint").alias("seq"),
