@@ -7,14 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+#: In place of a sequence column: every key has one row.
+UNIQUE = "<unique>"
+
+
 def last_wins(df: DataFrame, key: Sequence[str], seq: str | None, usable: Column | None = None) -> DataFrame:
     """One row per key: the usable one with the highest ``seq``.
 
     Copies are folded map-side first, so a key with very many copies costs one row per task.
-    With ``seq=None`` the input is declared unique already and nothing is shuffled.
+    ``seq=UNIQUE`` declares the input unique already, and nothing is shuffled; without a ``seq`` the
+    call is refused, since rows have no order of their own.
     """
-    rows = df if usable is None else df.filter(usable)
     if seq is None:
+        raise ValueError("name the column that orders copies of a key, or pass seq=UNIQUE")
+    rows = df if usable is None else df.filter(usable)
+    if seq == UNIQUE:
         return rows
     rest = [c for c in rows.columns if c not in key and c != seq]
     return rows.groupBy(*key).agg(*[F.max_by(c, seq).alias(c) for c in rest], F.max(seq).alias(seq)).select(*rows.columns)

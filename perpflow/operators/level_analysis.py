@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as
 
 from perpflow.functions.numeric import direction, exceeds, half_split_delta, sufficiency
 from perpflow.operators.chunks import CHUNK, OWN, Grid, add_running, chunk_totals, lead_in, newest, window
-from perpflow.operators.dedupe import last_wins
+from perpflow.operators.dedupe import UNIQUE, last_wins
 
 NOISE = 1e-15
 
@@ -114,7 +114,7 @@ def _describe(df: DataFrame, over: WindowSpec, config: LevelConfig, relative: bo
 
 
 def _clean(df: DataFrame, keys: Sequence[str], value: str, seq: str | None) -> DataFrame:
-    columns = [*keys, "timestamp", F.col(value).alias("x"), *([seq] if seq else [])]
+    columns = [*keys, "timestamp", F.col(value).alias("x"), *([] if seq in (None, UNIQUE) else [seq])]
     rows = last_wins(df.select(*columns), [*keys, "timestamp"], seq, F.col("x").isNotNull())
     return rows.select(*keys, "timestamp", "x")
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as
 from perpflow.functions.numeric import bias, exceeds, half_split_delta, long_short_ratio, sufficiency
 from perpflow.operators.asof import asof_join
 from perpflow.operators.chunks import Grid, lead_in, newest, own, window
-from perpflow.operators.dedupe import last_wins
+from perpflow.operators.dedupe import UNIQUE, last_wins
 from perpflow.operators.level_analysis import zscore_against
 
 KEY = ["symbol"]
@@ -58,7 +58,7 @@ def clean_readings(df: DataFrame, columns: list[str], config: LiquidityConfig, s
         usable = usable & F.col(c).isNotNull()
     if config.exchanges is not None:
         usable = usable & F.col("exchange").isin(*config.exchanges)
-    rows = df.select("symbol", "timestamp", "exchange", *columns, *([seq] if seq else []))
+    rows = df.select("symbol", "timestamp", "exchange", *columns, *([] if seq in (None, UNIQUE) else [seq]))
     return last_wins(rows, ["symbol", "timestamp", "exchange"], seq, usable)
 
 

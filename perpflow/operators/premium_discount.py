@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, WindowSpec, functions as F
 
 from perpflow.functions.numeric import sufficiency
 from perpflow.operators.chunks import CHUNK, OWN, Grid, add_running, chunk_totals, lead_in, newest, own, window
-from perpflow.operators.dedupe import last_wins
+from perpflow.operators.dedupe import UNIQUE, last_wins
 
 # Zones a price can be in.
 ZONES = ["DISCOUNT", "EQUILIBRIUM", "PREMIUM", "ABOVE_RANGE", "BELOW_RANGE"]
@@ -45,7 +45,7 @@ def usable_candle():
 
 
 def _clean(df: DataFrame, keys: Sequence[str], seq: str | None) -> DataFrame:
-    rows = df.select(*keys, "timestamp", "high", "low", "close", *([seq] if seq else []))
+    rows = df.select(*keys, "timestamp", "high", "low", "close", *([] if seq in (None, UNIQUE) else [seq]))
     return last_wins(rows, [*keys, "timestamp"], seq, usable_candle()).select(*keys, "timestamp", "high", "low", "close")
 
 

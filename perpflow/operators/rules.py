@@ -35,14 +35,23 @@ def condition_flags(features: DataFrame, rules: DataFrame) -> DataFrame:
 def apply_rules(features: DataFrame, rules: DataFrame) -> DataFrame:
     """Per (symbol, timestamp, section): ``passed`` by ALL / ANY over the enabled conditions.
 
-    A condition without its feature at that time does not hold. CUSTOM sections are combined
-    elsewhere: their ``passed`` is NULL and ``flags`` carries the single results.
+    A condition without its feature at that time does not hold; a section none of whose features is
+    there still has its row. CUSTOM sections are combined elsewhere: their ``passed`` is NULL and
+    ``flags`` carries the single results.
     """
-    sizes = rules.filter("section_enabled AND enabled").groupBy(*SECTION).agg(F.count(F.lit(1)).alias("conditions"))
+    active = rules.filter("section_enabled AND enabled")
+    sizes = active.groupBy(*SECTION).agg(F.count(F.lit(1)).alias("conditions"))
     flags = condition_flags(features, rules)
     met = F.count_if(F.coalesce("holds", F.lit(False)))
-    grouped = flags.groupBy("symbol", "timestamp", *SECTION, "logic").agg(
-        met.alias("met"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "holds")))).alias("flags"))
+    # Rule sets are configuration: their sections go to every moment as one constant array.
+    sections = [tuple(r) for r in active.select(*SECTION, "logic").distinct().collect()]
+    if sections:
+        every = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip([*SECTION, "logic"], s, strict=True)]) for s in sections])
+        blank = features.select("symbol", "timestamp").distinct().withColumn("_s", F.explode(every)).select(
+            "symbol", "timestamp", "_s.*", F.lit(None).cast("string").alias("name"), F.lit(None).cast("boolean").alias("holds"))
+        flags = flags.unionByName(blank)
+    named = F.filter(F.array_sort(F.collect_list(F.struct("name", "holds"))), lambda e: e["name"].isNotNull())
+    grouped = flags.groupBy("symbol", "timestamp", *SECTION, "logic").agg(met.alias("met"), F.map_from_entries(named).alias("flags"))
     passed = F.when(F.col("logic") == "ALL", F.col("met") == F.col("conditions")).when(F.col("logic") == "ANY", F.col("met") > 0)
     return grouped.join(sizes, SECTION).withColumn("passed", passed)
 

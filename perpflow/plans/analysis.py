@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from perpflow.operators import feature_maps, level_analysis as LA, liquidity as LQ, premium_discount as PD
+from perpflow.operators.dedupe import UNIQUE
 from perpflow.plans.common import (
     CANDLES_DAILY, CANDLES_HOURLY, DAILY, FUNDING, HOURLY, LIQUIDATIONS, OPEN_INTEREST, ORACLES, RATIOS, daily_bars,
     hourly_bars, query, rounded, stored, tidy, with_ctes,
@@ -89,23 +90,23 @@ def _oi_out(df: DataFrame) -> DataFrame:
 
 @query("funding_series", _level_sql(_FUNDING_LABELLED, "fl", "name", "funding_rate", "funding", "funding", False, False, 9))
 def funding_series(spark: SparkSession, sf: str) -> DataFrame:
-    return _funding_out(LA.funding_series(_label(stored(A.funding_events, spark, sf)), HOURLY))
+    return _funding_out(LA.funding_series(_label(stored(A.funding_events, spark, sf)), HOURLY, seq=UNIQUE))
 
 
 @query("funding_latest", _level_sql(_FUNDING_LABELLED, "fl", "name", "funding_rate", "funding", "funding", False, True, 9))
 def funding_latest(spark: SparkSession, sf: str) -> DataFrame:
-    return _funding_out(LA.funding_latest(_label(stored(A.funding_events, spark, sf))))
+    return _funding_out(LA.funding_latest(_label(stored(A.funding_events, spark, sf)), seq=UNIQUE))
 
 
 @query("open_interest_series", _level_sql(_OI_LABELLED, "ol", "name", "open_interest", "oi", "oi", True, False, 4, _SPIKE, ("spike_magnitude",)))
 def open_interest_series(spark: SparkSession, sf: str) -> DataFrame:
     rows = _label(stored(A.open_interest_events, spark, sf))
-    return _oi_out(LA.open_interest_series(rows, HOURLY, config=_OI_CONFIG, source="sim"))
+    return _oi_out(LA.open_interest_series(rows, HOURLY, config=_OI_CONFIG, source="sim", seq=UNIQUE))
 
 
 @query("open_interest_latest", _level_sql(_OI_LABELLED, "ol", "name", "open_interest", "oi", "oi", True, True, 4, _SPIKE, ("spike_magnitude",)))
 def open_interest_latest(spark: SparkSession, sf: str) -> DataFrame:
-    return _oi_out(LA.open_interest_latest(_label(stored(A.open_interest_events, spark, sf)), config=_OI_CONFIG, source="sim"))
+    return _oi_out(LA.open_interest_latest(_label(stored(A.open_interest_events, spark, sf)), config=_OI_CONFIG, source="sim", seq=UNIQUE))
 
 
 _RAW_LEVEL_SQL = """raw AS (SELECT upper(event_type) AS name, date_trunc('hour', ts) AS timestamp, event_id,
@@ -162,31 +163,31 @@ def _range_sql(cte: str, source: str, label: str, *, fractal: bool = True, lates
 
 @query("range_series_daily", _range_sql(CANDLES_DAILY, "daily", "1d"))
 def range_series_daily(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(PD.range_series(daily_bars(spark, sf), DAILY, label="1d"))
+    return tidy(PD.range_series(daily_bars(spark, sf), DAILY, label="1d", seq=UNIQUE))
 
 
 @query("range_series_band", _range_sql(CANDLES_HOURLY, "candles", "1h", fractal=False, band=0.2))
 def range_series_band(spark: SparkSession, sf: str) -> DataFrame:
     """Extremum swings with an equilibrium band of a fifth of the range."""
     config = PD.RangeConfig(method="EXTREMUM", equilibrium_band_pct=0.2)
-    return tidy(PD.range_series(hourly_bars(spark, sf), HOURLY, config=config, label="1h"))
+    return tidy(PD.range_series(hourly_bars(spark, sf), HOURLY, config=config, label="1h", seq=UNIQUE))
 
 
 @query("range_latest", _range_sql(CANDLES_HOURLY, "candles", "1h", latest=True))
 def range_latest(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(PD.range_latest(hourly_bars(spark, sf), label="1h"))
+    return tidy(PD.range_latest(hourly_bars(spark, sf), label="1h", seq=UNIQUE))
 
 
 @query("range_latest_extremum", _range_sql(CANDLES_DAILY, "daily", "1d", fractal=False, latest=True))
 def range_latest_extremum(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(PD.range_latest(daily_bars(spark, sf), config=PD.RangeConfig(method="EXTREMUM"), label="1d"))
+    return tidy(PD.range_latest(daily_bars(spark, sf), config=PD.RangeConfig(method="EXTREMUM"), label="1d", seq=UNIQUE))
 
 
 @query("swing_points", rounded(with_ctes(CANDLES_DAILY, *_range_ctes("daily", True)[:1], body="""
   SELECT symbol, timestamp, 'HIGH' AS kind, sh AS price FROM c1 WHERE sh IS NOT NULL
   UNION ALL SELECT symbol, timestamp, 'LOW', sl FROM c1 WHERE sl IS NOT NULL"""), ["price"]))
 def swing_points(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(PD.swings(daily_bars(spark, sf), DAILY))
+    return tidy(PD.swings(daily_bars(spark, sf), DAILY, seq=UNIQUE))
 
 
 @query("swing_points_latest", rounded(with_ctes(CANDLES_HOURLY, """
@@ -195,7 +196,7 @@ last50 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER
   SELECT symbol, timestamp, 'HIGH' AS kind, sh AS price FROM c1 WHERE sh IS NOT NULL
   UNION ALL SELECT symbol, timestamp, 'LOW', sl FROM c1 WHERE sl IS NOT NULL"""), ["price"]))
 def swing_points_latest(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(PD.swings_latest(A.candles_events(spark, sf)))
+    return tidy(PD.swings_latest(A.candles_events(spark, sf), seq=UNIQUE))
 
 
 @query("swing_extremes_latest", rounded(with_ctes(CANDLES_HOURLY, """
@@ -205,7 +206,7 @@ last50 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER
     UNION ALL SELECT symbol, 'LOW', min(timestamp), min(low) FROM (
       SELECT *, min(low) OVER (PARTITION BY symbol) AS m FROM last50) AS b WHERE low = m GROUP BY symbol"""), ["price"]))
 def swing_extremes_latest(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(PD.extremes_latest(A.candles_events(spark, sf)))
+    return tidy(PD.extremes_latest(A.candles_events(spark, sf), seq=UNIQUE))
 
 
 # --- liquidity --------------------------------------------------------------------------------
@@ -298,17 +299,17 @@ _TWO = "WHERE exchange IN ('EX0', 'EX2')"
 
 @query("liquidity_latest", _liquidity_sql("sum", "", True))
 def liquidity_latest(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(LQ.liquidity_latest(_inputs(spark, sf), _SUM).drop("exchange_liquidation_totals"), 6, **_LIQ_PLACES)
+    return tidy(LQ.liquidity_latest(_inputs(spark, sf), _SUM, seq=UNIQUE).drop("exchange_liquidation_totals"), 6, **_LIQ_PLACES)
 
 
 @query("liquidity_latest_mean_two_exchanges", _liquidity_sql("avg", _TWO, True))
 def liquidity_latest_mean_two_exchanges(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(LQ.liquidity_latest(_inputs(spark, sf), _MEAN_TWO).drop("exchange_liquidation_totals"), 6, **_LIQ_PLACES)
+    return tidy(LQ.liquidity_latest(_inputs(spark, sf), _MEAN_TWO, seq=UNIQUE).drop("exchange_liquidation_totals"), 6, **_LIQ_PLACES)
 
 
 @query("liquidity_series", _liquidity_sql("sum", "", False))
 def liquidity_series(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(LQ.liquidity_series(_inputs(spark, sf), HOURLY, _SUM), 6, **_LIQ_PLACES)
+    return tidy(LQ.liquidity_series(_inputs(spark, sf), HOURLY, _SUM, seq=UNIQUE), 6, **_LIQ_PLACES)
 
 
 @query("liquidity_exchange_totals", rounded(with_ctes(LIQUIDATIONS, """
@@ -317,7 +318,7 @@ stamps AS (SELECT symbol, timestamp, dense_rank() OVER (PARTITION BY symbol ORDE
   JOIN stamps ON stamps.symbol = liq.symbol AND stamps.timestamp = liq.timestamp AND age <= 30 GROUP BY liq.symbol, exchange"""), ["total"], 3))
 def liquidity_exchange_totals(spark: SparkSession, sf: str) -> DataFrame:
     only = LQ.LiquidityInputs(A.liquidation_events(spark, sf))
-    totals = LQ.liquidity_latest(only, _SUM).select("symbol", F.explode("exchange_liquidation_totals").alias("exchange", "total"))
+    totals = LQ.liquidity_latest(only, _SUM, seq=UNIQUE).select("symbol", F.explode("exchange_liquidation_totals").alias("exchange", "total"))
     return tidy(totals, 3)
 
 

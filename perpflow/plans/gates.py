@@ -28,6 +28,7 @@ _RULES = [
     ("s", "exit", "ANY", True, "exact", "bar.close", "EQ", 33.33, None, True),
     ("s", "score", "CUSTOM", True, "busy", "bar.volume", "GTE", 200.0, None, True),
     ("s", "score", "CUSTOM", True, "not_flat", "bar.range", "NEQ", 0.0, None, True),
+    ("s", "absent", "ALL", True, "gone", "other.close", "GT", 0.0, None, True),
     ("s", "unused", "ALL", False, "never", "bar.close", "GT", 0.0, None, True),
 ]
 
@@ -38,6 +39,7 @@ _RULES = [
       (close > 60 AND high - low <= 150)::VARCHAR AS passed FROM candles
     UNION ALL SELECT symbol, timestamp, 'exit', (close < 20)::INT + (volume BETWEEN 50 AND 100)::INT + (close = 33.33)::INT, 3,
       (close < 20 OR volume BETWEEN 50 AND 100 OR close = 33.33)::VARCHAR FROM candles
+    UNION ALL SELECT symbol, timestamp, 'absent', 0, 1, 'false' FROM candles
     UNION ALL SELECT symbol, timestamp, 'score', (volume >= 200)::INT + (high - low <> 0)::INT, 2, NULL FROM candles) AS t"""))
 def rules_applied(spark: SparkSession, sf: str) -> DataFrame:
     """ALL, ANY and CUSTOM sections over the long features of every bar."""

@@ -33,8 +33,8 @@ def stream_into_store(stream: DataFrame, store: SeriesStore, checkpoint: str, ki
 class SignalLedger:
     """What earlier batches have shown: signal keys seen, and the latest as_of per symbol.
 
-    One folder per batch. ``seen`` is partitioned by month of as_of, and a batch only reads
-    the months its own signals fall in.
+    ``seen`` has one folder per batch, partitioned by month of as_of; the first and last month of a
+    batch prune the read. ``latest`` is one row per symbol, carried on from batch to batch.
     """
 
     KEY = ("symbol", "as_of", "score_version")
@@ -45,7 +45,6 @@ class SignalLedger:
             T.StructField("symbol", T.StringType()), T.StructField("as_of", T.TimestampType()),
             T.StructField("score_version", T.StringType()), T.StructField("batch", T.LongType()),
             T.StructField("period", T.StringType())])
-        self.latest_schema = "symbol string, latest timestamp, batch bigint"
 
     def _read(self, part: str, schema, batch: int) -> DataFrame:
         location = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
@@ -53,14 +52,38 @@ class SignalLedger:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{part}").filter(F.col("batch") < batch)
 
+    def _folder(self, path: str):
+        location = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return location.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), location
+
+    def _batches(self) -> list[int]:
+        fs, location = self._folder(f"{self.path}/latest")
+        if not fs.exists(location):
+            return []
+        return sorted(int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(location))
+
+    def _tops(self, batch: int) -> DataFrame:
+        """Latest as_of of every symbol before a batch: the one folder of the batch before it."""
+        known = [b for b in self._batches() if b < batch]
+        if not known:
+            return self.spark.createDataFrame([], "symbol string, latest timestamp")
+        return self.spark.read.schema("symbol string, latest timestamp").parquet(f"{self.path}/latest/batch={known[-1]}")
+
+    def _forget(self, before: int) -> None:
+        """A batch may be replayed, so what it started from stays; anything older goes."""
+        for b in self._batches():
+            if b < before:
+                fs, location = self._folder(f"{self.path}/latest/batch={b}")
+                fs.delete(location, True)
+
     def flag(self, rows: DataFrame, batch: int, arrival: str, grid: Grid) -> DataFrame:
         """Add ``is_duplicate`` and ``is_out_of_order`` against this batch and all earlier ones."""
         period = F.date_format("as_of", "yyyy-MM")
         here = flag_out_of_order(flag_repeats(rows, list(self.KEY), arrival), arrival, grid).withColumn("period", period)
-        months = here.select("period").distinct()
-        seen = self._read("seen", self.seen_schema, batch).join(months, "period", "left_semi").select(
+        edge = here.agg(F.min("period").alias("first"), F.max("period").alias("last")).first()
+        seen = self._read("seen", self.seen_schema, batch).filter(F.col("period").between(edge["first"] or "", edge["last"] or "")).select(
             *self.KEY, F.lit(True).alias("_seen")).distinct()
-        latest = self._read("latest", self.latest_schema, batch).groupBy("symbol").agg(F.max("latest").alias("_latest"))
+        latest = self._tops(batch).withColumnRenamed("latest", "_latest")
         joined = here.join(seen, list(self.KEY), "left").join(latest, "symbol", "left")
         return joined.withColumns({
             "is_duplicate": F.col("is_duplicate") | F.coalesce("_seen", F.lit(False)),
@@ -72,8 +95,10 @@ class SignalLedger:
         keys = rows.select(*self.KEY).distinct().withColumns(
             {"batch": F.lit(batch).cast("bigint"), "period": F.date_format("as_of", "yyyy-MM")})
         keys.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "period").parquet(f"{self.path}/seen")
-        tops = rows.groupBy("symbol").agg(F.max("as_of").alias("latest")).withColumn("batch", F.lit(batch).cast("bigint"))
-        tops.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/latest")
+        tops = rows.groupBy("symbol").agg(F.max("as_of").alias("latest"))
+        both = tops.unionByName(self._tops(batch)).groupBy("symbol").agg(F.max("latest").alias("latest"))
+        both.write.mode("overwrite").parquet(f"{self.path}/latest/batch={batch}")
+        self._forget(batch - 1)
 
 
 def flag_signal_stream(stream: DataFrame, ledger: SignalLedger, sink: Callable[[DataFrame, int], None], checkpoint: str,

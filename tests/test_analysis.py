@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from perpflow.operators.dedupe import UNIQUE
 from perpflow.functions.numeric import bias, long_short_ratio
 from perpflow.operators import features as M, level_analysis as LA, liquidity as LQ, premium_discount as PD, quality
 from perpflow.operators.chunks import Grid
@@ -60,8 +61,8 @@ def test_scalar_formulas(spark):
 def test_funding_matches_direct_statistics(spark, hour, n):
     rng = np.random.default_rng(n)
     values = [float(v) for v in rng.normal(0, 1e-4, n)]
-    row = LA.funding_latest(funding(spark, hour, values)).first()
-    last = LA.funding_series(funding(spark, hour, values), GRID).orderBy(F.desc("as_of")).first()
+    row = LA.funding_latest(funding(spark, hour, values), seq=UNIQUE).first()
+    last = LA.funding_series(funding(spark, hour, values), GRID, seq=UNIQUE).orderBy(F.desc("as_of")).first()
     assert row.as_of == last.as_of
     assert {k: v for k, v in row.asDict().items() if k != "as_of"} == pytest.approx({k: v for k, v in last.asDict().items() if k != "as_of"})
     w8, w30 = values[-8:], values[-30:]
@@ -87,15 +88,15 @@ def test_cleaning_then_last_copy(spark, hour):
 
 
 def test_flat_series_and_spike(spark, hour):
-    flat = LA.funding_latest(funding(spark, hour, [0.5] * 20)).first()
+    flat = LA.funding_latest(funding(spark, hour, [0.5] * 20), seq=UNIQUE).first()
     assert flat.funding_trend == flat.funding_momentum == "FLAT"
     values = [100.0, 101.0, 103.0, 104.0, 150.0]
     df = funding(spark, hour, values).withColumnRenamed("funding_rate", "open_interest")
-    row = LA.open_interest_latest(df, config=LA.LevelConfig(spike_window=30, spike_zscore_threshold=2.0), source="binance").first()
+    row = LA.open_interest_latest(df, config=LA.LevelConfig(spike_window=30, spike_zscore_threshold=2.0), source="binance", seq=UNIQUE).first()
     changes = [1.0, 2.0, 1.0]
     assert row.spike_magnitude == pytest.approx((46 - statistics.mean(changes)) / statistics.stdev(changes))
     assert row.is_abnormal_spike is True and row.source == "binance"
-    assert LA.open_interest_latest(df).first().is_abnormal_spike is None
+    assert LA.open_interest_latest(df, seq=UNIQUE).first().is_abnormal_spike is None
 
 
 def candles(spark, hour, rows):
@@ -107,17 +108,17 @@ def test_range_uses_all_swings(spark, hour):
     highs = [10, 11, 15, 11, 10, 11, 13, 11, 10, 10]
     lows = [5, 4, 6, 5, 2, 5, 6, 3, 4, 5]
     df = candles(spark, hour, [(h, low, (h + low) / 2) for h, low in zip(highs, lows)])
-    row = PD.range_latest(df, label="4h").first()
+    row = PD.range_latest(df, label="4h", seq=UNIQUE).first()
     assert (row.active_high, row.active_low, row.timeframe, row.sample_size) == (15.0, 2.0, "4h", 10)
     assert row.confidence_level == 0.2 and row.zone == "DISCOUNT"
-    assert PD.range_latest(candles(spark, hour, [(10, 5, 7)] * 10)).count() == 0
+    assert PD.range_latest(candles(spark, hour, [(10, 5, 7)] * 10), seq=UNIQUE).count() == 0
 
 
 @pytest.mark.parametrize("close,zone,premium,discount", [
     (12.0, "ABOVE_RANGE", 140.0, 0.0), (-1.0, "BELOW_RANGE", 0.0, 120.0), (5.0, "EQUILIBRIUM", 0.0, 0.0), (7.5, "PREMIUM", 50.0, 0.0), (2.5, "DISCOUNT", 0.0, 50.0)])
 def test_zones(spark, hour, close, zone, premium, discount):
     df = candles(spark, hour, [(10, 0, 5), (8, 2, close)])
-    row = PD.range_latest(df, config=PD.RangeConfig(method="EXTREMUM")).first()
+    row = PD.range_latest(df, config=PD.RangeConfig(method="EXTREMUM"), seq=UNIQUE).first()
     assert (row.zone, row.premium_percentage, row.discount_percentage) == (zone, premium, discount)
 
 
@@ -127,11 +128,11 @@ def liq(spark, hour, rows):
 
 def test_liquidity_minimum(spark, hour):
     rows = [(0, "X", 10.0, 30.0), (0, "Y", 5.0, 5.0), (1, "X", 1.0, None), (2, "Y", 20.0, 0.0)]
-    row = LQ.liquidity_latest(LQ.LiquidityInputs(liq(spark, hour, rows)), LQ.LiquidityConfig(analysis_window=5, spike_window=10)).first()
+    row = LQ.liquidity_latest(LQ.LiquidityInputs(liq(spark, hour, rows)), LQ.LiquidityConfig(analysis_window=5, spike_window=10), seq=UNIQUE).first()
     assert (row.long_liquidation_volume, row.short_liquidation_volume, row.liquidation_event_count) == (35.0, 35.0, 2)
     assert row.liquidation_bias == 0.0 and row.confidence_level == 0.2 and row.long_short_ratio is None
     assert row.exchange_liquidation_totals == {"X": 40.0, "Y": 30.0}
-    only_y = LQ.liquidity_latest(LQ.LiquidityInputs(liq(spark, hour, rows)), LQ.LiquidityConfig(exchanges=("Y",))).first()
+    only_y = LQ.liquidity_latest(LQ.LiquidityInputs(liq(spark, hour, rows)), LQ.LiquidityConfig(exchanges=("Y",)), seq=UNIQUE).first()
     assert only_y.exchange_liquidation_totals == {"Y": 30.0}
 
 
@@ -140,9 +141,9 @@ def test_position_bias_decides_even_when_undefined(spark, hour):
     account = spark.createDataFrame([("a", hour(0), "X", 0.6, 0.4)], ratio)
     position = spark.createDataFrame([("a", hour(0), "X", 0.0, 0.0)], ratio)
     base = liq(spark, hour, [(0, "X", 1.0, 1.0)])
-    both = LQ.liquidity_latest(LQ.LiquidityInputs(base, top_trader_account_ratio=account, top_trader_position_ratio=position)).first()
+    both = LQ.liquidity_latest(LQ.LiquidityInputs(base, top_trader_account_ratio=account, top_trader_position_ratio=position), seq=UNIQUE).first()
     assert both.top_trader_account_bias == pytest.approx(0.2) and both.top_trader_bias is None
-    one = LQ.liquidity_latest(LQ.LiquidityInputs(base, top_trader_account_ratio=account)).first()
+    one = LQ.liquidity_latest(LQ.LiquidityInputs(base, top_trader_account_ratio=account), seq=UNIQUE).first()
     assert one.top_trader_bias == pytest.approx(0.2)
 
 

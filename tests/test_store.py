@@ -152,3 +152,21 @@ def test_signal_stream_equals_batch(spark, hour, tmp_path):
     # A replayed batch sees only earlier ones.
     again = ledger.flag(spark.createDataFrame([("A", hour(1), "v1", 1)], schema), 0, "arrival", Grid(1, 2, 1)).first()
     assert not again.is_duplicate and not again.is_out_of_order
+
+
+def test_an_upsert_reads_the_touched_months_only(spark, hour, tmp_path):
+    from perpflow.sources.store import SeriesStore
+
+    store = SeriesStore(spark, str(tmp_path / "pruned"))
+    make = lambda first, n: spark.createDataFrame(
+        [("sim", "AAA", hour(first + 24 * d), 0.1 * d, d) for d in range(n)], "exchange string, symbol string, timestamp timestamp, funding_rate double, ingest_seq long")
+    store.write("funding_rate", make(0, 150), "ingest_seq")
+    kept = {p: p.stat().st_mtime_ns for p in (tmp_path / "pruned").rglob("*.parquet")}
+    store.write("funding_rate", make(24 * 62, 3), "ingest_seq")
+    now = {p: p.stat().st_mtime_ns for p in (tmp_path / "pruned").rglob("*.parquet")}
+    assert {p.parent.name for p in kept.keys() - now.keys()} == {"period=2024-03"}
+    table = store._table("funding_rate")
+    part = table.load().filter("period BETWEEN '2024-03' AND '2024-03'")
+    assert len(part.inputFiles()) == len(list((tmp_path / "pruned").rglob("period=*/*.parquet")))
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(period" in plan and "2024-03" in plan
