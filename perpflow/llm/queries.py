@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from perpflow.llm import chat, quality
+from perpflow.llm import chat, oracles, quality
 from perpflow.llm.decontaminate import contaminated
 from perpflow.llm.jaccard import linked_components
 from perpflow.llm.passages import repeated_passages
@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_suffix_array_dedup")
+@query("op1_suffix_array_dedup", oracles.REPEATS)
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -64,7 +64,7 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "similarity", "distance", "first_word")
 
 
-@query("op9_chat_formatting")
+@query("op9_chat_formatting", oracles.CHAT)
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -82,7 +82,7 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-@query("op5_ngram_jaccard_join")
+@query("op5_ngram_jaccard_join", oracles.COMPONENTS)
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(table(spark, sf_dir, "documents"))
 

@@ -1,0 +1,23 @@
+"""Queries with a SQL twin, side by side on the smallest data."""
+
+import duckdb
+import pytest
+
+from perpflow.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_twin(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(want)
+
+
+def test_every_operator_is_registered():
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
