@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from perpflow.functions.numeric import INF, finite, long_short_ratio
 from perpflow.operators.chunks import CHUNK, OWN, Grid, frame_gate, lead_in, own, window
 from perpflow.schema import FEATURE_VERSION
+from perpflow.session import cut_lineage
 
 
 # --- frame formulas ---------------------------------------------------------------------------
@@ -304,14 +305,16 @@ class FeatureRun:
 
 def run_features(modules: Sequence[FeatureModule], inputs: Mapping[str, DataFrame], keys: Sequence[str],
                  grid: Grid, store=None, persist: bool = True) -> FeatureRun:
-    """Compute, check, and (with a store) save the features of every symbol."""
+    """Compute the features of every symbol once; with a store, save them and go on with what it returns."""
     features = compute_features(modules, inputs, keys, grid)
     if features is None:
         return FeatureRun(None)
-    issues = check_features(features)
     if persist and store is not None:
-        store.write(features)
-    return FeatureRun(features, issues)
+        saved = cut_lineage(features)
+        issues = check_features(saved)
+        store.write(saved)
+        return FeatureRun(store.read(), issues)
+    return FeatureRun(features, check_features(features))
 
 
 def check_features(features: DataFrame) -> DataFrame:

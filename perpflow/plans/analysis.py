@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from perpflow.operators import feature_maps, level_analysis as LA, liquidity as LQ, premium_discount as PD
 from perpflow.operators.dedupe import UNIQUE
+from perpflow.operators.score import join_analyses
 from perpflow.plans.common import (
     CANDLES_DAILY, CANDLES_HOURLY, DAILY, FUNDING, HOURLY, LIQUIDATIONS, OPEN_INTEREST, ORACLES, RATIOS, daily_bars,
     hourly_bars, query, rounded, stored, tidy, with_ctes,
@@ -363,3 +364,18 @@ def analysis_features_range(spark: SparkSession, sf: str) -> DataFrame:
 @query("analysis_features_liquidity", _map_sql(ORACLES["liquidity_latest"], "liquidity_analysis", feature_maps.LIQUIDITY_FIELDS))
 def analysis_features_liquidity(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(_places(feature_maps.liquidity_features(_flag(liquidity_latest(spark, sf), "is_abnormal_liquidation"))), 9)
+
+
+@query("analyses_joined", f"""
+  SELECT coalesce(f.symbol, o.symbol) AS symbol, coalesce(f.as_of, o.as_of) AS as_of, f.confidence_level AS funding, o.confidence_level AS open_interest
+  FROM (SELECT * FROM ({ORACLES['funding_series']}) WHERE hour(as_of) % 3 <> 0) f
+  FULL JOIN (SELECT * FROM ({ORACLES['open_interest_series']}) WHERE hour(as_of) % 4 <> 0) o ON f.symbol = o.symbol AND f.as_of = o.as_of
+""")
+def analyses_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """Real analyses aligned for the score; a side that is not there is NULL."""
+    hour = F.hour("as_of")
+    funding = LA.funding_series(_label(stored(A.funding_events, spark, sf)), HOURLY, seq=UNIQUE).filter(F.pmod(hour, F.lit(3)) != 0)
+    interest = LA.open_interest_series(
+        _label(stored(A.open_interest_events, spark, sf)), HOURLY, config=_OI_CONFIG, source="sim", seq=UNIQUE).filter(F.pmod(hour, F.lit(4)) != 0)
+    both = join_analyses({"funding": funding, "open_interest": interest})
+    return tidy(both.select("symbol", "as_of", F.col("funding.confidence_level").alias("funding"), F.col("open_interest.confidence_level").alias("open_interest")))

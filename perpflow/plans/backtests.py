@@ -139,6 +139,20 @@ def signals_screened(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("backtest_generated", rounded(with_ctes(CANDLES_HOURLY, _SIGNALS, _FILLS, body="""
+  SELECT 'sma' AS run_id, symbol, 'LONG' AS side, 1.0e0 AS quantity, entry_price, exit_price, exit_time, realized_pnl, fee FROM trades"""),
+  ["quantity", "entry_price", "exit_price", "realized_pnl", "fee"]))
+def backtest_generated(spark: SparkSession, sf: str) -> DataFrame:
+    """The same run with signals made by a function of the job's bars."""
+    bars = hourly_bars(spark, sf)
+
+    def make(run_bars: DataFrame) -> DataFrame:
+        named = run_bars.withColumns({"exchange": F.lit("SIM"), "timeframe": F.lit("1h")})
+        return A.sma_cross_signals(named, HOURLY).withColumn("run_id", F.lit("sma"))
+
+    return tidy(run_backtests(_jobs(bars, "sma", None, None), bars, make, HOURLY).trades.drop("step"))
+
+
 @query("backtest_trades", rounded(with_ctes(CANDLES_HOURLY, _SIGNALS, _FILLS, body="""
   SELECT 'sma' AS run_id, symbol, 'LONG' AS side, 1.0e0 AS quantity, entry_price, exit_price, exit_time, realized_pnl, fee FROM trades"""),
   ["quantity", "entry_price", "exit_price", "realized_pnl", "fee"]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from perpflow.operators import features as M
@@ -11,7 +13,9 @@ from perpflow.plans.common import (
     query, rounded, stored, tidy, with_ctes,
 )
 from perpflow.schema import step_micros
+from perpflow.session import shared_folder
 from perpflow.sources import adapters as A
+from perpflow.sources.store import FeatureStore
 
 # Per-exchange series are told apart by name, since long features carry only a symbol.
 NAMED = "concat(exchange, '/', symbol)"
@@ -101,6 +105,17 @@ def features_funding(spark: SparkSession, sf: str) -> DataFrame:
     return _one(M.funding_module(), stored(A.funding_events, spark, sf), 9)
 
 
+@query("features_run_persisted", rounded(with_ctes(FUNDING, body=_long_sql("funding", "funding_standard", _FUNDING, NAMED)), ["value"], 9))
+def features_run_persisted(spark: SparkSession, sf: str) -> DataFrame:
+    """A run that checks its features, saves them and goes on with the saved ones."""
+    store = FeatureStore(spark, f"{shared_folder(spark)}/perpflow-run-{uuid.uuid4().hex}")
+    module = M.funding_module()
+    run = M.run_features([module], {module.name: _named(stored(A.funding_events, spark, sf))}, ["exchange", "symbol"], HOURLY, store)
+    if not run.is_valid():
+        raise ValueError("the features have errors")
+    return tidy(run.features, 9)
+
+
 _OI = {
     "open_interest": "open_interest", "oi_change_pct": f"open_interest / nullif({_lag('open_interest', 1, _KEY)}, 0) - 1",
     "oi_sma_20": _gated("avg", "open_interest", 20, _KEY),

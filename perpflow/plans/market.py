@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from perpflow.operators import gaps as G, quality
 from perpflow.operators.dedupe import last_wins, latest, merge_last_wins
+from perpflow.operators.features import to_long
 from perpflow.plans.common import (
     CANDLES_DAILY, CANDLES_HOURLY, DAILY, FUNDING, HOURLY, LIQUIDATIONS, OPEN_INTEREST, RATIOS, query, rounded, stored, tidy, with_ctes,
 )
+from perpflow.session import shared_folder
 from perpflow.sources import adapters as A, landing as L
-from perpflow.sources.store import chronological, clip, covered_range, observations, with_version
+from perpflow.sources.store import (
+    FeatureStore, chronological, clip, covered_range, observations, observations_from_features, with_version,
+)
 
 BAR = ["open", "high", "low", "close", "volume"]
 
@@ -229,6 +235,37 @@ def feature_store_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(merge_last_wins(empty, rows, ["symbol", "feature_name", "timestamp", "version"]))
 
 
+@query("feature_store_range", """
+  WITH f AS (SELECT upper(event_type) AS symbol, date_trunc('hour', ts) AS timestamp,
+                    value, CASE WHEN user_id % 4 = 0 THEN 'v2' ELSE 'v1' END AS version, event_id FROM events)
+  SELECT symbol, 'price.last' AS feature_name, timestamp, max_by(value, event_id) AS value, version FROM f
+  WHERE symbol = 'CLICK' AND version = 'v2' AND timestamp BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 06:00:00' GROUP BY ALL""")
+def feature_store_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches written to a feature store, later rows last; read by symbol, version and range."""
+    from datetime import datetime, timezone
+
+    version = F.when(F.pmod("user_id", F.lit(4)) == 0, "v2").when(F.pmod("user_id", F.lit(4)) == 1, "v1")
+    values = _raw_closes(spark, sf).select(
+        F.lower("symbol").alias("symbol"), F.lit("price.last").alias("feature_name"), "timestamp", F.col("close").alias("value"),
+        version.alias("version"), "ingest_seq")
+    middle = values.agg(F.percentile_approx("ingest_seq", 0.5)).first()[0] or 0
+    store = FeatureStore(spark, f"{shared_folder(spark)}/perpflow-features-{uuid.uuid4().hex}")
+    for part in (values.filter(F.col("ingest_seq") <= middle), values.filter(F.col("ingest_seq") > middle)):
+        store.write(part)
+    return tidy(store.read(
+        symbol="click", feature_name="price.last", version="v2",
+        start=datetime(2024, 1, 5, tzinfo=timezone.utc), end=datetime(2024, 1, 12, 6, tzinfo=timezone.utc)))
+
+
+@query("features_to_observations", rounded(with_ctes(CANDLES_HOURLY, body="""
+  SELECT symbol, timestamp, 'v1' AS version, high, low, CASE WHEN close > 20 THEN close END AS close FROM candles"""), ["high", "low", "close"]))
+def features_to_observations(spark: SparkSession, sf: str) -> DataFrame:
+    """Long features back to wide observations; a feature that is absent is NULL."""
+    bars = A.candles_events(spark, sf).withColumn("close", F.when(F.col("close") > 20, F.col("close")))
+    names = {f"bar.{c}": c for c in ("high", "low", "close")}
+    return tidy(observations_from_features(to_long(bars, "bar", ["high", "low", "close"]), names))
+
+
 @query("latest_per_series", rounded(with_ctes(CANDLES_HOURLY, body="""
   SELECT symbol, max(timestamp) AS timestamp, max_by(close, timestamp) AS close, max_by(volume, timestamp) AS volume
   FROM candles GROUP BY symbol"""), ["close", "volume"]))
