@@ -275,6 +275,8 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, identity: float =
     first = (
         seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max("doc_id").alias("last"))
         .where("f.doc_id < last").select("seed", F.col("f.doc_id").alias("source"), F.col("f.at").alias("source_at")))
+    # Written, so that the join sees two plain shuffles and can split a seed that very many documents have.
+    first = cut_lineage(first)
     matches = seeds.join(first, "seed").where("doc_id > source").select("doc_id", "source", "at", "source_at")
     found = cut_lineage(
         matches.repartition(parts, "doc_id", "source").sortWithinPartitions("doc_id", "source").mapInArrow(_chained, _CHAIN))
@@ -285,7 +287,7 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, identity: float =
     lined = around.join(texts.withColumnRenamed("doc_id", "source"), "source").select("doc_id", "source", "x", "y", "size", "first", "words", "text")
     lined = cut_lineage(lined.mapInArrow(
         _aligned, "doc_id long, source long, start long, stop long, source_start long, source_stop long, agree long"))
-    for used in (found, around):
+    for used in (first, found, around):
         drop_written(used)
     return (
         lined.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "start", "source", "stop").mapInArrow(_merged(least, identity), _PASSAGE)
