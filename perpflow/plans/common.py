@@ -14,9 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-# Few rows per chunk on purpose: the registered queries then cross chunk borders on test data.
-HOURLY = Grid("1h", 240, 16)
-DAILY = Grid("1d", 512, 16)
+HOURLY = Grid("1h")
+DAILY = Grid("1d")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

