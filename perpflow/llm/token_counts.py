@@ -1,8 +1,8 @@
 """Token counts by a two-tier table of pre-token lengths, without any shuffle of pre-tokens.
 
 A byte-level BPE never merges over pre-tokens, so a text has as many tokens as its pre-tokens
-have. Tier one is a compact table of frequent pre-tokens with their lengths, learned from at most
-``SAMPLE_ROWS`` rows, cut to ``TABLE_ROWS`` pre-tokens of up to ``LONG`` characters (so under 3 MB
+have. Tier one is a compact table of frequent pre-tokens with their lengths, learned from a sample of
+about ``SAMPLE_ROWS`` rows, cut to ``TABLE_ROWS`` pre-tokens of up to ``LONG`` characters (so under 3 MB
 whatever the corpus) and broadcast. Tier two is a cache in each worker that encodes misses with the
 tokenizers library, each distinct pre-token once, and is emptied at ``CACHE_ROWS``. Both tiers
 only save time: the count of a pre-token is the library's own.
@@ -107,7 +107,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_lengths(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS, table_rows: int = TABLE_ROWS) -> dict[str, int]:
     """Tier one: the commonest pre-tokens of a bounded sample and their token counts."""
-    sample = docs.select("text").limit(sample_rows)
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    sample = docs.select("text").sample(share, seed=1) if share < 1 else docs.select("text")
     top = (
         sample.mapInArrow(_frequencies, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "chunk").limit(table_rows).select("chunk").collect())
