@@ -15,7 +15,8 @@ lengths of all small sets of the corpus.
 Groups of copies would make lists with all pairs of the group. Therefore equal sets are one node, then
 each list links its members to its smallest document only, and verified links are joined into components
 first. After that, lists are looked at again for pairs of different components, and all of those are verified.
-No link between components is lost, and no pair inside one is enumerated.
+No link between components is lost, and no pair inside one is enumerated. A pair that shares too few of
+its prefixes for a link is left out by counting, before any text is read.
 
 Candidates are verified on whole texts. Shingles are 64-bit hashes; sets are told apart by 128 bits.
 
@@ -133,6 +134,7 @@ def _keys(crowded, light: int):
             po, pv, rank, sizes = _prefixes(o, v, last, batch.num_rows)
             keep = 5 * sizes[po] >= 4 * (light + 1)
             doc, key, rank = [po[keep]], [pv[keep]], [rank[keep]]
+            n_listed = len(doc[0])
             starts = np.concatenate([[0], np.cumsum(sizes)])
             for i in np.flatnonzero((sizes > 0) & (sizes <= light)):
                 keys = mixed(np.array(_subset_keys(v[starts[i] : starts[i + 1]]), dtype=np.uint64))
@@ -142,7 +144,7 @@ def _keys(crowded, light: int):
             doc, key, rank = np.concatenate(doc), np.concatenate(key), np.concatenate(rank)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), batch.column("doc_id").take(pa.array(doc)), pa.array(sizes[doc].astype(np.int32)),
-                 pa.array(rank < FIRST)], ["key", "doc_id", "n", "early"])
+                 pa.array(rank < FIRST), pa.array(np.arange(len(doc)) >= n_listed)], ["key", "doc_id", "n", "early", "subset"])
 
     return run
 
@@ -162,6 +164,16 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], ["u", "v"])
 
 
+def _enough(n: str, other: str) -> str:
+    """SQL: so few of a prefix are missing on the other side that the pair may still link.
+
+    Of two prefixes, take the one that ends first in the order. What it shares with the other set it
+    shares with the other prefix, so all the rest of it is missing there; a link allows
+    n - ceil(4 (n + other) / 9) to be missing. Which ends first isn't looked up: one of both has to hold.
+    """
+    return f"({n} - floor((4 * {n} + 4) / 5) + 1 - common <= {n} - floor((4 * ({n} + {other}) + 8) / 9))"
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) that link, judged on their whole texts."""
     left = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("left")), "u")
@@ -196,7 +208,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
         .select("key").collect())
     last = spark.sparkContext.broadcast(np.sort(np.array([r.key for r in crowded], dtype=np.int64).view(np.uint64)))
     known = texts.where("doc_id IS NOT NULL")
-    keys = cut_lineage(known.mapInArrow(_keys(last, light), "key long, doc_id long, n int, early boolean"))
+    keys = cut_lineage(known.mapInArrow(_keys(last, light), "key long, doc_id long, n int, early boolean, subset boolean"))
 
     nodes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("first", "second", "n").agg(F.min("doc_id").alias("node"))
     same = cut_lineage(
@@ -211,8 +223,8 @@ def linked_components(docs: DataFrame) -> DataFrame:
 
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
     placed = cut_lineage(
-        keys.select("key", "doc_id", "n").join(shared, "key").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")))
+        keys.select("key", "doc_id", "n", "subset").join(shared, "key").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        .select("key", "doc_id", "n", "subset", F.coalesce("component", "doc_id").alias("component")))
     drop_written(keys)
     mixed_lists = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_lists = cut_lineage(placed.join(mixed_lists, "key"))
@@ -220,9 +232,12 @@ def linked_components(docs: DataFrame) -> DataFrame:
     blocks = open_lists.groupBy("key", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     a, b = (blocks.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("component", "lo", "hi"))) for side in "ab")
     met = a.join(b, "key").where("component_a < component_b AND 5 * hi_a >= 4 * lo_b AND 5 * hi_b >= 4 * lo_a").select("key", "component_a", "component_b")
-    member = lambda side, id_: open_lists.select("key", F.col("component").alias(f"component_{side}"), F.col("doc_id").alias(id_), F.col("n").alias(f"n_{side}"))
+    member = lambda side, id_: open_lists.select("key", F.col("component").alias(f"component_{side}"), F.col("doc_id").alias(id_), F.col("n").alias(f"n_{side}"), F.col("subset").alias(f"subset_{side}"))
     across = met.join(member("a", "u"), ["key", "component_a"]).join(member("b", "v"), ["key", "component_b"])
-    rest = _ordered(across.where("5 * n_a >= 4 * n_b AND 5 * n_b >= 4 * n_a").select("u", "v").distinct(), same)
+    common = (
+        across.where("5 * n_a >= 4 * n_b AND 5 * n_b >= 4 * n_a").groupBy("u", "v", "n_a", "n_b")
+        .agg(F.count(F.lit(1)).alias("common"), F.bool_or(F.expr("subset_a AND subset_b")).alias("subset")))
+    rest = _ordered(common.where(f"subset OR {_enough('n_a', 'n_b')} OR {_enough('n_b', 'n_a')}").select("u", "v").distinct(), same)
     more = cut_lineage(verified(cut_lineage(rest), known))
     # Links between components: their smallest documents stand for them.
     label = groups.select("id", "component")
