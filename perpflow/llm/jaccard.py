@@ -13,8 +13,8 @@ The boundary is the size at which subsets cost more than list entries, from the
 lengths of all small sets of the corpus.
 
 Groups of copies would make lists with all pairs of the group. Therefore equal sets are one node, then
-each list links its members to its smallest document only, and verified links are joined into components
-first. After that, lists are looked at again for pairs of different components, and all of those are verified.
+each list compares its members with a few of its documents only, and verified links are joined into
+components first. After that, lists are looked at again for pairs of different components, and all of those are verified.
 No link between components is lost, and no pair inside one is enumerated. A pair that shares too few of
 its prefixes for a link is left out by counting, before any text is read.
 
@@ -46,6 +46,8 @@ LIGHT_MOST = 24
 #: A shingle in more prefixes than this, and than this share of the documents, goes last in the order.
 CROWD, CROWD_SHARE = 64, 1e-4
 FIRST = 3
+#: Documents of a list that its members are compared with first: the smallest, the largest, and some drawn by hash.
+HUBS = 5
 
 
 def prefix_length(n):
@@ -215,7 +217,9 @@ def linked_components(docs: DataFrame) -> DataFrame:
         sets.where("n > 0 AND doc_id IS NOT NULL").join(nodes, ["first", "second", "n"]).where("doc_id <> node").select("doc_id", "node").distinct())
 
     early = keys.where("early").select("key", "doc_id")
-    hubs = early.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub <> top").select("key", "hub")
+    drawn = [F.min_by("doc_id", F.xxhash64("doc_id", F.lit(i))) for i in range(HUBS - 2)]
+    ends = early.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.array(*drawn).alias("drawn")).where("low <> high")
+    hubs = ends.select("key", F.explode(F.array_distinct(F.concat(F.array("low", "high"), "drawn"))).alias("hub"))
     to_hub = early.join(hubs, "key").where("doc_id <> hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v"))
     edges = cut_lineage(
         verified(cut_lineage(_ordered(to_hub, same)), known).union(same.select(F.col("node").alias("u"), F.col("doc_id").alias("v"))))
