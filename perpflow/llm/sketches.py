@@ -198,7 +198,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     sent = spark.createDataFrame(above, "top long, target int")
     own = F.struct(part.alias("part"), F.lit(False).alias("outside"))
     to = F.when(F.col("target").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("target").alias("part"), F.lit(True).alias("outside"))))
-    dealt = rows.join(sent, order == F.col("top"), "left").select("doc_id", "text", F.explode(to).alias("to")).select("to.part", "to.outside", "doc_id", "text")
+    # One row for each range, so broadcasting it is safe and keeps the texts to one shuffle.
+    dealt = rows.join(F.broadcast(sent), order == F.col("top"), "left").select("doc_id", "text", F.explode(to).alias("to")).select("to.part", "to.outside", "doc_id", "text")
     return (
         dealt.repartition(parts, "part").sortWithinPartitions("part", "outside", F.desc(order), F.xxhash64("text"))
         .mapInArrow(_stream, _SCHEMA))
