@@ -3,14 +3,16 @@
 Base spans are leftmost non-overlapping matches of fixed patterns that also pass a check (octets,
 Luhn, digit counts). The bootstrap then learns where such data stands:
 
-1. seeds: tokens at which a valid base span begins, each an instance with its kind;
-2. patterns: the one and the two words before a token that holds a digit or an at sign;
+1. seeds: whole valid base spans, each an instance with its kind; of spans that overlap the first. An instance is lower case,
+   and its digits alone if it is a card, a phone or made of digits, brackets, dashes and spaces;
+2. patterns: the one and the two words before a seed or a candidate. A candidate is a run of words of digits, brackets, dashes and dots
+   with single spaces between them, or another word that holds a digit or an at sign, outside all base spans;
 3. a graph of instances and patterns, weighted by how often they meet, is scored in turn for ``ROUNDS`` rounds:
    a pattern by the reliability of all its instances, an instance by that of its patterns;
 4. patterns with at least ``MIN_INSTANCES`` reliable instances and reliability of ``TRUST`` give their kind to
-   the tokens in them that no base span covers.
+   the candidates in them, from end to end.
 
-Texts are passed over once for spans and tokens; what follows works on those few. Patterns and
+Texts are passed over once for spans and once for candidates; what follows works on those few. Patterns and
 instances are aggregated before every shuffle and joined, never gathered.
 
 Offsets are code points, end exclusive. Matching time is linear in the text: a match can only
@@ -44,7 +46,10 @@ PATTERNS = {
 }
 #: A text without a match of this has no match of the pattern.
 NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-TOKEN = r"(?:(?<!\S)|\G)[^\s0-9@]*+[0-9@]\S*+"
+#: Base spans are overwritten with this before candidates are looked for, so that each is one word.
+MASK = "\ue000"
+_NUMBER = rf"[(+-]*+[0-9][0-9().+-]*+(?=[^\p{{L}}\p{{N}}\s@{MASK}]*+(?!\S))"
+TOKEN = rf"(?:(?<!\S)|\G)(?:{_NUMBER}(?:(?<=[0-9)])\x20{_NUMBER})*+\S*+|[^\s0-9@{MASK}]*+[0-9@{MASK}]\S*+)"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -94,41 +99,76 @@ def _base(kind: str, text: Column) -> Column:
     return F.when(need, spans).otherwise(F.array().cast("array<struct<start: bigint, kind: int, stop: bigint>>"))
 
 
-def _tokens(text: Column) -> Column:
-    """Tokens with a digit or an at sign, trimmed of marks around them, and the two words before."""
-    found = F.when(text.rlike("[0-9@]"), matches(text, TOKEN)).otherwise(F.array().cast("array<struct<start: bigint, stop: bigint, match: string, before: string>>"))
+def _masked(text: Column, base: Column) -> Column:
+    """The text with every base span overwritten, at the same length."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc: Column, s: Column) -> Column:
+        start, stop = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["stop"])
+        cut = F.substr(text, acc["at"].cast("int") + 1, (start - acc["at"]).cast("int"))
+        return F.struct(stop.alias("at"), F.concat(acc["parts"], F.array(cut, F.repeat(F.lit(MASK), (stop - start).cast("int")))).alias("parts"))
+
+    whole = F.aggregate(base, zero, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(text, acc["at"].cast("int") + 1)))
+    return F.when(F.size(base) == 0, text).otherwise(whole)
+
+
+def _apart(base: Column) -> Column:
+    """Of base spans that overlap, the first."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start: bigint, kind: int, stop: bigint>>").alias("kept"))
+
+    def step(acc: Column, s: Column) -> Column:
+        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["stop"].alias("at"), F.concat(acc["kept"], F.array(s)).alias("kept")))
+
+    return F.aggregate(base, zero, step, lambda acc: acc["kept"])
+
+
+def _instance(text: Column, kind: Column) -> Column:
+    digits = kind.isin(KINDS.index("card"), KINDS.index("phone")) | (kind.isNull() & text.rlike(r"^[\x20()0-9+-]++$"))
+    return F.when(digits, F.regexp_replace(text, "[^0-9]", "")).otherwise(F.lower(text))
+
+
+def _tokens(text: Column, masked: Column, base: Column, seeds: Column) -> Column:
+    """Seeds, which have a kind, and candidates, trimmed of marks around them, with the two words before."""
+    found = F.when(masked.rlike(f"[0-9@{MASK}]"), matches(masked, TOKEN)).otherwise(
+        F.array().cast("array<struct<start: bigint, stop: bigint, match: string, before: string>>"))
+    none = F.lit(None).cast("int")
 
     def tidy(m: Column) -> Column:
         front = F.length(F.regexp_extract(m["match"], r"^[^\p{L}\p{N}@+(]*+", 0))
         core = F.regexp_replace(F.substr(m["match"], front + 1), r"[^\p{L}\p{N}]++$", "")
         words = F.filter(F.split(F.lower(m["before"]), r"\s+"), lambda w: w != "")
-        return F.struct(
-            (m["start"] + front).alias("start"), (m["start"] + front + F.length(core)).alias("stop"), core.alias("token"),
-            F.when(F.size(words) >= 1, F.concat(F.lit("1 "), F.element_at(words, -1))).alias("one"),
-            F.when(F.size(words) >= 2, F.concat(F.lit("2 "), F.array_join(F.slice(words, -2, 2), " "))).alias("two"))
+        one = F.when(F.size(words) >= 1, F.concat(F.lit("1 "), F.element_at(words, -1)))
+        two = F.when(F.size(words) >= 2, F.concat(F.lit("2 "), F.array_join(F.slice(words, -2, 2), " ")))
+
+        def row(start: Column, stop: Column, token: Column, kind: Column) -> Column:
+            return F.struct(start.alias("start"), stop.alias("stop"), token.alias("token"), one.alias("one"), two.alias("two"), kind.alias("kind"))
+
+        candidate = F.array(row(m["start"] + front, m["start"] + front + F.length(core), _instance(core, none), none))
+        inside = F.filter(seeds, lambda b: (b["start"] >= m["start"]) & (b["start"] < m["stop"]))
+        whole = F.transform(inside, lambda b: row(
+            b["start"], b["stop"], _instance(F.substr(text, b["start"].cast("int") + 1, (b["stop"] - b["start"]).cast("int")), b["kind"]), b["kind"]))
+        covered = F.exists(base, lambda b: (b["start"] < m["stop"]) & (b["stop"] > m["start"]))
+        return F.when(covered, whole).when(core.rlike("[0-9@]"), candidate).otherwise(F.slice(candidate, 1, 0))
 
-    return F.filter(F.transform(found, tidy), lambda t: t["stop"] > t["start"])
+    return F.flatten(F.transform(found, tidy))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, base, tokens): what one pass over the texts finds."""
+    """(doc_id, digest, base, tokens): what is found in the texts."""
     steady(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return rows.select(
-        "doc_id", F.xxhash64("text").alias("digest"),
-        F.array_sort(F.concat(*(_base(k, F.col("text")) for k in KINDS))).alias("base"), _tokens(F.col("text")).alias("tokens"))
+    spans = rows.select("doc_id", "text", F.array_sort(F.concat(*(_base(k, F.col("text")) for k in KINDS))).alias("base"))
+    masked = spans.select("*", _masked(F.col("text"), F.col("base")).alias("masked"), _apart(F.col("base")).alias("seeds"))
+    return masked.select(
+        "doc_id", F.xxhash64("text").alias("digest"), "base",
+        _tokens(F.col("text"), F.col("masked"), F.col("base"), F.col("seeds")).alias("tokens"))
 
 
 def _occurrences(found: DataFrame) -> DataFrame:
-    """Tokens in their patterns: kind is set for seeds; tokens inside a base span but not at its start are left out."""
-    token = found.select("doc_id", "digest", "base", F.explode("tokens").alias("t"))
-    inside = F.filter("base", lambda b: (b["start"] < F.col("t.stop")) & (b["stop"] > F.col("t.start")))
-    seed = F.filter(inside, lambda b: (b["start"] >= F.col("t.start")) & (b["start"] < F.col("t.stop")))
-    marked = token.select(
-        "doc_id", "digest", "t.start", "t.stop", "t.token", "t.one", "t.two", F.get(seed, F.lit(0))["kind"].alias("kind"), F.size(inside).alias("covered"))
-    kept = marked.where("kind IS NOT NULL OR covered = 0")
-    return kept.withColumn("pattern", F.explode(F.array("one", "two"))).where("pattern IS NOT NULL").select(
+    """Seeds, which have a kind, and candidates in their patterns."""
+    token = found.select("doc_id", "digest", F.explode("tokens").alias("t")).select("doc_id", "digest", "t.*")
+    return token.withColumn("pattern", F.explode(F.array("one", "two"))).where("pattern IS NOT NULL").select(
         "doc_id", "digest", "start", "stop", "token", "kind", "pattern")
 
 

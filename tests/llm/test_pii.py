@@ -57,6 +57,29 @@ def test_patterns_find_unseen_identifiers(spark):
     assert pii.redact(docs).columns == docs.columns and pii.redact(docs).count() == len(rows)
 
 
+def test_spaced_identifiers_are_whole_instances(spark):
+    def card(i):
+        front = f"4{i:014d}"
+        return next(f"{n[:4]} {n[4:8]} {n[8:12]} {n[12:]}" for n in (f"{front}{d}" for d in range(10)) if luhn(n))
+
+    rows = [(i, f"ask the desk under +1 (743) 555-38{i:02d} today") for i in range(12)]
+    rows += [(100 + i, f"charge it to visa {card(i)} now") for i in range(12)]
+    rows += [(20, "ask the desk under 743 555-9912, or later"), (21, "charge it to visa 4111 1111 1111 1112 now"),
+             (22, "we were 17 +1 (743) 555-3899 \ue000 others"), (23, "ask the desk under (743) 555 9913. 20 came")]
+    # The same card or phone, written in two ways, is one instance: too few of them.
+    rows += [(200 + i, f"my own line is {('+1 (743) 555-0000', '+1 743 555 0000', '+17435550000')[i % 3]} now") for i in range(12)]
+    rows += [(300, "my own line is 743 555 0001 now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
+    at = {i: t for i, t in rows}
+    whole = lambda i, kind, text: f"{kind}:{at[i].index(text)}:{at[i].index(text) + len(text)}"
+    assert got[20] == whole(20, "phone", "743 555-9912") and got[23] == whole(23, "phone", "(743) 555 9913")
+    assert got[21] == whole(21, "card", "4111 1111 1111 1112")
+    assert got[22] == whole(22, "phone", "+1 (743) 555-3899") and got[300] == ""
+    tokens = {r.doc_id: [(t.token, t.kind) for t in r.tokens] for r in pii.base_spans(docs).collect()}
+    assert tokens[22] == [("17", None), ("17435553899", 3)] and tokens[3] == [("17435553803", 3)]
+
+
 def test_empty_table(spark):
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
