@@ -8,9 +8,10 @@
    ordered segments become chains: the best predecessor under a linear gap cost is a prefix maximum in a
    Fenwick tree over positions in the source.
 4. Chains are aligned on the words themselves: segments are extended while words agree, and gaps between
-   them get a longest common subsequence.
-5. Aligned stretches of one document that touch (``APART`` words between them at most) are one passage, whichever sources they come from.
-   Passages of ``MIN_WORDS`` words and of ``IDENTITY`` or more are results; the first occurrence stays.
+   them get a longest common subsequence. A stretch below ``IDENTITY`` is split into its longest parts of that identity and what is between.
+5. Aligned pieces of one document that touch (``APART`` words between them at most) are a union, whichever sources they come from.
+   Each word counts as much as the best piece over it, words between pieces nothing. A union of ``MIN_WORDS`` words and of ``IDENTITY``
+   or more is a passage; of other unions the longest runs of pieces that are. The first occurrence stays.
 
 Cases: null text is empty; texts under ``K`` words have no seeds; a repeat inside one document does not
 count; rows that repeat a doc_id are one document, and each of its texts is aligned on its own; rows without a doc_id are
@@ -153,51 +154,105 @@ def _chain_pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         [pa.array(out["doc_id"], pa.int64()), pa.array(out["source"], pa.int64()), *(pa.array(out[c], ints) for c in ("x", "y", "size"))], list(out))
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence of two short runs of words."""
+def _common(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """A longest common subsequence of two short runs of words, as positions in both."""
     if not len(a) or not len(b):
-        return 0
-    row = np.zeros(len(b) + 1, dtype=np.int64)
-    for w in a:
-        row[1:] = np.maximum(row[1:], row[:-1] + (b == w))
+        return []
+    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int64)
+    for i, w in enumerate(a):
+        row = table[i + 1]
+        row[1:] = np.maximum(table[i, 1:], table[i, :-1] + (b == w))
         np.maximum.accumulate(row, out=row)
-    return int(row[-1])
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if table[i, j] == table[i - 1, j]:
+            i -= 1
+        elif table[i, j] == table[i, j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
 
+Piece = tuple[int, int, int, int, int]
 
-def align(doc: np.ndarray, source: np.ndarray, x: list[int], y: list[int], size: list[int]) -> list[tuple[int, int, int, int, int]]:
-    """(start, stop, source start, source stop, words that agree) of each stretch of a chain, judged on word hashes."""
+
+def align(doc: np.ndarray, source: np.ndarray, x: list[int], y: list[int], size: list[int], identity: float = IDENTITY) -> list[Piece]:
+    """(start, stop, source start, source stop, words that agree) of the pieces of each stretch of a chain, judged on word hashes."""
     x, y, size = (np.array(v, dtype=np.int64) for v in (x, y, size))
     if x[-1] + size[-1] > len(doc) or y[-1] + size[-1] > len(source):
         return []
     gaps = np.maximum(x[1:] - x[:-1] - size[:-1], y[1:] - y[:-1] - size[:-1])
     cuts = np.concatenate([[0], np.flatnonzero(gaps > GAP_MOST) + 1, [len(x)]])
-    return [_stretch(doc, source, x[a:b], y[a:b], size[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-
-def _stretch(doc: np.ndarray, source: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> tuple[int, int, int, int, int]:
-    agree = sum(int((doc[a : a + n] == source[b : b + n]).sum()) for a, b, n in zip(x.tolist(), y.tolist(), size.tolist(), strict=True))
-    for i in range(len(x) - 1):
-        agree += _common(doc[x[i] + size[i] : x[i + 1]], source[y[i] + size[i] : y[i + 1]])
-    left, left_y, more = extend(doc[: x[0]][::-1], source[: y[0]][::-1])
-    right, right_y, again = extend(doc[x[-1] + size[-1] :], source[y[-1] + size[-1] :])
-    return int(x[0]) - left, int(x[-1] + size[-1]) + right, int(y[0]) - left_y, int(y[-1] + size[-1]) + right_y, agree + more + again
-
-
-def extend(a: np.ndarray, b: np.ndarray, after: int = 3) -> tuple[int, int, int]:
-    """Words of a and b that go on agreeing, and how many agree: one changed, added or missing word is passed over when ``after`` agree behind it."""
-    i = j = agree = 0
+    return [p for a, b in zip(cuts[:-1], cuts[1:], strict=True) for p in pieces(*_stretch(doc, source, x[a:b], y[a:b], size[a:b]), identity)]
+
+
+def _stretch(doc: np.ndarray, source: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[int, int, int, int]]:
+    """The words that agree, as positions in both, and the bounds."""
+    left, left_y, before = extend(doc[: x[0]][::-1], source[: y[0]][::-1])
+    right, right_y, after = extend(doc[x[-1] + size[-1] :], source[y[-1] + size[-1] :])
+    px, py = [x[0] - 1 - before[0][::-1]], [y[0] - 1 - before[1][::-1]]
+    for i, (a, b, n) in enumerate(zip(x.tolist(), y.tolist(), size.tolist(), strict=True)):
+        same = np.flatnonzero(doc[a : a + n] == source[b : b + n])
+        px.append(a + same)
+        py.append(b + same)
+        if i + 1 < len(x):
+            both = np.array(_common(doc[a + n : x[i + 1]], source[b + n : y[i + 1]]), dtype=np.int64).reshape(-1, 2)
+            px.append(a + n + both[:, 0])
+            py.append(b + n + both[:, 1])
+    px.append(x[-1] + size[-1] + after[0])
+    py.append(y[-1] + size[-1] + after[1])
+    bounds = int(x[0]) - left, int(x[-1] + size[-1]) + right, int(y[0]) - left_y, int(y[-1] + size[-1]) + right_y
+    return np.concatenate(px), np.concatenate(py), bounds
+
+
+def pieces(px: np.ndarray, py: np.ndarray, bounds: tuple[int, int, int, int], identity: float = IDENTITY) -> list[Piece]:
+    """The whole stretch if it has the identity, or else its longest part that has, and the same on both sides of it."""
+    out, todo = [], [(px, py, *bounds)]
+    while todo:
+        px, py, x0, x1, y0, y1 = todo.pop()
+        n = len(px)
+        if x1 <= x0:
+            continue
+        if n >= identity * max(x1 - x0, y1 - y0) - 1e-9 or n < K:
+            out.append((x0, x1, y0, y1, n))
+            continue
+        at = np.arange(n)
+        u, v, spare = at - identity * px, at - identity * py, 1 - identity + 1e-9
+        best, i, j = -1, 0, 0
+        for k in range(n):
+            if px[-1] - px[k] <= best:
+                break
+            last = k + int(np.flatnonzero((u[k:] + spare >= u[k]) & (v[k:] + spare >= v[k]))[-1])
+            if px[last] - px[k] > best:
+                best, i, j = int(px[last] - px[k]), k, last
+        a, b, c, d = int(px[i]), int(px[j]) + 1, int(py[i]), int(py[j]) + 1
+        if b - a < K:
+            out.append((x0, x1, y0, y1, n))
+            continue
+        out.append((a, b, c, d, j - i + 1))
+        todo += [(px[:i], py[:i], x0, a, y0, c), (px[j + 1 :], py[j + 1 :], b, x1, d, y1)]
+    return sorted(out)
+
+
+def extend(a: np.ndarray, b: np.ndarray, after: int = 3) -> tuple[int, int, tuple[np.ndarray, np.ndarray]]:
+    """Words of a and b that go on agreeing, and which agree: one changed, added or missing word is passed over when ``after`` agree behind it."""
+    i = j = 0
+    runs = []
     while True:
         n = min(len(a) - i, len(b) - j)
         differ = np.flatnonzero(a[i : i + n] != b[j : j + n])
         run = int(differ[0]) if len(differ) else n
-        i, j, agree = i + run, j + run, agree + run
+        runs.append((np.arange(i, i + run), np.arange(j, j + run)))
+        i, j = i + run, j + run
         for di, dj in ((1, 1), (1, 0), (0, 1)):
             x, y = a[i + di : i + di + after], b[j + dj : j + dj + after]
             if len(x) == after == len(y) and (x == y).all():
                 i, j = i + di, j + dj
                 break
         else:
-            return i, j, agree
+            return i, j, (np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,50 +273,84 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "source", "x", "y", "size", "first", "words"])
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _aligned(identity: float):
     names = ["doc_id", "source", "start", "stop", "source_start", "source_stop", "agree"]
-    for batch in slices(batches):
-        known: dict[str, np.ndarray] = {}
-        rows = []
-        for r in batch.to_pylist():
-            if r["text"] not in known:
-                known[r["text"]] = words(*joined(pa.array([r["text"]], pa.string())))[2]
-            x = [a - r["first"] for a in r["x"]]
-            found = align(np.array(r["words"], dtype=np.int64).view(np.uint64), known[r["text"]], x, r["y"], r["size"])
-            rows += [(r["doc_id"], r["source"], f[0] + r["first"], f[1] + r["first"], *f[2:]) for f in found]
-        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            known: dict[str, np.ndarray] = {}
+            rows = []
+            for r in batch.to_pylist():
+                if r["text"] not in known:
+                    known[r["text"]] = words(*joined(pa.array([r["text"]], pa.string())))[2]
+                x = [a - r["first"] for a in r["x"]]
+                found = align(np.array(r["words"], dtype=np.int64).view(np.uint64), known[r["text"]], x, r["y"], r["size"], identity)
+                rows += [(r["doc_id"], r["source"], f[0] + r["first"], f[1] + r["first"], *f[2:]) for f in found]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    return run
 
 
 _PASSAGE = "doc_id long, start_word long, stop_word long, identity double, sources array<long>"
 
 
+def passages(union: list[tuple[int, int, float, int]], least: int, identity: float) -> list[tuple[int, int, float, list[int]]]:
+    """(start, stop, identity, sources) of the passages of touching pieces (start, stop, identity, source)."""
+    first, end = min(p[0] for p in union), max(p[1] for p in union)
+    if end - first < least:
+        return []
+    worth = np.zeros(end - first)
+    for start, stop, share, _ in sorted(union, key=lambda p: p[2]):
+        worth[start - first : stop - first] = share
+    total = np.concatenate([[0.0], np.cumsum(worth)])
+    edges = np.unique([e - first for p in union for e in p[:2]])
+    out, todo = [], [(0, len(edges) - 1)]
+    while todo:
+        a, b = todo.pop()
+        at = edges[a : b + 1]
+        if at[-1] - at[0] < least:
+            continue
+        over = total[at] - identity * at
+        low, high = np.minimum.accumulate(over), np.maximum.accumulate(over[::-1])[::-1]
+        best, i, j, left, right = 0, 0, 0, 0, 0
+        while right < len(at):
+            if low[left] <= high[right] + 1e-9:
+                if at[right] - at[left] > best:
+                    best, i, j = at[right] - at[left], left, right
+                right += 1
+            else:
+                left += 1
+        if best < least:
+            continue
+        start, stop = int(at[i]), int(at[j])
+        sources = {p[3] for p in union if p[2] >= identity - 1e-9 and p[0] - first < stop and p[1] - first > start}
+        out.append((first + start, first + stop, min(1.0, float(total[stop] - total[start]) / (stop - start)), sorted(sources)))
+        todo += [(a, a + i), (a + j, b)]
+    return sorted(out)
+
+
 def _merged(least: int, identity: float):
-    """Touching stretches of one document as one passage; rows come sorted by (doc_id, start, source)."""
+    """Passages of the touching pieces of each document; rows come sorted by (doc_id, start, source)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
+        doc, stop, union = None, 0, []
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 share = r["agree"] / max(r["stop"] - r["start"], r["source_stop"] - r["source_start"], 1)
-                if now and now[0] == r["doc_id"] and r["start"] <= now[2] + APART:
-                    fresh = max(0, r["stop"] - now[2])
-                    now[2] = max(now[2], r["stop"])
-                    now[3] += fresh * share
-                    now[4].add(r["source"])
-                else:
-                    if now:
-                        out.append(now)
-                    now = [r["doc_id"], r["start"], r["stop"], (r["stop"] - r["start"]) * share, {r["source"]}]
+                if union and (doc != r["doc_id"] or r["start"] > stop + APART):
+                    out += [(doc, *p) for p in passages(union, least, identity)]
+                    union = []
+                doc, stop = r["doc_id"], max(stop, r["stop"]) if union else r["stop"]
+                union.append((r["start"], r["stop"], share, r["source"]))
             yield pack(out)
-        yield pack([now] if now else [])
+        yield pack([(doc, *p) for p in passages(union, least, identity)] if union else [])
 
     def pack(rows: list) -> pa.RecordBatch:
-        kept = [r for r in rows if r[2] - r[1] >= least and r[3] / (r[2] - r[1]) >= identity]
-        return pa.RecordBatch.from_arrays([
-            *(pa.array([r[i] for r in kept], pa.int64()) for i in range(3)), pa.array([min(1.0, r[3] / (r[2] - r[1])) for r in kept], pa.float64()),
-            pa.array([sorted(r[4]) for r in kept], pa.list_(pa.int64()))], ["doc_id", "start_word", "stop_word", "identity", "sources"])
+        kinds = pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["doc_id", "start_word", "stop_word", "identity", "sources"])
 
     return run
 
@@ -286,7 +375,7 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, identity: float =
     around = cut_lineage(around)
     lined = around.join(texts.withColumnRenamed("doc_id", "source"), "source").select("doc_id", "source", "x", "y", "size", "first", "words", "text")
     lined = cut_lineage(lined.mapInArrow(
-        _aligned, "doc_id long, source long, start long, stop long, source_start long, source_stop long, agree long"))
+        _aligned(identity), "doc_id long, source long, start long, stop long, source_start long, source_stop long, agree long"))
     for used in (first, found, around):
         drop_written(used)
     return (

@@ -155,6 +155,26 @@ def test_passages(spark):
     assert P.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_poor_stretches_do_not_hide_passages(spark):
+    rng = random.Random(7)
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    first, second = fresh(60), fresh(60)
+    changed = first[:23] + fresh(14) + first[37:]
+    # 1, 2, 3: the same passage, a changed one, a copy of that; 11: an exact passage beside a stretch of which a half agrees.
+    poor = [w for i in range(6) for w in second[i * 20 : i * 20 + 20]]
+    half = [w for i in range(3) for w in poor[i * 20 : i * 20 + 16] + fresh(20)]
+    exact = fresh(60)
+    rows = [(1, fresh(30) + first + fresh(30)), (2, fresh(30) + changed + fresh(30)), (3, fresh(20) + changed + fresh(30)),
+            (10, fresh(30) + exact + poor + fresh(30)), (11, fresh(25) + exact + half + fresh(30))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in P.repeated_passages(docs).collect()}
+    assert set(got) == {3, 11}
+    assert got[3].start_word == 20 and got[3].stop_word == 80 and got[3].identity == 1.0 and got[3].sources == [1, 2]
+    assert got[11].start_word == 25 and 85 <= got[11].stop_word <= 121 and got[11].identity >= 0.8
+    assert P.passages([(0, 60, 1.0, 5), (60, 200, 0.3, 4)], 40, 0.8) == [(0, 60, 1.0, [5])]
+    assert P.passages([(0, 60, 0.77, 1), (0, 60, 1.0, 2)], 40, 0.8) == [(0, 60, 1.0, [2])]
+
+
 def test_chains_equal_a_quadratic_search():
     rng = np.random.default_rng(2)
     for _ in range(40):
