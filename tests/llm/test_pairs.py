@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -175,6 +176,11 @@ def test_poor_stretches_do_not_hide_passages(spark):
     assert P.passages([(0, 60, 0.77, 1), (0, 60, 1.0, 2)], 40, 0.8) == [(0, 60, 1.0, [2])]
 
 
+def test_a_lone_seed_is_aligned():
+    table = pa.table({"doc_id": [5], "source": [1], "at": [10], "source_at": [20]})
+    assert [r for b in P._chain_pairs(table) for r in b.to_pylist()] == [{"doc_id": 5, "source": 1, "x": [10], "y": [20], "size": [P.K]}]
+
+
 def test_chains_equal_a_quadratic_search():
     rng = np.random.default_rng(2)
     for _ in range(40):
