@@ -9,8 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from perpflow.llm import chat, oracles, quality
+from perpflow.llm.conversation_trie import rebuilt_trie
 from perpflow.llm.decontaminate import contaminated
 from perpflow.llm.jaccard import linked_components
+from perpflow.llm.merkle import tamper_check
 from perpflow.llm.passages import repeated_passages
 from perpflow.llm.pieces import digests
 from perpflow.llm.pii import personal_data
@@ -92,6 +94,17 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@query("op12_conversation_prefix_trie", oracles.TRIE)
+def conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_merkle_manifest", oracles.MERKLE)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tamper_check(table(spark, sf_dir, "documents")).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
