@@ -30,6 +30,8 @@ both_ways AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
 r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT b.v, r.c FROM r JOIN both_ways b ON b.u = r.doc_id)
 SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, min(r.c)::BIGINT AS component_id FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(s.sh)"""
 
+NEAR_DUPLICATES = f"SELECT *, doc_id = component_id AS kept FROM ({COMPONENTS.replace('80 *', '85 *')})"
+
 CHAT = r"""
 WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),

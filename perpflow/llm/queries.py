@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from perpflow.llm import chat, oracles, quality
+from perpflow.llm.chosen_paths import near_duplicates
 from perpflow.llm.conversation_trie import rebuilt_trie
 from perpflow.llm.decontaminate import contaminated
 from perpflow.llm.jaccard import linked_components
@@ -94,6 +95,11 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@query("op11_minhash_near_dedup", oracles.NEAR_DUPLICATES)
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op12_conversation_prefix_trie", oracles.TRIE)
 def conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuilt_trie(table(spark, sf_dir, "conversations"))
