@@ -108,27 +108,21 @@ def lead_in(df: DataFrame, keys: Sequence[str], order: str, grid: Grid, before:
     counted = placed_keys.groupBy(*part).agg(
         F.array(*[F.count_if(F.col("_slot") >= s) for s in range(grid.slots)]).alias("_tail")
     )
-    following = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(1, before)
-    later = F.collect_list(F.struct(F.col(CHUNK).alias("to"), F.col("_tail")[0].alias("n"))).over(following)
-    # The i-th later chunk still wants rows from here if the chunks in between hold too few.
-    wants = F.transform(
-        F.col("_later"),
-        lambda x, i: F.struct(
-            x["to"].alias("to"),
-            (F.lit(before) - F.aggregate(
-                F.slice(F.col("_later"), F.lit(1), i), F.lit(0).cast("bigint"), lambda acc, y: acc + y["n"]
-            )).alias("want"),
-        ),
-    )
+    # Rows before each chunk. A chunk lends to the later ones that begin less than ``before`` rows after its end,
+    # that is after the beginning of the next chunk: a range of this count, and never an array of more chunks.
+    along = W.partitionBy(*keys).orderBy(CHUNK)
+    begun = counted.withColumn("_from", F.coalesce(F.sum(F.col("_tail")[0]).over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    wanting = F.collect_list(F.struct(F.col(CHUNK).alias("to"), F.col("_from").alias("from"))).over(
+        W.partitionBy(*keys).orderBy("_from").rangeBetween(0, before - 1))
+    end = F.col("_from") + F.col("_tail")[0]
     loans = (
-        counted.withColumn("_later", later)
-        .withColumn("_loan", F.explode(F.filter(wants, lambda x: x["want"] > 0)))
+        begun.withColumn("_wanting", wanting).withColumn("_later", F.lead("_wanting").over(along))
+        .withColumn("_loan", F.explode("_later"))
+        .withColumn("_want", F.lit(before) - (F.col("_loan.from") - end))
         .select(
             *part,
             F.col("_loan.to").alias("_loan_to"),
-            F.greatest(
-                F.size(F.filter("_tail", lambda t: t >= F.col("_loan.want"))) - 1, F.lit(0)
-            ).alias("_loan_slot"),
+            F.greatest(F.size(F.filter("_tail", lambda t: t >= F.col("_want"))) - 1, F.lit(0)).alias("_loan_slot"),
         )
     )
     placed = placed_rows(df, keys, order, grid)

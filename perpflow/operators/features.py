@@ -15,26 +15,43 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from perpflow.functions.numeric import INF, finite, long_short_ratio
 from perpflow.operators.chunks import CHUNK, OWN, Grid, frame_gate, lead_in, own, window
+from perpflow.operators.wide_frames import IDX, NARROW, Roll, add_rolls, chunked_by_number, numbered
 from perpflow.schema import FEATURE_VERSION
 from perpflow.session import cut_lineage
 
 
 # --- frame formulas ---------------------------------------------------------------------------
 
-def rolling_mean(x: Column, over, n: int) -> Column:
-    return frame_gate(x, over, n, F.avg(x).over(over.rowsBetween(-(n - 1), 0)))
+@dataclass(frozen=True)
+class Wide:
+    """A column out of statistics of frames too wide to slide; ``finish`` gets their columns."""
+
+    rolls: Mapping[str, Roll]
+    finish: Callable[[Mapping[str, Column]], Column]
+
+
+def _rolling(kind: str, x: Column, over, n: int, narrow: Callable[[Column], Column]) -> Column | Wide:
+    if n > NARROW:
+        return Wide({kind: Roll(kind, x, n, full=True)}, lambda c: c[kind])
+    return frame_gate(x, over, n, narrow(x).over(over.rowsBetween(-(n - 1), 0)))
 
 
-def rolling_sum(x: Column, over, n: int) -> Column:
-    return frame_gate(x, over, n, F.sum(x).over(over.rowsBetween(-(n - 1), 0)))
+def rolling_mean(x: Column, over, n: int) -> Column | Wide:
+    return _rolling("mean", x, over, n, F.avg)
 
 
-def rolling_std(x: Column, over, n: int) -> Column:
-    return frame_gate(x, over, n, F.stddev_samp(x).over(over.rowsBetween(-(n - 1), 0)))
+def rolling_sum(x: Column, over, n: int) -> Column | Wide:
+    return _rolling("sum", x, over, n, F.sum)
 
 
-def rolling_zscore(x: Column, over, n: int) -> Column:
+def rolling_std(x: Column, over, n: int) -> Column | Wide:
+    return _rolling("std", x, over, n, F.stddev_samp)
+
+
+def rolling_zscore(x: Column, over, n: int) -> Column | Wide:
     """(x - mean) / std of the window that ends at, and includes, the current row."""
+    if n > NARROW:
+        return Wide({k: Roll(k, x, n, full=True) for k in ("mean", "std")}, lambda c: F.try_divide(x - c["mean"], c["std"]))
     frame = over.rowsBetween(-(n - 1), 0)
     return frame_gate(x, over, n, F.try_divide(x - F.avg(x).over(frame), F.stddev_samp(x).over(frame)))
 
@@ -147,19 +164,39 @@ class FeatureModule:
     wide: Callable[[DataFrame, Sequence[str], Grid], DataFrame]
 
 
-def _module(name: str, before: int, build: Callable[[object], dict[str, Column]],
-            stages: Sequence[Callable[[object], dict[str, Column]]] = ()) -> FeatureModule:
-    steps = [build, *stages]
-    columns = [c for step in steps for c in step(W.partitionBy(CHUNK).orderBy("timestamp"))]
+Step = Callable[[object], dict[str, "Column | Wide"]]
 
-    def wide(df: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
+
+def add_steps(df: DataFrame, keys: Sequence[str], grid: Grid, before: int, steps: Sequence[Step]) -> DataFrame:
+    """The rows with the columns of ``steps``; a step may use those of the steps before it.
+
+    ``before`` is what the sliding frames reach back. If a frame is wider than those, chunks are cut
+    by row number and lead in what all steps reach back together.
+    """
+    over = window(keys, "timestamp")
+    made = [step(over) for step in steps]
+    wide = [{n: c for n, c in step.items() if isinstance(c, Wide)} for step in made]
+    widths = [max((r.width for c in step.values() for r in c.rolls.values()), default=0) for step in wide]
+    if not any(widths):
         led = lead_in(df, keys, "timestamp", grid, before)
-        over = window(keys, "timestamp")
-        for step in steps:
-            led = led.withColumns(step(over))
+        for step in made:
+            led = led.withColumns(step)
         return own(led)
-
-    return FeatureModule(name, columns, wide)
+    before = sum(widths) + before
+    led = chunked_by_number(numbered(df, keys, "timestamp", grid), keys, before, max(before, grid.rows))
+    for step, wides in zip(made, wide, strict=True):
+        led = led.withColumns({n: c for n, c in step.items() if n not in wides})
+        rolls = {f"_{name}_{k}": r for name, c in wides.items() for k, r in c.rolls.items()}
+        if rolls:
+            led = add_rolls(led, keys, rolls)
+            led = led.withColumns({name: c.finish({k: F.col(f"_{name}_{k}") for k in c.rolls}) for name, c in wides.items()}).drop(*rolls)
+    return own(led).drop(IDX)
+
+
+def _module(name: str, before: int, build: Step, stages: Sequence[Step] = ()) -> FeatureModule:
+    steps = [build, *stages]
+    columns = [c for step in steps for c in step(W.partitionBy(CHUNK).orderBy("timestamp"))]
+    return FeatureModule(name, columns, lambda df, keys, grid: add_steps(df, keys, grid, before, steps))
 
 
 def price_module(sma: int = 20, ema_span: int = 20, atr: int = 14, volatility: int = 14) -> FeatureModule:
@@ -181,6 +218,8 @@ def price_module(sma: int = 20, ema_span: int = 20, atr: int = 14, volatility: i
         }
 
     def wide(df: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
+        if max(sma, atr, volatility) > NARROW:
+            return ema(add_steps(df, keys, grid, NARROW, [first, second]), keys, "timestamp", "close", ema_span, grid, name)
         over = window(keys, "timestamp")
         led = lead_in(df, keys, "timestamp", grid, max(sma - 1, atr, volatility))
         led = led.withColumns(first(over)).withColumns(second(over))

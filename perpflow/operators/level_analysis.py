@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as
 from perpflow.functions.numeric import direction, exceeds, half_split_delta, sufficiency
 from perpflow.operators.chunks import CHUNK, OWN, Grid, add_running, chunk_totals, lead_in, newest, window
 from perpflow.operators.dedupe import UNIQUE, last_wins
+from perpflow.operators.wide_frames import IDX, NARROW, Roll, add_rolls, chunked_by_number, numbered, reach
 
 NOISE = 1e-15
 
@@ -69,8 +70,36 @@ def zscore_against(x: Column, over: WindowSpec, first: int, last: int = -1) -> C
     return F.when(F.count(x).over(frame) >= 2, z)
 
 
-def _describe(df: DataFrame, over: WindowSpec, config: LevelConfig, relative: bool) -> DataFrame:
-    """Every bounded-window column. Expects ``x`` and needs ``config.widest`` rows per current row."""
+def _wide_rolls(config: LevelConfig, relative: bool) -> dict[str, Roll]:
+    """The statistics whose frames are too wide to slide (momentum keeps its window, which it splits in halves)."""
+    x, change = F.col("x"), F.col("change")
+    asked = {"trend_value": Roll("slope", x, config.trend_window), "volatility": Roll("std", x, config.volatility_window)}
+    if relative:
+        asked |= {"_trend_scale": Roll("max", F.abs(x), config.trend_window), "_momentum_scale": Roll("max", F.abs(x), config.momentum_window)}
+    if config.spike_window is not None and config.spike_window > NARROW + 2:
+        asked |= {f"_spike_{k}": Roll(k, change, config.spike_window - 2, shift=1) for k in ("count", "mean", "std")}
+    if config.historical_window is not None:
+        asked |= {
+            "historical_average": Roll("mean", x, config.historical_window),
+            "historical_maximum": Roll("max", x, config.historical_window),
+            "historical_minimum": Roll("min", x, config.historical_window),
+        }
+    return {name: r for name, r in asked.items() if r.width > NARROW}
+
+
+def _describe_wide(rows: DataFrame, keys: Sequence[str], grid: Grid, config: LevelConfig, relative: bool) -> DataFrame:
+    """``_describe`` of whole series in time that does not depend on the windows; adds the row number as ``_idx``."""
+    rolls = _wide_rolls(config, relative)
+    # Two rows more, so that the change of the first row that counts is known.
+    before = max(reach(rolls), NARROW) + 2
+    placed = chunked_by_number(numbered(rows, keys, "timestamp", grid), keys, before, max(before, grid.rows))
+    over = window(keys, IDX)
+    placed = placed.withColumn("change", F.col("x") - F.lag("x").over(over))
+    return _describe(add_rolls(placed, keys, rolls), over, config, relative, rolls).filter(F.col(OWN)).drop(CHUNK, OWN)
+
+
+def _describe(df: DataFrame, over: WindowSpec, config: LevelConfig, relative: bool, known: Sequence[str] = ()) -> DataFrame:
+    """Every bounded-window column but those ``known`` already. Expects ``x``; a row needs ``config.widest`` rows before it."""
     x = F.col("x")
     previous = F.lag(x).over(over)
     momentum_frame = over.rowsBetween(-(config.momentum_window - 1), 0)
@@ -88,7 +117,10 @@ def _describe(df: DataFrame, over: WindowSpec, config: LevelConfig, relative: bo
         trend_frame = over.rowsBetween(-(config.trend_window - 1), 0)
         columns["_trend_scale"] = F.max(F.abs(x)).over(trend_frame)
         columns["_momentum_scale"] = F.max(F.abs(x)).over(momentum_frame)
-    if config.spike_window is not None:
+    if "_spike_mean" in known:
+        z = F.try_divide(F.col("change") - F.col("_spike_mean"), F.col("_spike_std"))
+        columns["spike_magnitude"] = F.when(F.col("_spike_count") >= 2, z)
+    elif config.spike_window is not None:
         columns["spike_magnitude"] = zscore_against(F.col("change"), over, -(config.spike_window - 2))
     if config.historical_window is not None:
         past = over.rowsBetween(-(config.historical_window - 1), 0)
@@ -97,6 +129,7 @@ def _describe(df: DataFrame, over: WindowSpec, config: LevelConfig, relative: bo
             "historical_maximum": F.max(x).over(past),
             "historical_minimum": F.min(x).over(past),
         }
+    columns = {name: c for name, c in columns.items() if name not in known}
     df = df.withColumns(columns).withColumn("momentum_value", half_split_delta(F.col("_halves")))
 
     def tolerance(scale: str) -> Column | float:
@@ -110,7 +143,7 @@ def _describe(df: DataFrame, over: WindowSpec, config: LevelConfig, relative: bo
     })
     if config.spike_window is not None:
         df = df.withColumn("is_abnormal_spike", exceeds(F.col("spike_magnitude"), config.spike_zscore_threshold))
-    return df.drop("_at", "_halves", "_trend_scale", "_momentum_scale")
+    return df.drop("_at", "_halves", "_trend_scale", "_momentum_scale", "_spike_count", "_spike_mean", "_spike_std")
 
 
 def _clean(df: DataFrame, keys: Sequence[str], value: str, seq: str | None) -> DataFrame:
@@ -129,6 +162,10 @@ def analyze_series(df: DataFrame, keys: Sequence[str], value: str, grid: Grid, c
                    *, seq: str | None = None, relative: bool = False) -> DataFrame:
     """The analysis as of every usable reading."""
     rows = _clean(df, keys, value, seq)
+    if config.widest > NARROW and config.historical_window is not None:
+        described = _describe_wide(rows, keys, grid, config, relative)
+        out = described.withColumn("sample_size", F.col(IDX) + 1).drop(IDX)
+        return out.withColumn("confidence_level", sufficiency(F.col("sample_size"), config.widest))
     led = lead_in(rows, keys, "timestamp", grid, config.widest)
     described = _describe(led, window(keys, "timestamp"), config, relative).filter(F.col(OWN)).drop(OWN)
     wanted = {n: (fn, F.col(c)) for n, (fn, c) in _HISTORY.items() if n == "sample_size" or config.historical_window is None}
@@ -144,8 +181,12 @@ def analyze_latest(df: DataFrame, keys: Sequence[str], value: str, config: Level
     """The analysis as of the newest usable reading: only the last rows of a series are ordered."""
     rows = _clean(df, keys, value, seq)
     tail = newest(rows, keys, "timestamp", config.widest + 1)
-    over = W.partitionBy(*keys).orderBy("timestamp")
-    last = _describe(tail, over, config, relative).filter("_age = 1").drop("_age")
+    if config.widest > NARROW:
+        # In pieces: the whole tail as one window would slide its widest frame over every row of it.
+        last = _describe_wide(tail, keys, Grid(rows=4096), config, relative).filter("_age = 1").drop("_age", IDX)
+    else:
+        over = W.partitionBy(*keys).orderBy("timestamp")
+        last = _describe(tail, over, config, relative).filter("_age = 1").drop("_age")
     totals = [F.count("x").alias("sample_size")]
     if config.historical_window is None:
         totals += [F.avg("x").alias("historical_average"), F.max("x").alias("historical_maximum"),

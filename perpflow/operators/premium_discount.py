@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, WindowSpec, functions as F
 from perpflow.functions.numeric import sufficiency
 from perpflow.operators.chunks import CHUNK, OWN, Grid, add_running, chunk_totals, lead_in, newest, own, window
 from perpflow.operators.dedupe import UNIQUE, last_wins
+from perpflow.operators.wide_frames import IDX, NARROW, Roll, add_rolls, chunked_by_number, numbered, reach
 
 # Zones a price can be in.
 ZONES = ["DISCOUNT", "EQUILIBRIUM", "PREMIUM", "ABOVE_RANGE", "BELOW_RANGE"]
@@ -61,7 +62,9 @@ def mark_swings(df: DataFrame, over: WindowSpec, strength: int) -> DataFrame:
 
 def _locate(df: DataFrame, over: WindowSpec, config: RangeConfig) -> DataFrame:
     """Active range of the last ``lookback`` bars as of every bar, and the position in it."""
-    if config.method == "FRACTAL":
+    if "active_high" in df.columns:
+        top, bottom = F.col("active_high"), F.col("active_low")
+    elif config.method == "FRACTAL":
         df = mark_swings(df, over, config.strength)
         frame = over.rowsBetween(-(config.lookback - 1 - config.strength), -config.strength)
         top, bottom = F.max("swing_high").over(frame), F.min("swing_low").over(frame)
@@ -98,6 +101,20 @@ def _locate(df: DataFrame, over: WindowSpec, config: RangeConfig) -> DataFrame:
     )
 
 
+def _with_wide_range(rows: DataFrame, keys: Sequence[str], grid: Grid, config: RangeConfig) -> DataFrame:
+    """The active range of wide look-backs, by blocks instead of a sliding frame; adds the bar's number as ``_idx``."""
+    if config.method == "FRACTAL":
+        width, shift, high, low = config.lookback - 2 * config.strength, config.strength, "swing_high", "swing_low"
+    else:
+        width, shift, high, low = config.lookback, 0, "high", "low"
+    rolls = {"active_high": Roll("max", F.col(high), width, shift=shift), "active_low": Roll("min", F.col(low), width, shift=shift)}
+    before = reach(rolls) + 2 * config.strength
+    placed = chunked_by_number(numbered(rows, keys, "timestamp", grid), keys, before, max(before, grid.rows))
+    if config.method == "FRACTAL":
+        placed = mark_swings(placed, window(keys, IDX), config.strength)
+    return add_rolls(placed, keys, rolls).filter(F.col(OWN)).drop(CHUNK, OWN)
+
+
 _OUT = ["active_high", "active_low", "range_size", "midpoint", "current_price", "current_price_position_pct",
         "zone", "premium_percentage", "discount_percentage", "sample_size", "confidence_level"]
 
@@ -115,6 +132,8 @@ def range_latest(df: DataFrame, keys: Sequence[str] = ("symbol",), config: Range
     """Newest bar of every series; no row where no range can be established."""
     rows = _clean(df, keys, seq)
     tail = newest(rows, keys, "timestamp", config.lookback)
+    if config.lookback > NARROW:
+        tail = _with_wide_range(tail, keys, Grid(rows=4096), config).drop(IDX)
     located = _locate(tail, W.partitionBy(*keys).orderBy("timestamp"), config).filter("_age = 1")
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("sample_size"))
     return _named(located.join(counts, [*keys]), keys, config, label)
@@ -124,6 +143,10 @@ def range_series(df: DataFrame, grid: Grid, keys: Sequence[str] = ("symbol",), c
                  label: str = "unspecified", seq: str | None = None) -> DataFrame:
     """The same as of every bar."""
     rows = _clean(df, keys, seq)
+    if config.lookback > NARROW:
+        wide = _with_wide_range(rows, keys, grid, config)
+        located = _locate(wide, window(keys, "timestamp"), config)
+        return _named(located.withColumn("sample_size", F.col(IDX) + 1), keys, config, label)
     led = lead_in(rows, keys, "timestamp", grid, config.lookback - 1)
     counts = {"sample_size": ("count", F.col("close"))}
     bases = chunk_totals(rows.withColumn(CHUNK, grid.chunk(rows, "timestamp")), keys, counts)

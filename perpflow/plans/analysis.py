@@ -8,8 +8,8 @@ from perpflow.operators import feature_maps, level_analysis as LA, liquidity as
 from perpflow.operators.dedupe import UNIQUE
 from perpflow.operators.score import join_analyses
 from perpflow.plans.common import (
-    CANDLES_DAILY, CANDLES_HOURLY, DAILY, FUNDING, HOURLY, LIQUIDATIONS, OPEN_INTEREST, ORACLES, RATIOS, daily_bars,
-    hourly_bars, query, rounded, stored, tidy, with_ctes,
+    CANDLES_DAILY, CANDLES_HOURLY, DAILY, FUNDING, HOURLY, LIQUIDATIONS, OPEN_INTEREST, ORACLES, ORDER_READINGS, RATIOS,
+    READINGS, daily_bars, hourly_bars, query, rounded, stored, tidy, with_ctes,
 )
 from perpflow.sources import adapters as A
 
@@ -32,8 +32,11 @@ def _scaled(n: int, relative: bool) -> str:
     return f"(CASE WHEN {top} > 0 THEN {top} ELSE 1 END) * 1e-15"
 
 
-def _level_ctes(source: str, key: str, value: str, relative: bool) -> list[str]:
-    """Windows 8 / 8 / 30 (and 30 for spikes); history is everything so far."""
+def _level_ctes(source: str, key: str, value: str, relative: bool, config: LA.LevelConfig = LA.LevelConfig()) -> list[str]:
+    """Spikes are judged on 30 rows unless ``config`` says otherwise; without a window history is everything so far."""
+    trend, volatility = config.trend_window, config.volatility_window
+    spike = _frame((config.spike_window or 30) - 1, "1 PRECEDING")
+    past = "ROWS UNBOUNDED PRECEDING" if config.historical_window is None else f"ROWS {config.historical_window - 1} PRECEDING"
     halves = "list(x) " + _frame(8)
     return [
         f"obs AS (SELECT {key} AS k, {key}, timestamp, {value} AS x FROM {source} WHERE {value} IS NOT NULL)",
@@ -41,17 +44,16 @@ def _level_ctes(source: str, key: str, value: str, relative: bool) -> list[str]:
   x - lag(x) OVER (PARTITION BY k ORDER BY timestamp) AS change,
   row_number() OVER (PARTITION BY k ORDER BY timestamp) AS pos FROM obs)""",
         f"""s2 AS (SELECT *, change / nullif(previous, 0) AS change_pct,
-  CASE WHEN count(x) {_frame(8)} >= 2 THEN regr_slope(x, pos::DOUBLE) {_frame(8)} END AS trend_value,
+  CASE WHEN count(x) {_frame(trend)} >= 2 THEN regr_slope(x, pos::DOUBLE) {_frame(trend)} END AS trend_value,
   {halves} AS h,
-  CASE WHEN count(x) {_frame(30)} >= 2 THEN stddev_samp(x) {_frame(30)} END AS volatility,
-  CASE WHEN count(change) {_frame(29, '1 PRECEDING')} >= 2 THEN (change - avg(change) {_frame(29, '1 PRECEDING')})
-    / nullif(stddev_samp(change) {_frame(29, '1 PRECEDING')}, 0) END AS spike_magnitude,
-  {_scaled(8, relative)} AS tolerance,
+  CASE WHEN count(x) {_frame(volatility)} >= 2 THEN stddev_samp(x) {_frame(volatility)} END AS volatility,
+  CASE WHEN count(change) {spike} >= 2 THEN (change - avg(change) {spike}) / nullif(stddev_samp(change) {spike}, 0) END AS spike_magnitude,
+  {_scaled(trend, relative)} AS tolerance, {_scaled(8, relative)} AS halves_tolerance,
   avg(x) OVER w AS historical_average, max(x) OVER w AS historical_maximum, min(x) OVER w AS historical_minimum,
-  count(x) OVER w AS sample_size, max(timestamp) OVER (PARTITION BY k) AS newest
-  FROM s1 WINDOW w AS (PARTITION BY k ORDER BY timestamp ROWS UNBOUNDED PRECEDING))""",
+  row_number() OVER (PARTITION BY k ORDER BY timestamp) AS sample_size, max(timestamp) OVER (PARTITION BY k) AS newest
+  FROM s1 WINDOW w AS (PARTITION BY k ORDER BY timestamp {past}))""",
         f"""s3 AS (SELECT *, CASE WHEN len(h) >= 2 THEN list_avg(h[len(h) // 2 + 1:]) - list_avg(h[:len(h) // 2]) END AS momentum_value,
-  {_direction('trend_value', 'tolerance')} AS trend, least(sample_size / 30.0e0, 1.0e0) AS confidence_level FROM s2)""",
+  {_direction('trend_value', 'tolerance')} AS trend, least(sample_size / {float(config.widest)!r}, 1.0e0) AS confidence_level FROM s2)""",
     ]
 
 
@@ -60,15 +62,15 @@ _LEVEL = ["current_{l}", "previous_{l}", "{p}_change", "{p}_change_pct", "{p}_tr
 
 
 def _level_sql(cte: str, source: str, key: str, value: str, p: str, level: str, relative: bool, latest: bool, digits: int,
-               extra: str = "", extra_doubles: tuple[str, ...] = ()) -> str:
+               extra: str = "", extra_doubles: tuple[str, ...] = (), config: LA.LevelConfig = LA.LevelConfig()) -> str:
     body = f"""SELECT {key} AS symbol, timestamp AS as_of, x AS current_{level}, previous AS previous_{level},
   change AS {p}_change, change_pct AS {p}_change_pct, trend AS {p}_trend, trend_value AS {p}_trend_value,
-  {_direction('momentum_value', 'tolerance')} AS {p}_momentum, momentum_value AS {p}_momentum_value, volatility AS {p}_volatility,
+  {_direction('momentum_value', 'halves_tolerance')} AS {p}_momentum, momentum_value AS {p}_momentum_value, volatility AS {p}_volatility,
   {extra} historical_average, historical_maximum, historical_minimum, sample_size, confidence_level
   FROM s3{' WHERE timestamp = newest' if latest else ''}"""
     doubles = [d.format(p=p, l=level) for d in _LEVEL] + list(extra_doubles)
     small = {f"{p}_change_pct": 6, "confidence_level": 6, "spike_magnitude": 6}
-    return rounded(with_ctes(cte, *_level_ctes(source, key, value, relative), body=body), doubles, digits, **small)
+    return rounded(with_ctes(cte, *_level_ctes(source, key, value, relative, config), body=body), doubles, digits, **small)
 
 
 def _label(df: DataFrame) -> DataFrame:
@@ -110,6 +112,30 @@ def open_interest_latest(spark: SparkSession, sf: str) -> DataFrame:
     return _oi_out(LA.open_interest_latest(_label(stored(A.open_interest_events, spark, sf)), config=_OI_CONFIG, source="sim", seq=UNIQUE))
 
 
+# Windows far wider than a sliding frame can take, over a reading for each order.
+_HISTORY = LA.LevelConfig(historical_window=10_000)
+_WIDE_OI = LA.LevelConfig(trend_window=500, volatility_window=2_000, spike_window=1_000, historical_window=5_000, spike_zscore_threshold=2.5)
+
+
+@query("funding_history_window", _level_sql(ORDER_READINGS, "readings", "symbol", "funding_rate", "funding", "funding", False, False, 9, config=_HISTORY))
+def funding_history_window(spark: SparkSession, sf: str) -> DataFrame:
+    """As of every reading, against the last 10,000 readings."""
+    return _funding_out(LA.funding_series(stored(A.order_readings, spark, sf), READINGS, config=_HISTORY, seq=UNIQUE))
+
+
+@query("funding_history_window_latest", _level_sql(
+    ORDER_READINGS, "readings", "symbol", "funding_rate", "funding", "funding", False, True, 9, config=_HISTORY))
+def funding_history_window_latest(spark: SparkSession, sf: str) -> DataFrame:
+    return _funding_out(LA.funding_latest(stored(A.order_readings, spark, sf), config=_HISTORY, seq=UNIQUE))
+
+
+@query("open_interest_wide_windows", _level_sql(
+    ORDER_READINGS, "readings", "symbol", "open_interest", "oi", "oi", True, False, 4, _SPIKE, ("spike_magnitude",), _WIDE_OI))
+def open_interest_wide_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Slope of 500, spread of 2,000, spikes against 1,000 and history of 5,000 readings."""
+    return _oi_out(LA.open_interest_series(stored(A.order_readings, spark, sf), READINGS, config=_WIDE_OI, source="sim", seq=UNIQUE))
+
+
 _RAW_LEVEL_SQL = """raw AS (SELECT upper(event_type) AS name, date_trunc('hour', ts) AS timestamp, event_id,
     CASE WHEN user_id % 5 <> 0 THEN (value - 50) / 100000 END AS v FROM events),
 fl AS (SELECT name, timestamp, max_by(v, event_id) AS funding_rate FROM raw WHERE v IS NOT NULL GROUP BY name, timestamp)"""
@@ -126,13 +152,13 @@ def funding_latest_from_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- premium / discount -----------------------------------------------------------------------
 
-def _range_ctes(source: str, fractal: bool) -> list[str]:
+def _range_ctes(source: str, fractal: bool, lookback: int = 50) -> list[str]:
     def w(a: str, b: str) -> str:
         return f"OVER (PARTITION BY symbol ORDER BY timestamp ROWS BETWEEN {a} AND {b})"
 
     left, right = w("2 PRECEDING", "1 PRECEDING"), w("1 FOLLOWING", "2 FOLLOWING")
     full = f"count(*) {left} = 2 AND count(*) {right} = 2"
-    active = w("47 PRECEDING", "2 PRECEDING") if fractal else w("49 PRECEDING", "CURRENT ROW")
+    active = w(f"{lookback - 3} PRECEDING", "2 PRECEDING") if fractal else w(f"{lookback - 1} PRECEDING", "CURRENT ROW")
     high, low = ("sh", "sl") if fractal else ("high", "low")
     return [
         f"""c1 AS (SELECT symbol, timestamp, high, low, close,
@@ -149,7 +175,8 @@ _RANGE_DOUBLES = ["active_high", "active_low", "range_size", "midpoint", "curren
                   "premium_percentage", "discount_percentage", "confidence_level"]
 
 
-def _range_sql(cte: str, source: str, label: str, *, fractal: bool = True, latest: bool = False, band: float | None = None) -> str:
+def _range_sql(cte: str, source: str, label: str, *, fractal: bool = True, latest: bool = False, band: float | None = None,
+               lookback: int = 50) -> str:
     balanced = "close = midpoint" if band is None else f"abs(close - midpoint) <= range_size * {band} / 2"
     body = f"""SELECT symbol, '{label}' AS timeframe, timestamp AS as_of, active_high, active_low, range_size, midpoint,
   close AS current_price, (close - active_low) / range_size * 100 AS current_price_position_pct,
@@ -157,9 +184,9 @@ def _range_sql(cte: str, source: str, label: str, *, fractal: bool = True, lates
        WHEN close > midpoint THEN 'PREMIUM' ELSE 'DISCOUNT' END AS zone,
   CASE WHEN close >= midpoint THEN (close - midpoint) / nullif(active_high - midpoint, 0) * 100 ELSE 0 END AS premium_percentage,
   CASE WHEN close >= midpoint THEN 0 ELSE (midpoint - close) / nullif(midpoint - active_low, 0) * 100 END AS discount_percentage,
-  sample_size, least(sample_size / 50.0e0, 1.0e0) AS confidence_level
+  sample_size, least(sample_size / {float(lookback)!r}, 1.0e0) AS confidence_level
   FROM c3{' WHERE timestamp = newest' if latest else ''}"""
-    return rounded(with_ctes(cte, *_range_ctes(source, fractal), body=body), _RANGE_DOUBLES)
+    return rounded(with_ctes(cte, *_range_ctes(source, fractal, lookback), body=body), _RANGE_DOUBLES)
 
 
 @query("range_series_daily", _range_sql(CANDLES_DAILY, "daily", "1d"))
@@ -174,6 +201,12 @@ def range_series_band(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(PD.range_series(hourly_bars(spark, sf), HOURLY, config=config, label="1h", seq=UNIQUE))
 
 
+@query("range_series_wide", _range_sql(ORDER_READINGS, "readings", "1h", lookback=3000))
+def range_series_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Swings of the last 3,000 readings, as of every reading."""
+    return tidy(PD.range_series(stored(A.order_readings, spark, sf), READINGS, config=PD.RangeConfig(lookback=3000), label="1h", seq=UNIQUE))
+
+
 @query("range_latest", _range_sql(CANDLES_HOURLY, "candles", "1h", latest=True))
 def range_latest(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(PD.range_latest(hourly_bars(spark, sf), label="1h", seq=UNIQUE))

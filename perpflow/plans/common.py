@@ -16,6 +16,7 @@ ORACLES: dict[str, str] = {}
 
 HOURLY = Grid("1h")
 DAILY = Grid("1d")
+READINGS = Grid("1h")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -96,6 +97,12 @@ daily AS (
          max_by(price, rn) AS close, sum(vol) AS volume
   FROM ticks GROUP BY symbol, timestamp)"""
 
+ORDER_READINGS = """readings AS (
+  SELECT *, (close - 1500) / 1000000 AS funding_rate, 1000 * close AS open_interest FROM (
+    SELECT concat('P', l_partkey % 2) AS symbol, make_timestamp(epoch_us(min(l_shipdate)::TIMESTAMP) + l_orderkey) AS timestamp,
+           max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low, sum(l_extendedprice) / sum(l_quantity) AS close
+    FROM lineitem GROUP BY l_partkey % 2, l_orderkey))"""
+
 _BY_EXCHANGE = """SELECT concat('EX', user_id % 3) AS exchange,
          CASE WHEN user_id % 2 = 0 THEN 'AAAUSDT' ELSE 'BBBUSDT' END AS symbol,
          date_trunc('hour', ts) AS timestamp, {columns}

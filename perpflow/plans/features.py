@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from perpflow.operators import features as M
 from perpflow.operators.asof import with_timeframe
 from perpflow.plans.common import (
-    CANDLES_DAILY, CANDLES_HOURLY, DAILY, FUNDING, HOURLY, LIQUIDATIONS, OPEN_INTEREST, RATIOS, daily_bars, hourly_bars,
+    CANDLES_DAILY, CANDLES_HOURLY, DAILY, FUNDING, HOURLY, LIQUIDATIONS, OPEN_INTEREST, ORDER_READINGS, RATIOS, READINGS, daily_bars, hourly_bars,
     query, rounded, stored, tidy, with_ctes,
 )
 from perpflow.schema import step_micros
@@ -88,6 +88,34 @@ def features_price_hourly(spark: SparkSession, sf: str) -> DataFrame:
     return _price(hourly_bars(spark, sf), HOURLY)
 
 
+_WIDE_PRICE = {
+    "return_pct": "return_pct", "log_return": "log_return", "true_range": "true_range",
+    "sma_2000": _gated("avg", "close", 2000, "symbol"), "high_low_range_pct": "(high - low) / nullif(close, 0)",
+    "atr_500": _gated("avg", "true_range", 500, "symbol"), "volatility_1000": _gated("stddev_samp", "return_pct", 1000, "symbol"),
+    "ema_1": "close",
+}
+
+
+@query("features_price_wide", rounded(with_ctes(
+    ORDER_READINGS, _price_ctes("readings")[0], body=_long_sql("p1", "price", _WIDE_PRICE)), ["value"]))
+def features_price_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Averages and spreads over hundreds to thousands of rows, at the cost of narrow ones."""
+    module = M.price_module(sma=2000, ema_span=1, atr=500, volatility=1000)
+    return tidy(M.compute_features([module], {"price": stored(A.order_readings, spark, sf)}, ["symbol"], READINGS))
+
+
+_WIDE_FUNDING = {
+    "funding_rate": "funding_rate", "funding_rate_change": f"funding_rate - {_lag('funding_rate', 1, 'symbol')}",
+    "funding_rate_sma_500": _gated("avg", "funding_rate", 500, "symbol"), "funding_rate_zscore_3000": _zscore("funding_rate", 3000, "symbol"),
+}
+
+
+@query("features_zscore_wide", rounded(with_ctes(ORDER_READINGS, body=_long_sql("readings", "funding_standard", _WIDE_FUNDING)), ["value"], 8))
+def features_zscore_wide(spark: SparkSession, sf: str) -> DataFrame:
+    module = M.funding_module(sma=500, zscore=3000)
+    return tidy(M.compute_features([module], {module.name: stored(A.order_readings, spark, sf)}, ["symbol"], READINGS), 8)
+
+
 _KEY = "exchange, symbol"
 _FUNDING = {
     "funding_rate": "funding_rate", "funding_rate_change": f"funding_rate - {_lag('funding_rate', 1, _KEY)}",

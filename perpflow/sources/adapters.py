@@ -57,6 +57,21 @@ def candles_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
              "open", "high", "low", "close", "volume")
 
 
+def order_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reading for each order and half of the parts: long series, one row an order."""
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    shipped = F.unix_micros(F.min("l_shipdate").cast("timestamp"))
+    close = F.col("close")
+    orders = table(spark, sf_dir, "lineitem").groupBy(
+        F.concat(F.lit("P"), F.pmod("l_partkey", F.lit(2)).cast("string")).alias("symbol"), "l_orderkey",
+    ).agg(
+        shipped.alias("_shipped"), F.max(price).alias("high"), F.min(price).alias("low"),
+        (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"))
+    return orders.select(
+        "symbol", F.timestamp_micros(F.col("_shipped") + F.col("l_orderkey")).alias("timestamp"), "high", "low", "close",
+        ((close - 1500) / 1000000).alias("funding_rate"), (1000 * close).alias("open_interest"))
+
+
 def _by_exchange(spark: SparkSession, sf_dir: str):
     user = F.col("user_id")
     return table(spark, sf_dir, "events").groupBy(
