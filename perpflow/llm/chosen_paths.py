@@ -14,10 +14,10 @@ Exhaustive comparison works on sketches (the smallest shingle of each of ``BINS`
 a pair goes on unless its sketches agree less than a linked pair's would by ``SIGMAS`` deviations. All that go on are
 confirmed on the full sets of both texts.
 
-Groups of copies never become all their pairs. Equal sets are one document of the join. In a large node,
-members are compared with one hub first, and nodes whose members are one component by then branch no further. A small
-node first hands on the best spanning forest of its candidates; when those are confirmed, nodes are looked at
-again for candidates between different components only. Nodes with the same members are compared once. Nodes
+Groups of copies never become all their pairs. Equal sets are one document of the join. Large nodes compare their
+members with one hub, small nodes hand on the best spanning forest of their candidates; when those are
+confirmed, nodes whose members are one component by then are left alone: large ones branch no further, and of small ones only
+candidates between different components are confirmed after that. Nodes with the same members are compared once. Nodes
 that are still large when their tokens are used up are compared block by block, so no pair of a node is left out.
 
 Cases: null and blank texts have empty sets and link with nothing; texts under five words have one shingle of all
@@ -40,13 +40,17 @@ from perpflow.llm.text import mixed, shingle_sets, slices, steady
 from perpflow.session import cut_lineage, drop_written
 
 SIZE, PERCENT = 5, 85
-PATHS, BINS, NODE = 32, 256, 256
+PATHS, BINS, NODE = 32, 256, 1024
 #: Chance that all trees miss a pair at the threshold: one in a hundred thousand.
 TARGET = 0.99999
 SIGMAS = 5.0
 #: Share of the nodes below the second level that have two children instead of one.
 TWINS = 0.3
 DEEPEST = PATHS - 4
+#: Levels between two comparisons of large nodes with hubs.
+HUB_EVERY = 4
+#: Members of nodes that are unpacked together.
+UNPACKED = 20_000
 
 _seeds = np.random.default_rng(20250311)
 _A = _seeds.integers(1, 2**63, PATHS, dtype=np.uint64) | np.uint64(1)
@@ -116,13 +120,25 @@ def _agreement(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
     return same / np.maximum(either, 1), near & fits
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same nodes in batches of about UNPACKED members."""
+    for batch in batches:
+        ends = np.cumsum(np.diff(batch.column("members").offsets.to_numpy()))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + UNPACKED, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def _compared(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(node, id, id, estimate) of the candidates of every node of a batch; ``group`` keeps pairs of one component apart."""
     lists = batch.column("members")
     members = lists.flatten()
     ids, sizes, groups = (members.field(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "group"))
     sketch = np.frombuffer(b"".join(members.field("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
-    counts = np.array([len(x) for x in lists], dtype=np.int64)
+    counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
     starts = np.cumsum(counts) - counts
     for node in range(batch.num_rows):
         m, at = counts[node], starts[node]
@@ -144,7 +160,7 @@ def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each node the candidates of a spanning forest, the most similar ones first."""
-    for batch in batches:
+    for batch in _few(batches):
         by_node: dict[int, list[tuple[float, int, int]]] = {}
         for node, u, v, estimate in _compared(batch):
             by_node.setdefault(node, []).extend(zip((-estimate).tolist(), u.tolist(), v.tolist(), strict=True))
@@ -167,7 +183,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All candidates of each node between different components."""
-    for batch in batches:
+    for batch in _few(batches):
         for _, u, v, _ in _compared(batch):
             if len(u):
                 yield _pairs(u, v)
@@ -196,8 +212,10 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    left = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("left")), "u")
-    both = left.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("right")), "v")
+    """The pairs (u, v) that link. Each side meets its texts on its own, so a short list of pairs is all that is sent to the texts."""
+    left, right = (
+        pairs.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(name)), side) for side, name in (("u", "left"), ("v", "right")))
+    both = left.join(right, ["u", "v"])
     return both.select("u", "v", "left", "right").mapInArrow(_confirmed, "u long, v long").distinct()
 
 
@@ -220,7 +238,7 @@ def _children(nodes: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
 
 def _blocks(nodes: DataFrame) -> DataFrame:
     """Large nodes as small ones: all pairs of blocks of about NODE / 4 members."""
-    b = nodes.withColumn("blocks", F.ceil(F.col("size") / (NODE // 4))).withColumn("own", F.expr("pmod(xxhash64(key, id), blocks)"))
+    b = nodes.withColumn("blocks", F.ceil(F.col("size") / (NODE // 4)).cast("long")).withColumn("own", F.expr("pmod(xxhash64(key, id), blocks)"))
     return b.select("key", "id", "own", F.expr("explode(sequence(0L, blocks - 1))").alias("other")).select(
         F.expr("xxhash64(key, least(own, other), greatest(own, other))").alias("key"), "id")
 
@@ -249,6 +267,15 @@ def _gathered(rows: DataFrame, sets: DataFrame, compare: Callable) -> DataFrame:
     return nodes.mapInArrow(compare, "u long, v long").distinct()
 
 
+def _to_hubs(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidates (u, v) between the members of each large node and one of them."""
+    hubs = large.groupBy("key").agg(F.min_by("id", F.xxhash64("key", "id")).alias("hub"))
+    pairs = large.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
+    sized = pairs.join(sets.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su")), "u").join(
+        sets.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv")), "v")
+    return sized.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(_near, "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, target: float = TARGET) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     steady(docs.sparkSession)
@@ -261,42 +288,40 @@ def near_duplicates(docs: DataFrame, target: float = TARGET) -> DataFrame:
         sets.select("first", "second", "n", "id"), ["first", "second", "n"]).where("doc_id <> id").select(F.col("id").alias("u"), F.col("doc_id").alias("v")))
 
     level = cut_lineage(_shared(_roots(sets, trees_for(target))))
-    met = texts.join(level.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    met = cut_lineage(met)
-    small, links, judged, groups, used = [], [], [], None, [level]
-    for depth in range(1, DEEPEST + 1):
-        small.append(level.where(F.col("size") <= NODE).select("key", "id"))
-        large = level.where(F.col("size") > NODE)
-        if large.isEmpty():
+    met = cut_lineage(texts.join(level.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    small, large = [level.where(F.col("size") <= NODE).select("key", "id")], level.where(F.col("size") > NODE)
+    written, judged, links = [level], [], []
+
+    def settle(candidates: DataFrame) -> DataFrame:
+        """Confirm candidates; (id, component) by all links so far."""
+        judged.append(cut_lineage(candidates))
+        links.append(cut_lineage(_confirm(judged[-1], met)))
+        written.append(cut_lineage(components(_all(links))))
+        return written[-1]
+
+    groups = settle(_gathered(_several_components(small[0], None), sets, _forest).unionByName(_to_hubs(large, sets)).distinct())
+    deeper, depth = [], 1
+    while True:
+        opened = cut_lineage(_several_components(large, groups))
+        written.append(opened)
+        if opened.isEmpty():
             break
-        hubs = large.groupBy("key").agg(F.min_by("id", F.xxhash64("key", "id")).alias("hub"))
-        to_hub = large.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
-        sized = to_hub.join(sets.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su")), "u").join(
-            sets.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv")), "v")
-        near = cut_lineage(sized.mapInArrow(_near, "u long, v long").distinct())
-        judged.append(near)
-        links.append(cut_lineage(_confirm(near, met)))
-        if groups is not None:
-            drop_written(groups)
-        groups = cut_lineage(components(_all(links)))
-        opened = _several_components(large, groups)
         if depth == DEEPEST:
-            small.append(_blocks(opened))
+            deeper.append(_blocks(opened))
             break
         level = cut_lineage(_shared(_children(opened.select("key", "id", "used"), sets, depth)))
-        used.append(level)
-
-    nodes = _all(small)
-    forest = cut_lineage(_gathered(_several_components(nodes, groups), sets, _forest))
-    judged.append(forest)
-    links.append(cut_lineage(_confirm(forest, met)))
-    if groups is not None:
-        drop_written(groups)
-    groups = cut_lineage(components(_all(links)))
-    rest = _gathered(_several_components(nodes, groups), sets, _crossing).join(_all(judged), ["u", "v"], "left_anti")
+        written.append(level)
+        depth += 1
+        deeper.append(level.where(F.col("size") <= NODE).select("key", "id"))
+        large = level.where(F.col("size") > NODE)
+        if depth % HUB_EVERY == 0:
+            groups = settle(_to_hubs(large, sets))
+    if deeper:
+        groups = settle(_gathered(_several_components(_all(deeper), groups), sets, _forest))
+    rest = _gathered(_several_components(_all([*small, *deeper]), groups), sets, _crossing).join(_all(judged), ["u", "v"], "left_anti")
     links.append(cut_lineage(_confirm(cut_lineage(rest), met)))
     final = cut_lineage(components(_all([*links, copies])))
-    for table in (*used, *judged, *links, groups, copies, sets, met):
+    for table in (*written, *judged, *links, copies, sets, met):
         drop_written(table)
     placed = found.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return placed.select(
