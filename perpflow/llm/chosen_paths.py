@@ -16,8 +16,8 @@ confirmed on the full sets of both texts.
 
 Groups of copies never become all their pairs. Equal sets are one document of the join. Large nodes compare their
 members with one hub, small nodes hand on the best spanning forest of their candidates; when those are
-confirmed, nodes whose members are one component by then are left alone: large ones branch no further, and of small ones only
-candidates between different components are confirmed after that. Nodes with the same members are compared once. Nodes
+confirmed, nodes whose members hang together within three links are left alone: large ones branch no further, and of small ones
+only candidates between different such groups are confirmed after that. Nodes with the same members are compared once. Nodes
 that are still large when their tokens are used up are compared block by block, so no pair of a node is left out.
 
 Cases: null and blank texts have empty sets and link with nothing; texts under five words have one shingle of all
@@ -40,7 +40,7 @@ from perpflow.llm.text import mixed, shingle_sets, slices, steady
 from perpflow.session import cut_lineage, drop_written
 
 SIZE, PERCENT = 5, 85
-PATHS, BINS, NODE = 32, 256, 1024
+PATHS, BINS, NODE = 32, 256, 4096
 #: Chance that all trees miss a pair at the threshold: one in a hundred thousand.
 TARGET = 0.99999
 SIGMAS = 5.0
@@ -110,14 +110,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([r.tobytes() for r in sketch], pa.binary())], ["doc_id", "n", "first", "second", "paths", "sketch"])
 
 
-def _agreement(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _fits(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Sets whose sizes allow a link."""
+    return 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
+
+
+def _agreement(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Estimated similarity of sketches row by row, and whether the pair may reach the threshold."""
     s = PERCENT / 100
     same = np.count_nonzero((a == b) & (a > 0), axis=1)
     either = np.count_nonzero(a | b, axis=1)
-    near = same >= either * s - SIGMAS * np.sqrt(either * s * (1 - s))
-    fits = 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
-    return same / np.maximum(either, 1), near & fits
+    return same / np.maximum(either, 1), same >= either * s - SIGMAS * np.sqrt(either * s * (1 - s))
 
 
 def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,15 +145,16 @@ def _compared(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarr
     starts = np.cumsum(counts) - counts
     for node in range(batch.num_rows):
         m, at = counts[node], starts[node]
-        for first in range(0, m - 1, 32):
-            rows = np.arange(first, min(first + 32, m - 1))
+        step = max(1, 40_000 // max(m, 1))
+        for first in range(0, m - 1, step):
+            rows = np.arange(first, min(first + step, m - 1))
             i = np.repeat(rows, m - 1 - rows)
             j = np.concatenate([np.arange(r + 1, m) for r in rows])
             i, j = i + at, j + at
-            apart = (groups[i] != groups[j]) & (ids[i] != ids[j])
+            apart = (groups[i] != groups[j]) & (ids[i] != ids[j]) & _fits(sizes[i], sizes[j])
             i, j = i[apart], j[apart]
             if len(i):
-                estimate, near = _agreement(sketch[i], sketch[j], sizes[i], sizes[j])
+                estimate, near = _agreement(sketch[i], sketch[j])
                 yield node, ids[i[near]], ids[j[near]], estimate[near]
 
 
@@ -192,8 +196,8 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in ("su", "sv"))
-        _, near = _agreement(a, b, batch.column("nu").to_numpy(), batch.column("nv").to_numpy())
-        keep = pa.array(near)
+        _, near = _agreement(a, b)
+        keep = pa.array(near & _fits(batch.column("nu").to_numpy(), batch.column("nv").to_numpy()))
         yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], ["u", "v"])
 
 
@@ -267,6 +271,27 @@ def _gathered(rows: DataFrame, sets: DataFrame, compare: Callable) -> DataFrame:
     return nodes.mapInArrow(compare, "u long, v long").distinct()
 
 
+def _gathered_labels(links: DataFrame) -> DataFrame:
+    """(id, component): the smallest id within three links. Equal ones are connected, which is all that pruning needs."""
+    ends = F.array(*[F.struct(F.col(a).alias("id"), F.col(b).alias("near")) for a in "uv" for b in "uv"])
+    near = links.select(F.inline(ends))
+    labels = near.groupBy("id").agg(F.min("near").alias("component"))
+    for _ in range(2):
+        labels = near.join(labels.withColumnRenamed("id", "near"), "near").groupBy("id").agg(F.min("component").alias("component"))
+    return labels
+
+
+def _whole_components(links: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that can be reached. Most links lie inside what three steps gather; stars join the rest."""
+    labels = cut_lineage(_gathered_labels(links))
+    of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+    open_ = cut_lineage(links.join(of("u"), "u").join(of("v"), "v").where("cu <> cv").select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).distinct())
+    if open_.isEmpty():
+        return labels
+    joined = components(open_).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    return labels.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+
+
 def _to_hubs(large: DataFrame, sets: DataFrame) -> DataFrame:
     """Candidates (u, v) between the members of each large node and one of them."""
     hubs = large.groupBy("key").agg(F.min_by("id", F.xxhash64("key", "id")).alias("hub"))
@@ -288,7 +313,8 @@ def near_duplicates(docs: DataFrame, target: float = TARGET) -> DataFrame:
         sets.select("first", "second", "n", "id"), ["first", "second", "n"]).where("doc_id <> id").select(F.col("id").alias("u"), F.col("doc_id").alias("v")))
 
     level = cut_lineage(_shared(_roots(sets, trees_for(target))))
-    met = cut_lineage(texts.join(level.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    met = cut_lineage(texts.join(
+        level.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"))
     small, large = [level.where(F.col("size") <= NODE).select("key", "id")], level.where(F.col("size") > NODE)
     written, judged, links = [level], [], []
 
@@ -296,7 +322,7 @@ def near_duplicates(docs: DataFrame, target: float = TARGET) -> DataFrame:
         """Confirm candidates; (id, component) by all links so far."""
         judged.append(cut_lineage(candidates))
         links.append(cut_lineage(_confirm(judged[-1], met)))
-        written.append(cut_lineage(components(_all(links))))
+        written.append(cut_lineage(_gathered_labels(_all(links))))
         return written[-1]
 
     groups = settle(_gathered(_several_components(small[0], None), sets, _forest).unionByName(_to_hubs(large, sets)).distinct())
@@ -320,7 +346,7 @@ def near_duplicates(docs: DataFrame, target: float = TARGET) -> DataFrame:
         groups = settle(_gathered(_several_components(_all(deeper), groups), sets, _forest))
     rest = _gathered(_several_components(_all([*small, *deeper]), groups), sets, _crossing).join(_all(judged), ["u", "v"], "left_anti")
     links.append(cut_lineage(_confirm(cut_lineage(rest), met)))
-    final = cut_lineage(components(_all([*links, copies])))
+    final = cut_lineage(_whole_components(_all([*links, copies])))
     for table in (*written, *judged, *links, copies, sets, met):
         drop_written(table)
     placed = found.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
