@@ -54,7 +54,7 @@ def run_backtests(jobs: DataFrame, bars: DataFrame, signals: DataFrame | Callabl
     """
     checked = check_jobs(jobs)
     good = runnable(jobs)
-    run_bars = job_bars(good, bars)
+    run_bars = job_bars(good, bars, grid.step)
     table = signals(run_bars) if callable(signals) else signals
     accepted, rejected = screen_signals(good, table)
     orders = next_bar_orders(accepted, run_bars, grid)

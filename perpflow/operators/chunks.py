@@ -181,26 +181,31 @@ def add_running(rows: DataFrame, bases: DataFrame, keys: Sequence[str], order: S
 
 
 def running_path(steps: DataFrame, keys: Sequence[str], order: Sequence[str], grid: Grid, delta: str) -> DataFrame:
-    """Running sum ``gain`` of ``delta`` and running maximum ``high`` of that sum.
+    """Running sum ``gain`` of ``delta`` and running maximum ``high`` of that sum, by chunks."""
+    placed = placed_rows(steps.select(*keys, *order, delta), keys, order[0], grid)
+    return path_in_parts(placed, keys, order, delta, CHUNK)
+
 
-    Both come from one ordered pass per chunk: a chunk's own sum and maximum are relative to
-    its start, so one row per chunk is enough to shift them. Both branches below read the
+def path_in_parts(placed: DataFrame, keys: Sequence[str], order: Sequence[str], delta: str, part: str) -> DataFrame:
+    """``running_path`` of rows that are dealt out by (keys, part) already; parts follow each other in order.
+
+    Sum and maximum come from one ordered pass per part: a part's own sum and maximum are relative to
+    its start, so one row per part is enough to shift them. Both branches below read the
     same columns, which lets Spark reuse the one shuffle of the full rows.
     """
-    part = [*keys, CHUNK]
-    placed = placed_rows(steps.select(*keys, *order, delta), keys, order[0], grid)
-    so_far = window(keys, *order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = [*keys, part]
+    so_far = W.partitionBy(*whole).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = placed.withColumn("_g", F.sum(delta).over(so_far)).withColumn("_h", F.max("_g").over(so_far))
-    per_chunk = local.groupBy(*part).agg(F.sum(delta).alias("_sum"), F.max("_g").alias("_top"))
-    earlier = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    per_part = local.groupBy(*whole).agg(F.sum(delta).alias("_sum"), F.max("_g").alias("_top"))
+    earlier = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     shifts = (
-        per_chunk.withColumn("_base", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)))
+        per_part.withColumn("_base", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)))
         .withColumn("_roof", F.max(F.col("_base") + F.col("_top")).over(earlier))
-        .select(*part, "_base", "_roof")
+        .select(*whole, "_base", "_roof")
     )
     gain = F.col("_base") + F.col("_g")
     high = F.greatest(F.col("_roof"), F.col("_base") + F.col("_h"))
-    return local.join(shifts, part).select(*keys, *order, gain.alias("gain"), high.alias("high"))
+    return local.join(shifts, whole).select(*keys, *order, gain.alias("gain"), high.alias("high"))
 
 
 def newest(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from perpflow.operators.chunks import Grid, lead_in, own, window
+from perpflow.operators.interval_join import interval_join
 from perpflow.schema import step_micros
 
 
@@ -23,10 +24,11 @@ def find_gaps(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], grid: Gri
         F.unix_micros("range_start").alias("_from"),
         F.unix_micros("range_end").alias("_to"),
     ).filter(F.col("_from") <= F.col("_to"))
+    covered = interval_join(
+        rows.select(*keys, "timestamp"), ranges.select(*keys, "range_start", "range_end"), keys, "timestamp", "range_start", "range_end", grid.step)
     present = (
-        rows.select(*keys, F.unix_micros("timestamp").alias("_at"))
-        .join(bounds, [*keys])
-        .filter((F.col("_at") >= F.col("_from")) & (F.col("_at") <= F.col("_to")))
+        covered.select(
+            *keys, F.unix_micros("range_start").alias("_from"), F.unix_micros("range_end").alias("_to"), F.unix_micros("timestamp").alias("_at"))
         .filter(F.pmod(F.col("_at") - F.col("_from"), F.lit(step)) == 0)
         .select(*keys, "_from", "_to", "_at").distinct()
     )
@@ -72,11 +74,8 @@ def fill_gaps(stored: DataFrame, landed: DataFrame, ranges: DataFrame, keys: Seq
     located = previous_row(landed, gaps, keys, "timestamp", grid, {"gap_end": "_gap_end"})
     usable = located.filter(F.col("timestamp") <= F.col("_gap_end")).drop("_gap_end")
     merged = merge_last_wins(stored, usable, [*keys, "timestamp"], seq or "ingest_seq")
-    inside = (
-        merged.join(ranges, [*keys])
-        .filter(F.col("timestamp").between(F.col("range_start"), F.col("range_end")))
-        .select(*[c for c in merged.columns])
-    )
+    wanted = ranges.select(*keys, "range_start", "range_end")
+    inside = interval_join(merged, wanted, keys, "timestamp", "range_start", "range_end", grid.step).select(*merged.columns)
     return inside, find_gaps(merged, ranges, keys, grid)
 
 

@@ -7,10 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from perpflow.functions.numeric import micros
-from perpflow.operators.chunks import CHUNK, Grid, add_running, chunk_totals, running_path
+from perpflow.operators.chunks import CHUNK, Grid, add_running, chunk_totals, path_in_parts
 from perpflow.operators.equity import drawdown
+from perpflow.operators.interval_join import interval_join
+from perpflow.operators.quantiles import exact_percentiles
+from perpflow.session import cut_lineage
 
 DEFAULT_PERCENTILES = (5, 25, 50, 75, 95)
+#: Paths of one run that a single task may put in order.
+GATHERED = 100_000
 
 
 def _positive(**values) -> None:
@@ -39,14 +44,15 @@ def walk_forward(ranges: DataFrame, keys: Sequence[str], train, test, step=None)
 def assign_windows(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], train, test, step=None) -> DataFrame:
     """Each row with every (window_no, part) it belongs to; starts count, ends do not.
 
-    Window numbers follow from arithmetic on the row's own timestamp, so there is no range
-    join: a row is copied once per window that covers it.
+    A row meets only the ranges that cover it, however many there are; window numbers follow from arithmetic
+    on the row's own timestamp, so it is copied once per window.
     """
     train_us, test_us = micros(train), micros(test)
     step_us = test_us if step is None else micros(step)
     _positive(train_period=train_us, test_period=test_us, step=step_us)
-    bounds = ranges.select(*keys, F.unix_micros("range_start").alias("_a"), F.unix_micros("range_end").alias("_b"))
-    joined = rows.join(bounds, [*keys])
+    wanted = ranges.select(*keys, "range_start", "range_end")
+    joined = interval_join(rows, wanted, keys, "timestamp", "range_start", "range_end", step_us).withColumns({
+        "_a": F.unix_micros("range_start"), "_b": F.unix_micros("range_end")})
     at = F.unix_micros("timestamp") - F.col("_a")
     count = F.floor((F.col("_b") - F.col("_a") - train_us - test_us) / step_us) + 1
 
@@ -60,10 +66,27 @@ def assign_windows(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], trai
     return joined.select(*rows.columns, F.inline(hits))
 
 
-def draw(seed: int, run: Column, sim: Column, k: Column, n: Column) -> Column:
-    """Uniform index in [0, n): the first 32 bits of a hash of (seed, run, sim, k)."""
-    text = F.concat_ws("|", F.lit(str(seed)), run, sim.cast("string"), k.cast("string"))
-    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), n)
+_MASK = 0xFFFFFFFF
+
+
+def mixed(x: Column) -> Column:
+    """A bijection of 32 bits (in a bigint) after which each bit depends on every other; products stay below 2^63."""
+    x = ((x.bitwiseXOR(F.shiftrightunsigned(x, 16))) * 0x7FEB352D).bitwiseAND(F.lit(_MASK))
+    x = ((x.bitwiseXOR(F.shiftrightunsigned(x, 15))) * 0x46CA68B5).bitwiseAND(F.lit(_MASK))
+    return x.bitwiseXOR(F.shiftrightunsigned(x, 16))
+
+
+def stream_keys(seed: int, run: Column, sim: Column) -> tuple[Column, Column]:
+    """Two words of 32 bits that name the stream of draws of one simulation."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), run))
+    word = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
+    return tuple(mixed((word(at) + sim).bitwiseAND(F.lit(_MASK))) for at in (1, 9))
+
+
+def draw(first: Column, second: Column, k: Column, n: Column) -> Column:
+    """Uniform index in [0, n), n below 2^31: draw k of a stream, from its number alone and in any order."""
+    inner = mixed(k.cast("bigint").bitwiseAND(F.lit(_MASK)).bitwiseXOR(first))
+    return F.shiftrightunsigned(mixed((inner + second).bitwiseAND(F.lit(_MASK))) * n, 32)
 
 
 def number_trades(trades: DataFrame, grid: Grid) -> DataFrame:
@@ -78,22 +101,23 @@ def bootstrap_paths(trades: DataFrame, jobs: DataFrame, grid: Grid, simulations:
                     piece: int = 4096) -> DataFrame:
     """Per (run, sim): final equity and maximum drawdown of one resample with replacement.
 
-    Draw k of a simulation picks a trade by index; the draws meet the trades in an equi-join
-    on (run, index), so every trade is hit about ``simulations`` times and no key is hot.
-    Draws are generated in pieces of ``piece`` and the equity path is chunked the same way.
-    The peak starts at the initial cash.
+    Draw k of a simulation picks a trade by index, from an integer mixer over (seed, run, sim, k). Draws are made in
+    pieces of ``piece``; one shuffle deals out the pieces, and their paths are summed where they are made. The numbered
+    trades are a written table: while small they go to every task, else draws and trades meet in an equi-join on (run,
+    index), where every trade is hit about ``simulations`` times and no key is hot. The peak starts at the initial cash.
     """
     _positive(simulations=simulations)
-    indexed = number_trades(trades, grid).select("run_id", "idx", "realized_pnl")
+    indexed = cut_lineage(number_trades(trades, grid).select("run_id", "idx", "realized_pnl"))
     sizes = indexed.groupBy("run_id").agg((F.max("idx") + 1).alias("n"))
     pieces = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(piece).cast("bigint")))
-    sims = sizes.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
+    first, second = stream_keys(seed, F.col("run_id"), F.col("sim"))
+    sims = sizes.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1)))).withColumns({"_first": first, "_second": second})
     starts = sims.withColumn("_from", pieces).repartition("run_id", "sim", "_from")
     upto = F.least(F.col("n"), F.col("_from") + piece) - 1
     draws = starts.withColumn("k", F.explode(F.sequence(F.col("_from"), upto))).select(
-        "run_id", "sim", "k", draw(seed, F.col("run_id"), F.col("sim"), F.col("k"), F.col("n")).alias("idx"))
+        "run_id", "sim", "_from", "k", draw(F.col("_first"), F.col("_second"), F.col("k"), F.col("n")).alias("idx"))
     drawn = draws.join(indexed, ["run_id", "idx"]).drop("idx")
-    path = running_path(drawn, ["run_id", "sim"], ["k"], Grid(1, piece, 1), "realized_pnl")
+    path = path_in_parts(drawn, ["run_id", "sim"], ["k"], "realized_pnl", "_from")
     start = F.col("initial_cash")
     equity, peak = start + F.col("gain"), start + F.greatest("high", F.lit(0.0))
     return path.join(jobs.select("run_id", "initial_cash"), "run_id").groupBy("run_id", "sim").agg(
@@ -103,28 +127,35 @@ def bootstrap_paths(trades: DataFrame, jobs: DataFrame, grid: Grid, simulations:
     )
 
 
-def bootstrap_summary(paths: DataFrame, jobs: DataFrame, percentiles: Sequence[int] = DEFAULT_PERCENTILES) -> DataFrame:
+def bootstrap_summary(paths: DataFrame, jobs: DataFrame, percentiles: Sequence[int] = DEFAULT_PERCENTILES,
+                      simulations: int = 1000) -> DataFrame:
     """Per run and percentile: final equity and drawdown, plus the probability of loss.
 
-    A run without trades keeps its initial cash at every percentile.
+    ``simulations`` says how many paths a run has: up to ``GATHERED`` of them are put in order in one task, more are
+    counted between splitters (``quantiles``), with the same result. A run without trades keeps its initial cash at every percentile.
     """
     if not percentiles or any(not 0 <= p <= 100 for p in percentiles):
         raise ValueError("percentiles must be a non-empty list of numbers in [0, 100]")
     chosen = sorted(percentiles)
+    if simulations > GATHERED:
+        paths = cut_lineage(paths)
+    lost = F.avg((F.col("final_equity") < F.col("initial_cash")).cast("double")).alias("probability_of_loss")
+    listed = jobs.select("run_id", "initial_cash")
+    if simulations > GATHERED:
+        rows = F.explode(F.array(*[F.lit(p) for p in chosen])).alias("percentile")
+        found = listed.join(paths.groupBy("run_id").agg(lost), "run_id", "left").select("run_id", "initial_cash", "probability_of_loss", rows)
+        for name in ("final_equity", "max_drawdown"):
+            stats = exact_percentiles(paths, ["run_id"], name, chosen).withColumnRenamed("value", name)
+            found = found.join(stats, ["run_id", "percentile"], "left")
+        return found.select(
+            "run_id", F.coalesce("probability_of_loss", F.lit(0.0)).alias("probability_of_loss"), "percentile",
+            F.coalesce("final_equity", "initial_cash").alias("final_equity"), F.coalesce("max_drawdown", F.lit(0.0)).alias("max_drawdown"))
     shares = F.array(*[F.lit(p / 100) for p in chosen])
-    stats = paths.groupBy("run_id").agg(
-        F.percentile("final_equity", shares).alias("e"),
-        F.percentile("max_drawdown", shares).alias("d"),
-        F.avg((F.col("final_equity") < F.col("initial_cash")).cast("double")).alias("probability_of_loss"),
-        F.count(F.lit(1)).alias("simulations"),
-    )
+    stats = paths.groupBy("run_id").agg(F.percentile("final_equity", shares).alias("e"), F.percentile("max_drawdown", shares).alias("d"), lost)
     rows = F.inline(F.arrays_zip(F.array(*[F.lit(p) for p in chosen]).alias("percentile"), F.col("e"), F.col("d")))
-    listed = jobs.select("run_id", "initial_cash").join(stats, "run_id", "left")
-    filled = listed.select(
+    filled = listed.join(stats, "run_id", "left").select(
         "run_id", F.coalesce("probability_of_loss", F.lit(0.0)).alias("probability_of_loss"),
         F.coalesce("e", F.array_repeat("initial_cash", len(chosen))).alias("e"),
         F.coalesce("d", F.array_repeat(F.lit(0.0), len(chosen))).alias("d"),
     )
     return filled.select("run_id", "probability_of_loss", rows.alias("percentile", "final_equity", "max_drawdown"))
-
-

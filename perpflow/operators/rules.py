@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from perpflow.operators import rule_index
+from perpflow.session import cut_lineage
+
 SECTION = ["strategy", "section"]
 
 
@@ -32,28 +35,68 @@ def condition_flags(features: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+def moments_of(features: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """(symbol, timestamp, given): the features of each moment, the newest version of each; one shuffle.
+
+    With ``rules`` only the features that they name travel; moments that have none of those stay, with an empty array.
+    """
+    kept = features.select("symbol", "timestamp", "feature_name", "value", *(["version"] if "version" in features.columns else []))
+    if rules is not None:
+        named = rules.select(F.col("feature").alias("feature_name")).distinct().withColumn("_named", F.lit(True))
+        kept = kept.join(named, "feature_name", "left").withColumn("feature_name", F.when(F.col("_named"), F.col("feature_name"))).drop("_named")
+    placed = kept.repartition("symbol", "timestamp")
+    order = F.struct("version", "value") if "version" in features.columns else F.col("value")
+    newest = placed.groupBy("symbol", "timestamp", "feature_name").agg(F.max_by("value", order).alias("value"))
+    entry = F.when(F.col("feature_name").isNotNull(), F.struct("feature_name", "value"))
+    return newest.groupBy("symbol", "timestamp").agg(F.collect_list(entry).alias("given"))
+
+
+def sections_of(rules: DataFrame) -> DataFrame:
+    """(strategy, section, logic, conditions): the enabled conditions of every enabled section."""
+    active = rules.filter("section_enabled AND enabled")
+    return active.groupBy(*SECTION, "logic").agg(
+        F.array_sort(F.collect_list(F.struct("name", "feature", "operator", "value", "value_high"))).alias("conditions"))
+
+
+def passing_sections(features: DataFrame, rules: DataFrame) -> DataFrame:
+    """(symbol, timestamp, strategy, section) of every section that passes, for very many sections.
+
+    The same judgement as ``apply_rules`` without a row for what does not pass: see ``rule_index``.
+    """
+    active = rules.filter("section_enabled AND enabled")
+    return rule_index.passing(cut_lineage(moments_of(features, active)), cut_lineage(sections_of(rules)))
+
+
 def apply_rules(features: DataFrame, rules: DataFrame) -> DataFrame:
     """Per (symbol, timestamp, section): ``passed`` by ALL / ANY over the enabled conditions.
 
     A condition without its feature at that time does not hold; a section none of whose features is
     there still has its row. CUSTOM sections are combined elsewhere: their ``passed`` is NULL and
-    ``flags`` carries the single results.
+    ``flags`` carries the single results. Of several versions of a feature the newest counts.
+
+    The result has a row for each moment and section; nothing else of that size is made or shuffled. Sections
+    travel to the moments in slabs, each moment is judged as one row.
     """
-    active = rules.filter("section_enabled AND enabled")
-    sizes = active.groupBy(*SECTION).agg(F.count(F.lit(1)).alias("conditions"))
-    flags = condition_flags(features, rules)
-    met = F.count_if(F.coalesce("holds", F.lit(False)))
-    # Rule sets are configuration: their sections go to every moment as one constant array.
-    sections = [tuple(r) for r in active.select(*SECTION, "logic").distinct().collect()]
-    if sections:
-        every = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip([*SECTION, "logic"], s, strict=True)]) for s in sections])
-        blank = features.select("symbol", "timestamp").distinct().withColumn("_s", F.explode(every)).select(
-            "symbol", "timestamp", "_s.*", F.lit(None).cast("string").alias("name"), F.lit(None).cast("boolean").alias("holds"))
-        flags = flags.unionByName(blank)
-    named = F.filter(F.array_sort(F.collect_list(F.struct("name", "holds"))), lambda e: e["name"].isNotNull())
-    grouped = flags.groupBy("symbol", "timestamp", *SECTION, "logic").agg(met.alias("met"), F.map_from_entries(named).alias("flags"))
+    sections = cut_lineage(sections_of(rules))
+    n_slabs = max(1, -(-sections.count() // rule_index.SLAB))
+    slabs = sections.groupBy(F.pmod(F.xxhash64(*SECTION), F.lit(n_slabs)).cast("int").alias("slab")).agg(
+        F.collect_list(F.struct(*SECTION, "logic", "conditions")).alias("sections"))
+    moments = moments_of(features, sections.select(F.explode("conditions.feature").alias("feature")))
+    given = F.map_from_entries("given").alias("given")
+    judged = moments.select("symbol", "timestamp", given, F.explode(F.sequence(F.lit(0), F.lit(n_slabs - 1))).alias("slab")).join(
+        slabs, "slab").select("symbol", "timestamp", "given", F.explode("sections").alias("s")).select(
+        "symbol", "timestamp", "given", "s.*")
+
+    def judge(c: Column) -> Column:
+        return F.struct(c["name"].alias("name"), holds(c["operator"], F.try_element_at("given", c["feature"]), c["value"], c["value_high"]).alias("holds"))
+
+    present = F.filter("conditions", lambda c: F.map_contains_key("given", F.coalesce(c["feature"], F.lit(""))))
+    flags = F.transform(present, judge)
+    judged = judged.withColumn("_flags", flags).withColumns({
+        "met": F.size(F.filter("_flags", lambda e: e["holds"])).cast("bigint"), "conditions": F.size("conditions").cast("bigint")})
     passed = F.when(F.col("logic") == "ALL", F.col("met") == F.col("conditions")).when(F.col("logic") == "ANY", F.col("met") > 0)
-    return grouped.join(sizes, SECTION).withColumn("passed", passed)
+    return judged.select(
+        *SECTION, "symbol", "timestamp", "logic", "met", F.map_from_entries("_flags").alias("flags"), "conditions", passed.alias("passed"))
 
 
 def _finding(df: DataFrame, severity: str, problem: Column, subject: Column) -> DataFrame:
@@ -74,53 +117,63 @@ def audit_rules(rules: DataFrame) -> DataFrame:
     name. Contradictions are looked for under ALL only, among enabled complete conditions.
     """
     on = rules.filter("section_enabled")
-    conditions = on.filter("name IS NOT NULL")
-    empty = on.groupBy(*SECTION).agg(F.count("name").alias("n")).filter("n = 0")
-    live = conditions.filter("enabled")
-    name = F.col("name")
+    live = on.filter("name IS NOT NULL AND enabled")
     incomplete = [
         F.when(F.coalesce(F.trim("feature"), F.lit("")) == "", "condition without feature"),
         F.when(F.col("value").isNull(), "condition without value"),
         F.when((F.col("operator") == "BETWEEN") & F.col("value_high").isNull(), "BETWEEN without upper value"),
     ]
-    parts = [
-        _finding(empty, "ERROR", F.lit("enabled section without conditions"), F.lit(None)),
-        _problems(live, incomplete, name),
-    ]
-    repeated = conditions.groupBy(*SECTION, "name").count().filter("count > 1")
-    parts.append(_finding(repeated, "ERROR", F.lit("duplicate condition name"), name))
-    signature = ["feature", "operator", "value", "value_high"]
-    same = conditions.groupBy(*SECTION, *signature).agg(
-        F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
-    parts.append(_finding(same.filter("n > 1"), "WARNING", F.lit("identical conditions"), F.col("names")))
-    parts.append(_contradictions(live.filter("logic = 'ALL' AND value IS NOT NULL AND feature != ''")))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
-
-
-def _contradictions(rules: DataFrame) -> DataFrame:
-    """Bounds of each (section, feature) with at least two conditions that exclude each other.
+    return _problems(live, incomplete, F.col("name")).unionByName(_group_findings(on))
 
-    Of several bounds at the same value the first given one sets whether the value itself is
-    allowed; ``position`` (optional) is the order in which conditions were given.
+
+def _group_findings(on: DataFrame) -> DataFrame:
+    """What shows only between the conditions of a section, in one aggregate.
+
+    Each condition joins four groups (its section, its name, its signature, its feature); ``kind`` and ``key`` tell them apart.
     """
-    place = F.col("position") if "position" in rules.columns else F.lit(0)
+    place = F.col("position") if "position" in on.columns else F.lit(0)
     op, value, high = F.col("operator"), F.col("value"), F.col("value_high")
+    given = F.col("name").isNotNull()
+    bounding = given & F.col("enabled") & (F.col("logic") == "ALL") & value.isNotNull() & (F.col("feature") != "")
+    signature = F.to_json(F.struct("feature", "operator", value.cast("string").alias("v"), high.cast("string").alias("h")))
+    groups = F.array_compact(F.array(
+        F.struct(F.lit("section").alias("kind"), F.lit("").alias("key")),
+        F.when(given, F.struct(F.lit("name").alias("kind"), F.col("name").alias("key"))),
+        F.when(given, F.struct(F.lit("signature").alias("kind"), signature.alias("key"))),
+        F.when(bounding, F.struct(F.lit("feature").alias("kind"), F.col("feature").alias("key"))),
+    ))
+    rows = on.select(*SECTION, "name", op, value, high, place.alias("_place"), F.inline(groups))
+    bounds = F.col("kind") == "feature"
     closed_range = (op == "BETWEEN") & high.isNotNull()
-    lower = F.when(op.isin("GT", "GTE") | closed_range, F.struct(value.alias("v"), (-place).alias("p"), (op != "GT").alias("closed")))
+    lower = F.when(bounds & (op.isin("GT", "GTE") | closed_range), F.struct(value.alias("v"), (-F.col("_place")).alias("p"), (op != "GT").alias("closed")))
     top = F.when(closed_range, high).when(op.isin("LT", "LTE"), value)
-    upper = F.when(top.isNotNull(), F.struct(top.alias("v"), place.alias("p"), (op != "LT").alias("closed")))
-    bounds = (
-        rules.groupBy(*SECTION, "feature")
-        .agg(
-            F.count(F.lit(1)).alias("n"), F.max(lower).alias("lower"), F.min(upper).alias("upper"),
-            F.collect_set(F.when(op == "EQ", value)).alias("eq"),
-            F.collect_set(F.when(op == "NEQ", value)).alias("neq"),
-        )
-        .filter("n > 1")
+    upper = F.when(bounds & top.isNotNull(), F.struct(top.alias("v"), F.col("_place").alias("p"), (op != "LT").alias("closed")))
+    found = rows.groupBy(*SECTION, "kind", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.count("name").alias("names_given"), F.max(lower).alias("lower"), F.min(upper).alias("upper"),
+        F.collect_list(F.when(F.col("kind") == "signature", F.col("name"))).alias("names"),
+        F.collect_set(F.when(bounds & (op == "EQ"), value)).alias("eq"), F.collect_set(F.when(bounds & (op == "NEQ"), value)).alias("neq"),
     )
+    several = F.col("n") > 1
+    error = lambda problem, subject: F.struct(
+        F.lit("ERROR").alias("severity"), F.lit(problem).alias("problem") if isinstance(problem, str) else problem.alias("problem"), subject.cast("string").alias("subject"))
+    problems = F.array_compact(F.concat(
+        F.array(
+            F.when((F.col("kind") == "section") & (F.col("names_given") == 0), error("enabled section without conditions", F.lit(None))),
+            F.when((F.col("kind") == "name") & several, error("duplicate condition name", F.col("key"))),
+            F.when((F.col("kind") == "signature") & several, F.struct(
+                F.lit("WARNING").alias("severity"), F.lit("identical conditions").alias("problem"), F.array_join(F.array_sort("names"), ",").alias("subject"))),
+        ),
+        F.when(bounds & several, F.transform(_contradictions(), lambda p: error(p, F.col("key")))).otherwise(F.array()),
+    ))
+    return found.select(*SECTION, F.inline(problems))
+
+
+def _contradictions() -> Column:
+    """Problems of the bounds of one feature under ALL: lower, upper, eq, neq.
+
+    Of several bounds at the same value the first given one sets whether the value itself is
+    allowed; ``position`` (optional) is the order in which conditions were given.
+    """
     low, up = F.col("lower"), F.col("upper")
     never = (low["v"] > up["v"]) | ((low["v"] == up["v"]) & ~(low["closed"] & up["closed"]))
     def each(e: Column) -> Column:
@@ -133,5 +186,4 @@ def _contradictions(rules: DataFrame) -> DataFrame:
         )
 
     whole = F.array(F.when(F.size("eq") > 1, "contradictory EQ values"), F.when(never, "bounds never both hold"))
-    problems = F.array_compact(F.concat(whole, F.flatten(F.transform("eq", each))))
-    return _finding(bounds.withColumn("_p", F.explode(problems)), "ERROR", F.col("_p"), F.col("feature"))
+    return F.array_compact(F.concat(whole, F.flatten(F.transform("eq", each))))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from perpflow.functions.numeric import fill_price
 from perpflow.operators.asof import next_row
 from perpflow.operators.chunks import Grid
+from perpflow.operators.interval_join import interval_join
 from perpflow.schema import DEFAULT_FEE_RATE, DEFAULT_SLIPPAGE_BPS
 
 RUN = ["run_id", "symbol"]
@@ -56,14 +57,17 @@ def job_symbols(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("symbol", F.explode("symbols")).drop("symbols")
 
 
-def job_bars(jobs: DataFrame, bars: DataFrame) -> DataFrame:
-    """Bars of every (run, symbol), start and end included."""
-    wanted = job_symbols(jobs)
-    return (
-        bars.join(wanted, ["exchange", "symbol", "timeframe"])
-        .filter(F.col("timestamp").between(F.col("start"), F.col("end")))
-        .select("run_id", "symbol", "timestamp", "open", "high", "low", "close")
-    )
+def job_bars(jobs: DataFrame, bars: DataFrame, step: str | int = "1h") -> DataFrame:
+    """Bars of every (run, symbol), start and end included; jobs may overlap in any number."""
+    wanted = job_symbols(jobs).select("run_id", "exchange", "symbol", "timeframe", "start", "end")
+    met = interval_join(bars, wanted, ["exchange", "symbol", "timeframe"], "timestamp", "start", "end", step)
+    return met.select("run_id", "symbol", "timestamp", "open", "high", "low", "close")
+
+
+def job_signals(jobs: DataFrame, signals: DataFrame, step: str | int = "1h") -> DataFrame:
+    """Signals of a symbol for every job that trades it at their time: one strategy, many ranges."""
+    wanted = job_symbols(jobs).select("run_id", "symbol", "start", "end")
+    return interval_join(signals.drop("run_id"), wanted, ["symbol"], "timestamp", "start", "end", step).drop("start", "end")
 
 
 def screen_signals(jobs: DataFrame, signals: DataFrame) -> tuple[DataFrame, DataFrame]:

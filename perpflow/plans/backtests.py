@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from perpflow.operators import research as R, signals as S
 from perpflow.operators.backtest import Backtest, run_backtests, run_per_symbol
 from perpflow.operators.equity import mark_to_market
+from perpflow.operators.quantiles import exact_percentiles
 from perpflow.plans.common import CANDLES_DAILY, CANDLES_HOURLY, HOURLY, daily_bars, hourly_bars, query, rounded, tidy, with_ctes
 from perpflow.schema import JOB
+from perpflow.session import cut_lineage
 from perpflow.sources import adapters as A
 
 START, END = datetime(2024, 1, 1, tzinfo=timezone.utc), datetime(2024, 2, 1, tzinfo=timezone.utc)
@@ -223,6 +225,48 @@ def backtest_many_runs(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(done.unionByName(bt.failed_jobs, allowMissingColumns=True).fillna(0, ["num_trades"]))
 
 
+# A job for every customer: one symbol, its own days and costs; most overlap.
+_CUSTOMER_JOBS = """jobs AS (SELECT concat('c', c_custkey) AS run_id, (['VIEW', 'CLICK', 'PURCHASE', 'SIGNUP', 'ERROR'])[c_custkey % 5 + 1] AS symbol,
+    t0 + c_custkey * 37 % 601 * INTERVAL 1 HOUR AS a, t0 + (c_custkey * 37 % 601 + 24 + c_custkey * 53 % 197) * INTERVAL 1 HOUR AS b,
+    c_nationkey / 10000.0e0 AS fee FROM customer CROSS JOIN (SELECT min(timestamp) AS t0 FROM candles) AS o),
+mine AS (SELECT run_id, fee, s.* FROM jobs JOIN signals s ON s.symbol = jobs.symbol AND s.timestamp BETWEEN a AND b AND s.fill_time <= b),
+met AS (SELECT *, CASE WHEN action = 'ENTER_LONG' THEN fill_open * 1.0002e0 ELSE fill_open * 0.9998e0 END AS fill_price FROM mine),
+paired AS (SELECT *, lag(fill_price) OVER (PARTITION BY run_id ORDER BY fill_time) AS entry_price FROM met)"""
+
+
+def _customer_jobs(spark: SparkSession, sf: str, bars: DataFrame) -> DataFrame:
+    c, hour = F.col("c_custkey"), 3_600_000_000
+    first = F.unix_micros("t0") + F.pmod(c * 37, F.lit(601)) * hour
+    symbol = F.element_at(F.array(*[F.lit(s) for s in SYMBOLS]), F.pmod(c, F.lit(5)).cast("int") + 1)
+    return A.table(spark, sf, "customer").join(bars.agg(F.min("timestamp").alias("t0"))).select(
+        F.concat(F.lit("c"), c).alias("run_id"), F.lit("sim").alias("exchange"), F.array(symbol).alias("symbols"), F.lit("1h").alias("timeframe"),
+        F.timestamp_micros(first).alias("start"), F.timestamp_micros(first + (24 + F.pmod(c * 53, F.lit(197))) * hour).alias("end"),
+        F.lit(10_000.0).alias("initial_cash"), (F.col("c_nationkey") / 10000).alias("fee_rate"), F.lit(2.0).alias("slippage_bps"))
+
+
+@query("backtest_many_ranges", rounded(with_ctes(CANDLES_HOURLY, _SIGNALS, _CUSTOMER_JOBS, body="""
+  SELECT run_id, count(*) AS num_trades, sum(fill_price - entry_price) AS realized_pnl, sum(fill_price * fee) AS closing_fees
+  FROM paired WHERE action = 'EXIT' AND entry_price IS NOT NULL GROUP BY run_id"""), ["realized_pnl", "closing_fees"]))
+def backtest_many_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """A job for every customer over a range of its own, all in one replay; runs without a trade have no row."""
+    bars = hourly_bars(spark, sf)
+    jobs = cut_lineage(_customer_jobs(spark, sf, bars))
+    bt = run_backtests(jobs, bars, S.job_signals(jobs, _cross(bars)), HOURLY)
+    return tidy(bt.trades.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("num_trades"), F.sum("realized_pnl").alias("realized_pnl"), F.sum("fee").alias("closing_fees")))
+
+
+@query("job_bars_many_ranges", rounded(with_ctes(CANDLES_HOURLY, _SIGNALS, _CUSTOMER_JOBS, body="""
+  SELECT run_id, count(*) AS bars, min(c.timestamp) AS first_bar, max(c.timestamp) AS last_bar, avg(c.close) AS mean_close
+  FROM jobs JOIN candles c ON c.symbol = jobs.symbol AND c.timestamp BETWEEN a AND b GROUP BY run_id"""), ["mean_close"]))
+def job_bars_many_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The bars that each of very many overlapping jobs replays."""
+    bars = hourly_bars(spark, sf)
+    met = S.job_bars(S.runnable(cut_lineage(_customer_jobs(spark, sf, bars))), bars)
+    return tidy(met.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("bars"), F.min("timestamp").alias("first_bar"), F.max("timestamp").alias("last_bar"), F.avg("close").alias("mean_close")))
+
+
 _FLIP = """o AS (SELECT symbol, timestamp, CASE WHEN date_part('hour', timestamp) % 3 = 0 THEN 'ENTER_LONG' WHEN date_part('hour', timestamp) % 3 = 1 THEN 'ENTER_SHORT' ELSE 'EXIT' END AS action,
     (1 + date_part('day', timestamp) % 3)::DOUBLE AS n,
     lead(timestamp) OVER (PARTITION BY symbol ORDER BY timestamp) AS fill_time, lead(open) OVER (PARTITION BY symbol ORDER BY timestamp) AS price FROM candles),
@@ -288,15 +332,29 @@ def walk_forward_stats(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(rows.groupBy("symbol", "window_no", "part").agg(F.count(F.lit(1)).alias("bars"), F.avg("close").alias("mean_close")))
 
 
-_SIMS, _SEED = 100, 7
-_BOOT = f"""t AS (SELECT row_number() OVER (ORDER BY exit_time, symbol) - 1 AS idx, count(*) OVER () AS n, realized_pnl FROM trades),
-d AS (SELECT sim, k, ('0x' || substr(md5('{_SEED}|sma|' || sim || '|' || k), 1, 8))::BIGINT % (SELECT max(n) FROM t) AS idx
-  FROM (SELECT unnest(range(0, {_SIMS})) AS sim) AS s CROSS JOIN (SELECT idx AS k FROM t) AS ks),
+_SIMS, _WIDE_SIMS, _SEED = 100, 2_000, 7
+
+
+def _mixed(x: str) -> str:
+    """The integer mixer as SQL; lists name the steps so that each is written once."""
+    step = lambda shift, factor: f"lambda v: (xor(v, v >> {shift}) * {factor}) & 4294967295"
+    inner = f"list_transform(list_transform([{x}], {step(16, 0x7FEB352D)}), {step(15, 0x46CA68B5)})"
+    return f"list_transform({inner}, lambda v: xor(v, v >> 16))[1]"
+
+
+_BOOT_TEXT = f"""t AS (SELECT row_number() OVER (ORDER BY exit_time, symbol) - 1 AS idx, count(*) OVER () AS n, realized_pnl FROM trades),
+z AS (SELECT sim, {_mixed(f"(('0x' || substr(md5('{_SEED}|sma'), 1, 8))::BIGINT + sim) & 4294967295")} AS a,
+  {_mixed(f"(('0x' || substr(md5('{_SEED}|sma'), 9, 8))::BIGINT + sim) & 4294967295")} AS b FROM (SELECT unnest(range(0, {{sims}})) AS sim) AS s),
+d AS (SELECT sim, k, ({_mixed("(" + _mixed("xor(k, a)") + " + b) & 4294967295")} * (SELECT max(n) FROM t)) >> 32 AS idx
+  FROM z CROSS JOIN (SELECT idx AS k FROM t) AS ks),
 path AS (SELECT sim, k, 10000.0e0 + sum(realized_pnl) OVER (PARTITION BY sim ORDER BY k ROWS UNBOUNDED PRECEDING) AS equity FROM d JOIN t USING (idx)),
 roof AS (SELECT *, greatest(10000.0e0, max(equity) OVER (PARTITION BY sim ORDER BY k ROWS UNBOUNDED PRECEDING)) AS peak FROM path),
 paths AS (SELECT sim, max_by(equity, k) AS final_equity, max((peak - equity) / peak) AS max_drawdown FROM roof GROUP BY sim)"""
 
 
+_BOOT, _WIDE_BOOT = (_BOOT_TEXT.replace("{sims}", str(n)) for n in (_SIMS, _WIDE_SIMS))
+
+
 def _paths(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     bt = _flagship(spark, sf)
     return R.bootstrap_paths(bt.trades, bt.jobs, HOURLY, _SIMS, _SEED, piece=256), bt.jobs
@@ -314,4 +372,28 @@ def bootstrap_paths(spark: SparkSession, sf: str) -> DataFrame:
       quantile_cont(max_drawdown, [0.05, 0.25, 0.5, 0.75, 0.95]) AS d FROM paths) AS z"""), ["probability_of_loss", "final_equity", "max_drawdown"]))
 def bootstrap_summary(spark: SparkSession, sf: str) -> DataFrame:
     paths, jobs = _paths(spark, sf)
-    return tidy(R.bootstrap_summary(paths, jobs))
+    return tidy(R.bootstrap_summary(paths, jobs, simulations=_SIMS))
+
+
+_PERCENTS = [0, 1, 5, 25, 50, 75, 95, 99, 100]
+
+
+@query("bootstrap_percentiles_wide", rounded(with_ctes(CANDLES_HOURLY, _SIGNALS, _FILLS, _WIDE_BOOT, body=f"""
+  SELECT 'sma' AS run_id, unnest({_PERCENTS}) AS percentile, unnest(e) AS final_equity FROM (
+    SELECT quantile_cont(final_equity, {[p / 100 for p in _PERCENTS]}) AS e FROM paths) AS z"""), ["final_equity"]))
+def bootstrap_percentiles_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Many paths of one run: percentiles by counting between splitters, so no task takes them all."""
+    bt = _flagship(spark, sf)
+    paths = R.bootstrap_paths(bt.trades, bt.jobs, HOURLY, _WIDE_SIMS, _SEED, piece=256)
+    return tidy(exact_percentiles(paths, ["run_id"], "final_equity", _PERCENTS).withColumnRenamed("value", "final_equity"))
+
+
+@query("price_percentiles", rounded(f"""
+  SELECT symbol, unnest({_PERCENTS}) AS percentile, unnest(q) AS price FROM (
+    SELECT concat('P', l_partkey % 2) AS symbol, quantile_cont(l_extendedprice / l_quantity, {[p / 100 for p in _PERCENTS]}) AS q
+    FROM lineitem GROUP BY l_partkey % 2) AS z""", ["price"]))
+def price_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of two groups that are the whole table."""
+    ticks = A.table(spark, sf, "lineitem").select(
+        F.concat(F.lit("P"), F.pmod("l_partkey", F.lit(2)).cast("string")).alias("symbol"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    return tidy(exact_percentiles(ticks, ["symbol"], "price", _PERCENTS).withColumnRenamed("value", "price"))

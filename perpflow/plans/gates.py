@@ -107,6 +107,41 @@ def rule_audit(spark: SparkSession, sf: str) -> DataFrame:
     return RL.audit_rules(_rule_table(spark, sf))
 
 
+_SECTIONS = """conds AS (SELECT l_orderkey::VARCHAR AS strategy, CASE WHEN l_orderkey % 5 = 0 THEN 'ANY' ELSE 'ALL' END AS logic,
+    l_partkey % 3 AS f, l_suppkey % 7 AS op, CASE WHEN l_partkey % 3 = 2 THEN 8 ELSE 2 END * l_quantity AS v,
+    CASE WHEN l_partkey % 3 = 2 THEN 8 ELSE 2 END * l_quantity + 40 AS w FROM lineitem WHERE l_linenumber % 4 <> 0),
+sections AS (SELECT strategy, logic, list({'f': f, 'op': op, 'v': v, 'w': w}) AS cs FROM conds GROUP BY strategy, logic)"""
+_HOLDS = """CASE c.op WHEN 0 THEN x[c.f + 1] > c.v WHEN 1 THEN x[c.f + 1] >= c.v WHEN 2 THEN x[c.f + 1] < c.v WHEN 3 THEN x[c.f + 1] <= c.v
+    WHEN 4 THEN x[c.f + 1] = c.v WHEN 5 THEN x[c.f + 1] <> c.v ELSE x[c.f + 1] BETWEEN c.v AND c.w END"""
+
+
+def _order_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule section for every order, its lines as conditions on three features of the bars."""
+    op = F.element_at(F.array(*[F.lit(o) for o in ("GT", "GTE", "LT", "LTE", "EQ", "NEQ", "BETWEEN")]), F.pmod("l_suppkey", F.lit(7)).cast("int") + 1)
+    kind = F.pmod("l_partkey", F.lit(3))
+    value = F.when(kind == 2, 8).otherwise(2) * F.col("l_quantity")
+    return A.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("strategy"), F.lit("entry").alias("section"),
+        F.when(F.pmod("l_orderkey", F.lit(5)) == 0, "ANY").otherwise("ALL").alias("logic"), F.lit(True).alias("section_enabled"),
+        F.concat(F.lit("c"), "l_linenumber").alias("name"),
+        F.element_at(F.array(*[F.lit(f"bar.{c}") for c in ("close", "range", "volume")]), kind.cast("int") + 1).alias("feature"),
+        op.alias("operator"), value.cast("double").alias("value"), (value + 40).cast("double").alias("value_high"),
+        (F.pmod("l_linenumber", F.lit(4)) != 0).alias("enabled"))
+
+
+@query("rules_many_sections", with_ctes(CANDLES_HOURLY, _SECTIONS, f"""
+m AS (SELECT symbol, timestamp, [close, high - low, volume] AS x FROM candles),
+hits AS (SELECT strategy, symbol, timestamp FROM sections, m WHERE CASE WHEN logic = 'ALL'
+    THEN len(list_filter(cs, lambda c: {_HOLDS})) = len(cs) ELSE len(list_filter(cs, lambda c: {_HOLDS})) > 0 END)""", body="""
+  SELECT strategy, symbol, count(*) AS bars, min(timestamp) AS first_bar, max(timestamp) AS last_bar FROM hits GROUP BY strategy, symbol"""))
+def rules_many_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each of very many rule sections passes, over all bars: bars, first and last one per symbol."""
+    bars = A.candles_events(spark, sf).withColumn("range", F.col("high") - F.col("low"))
+    hits = RL.passing_sections(to_long(bars, "bar", ["close", "range", "volume"]), _order_sections(spark, sf))
+    return tidy(hits.groupBy("strategy", "symbol").agg(
+        F.count(F.lit(1)).alias("bars"), F.min("timestamp").alias("first_bar"), F.max("timestamp").alias("last_bar")))
+
+
 # --- gate inputs ------------------------------------------------------------------------------
 
 _BASE = """base AS (SELECT upper(event_type) AS symbol, date_trunc('hour', ts) AS as_of, max(event_id) AS arrival, count(*) AS n, avg(value) AS v

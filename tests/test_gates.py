@@ -134,3 +134,42 @@ def test_audit_finds_each_problem(spark):
     found = sorted((r.section, r.problem) for r in RL.audit_rules(spark.createDataFrame(table, RULE)).collect())
     assert found == [("e", "BETWEEN without upper value"), ("e", "EQ and NEQ on one value"), ("e", "bounds never both hold"),
                      ("e", "duplicate condition name"), ("empty", "enabled section without conditions")]
+
+
+def test_index_agrees_with_every_row_judged(spark, hour):
+    """Thousands of sections: what passes by bits is what passes row by row."""
+    rng = random.Random(9)
+    features = spark.createDataFrame(
+        [(s, f, hour(h), float(rng.randint(0, 6)), "v1") for s in "AB" for h in range(12) for f in "xyz" if rng.random() < 0.8] + [("C", "unused", hour(0), 1.0, "v1")],
+        "symbol string, feature_name string, timestamp timestamp, value double, version string")
+    ops = ["GT", "GTE", "LT", "LTE", "EQ", "NEQ", "BETWEEN", "ODD"]
+    table = []
+    for i in range(1500):
+        logic = rng.choice(["ALL", "ANY", "CUSTOM"])
+        for j in range(rng.randint(1, 4)):
+            value = None if rng.random() < 0.03 else float(rng.randint(0, 6))
+            table.append((f"s{i % 40}", f"n{i}", logic, rng.random() < 0.95, f"c{j}", rng.choice(["x", "y", "z", "w", None]), rng.choice(ops), value,
+                          rng.choice([None, float(rng.randint(0, 7))]), rng.random() < 0.9))
+    rules = spark.createDataFrame(table, RULE)
+    got = {tuple(r) for r in RL.passing_sections(features, rules).select("symbol", "timestamp", "strategy", "section").collect()}
+    rows = RL.apply_rules(features, rules)
+    want = {tuple(r) for r in rows.where("passed").select("symbol", "timestamp", "strategy", "section").collect()}
+    assert got == want and len(want) > 1000
+    sections = RL.sections_of(rules).count()
+    assert rows.count() == sections * features.select("symbol", "timestamp").distinct().count()
+
+
+def test_newest_version_of_a_feature_counts(spark, hour):
+    features = spark.createDataFrame([("A", "x", hour(0), 5.0, "v1"), ("A", "x", hour(0), 1.0, "v2")],
+                                     "symbol string, feature_name string, timestamp timestamp, value double, version string")
+    rules = spark.createDataFrame([("s", "a", "ALL", True, "one", "x", "GT", 2.0, None, True)], RULE)
+    assert RL.apply_rules(features, rules).first().passed is False and RL.passing_sections(features, rules).count() == 0
+
+
+def test_no_rules_and_no_features(spark, hour):
+    empty = spark.createDataFrame([], "symbol string, feature_name string, timestamp timestamp, value double, version string")
+    rules = spark.createDataFrame([("s", "a", "ANY", True, "one", "x", "GT", 2.0, None, True)], RULE)
+    some = spark.createDataFrame([("A", "x", hour(0), 5.0, "v1")], empty.schema)
+    none = rules.where("false")
+    for f, r in ((empty, rules), (some, none), (empty, none)):
+        assert RL.apply_rules(f, r).count() == 0 and RL.passing_sections(f, r).count() == 0
