@@ -16,8 +16,8 @@ confirmed on the full sets of both texts.
 
 Groups of copies never become all their pairs. Equal sets are one document of the join. Large nodes compare their
 members with one hub, small nodes hand on the best spanning forest of their candidates; when those are
-confirmed, nodes whose members hang together within three links are left alone: large ones branch no further, and of small ones
-only candidates between different such groups are confirmed after that. Nodes with the same members are compared once. Nodes
+confirmed, nodes whose members are one component by then are left alone: large ones branch no further, and of small ones only
+candidates between different components are confirmed after that. Nodes with the same members are compared once. Nodes
 that are still large when their tokens are used up are compared block by block, so no pair of a node is left out.
 
 Cases: null and blank texts have empty sets and link with nothing; texts under five words have one shingle of all
@@ -115,12 +115,18 @@ def _fits(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
 
 
-def _agreement(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated similarity of sketches row by row, and whether the pair may reach the threshold."""
+def _agreement(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated similarity of sketches row by row, and whether the pair may reach the threshold.
+
+    The ranges that are filled in either sketch are a sample of the union without repetition, so a small union is
+    nearly counted out and its estimate varies little.
+    """
     s = PERCENT / 100
     same = np.count_nonzero((a == b) & (a > 0), axis=1)
     either = np.count_nonzero(a | b, axis=1)
-    return same / np.maximum(either, 1), same >= either * s - SIGMAS * np.sqrt(either * s * (1 - s))
+    union = np.maximum((na + nb) / (1 + s), either + 1)
+    spread = np.sqrt(either * s * (1 - s) * (union - either) / (union - 1))
+    return same / np.maximum(either, 1), same >= either * s - SIGMAS * spread - 1
 
 
 def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +160,7 @@ def _compared(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarr
             apart = (groups[i] != groups[j]) & (ids[i] != ids[j]) & _fits(sizes[i], sizes[j])
             i, j = i[apart], j[apart]
             if len(i):
-                estimate, near = _agreement(sketch[i], sketch[j])
+                estimate, near = _agreement(sketch[i], sketch[j], sizes[i], sizes[j])
                 yield node, ids[i[near]], ids[j[near]], estimate[near]
 
 
@@ -196,8 +202,9 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in ("su", "sv"))
-        _, near = _agreement(a, b)
-        keep = pa.array(near & _fits(batch.column("nu").to_numpy(), batch.column("nv").to_numpy()))
+        na, nb = batch.column("nu").to_numpy(), batch.column("nv").to_numpy()
+        _, near = _agreement(a, b, na, nb)
+        keep = pa.array(near & _fits(na, nb))
         yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], ["u", "v"])
 
 
@@ -272,7 +279,7 @@ def _gathered(rows: DataFrame, sets: DataFrame, compare: Callable) -> DataFrame:
 
 
 def _gathered_labels(links: DataFrame) -> DataFrame:
-    """(id, component): the smallest id within three links. Equal ones are connected, which is all that pruning needs."""
+    """(id, component): the smallest id within three links."""
     ends = F.array(*[F.struct(F.col(a).alias("id"), F.col(b).alias("near")) for a in "uv" for b in "uv"])
     near = links.select(F.inline(ends))
     labels = near.groupBy("id").agg(F.min("near").alias("component"))
@@ -322,7 +329,7 @@ def near_duplicates(docs: DataFrame, target: float = TARGET) -> DataFrame:
         """Confirm candidates; (id, component) by all links so far."""
         judged.append(cut_lineage(candidates))
         links.append(cut_lineage(_confirm(judged[-1], met)))
-        written.append(cut_lineage(_gathered_labels(_all(links))))
+        written.append(cut_lineage(_whole_components(_all(links))))
         return written[-1]
 
     groups = settle(_gathered(_several_components(small[0], None), sets, _forest).unionByName(_to_hubs(large, sets)).distinct())
