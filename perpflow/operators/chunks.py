@@ -111,14 +111,14 @@ def lead_in(df: DataFrame, keys: Sequence[str], order: str, grid: Grid, before:
     # Rows before each chunk. A chunk lends to the later ones that begin less than ``before`` rows after its end,
     # that is after the beginning of the next chunk: a range of this count, and never an array of more chunks.
     along = W.partitionBy(*keys).orderBy(CHUNK)
-    begun = counted.withColumn("_from", F.coalesce(F.sum(F.col("_tail")[0]).over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    wanting = F.collect_list(F.struct(F.col(CHUNK).alias("to"), F.col("_from").alias("from"))).over(
-        W.partitionBy(*keys).orderBy("_from").rangeBetween(0, before - 1))
-    end = F.col("_from") + F.col("_tail")[0]
+    begun = counted.withColumn("_rows_before", F.coalesce(F.sum(F.col("_tail")[0]).over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    wanting = F.collect_list(F.struct(F.col(CHUNK).alias("to"), F.col("_rows_before").alias("rows"))).over(
+        W.partitionBy(*keys).orderBy("_rows_before").rangeBetween(0, before - 1))
+    end = F.col("_rows_before") + F.col("_tail")[0]
     loans = (
         begun.withColumn("_wanting", wanting).withColumn("_later", F.lead("_wanting").over(along))
         .withColumn("_loan", F.explode("_later"))
-        .withColumn("_want", F.lit(before) - (F.col("_loan.from") - end))
+        .withColumn("_want", F.lit(before) - (F.col("_loan.rows") - end))
         .select(
             *part,
             F.col("_loan.to").alias("_loan_to"),

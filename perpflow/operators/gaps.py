@@ -59,31 +59,29 @@ def missing_points(gaps: DataFrame, keys: Sequence[str], grid: Grid) -> DataFram
     return points.select(*keys, F.timestamp_micros("_p").alias("timestamp"))
 
 
+def rows_for_gaps(stored: DataFrame, landed: DataFrame, ranges: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
+    """Those landed rows that fall inside a gap of the stored series.
+
+    A landed row belongs to a gap if the nearest stored grid point before it is not followed by the next
+    one, which the as-of look-up of gap starts decides without a range join.
+    """
+    from perpflow.operators.asof import previous_row
+
+    gaps = find_gaps(stored, ranges, keys, grid).withColumn("timestamp", F.col("gap_start"))
+    located = previous_row(landed, gaps, keys, "timestamp", grid, {"gap_end": "_gap_end"})
+    return located.filter(F.col("timestamp") <= F.col("_gap_end")).drop("_gap_end")
+
+
 def fill_gaps(stored: DataFrame, landed: DataFrame, ranges: DataFrame, keys: Sequence[str], grid: Grid,
               seq: str | None = "ingest_seq") -> tuple[DataFrame, DataFrame]:
     """Add only those landed rows that fall inside a gap; report gaps still open.
 
-    Returns (merged rows inside the ranges, remaining gaps). A landed row belongs to a gap if
-    the nearest stored grid point before it is not followed by the next one, which the
-    as-of look-up of gap starts decides without a range join.
+    Returns (merged rows inside the ranges, remaining gaps).
     """
-    from perpflow.operators.asof import previous_row
     from perpflow.operators.dedupe import merge_last_wins
 
-    gaps = find_gaps(stored, ranges, keys, grid).withColumn("timestamp", F.col("gap_start"))
-    located = previous_row(landed, gaps, keys, "timestamp", grid, {"gap_end": "_gap_end"})
-    usable = located.filter(F.col("timestamp") <= F.col("_gap_end")).drop("_gap_end")
+    usable = rows_for_gaps(stored, landed, ranges, keys, grid)
     merged = merge_last_wins(stored, usable, [*keys, "timestamp"], seq or "ingest_seq")
     wanted = ranges.select(*keys, "range_start", "range_end")
     inside = interval_join(merged, wanted, keys, "timestamp", "range_start", "range_end", grid.step).select(*merged.columns)
     return inside, find_gaps(merged, ranges, keys, grid)
-
-
-def late_steps(rows: DataFrame, keys: Sequence[str], grid: Grid, interval: int) -> DataFrame:
-    """Timestamps that follow the previous one by more than ``interval`` microseconds.
-
-    Copies of a timestamp cannot open a gap, so each is looked at once.
-    """
-    led = lead_in(rows.select(*keys, "timestamp").distinct(), keys, "timestamp", grid, 1)
-    elapsed = F.unix_micros("timestamp") - F.unix_micros(F.lag("timestamp").over(window(keys, "timestamp")))
-    return own(led.withColumn("gap_micros", elapsed)).filter(F.col("gap_micros") > interval)

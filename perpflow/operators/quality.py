@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from perpflow.functions.numeric import micros
-from perpflow.operators.chunks import Grid
-from perpflow.operators.gaps import late_steps
+from perpflow.operators.chunks import CHUNK, Grid, chunk_totals, placed_rows, window
+from perpflow.session import cut_lineage
 
 
 def _rows(df: DataFrame, keys: Sequence[str], severity: str, problem: str, detail: Column | None = None) -> DataFrame:
@@ -17,53 +17,6 @@ def _rows(df: DataFrame, keys: Sequence[str], severity: str, problem: str, detai
                      "timestamp", note.alias("detail"))
 
 
-def row_checks(df: DataFrame, keys: Sequence[str], required: Sequence[str], label: str, *, candles: bool = False) -> DataFrame:
-    """Findings that one row shows by itself, in one pass: missing values, high below low, no zone.
-
-    A timestamp column without zone is wrong for every row, a zoned one for none.
-    """
-    absent = F.lit(False)
-    for c in required:
-        absent = absent | F.col(c).isNull()
-    naive = dict(df.dtypes)["timestamp"] == "timestamp_ntz"
-    found = [_mark(absent, "WARNING", f"missing {label}"), _mark(F.lit(naive), "ERROR", "naive timestamp")]
-    if candles:
-        found.append(_mark(F.col("high") < F.col("low"), "ERROR", "high below low"))
-    marks = df.select(*keys, "timestamp", F.inline(F.array_compact(F.array(*found))))
-    return marks.select(*keys, "severity", "problem", "timestamp", F.lit(None).cast("double").alias("detail"))
-
-
-def _mark(when: Column, severity: str, problem: str) -> Column:
-    return F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(problem).alias("problem")))
-
-
-def duplicates(df: DataFrame, keys: Sequence[str], problem: str = "duplicate timestamp") -> DataFrame:
-    repeated = df.groupBy(*keys, "timestamp").count().filter("count > 1")
-    return _rows(repeated, keys, "ERROR", problem, F.col("count"))
-
-
-def outliers(df: DataFrame, keys: Sequence[str], value: Column, threshold: float | None, label: str) -> DataFrame:
-    """Rows further than ``threshold`` population standard deviations from the series mean."""
-    rows = df.select(*keys, "timestamp", value.alias("_v")).filter(F.col("_v").isNotNull())
-    if threshold is None:
-        return _rows(rows.filter(F.lit(False)), keys, "WARNING", f"outlier {label}")
-    spread = rows.groupBy(*keys).agg(
-        F.avg("_v").alias("_mean"), F.stddev_pop("_v").alias("_sd"), F.count("_v").alias("_n")
-    ).filter((F.col("_n") >= 2) & (F.col("_sd") != 0))
-    z = F.try_divide(F.col("_v") - F.col("_mean"), F.col("_sd"))
-    scored = rows.join(spread, [*keys]).withColumn("_z", z)
-    return _rows(scored.filter(F.abs("_z") > threshold), keys, "WARNING", f"outlier {label}", F.abs("_z"))
-
-
-def gaps(df: DataFrame, keys: Sequence[str], grid: Grid, interval) -> DataFrame:
-    """Consecutive raw readings further apart than the expected interval."""
-    if interval is None:
-        empty = df.filter(F.lit(False))
-        return _rows(empty, keys, "WARNING", "gap")
-    late = late_steps(df, keys, grid, micros(interval))
-    return _rows(late, keys, "WARNING", "gap", F.col("gap_micros"))
-
-
 def unknown_exchanges(selection: Sequence[str] | None, observed: Sequence[DataFrame]) -> DataFrame:
     """Selected exchanges that no supplied series contains."""
     first = observed[0]
@@ -83,25 +36,76 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return result
 
 
+def _stamps(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+    """One row for each timestamp of a series: copies, and count, mean and squared deviations of the values.
+
+    All that findings between rows ask for merges from these; the raw rows are folded before they are shuffled.
+    """
+    v = F.col("_v")
+    return cut_lineage(df.select(*keys, "timestamp", value.cast("double").alias("_v")).groupBy(*keys, "timestamp").agg(
+        F.count(F.lit(1)).alias("_copies"), F.count(v).alias("_n"), F.avg(v).alias("_mean"), (F.var_pop(v) * F.count(v)).alias("_m2")))
+
+
+def _spread(stamps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _center, _sd) of series with at least two values that differ, merged from their timestamps."""
+    some = stamps.filter("_n > 0")
+    weight = F.col("_n").cast("double")
+    center = some.groupBy(*keys).agg((F.sum(F.col("_mean") * weight) / F.sum(weight)).alias("_center"), F.sum("_n").alias("_all")).filter("_all >= 2")
+    apart = F.col("_mean") - F.col("_center")
+    return some.join(center, [*keys]).groupBy(*keys, "_center").agg(
+        F.sqrt(F.sum(F.col("_m2") + weight * apart * apart) / F.sum(weight)).alias("_sd")).filter("_sd <> 0")
+
+
+def _late(stamps: DataFrame, keys: Sequence[str], grid: Grid, interval: int) -> DataFrame:
+    """Timestamps further than ``interval`` from the one before; a chunk's first is compared with the last of the chunks before."""
+    placed = placed_rows(stamps.select(*keys, "timestamp"), keys, "timestamp", grid)
+    ends = chunk_totals(placed, keys, {"end": ("max", F.col("timestamp"))})
+    before = F.coalesce(F.lag("timestamp").over(window(keys, "timestamp")), F.col("_base_end"))
+    elapsed = F.unix_micros("timestamp") - F.unix_micros(before)
+    return placed.join(ends, [*keys, CHUNK]).withColumn("gap_micros", elapsed).filter(F.col("gap_micros") > interval)
+
+
+def _report(df: DataFrame, keys: Sequence[str], value: Column, label: str, required: Sequence[str], grid: Grid, outlier_zscore: float | None,
+            expected_interval, *, candles: bool = False, missing: str | None = None, pooled: Sequence[str] | None = None) -> DataFrame:
+    """All findings of one raw series in two passes over it: one for what rows show together, one for what each shows.
+
+    ``pooled`` are the keys over which values are judged, if not ``keys``; the keys left out are NULL in those findings.
+    """
+    stamps = _stamps(df, keys, value)
+    note = lambda c: c.cast("double").alias("detail")
+    absent = F.lit(False)
+    for c in required:
+        absent = absent | F.col(c).isNull()
+    naive = dict(df.dtypes)["timestamp"] == "timestamp_ntz"
+    mark = lambda when, severity, problem, detail=F.lit(None), pool=False: F.when(when, F.struct(
+        F.lit(severity).alias("severity"), F.lit(problem).alias("problem"), note(detail), F.lit(pool).alias("_pool")))
+    marks = [mark(absent, "WARNING", f"missing {missing or label}"), mark(F.lit(naive), "ERROR", "naive timestamp")]
+    if candles:
+        marks.append(mark(F.col("high") < F.col("low"), "ERROR", "high below low"))
+    rows, shared = df, list(keys if pooled is None else pooled)
+    if outlier_zscore is not None:
+        rows = df.join(_spread(stamps, shared), shared, "left")
+        z = F.abs(F.try_divide(value - F.col("_center"), F.col("_sd")))
+        marks.append(mark(z > outlier_zscore, "WARNING", f"outlier {label}", z, True))
+    found = rows.select(*keys, "timestamp", F.inline(F.array_compact(F.array(*marks))))
+    owned = [F.col(k) if k in shared else F.when(~F.col("_pool"), F.col(k)).alias(k) for k in keys]
+    columns = [*keys, "severity", "problem", "timestamp", "detail"]
+    parts = [found.select(*owned, "severity", "problem", "timestamp", "detail"),
+             _rows(stamps.filter("_copies > 1"), keys, "ERROR", "duplicate timestamp", F.col("_copies"))]
+    if expected_interval is not None:
+        parts.append(_rows(_late(stamps, keys, grid, micros(expected_interval)), keys, "WARNING", "gap", F.col("gap_micros")))
+    return _union([p.select(*columns) for p in parts])
+
+
 def series_report(df: DataFrame, keys: Sequence[str], value: str, grid: Grid, *,
                   outlier_zscore: float | None = None, expected_interval=None) -> DataFrame:
     """Report for a one-value series (funding rate, open interest)."""
-    return _union([
-        row_checks(df, keys, [value], value),
-        duplicates(df, keys),
-        outliers(df, keys, F.col(value), outlier_zscore, value),
-        gaps(df, keys, grid, expected_interval),
-    ])
+    return _report(df, keys, F.col(value), value, [value], grid, outlier_zscore, expected_interval)
 
 
 def candle_report(df: DataFrame, keys: Sequence[str], grid: Grid, *,
                   outlier_zscore: float | None = None, expected_interval=None) -> DataFrame:
-    return _union([
-        row_checks(df, keys, ["high", "low", "close"], "candle", candles=True),
-        duplicates(df, keys),
-        outliers(df, keys, F.col("close"), outlier_zscore, "close"),
-        gaps(df, keys, grid, expected_interval),
-    ])
+    return _report(df, keys, F.col("close"), "close", ["high", "low", "close"], grid, outlier_zscore, expected_interval, candles=True, missing="candle")
 
 
 # For each liquidity input, its required columns and the value tested for outliers.
@@ -122,15 +126,9 @@ def liquidity_report(sources: dict[str, DataFrame], grid: Grid, *, outlier_zscor
 
     The outlier test pools the exchanges of a symbol. Adds the ``source`` column.
     """
-    keys = ["symbol", "exchange"]
     parts = []
     for name, df in sources.items():
         columns, value = LIQUIDITY_SOURCES[name]
-        pooled = outliers(df, ["symbol"], value(), outlier_zscore, name)
-        found = _union([
-            row_checks(df, keys, columns, name),
-            duplicates(df, keys),
-            gaps(df, keys, grid, expected_interval),
-        ]).unionByName(pooled, allowMissingColumns=True)
+        found = _report(df, ["symbol", "exchange"], value(), name, columns, grid, outlier_zscore, expected_interval, pooled=["symbol"])
         parts.append(found.withColumn("source", F.lit(name)))
     return _union(parts)

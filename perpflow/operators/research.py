@@ -14,6 +14,8 @@ from perpflow.operators.quantiles import exact_percentiles
 from perpflow.session import cut_lineage
 
 DEFAULT_PERCENTILES = (5, 25, 50, 75, 95)
+#: Draws that one task makes at most, about.
+DRAWS = 1_000_000
 #: Paths of one run that a single task may put in order.
 GATHERED = 100_000
 
@@ -112,7 +114,9 @@ def bootstrap_paths(trades: DataFrame, jobs: DataFrame, grid: Grid, simulations:
     pieces = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(piece).cast("bigint")))
     first, second = stream_keys(seed, F.col("run_id"), F.col("sim"))
     sims = sizes.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1)))).withColumns({"_first": first, "_second": second})
-    starts = sims.withColumn("_from", pieces).repartition("run_id", "sim", "_from")
+    # The pieces are a few bytes each before they become draws: a number of partitions keeps them from being put together.
+    tasks = max(int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-indexed.count() * simulations // DRAWS))
+    starts = sims.withColumn("_from", pieces).repartition(tasks, "run_id", "sim", "_from")
     upto = F.least(F.col("n"), F.col("_from") + piece) - 1
     draws = starts.withColumn("k", F.explode(F.sequence(F.col("_from"), upto))).select(
         "run_id", "sim", "_from", "k", draw(F.col("_first"), F.col("_second"), F.col("k"), F.col("n")).alias("idx"))

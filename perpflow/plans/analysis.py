@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from perpflow.operators import feature_maps, level_analysis as LA, liquidity as LQ, premium_discount as PD
 from perpflow.operators.dedupe import UNIQUE
-from perpflow.operators.score import join_analyses
+from perpflow.operators.score import Provider, ScoreConfig, join_analyses, score
 from perpflow.plans.common import (
     CANDLES_DAILY, CANDLES_HOURLY, DAILY, FUNDING, HOURLY, LIQUIDATIONS, OPEN_INTEREST, ORACLES, ORDER_READINGS, RATIOS,
     READINGS, daily_bars, hourly_bars, query, rounded, stored, tidy, with_ctes,
@@ -356,9 +356,33 @@ def liquidity_exchange_totals(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(totals, 3)
 
 
+_BIAS_SOURCES = """acc AS (SELECT symbol, timestamp, sum(long_account_ratio) AS l, sum(short_account_ratio) AS s FROM ratios
+  WHERE hour(timestamp) % 3 <> 0 GROUP BY symbol, timestamp),
+pos AS (SELECT symbol, timestamp, sum(short_account_ratio) AS l, sum(long_account_ratio) AS s FROM ratios
+  WHERE hour(timestamp) % 5 = 0 AND day(timestamp) > 2 GROUP BY symbol, timestamp),
+lt AS (SELECT DISTINCT symbol, timestamp FROM liq),
+m AS (SELECT lt.symbol, lt.timestamp AS as_of, (acc.l - acc.s) / nullif(acc.l + acc.s, 0) AS top_trader_account_bias,
+    (pos.l - pos.s) / nullif(pos.l + pos.s, 0) AS top_trader_position_bias, pos.timestamp IS NOT NULL AS has
+  FROM lt ASOF LEFT JOIN acc ON acc.symbol = lt.symbol AND lt.timestamp >= acc.timestamp ASOF LEFT JOIN pos ON pos.symbol = lt.symbol AND lt.timestamp >= pos.timestamp)"""
+
+
+@query("liquidity_bias_sources", rounded(with_ctes(LIQUIDATIONS, RATIOS, _BIAS_SOURCES, body="""
+  SELECT symbol, as_of, top_trader_account_bias, top_trader_position_bias, CASE WHEN has THEN top_trader_position_bias ELSE top_trader_account_bias END AS top_trader_bias FROM m"""),
+  ["top_trader_account_bias", "top_trader_position_bias", "top_trader_bias"]))
+def liquidity_bias_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Accounts and positions from different tables: positions decide from their first reading on."""
+    ratio, hour = stored(A.ratio_events, spark, sf), F.hour("timestamp")
+    position = ratio.filter((F.pmod(hour, F.lit(5)) == 0) & (F.dayofmonth("timestamp") > 2)).withColumns({
+        "long_account_ratio": F.col("short_account_ratio"), "short_account_ratio": F.col("long_account_ratio")})
+    inputs = LQ.LiquidityInputs(
+        stored(A.liquidation_events, spark, sf), top_trader_account_ratio=ratio.filter(F.pmod(hour, F.lit(3)) != 0), top_trader_position_ratio=position)
+    out = LQ.liquidity_series(inputs, HOURLY, _SUM, seq=UNIQUE)
+    return tidy(out.select("symbol", "as_of", "top_trader_account_bias", "top_trader_position_bias", "top_trader_bias"))
+
+
 # --- analysis rows as features ----------------------------------------------------------------
 
-def _map_sql(inner: str, prefix: str, fields: list[str], extra: dict[str, str] | None = None, digits: int = 3) -> str:
+def _map_sql(inner: str, prefix: str, fields: list[str], extra: dict[str, str] | None = None, digits: int = 9) -> str:
     def number(f: str) -> str:
         return f"CASE {f} WHEN 'true' THEN 1.0e0 WHEN 'false' THEN 0.0e0 END" if f.startswith("is_") else f"{f}::DOUBLE"
 
@@ -372,13 +396,13 @@ def _flag(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.col(name) == "true")
 
 
-def _places(df: DataFrame, digits: int = 3) -> DataFrame:
+def _places(df: DataFrame, digits: int = 9) -> DataFrame:
     return df.withColumn("value", F.round("value", digits) + F.lit(0.0))
 
 
-@query("analysis_features_open_interest", _map_sql(ORACLES["open_interest_latest"], "open_interest_analysis_sim", feature_maps.OPEN_INTEREST_FIELDS))
+@query("analysis_features_open_interest", _map_sql(ORACLES["open_interest_latest"], "open_interest_analysis_sim", feature_maps.OPEN_INTEREST_FIELDS, digits=9))
 def analysis_features_open_interest(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(_places(feature_maps.open_interest_features(_flag(open_interest_latest(spark, sf), "is_abnormal_spike"))), 9)
+    return tidy(_places(feature_maps.open_interest_features(_flag(open_interest_latest(spark, sf), "is_abnormal_spike")), 9), 9)
 
 
 @query("analysis_features_funding", _map_sql(ORACLES["funding_latest"], "funding_rate_analysis", feature_maps.FUNDING_FIELDS, digits=9))
@@ -389,14 +413,14 @@ def analysis_features_funding(spark: SparkSession, sf: str) -> DataFrame:
 _ZONE_FLAGS = {f"zone_is_{z.lower()}": f"CASE WHEN zone = '{z}' THEN 1.0 ELSE 0.0 END" for z in PD.ZONES}
 
 
-@query("analysis_features_range", _map_sql(ORACLES["range_latest"], "premium_discount_analysis_1h", feature_maps.RANGE_FIELDS, _ZONE_FLAGS))
+@query("analysis_features_range", _map_sql(ORACLES["range_latest"], "premium_discount_analysis_1h", feature_maps.RANGE_FIELDS, _ZONE_FLAGS, digits=9))
 def analysis_features_range(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(_places(feature_maps.range_features(range_latest(spark, sf))), 9)
+    return tidy(_places(feature_maps.range_features(range_latest(spark, sf)), 9), 9)
 
 
-@query("analysis_features_liquidity", _map_sql(ORACLES["liquidity_latest"], "liquidity_analysis", feature_maps.LIQUIDITY_FIELDS))
+@query("analysis_features_liquidity", _map_sql(ORACLES["liquidity_latest"], "liquidity_analysis", feature_maps.LIQUIDITY_FIELDS, digits=9))
 def analysis_features_liquidity(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(_places(feature_maps.liquidity_features(_flag(liquidity_latest(spark, sf), "is_abnormal_liquidation"))), 9)
+    return tidy(_places(feature_maps.liquidity_features(_flag(liquidity_latest(spark, sf), "is_abnormal_liquidation")), 9), 9)
 
 
 @query("analyses_joined", f"""
@@ -412,3 +436,40 @@ def analyses_joined(spark: SparkSession, sf: str) -> DataFrame:
         _label(stored(A.open_interest_events, spark, sf)), HOURLY, config=_OI_CONFIG, source="sim", seq=UNIQUE).filter(F.pmod(hour, F.lit(4)) != 0)
     both = join_analyses({"funding": funding, "open_interest": interest})
     return tidy(both.select("symbol", "as_of", F.col("funding.confidence_level").alias("funding"), F.col("open_interest.confidence_level").alias("open_interest")))
+
+
+_FOUR = f"""f AS (SELECT split_part(symbol, '/', 2) AS symbol, as_of, confidence_level AS c, funding_trend AS t FROM ({ORACLES['funding_series']}) AS q WHERE symbol LIKE 'EX0/%'),
+o AS (SELECT split_part(symbol, '/', 2) AS symbol, as_of, confidence_level AS c, spike_magnitude AS z FROM ({ORACLES['open_interest_series']}) AS q WHERE symbol LIKE 'EX1/%'),
+p AS (SELECT CASE symbol WHEN 'VIEW' THEN 'AAAUSDT' ELSE 'BBBUSDT' END AS symbol, as_of, confidence_level AS c, current_price_position_pct AS y
+  FROM ({ORACLES['range_series_band']}) AS q WHERE symbol IN ('VIEW', 'CLICK')),
+l AS (SELECT symbol, as_of, confidence_level AS c, liquidation_bias AS b FROM ({ORACLES['liquidity_series']}) AS q),
+k AS (SELECT symbol, as_of FROM f UNION SELECT symbol, as_of FROM o UNION SELECT symbol, as_of FROM p UNION SELECT symbol, as_of FROM l),
+j AS (SELECT k.*, f.c AS fc, o.c AS oc, p.c AS pc, l.c AS lc, CASE WHEN f.c IS NOT NULL THEN CASE WHEN t = 'RISING' THEN 0.75e0 ELSE 0.25e0 END END AS fv,
+    1 - abs(z) / 10 AS ov, y / 100 AS pv, (b + 1) / 2 AS lv
+  FROM k LEFT JOIN f USING (symbol, as_of) LEFT JOIN o USING (symbol, as_of) LEFT JOIN p USING (symbol, as_of) LEFT JOIN l USING (symbol, as_of))"""
+
+
+@query("analyses_scored", rounded(with_ctes(_FOUR, body="""
+  SELECT symbol, as_of, fc AS funding, oc AS open_interest, pc AS premium_discount, lc AS liquidity, least(fc, oc, pc, lc) AS confidence,
+    CASE WHEN fc IS NULL OR (ov < 0 OR ov > 1) OR (pv < 0 OR pv > 1) THEN NULL ELSE greatest(fv, ov, pv, lv) END AS total_score FROM j""").replace(
+        "(ov < 0 OR ov > 1)", "coalesce(ov < 0 OR ov > 1, FALSE)").replace("(pv < 0 OR pv > 1)", "coalesce(pv < 0 OR pv > 1, FALSE)"), ["funding", "open_interest", "premium_discount", "liquidity", "confidence", "total_score"]))
+def analyses_scored(spark: SparkSession, sf: str) -> DataFrame:
+    """All four analyses aligned and scored, with an aggregator of its own: the best usable component instead of the weighted mean."""
+    of_exchange = lambda df, name: df.filter(F.col("symbol").startswith(f"{name}/")).withColumn("symbol", F.substring_index("symbol", "/", -1))
+    band = range_series_band(spark, sf).filter(F.col("symbol").isin("VIEW", "CLICK"))
+    joined = join_analyses({
+        "funding": of_exchange(funding_series(spark, sf), "EX0"), "open_interest": of_exchange(open_interest_series(spark, sf), "EX1"),
+        "premium_discount": band.withColumn("symbol", F.when(F.col("symbol") == "VIEW", "AAAUSDT").otherwise("BBBUSDT")),
+        "liquidity": liquidity_series(spark, sf)})
+    providers = {
+        "funding": Provider("v1", lambda a: F.when(a["funding_trend"] == "RISING", 0.75).otherwise(0.25)),
+        "open_interest": Provider("v1", lambda a: 1 - F.abs(a["spike_magnitude"]) / 10),
+        "premium_discount": Provider("v1", lambda a: a["current_price_position_pct"] / 100),
+        "liquidity": Provider("v1", lambda a: (a["liquidation_bias"] + 1) / 2)}
+
+    def best(values, usable, weights):
+        return F.greatest(*[F.when(usable[n], v) for n, v in values.items()])
+
+    scored = score(joined, ScoreConfig("v1", required=("funding",)), providers, aggregate=best)
+    levels = [F.col(n)["confidence_level"].alias(n) for n in providers]
+    return tidy(scored.select("symbol", "as_of", *levels, "confidence", "total_score"))

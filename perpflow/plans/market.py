@@ -15,8 +15,9 @@ from perpflow.plans.common import (
 from perpflow.session import shared_folder
 from perpflow.sources import adapters as A, landing as L
 from perpflow.sources.store import (
-    FeatureStore, chronological, clip, covered_range, observations, observations_from_features, with_version,
+    FeatureStore, SeriesStore, chronological, clip, covered_range, observations, observations_from_features, with_version,
 )
+from perpflow.sources.sync import SyncReport, series_keys, sync_store
 
 BAR = ["open", "high", "low", "close", "volume"]
 
@@ -127,16 +128,12 @@ def land_supported_markets(spark: SparkSession, sf: str) -> DataFrame:
     return L.map_supported_markets(payloads)[0]
 
 
-@query("land_rejects", """
-  SELECT reason, count(*) AS n FROM (
-    SELECT CASE WHEN event_id % 7 = 0 THEN 'missing field: close'
-                WHEN event_id % 7 = 1 THEN 'not a number: close'
-                WHEN event_id % 7 = 2 THEN 'not an epoch in milliseconds: time'
-                WHEN event_id % 7 = 3 THEN 'item is not an object'
-                WHEN event_id % 7 = 4 THEN 'payload has no list of data' END AS reason FROM events) AS t
-  WHERE reason IS NOT NULL GROUP BY reason""")
-def land_rejects(spark: SparkSession, sf: str) -> DataFrame:
-    """Damaged payloads, one kind of damage per event, counted by reason."""
+_DAMAGE = """CASE event_id % 7 WHEN 0 THEN 'missing field: close' WHEN 1 THEN 'not a number: close' WHEN 2 THEN 'not an epoch in milliseconds: time'
+      WHEN 3 THEN 'item is not an object' WHEN 4 THEN 'payload has no list of data' END"""
+
+
+def _damaged(spark: SparkSession, sf: str) -> DataFrame:
+    """One funding payload per event, most of them damaged in one way each."""
     kind = F.pmod("event_id", F.lit(7))
     time, value = F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), F.col("value").cast("string")
     item = (
@@ -148,8 +145,48 @@ def land_rejects(spark: SparkSession, sf: str) -> DataFrame:
     )
     body = F.when(kind == 4, F.concat(F.lit('{"data":{"close":'), value, F.lit("}}"))).otherwise(
         F.concat(F.lit('{"data":['), item, F.lit("]}")))
-    payloads = A.table(spark, sf, "events").select(F.lit("ex").alias("exchange"), "event_type", body.alias("payload"))
-    rejects = L.map_funding_rates(payloads.withColumnRenamed("event_type", "symbol"))[1]
+    return A.table(spark, sf, "events").select(F.lit("ex").alias("exchange"), F.col("event_type").alias("symbol"), "event_id", body.alias("payload"))
+
+
+def _landed(spark: SparkSession, sf: str) -> DataFrame:
+    """The damaged payloads as landed text files, one per symbol, read back with their places."""
+    folder = f"{shared_folder(spark)}/perpflow-landed-{uuid.uuid4().hex}"
+    rows = _damaged(spark, sf).repartition("exchange", "symbol").sortWithinPartitions("exchange", "symbol", "event_id")
+    rows.select("exchange", "symbol", "payload").write.partitionBy("exchange", "symbol").text(folder)
+    return L.read_payloads(spark, folder)
+
+
+@query("land_files_with_rejects", f"""
+  SELECT exchange, symbol, line, raw, reason FROM (
+    SELECT 'ex' AS exchange, event_type AS symbol, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS line, {_DAMAGE} AS reason,
+      CASE event_id % 7 WHEN 1 THEN '{{"time":' || epoch_us(ts) // 1000 || ',"close":"n/a"}}' WHEN 0 THEN '{{"time":' || epoch_us(ts) // 1000 || '}}' END AS raw FROM events) AS t
+  WHERE reason IS NOT NULL""")
+def land_files_with_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Every refused item of landed files with the line it stands on; the text of items whose numbers print alike everywhere."""
+    bad = L.map_funding_rates(_landed(spark, sf))[1]
+    plain = F.col("reason").isin("missing field: close", "not a number: close")
+    return tidy(bad.select("exchange", "symbol", F.col("line").cast("bigint").alias("line"), F.when(plain, F.col("raw")).alias("raw"), "reason"))
+
+
+@query("land_files_records", rounded("""
+  SELECT 'EX' AS exchange, upper(event_type) AS symbol, date_trunc('millisecond', ts) AS timestamp, value AS funding_rate, line FROM (
+    SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS line FROM events) AS t WHERE event_id % 7 > 4""", ["funding_rate"]))
+def land_files_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The records of the same files, each with its line."""
+    return tidy(L.map_funding_rates(_landed(spark, sf))[0].drop("file"))
+
+
+@query("land_rejects", """
+  SELECT reason, count(*) AS n FROM (
+    SELECT CASE WHEN event_id % 7 = 0 THEN 'missing field: close'
+                WHEN event_id % 7 = 1 THEN 'not a number: close'
+                WHEN event_id % 7 = 2 THEN 'not an epoch in milliseconds: time'
+                WHEN event_id % 7 = 3 THEN 'item is not an object'
+                WHEN event_id % 7 = 4 THEN 'payload has no list of data' END AS reason FROM events) AS t
+  WHERE reason IS NOT NULL GROUP BY reason""")
+def land_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Damaged payloads, one kind of damage per event, counted by reason."""
+    rejects = L.map_funding_rates(_damaged(spark, sf).drop("event_id"))[1]
     return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -180,6 +217,38 @@ def canonical_checks(spark: SparkSession, sf: str) -> DataFrame:
     return bad.select(F.explode("failed").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+_RECORD_RULES = """WITH e AS (SELECT event_id, event_id % 8 AS k, value / 100 AS v, ts FROM events WHERE value IS NOT NULL),
+rec AS (SELECT *, CASE WHEN k = 0 THEN ' ' ELSE 'sim' END AS exchange, CASE WHEN k = 1 THEN NULL ELSE 'S' END AS symbol, CASE WHEN k = 2 THEN NULL ELSE ts END AS t,
+    CASE WHEN k = 3 THEN -1 - v WHEN k = 4 THEN NULL ELSE v END AS a, CASE WHEN k = 5 THEN -1 ELSE 1 - v END AS b FROM e),
+ids AS (SELECT event_id, rule FROM (SELECT event_id, 'exchange empty' AS rule FROM rec WHERE trim(exchange) = ''
+    UNION ALL SELECT event_id, 'symbol empty' FROM rec WHERE symbol IS NULL UNION ALL SELECT event_id, 'timestamp missing' FROM rec WHERE t IS NULL) AS i),
+kinds AS (SELECT unnest(['funding_rate', 'open_interest', 'liquidation', 'long_short_ratio']) AS kind)
+SELECT kind, event_id, rule FROM ids CROSS JOIN kinds
+UNION ALL SELECT 'funding_rate', event_id, 'funding_rate missing' FROM rec WHERE a IS NULL
+UNION ALL SELECT 'open_interest', event_id, 'open_interest below zero' FROM rec WHERE a IS NULL OR a < 0
+UNION ALL SELECT 'open_interest', event_id, 'open_interest_value_usd below zero' FROM rec WHERE b < 0
+UNION ALL SELECT 'liquidation', event_id, 'long_liquidation_usd below zero' FROM rec WHERE a IS NULL OR a < 0
+UNION ALL SELECT 'liquidation', event_id, 'short_liquidation_usd below zero' FROM rec WHERE b < 0
+UNION ALL SELECT 'long_short_ratio', event_id, 'long_account_ratio outside 0..1' FROM rec WHERE a IS NULL OR a < 0 OR a > 1
+UNION ALL SELECT 'long_short_ratio', event_id, 'short_account_ratio outside 0..1' FROM rec WHERE b < 0 OR b > 1
+UNION ALL SELECT 'long_short_ratio', event_id, 'ratios do not sum to one' FROM rec WHERE a IS NULL OR a + b < 0.98 OR a + b > 1.02"""
+
+
+@query("canonical_checks_by_record", _RECORD_RULES)
+def canonical_checks_by_record(spark: SparkSession, sf: str) -> DataFrame:
+    """Funding, open-interest, liquidation and ratio records with planted damage: every rule that a record breaks."""
+    k, v = F.pmod("event_id", F.lit(8)), F.col("value") / 100
+    a, b = F.when(k == 3, -1 - v).when(k != 4, v), F.when(k == 5, -1.0).otherwise(1 - v)
+    rec = A.table(spark, sf, "events").filter("value IS NOT NULL").select(
+        "event_id", F.when(k == 0, " ").otherwise("sim").alias("exchange"), F.when(k != 1, "S").alias("symbol"),
+        F.when(k != 2, F.col("ts").cast("timestamp")).alias("timestamp"), a.alias("funding_rate"), a.alias("open_interest"), b.alias("open_interest_value_usd"),
+        a.alias("long_liquidation_usd"), b.alias("short_liquidation_usd"), a.alias("long_account_ratio"), b.alias("short_account_ratio"))
+    kinds = ("funding_rate", "open_interest", "liquidation", "long_short_ratio")
+    judged = rec.select("event_id", F.explode(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), L.failed_rules(kind).alias("failed")) for kind in kinds])).alias("j"))
+    return judged.select(F.col("j.kind").alias("kind"), "event_id", F.explode("j.failed").alias("rule"))
+
+
 # --- stores -----------------------------------------------------------------------------------
 
 def _raw_closes(spark: SparkSession, sf: str) -> DataFrame:
@@ -333,6 +402,78 @@ def gap_fill_remaining(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(_filled(spark, sf)[1])
 
 
+# --- synchronising a store -------------------------------------------------------------------
+
+# For each record kind: its source, its columns, and what a landed copy says instead (a stored row must not take that over).
+_SYNC = {
+    "candle": (A.candles_events, CANDLES_HOURLY, "candles", {c: f"{c} + 1" for c in BAR}),
+    "funding_rate": (A.funding_events, FUNDING, "funding", {"funding_rate": "funding_rate + 1"}),
+    "open_interest": (A.open_interest_events, OPEN_INTEREST, "oi", {"open_interest": "open_interest + 1", "open_interest_value_usd": "open_interest + 2"}),
+    "liquidation": (A.liquidation_events, LIQUIDATIONS, "liq", {c: f"{c} + 1" for c in L.FIELDS["liquidation"]}),
+    "long_short_ratio": (A.ratio_events, RATIOS, "ratios", {"long_account_ratio": "short_account_ratio", "short_account_ratio": "long_account_ratio"}),
+}
+
+
+def _sync_ctes(kind: str) -> list[str]:
+    _, cte, name, changed = _SYNC[kind]
+    keys = ", ".join(series_keys(kind))
+    own = ", ".join("open_interest AS open_interest_value_usd" if c == "open_interest_value_usd" else c for c in changed)
+    return [cte, f"""stored AS (SELECT {keys}, timestamp, {own} FROM {name} WHERE hour(timestamp) % 4 <> 0),
+landed AS (SELECT {keys}, timestamp, {', '.join(f'{v} AS {c}' for c, v in changed.items())} FROM {name} WHERE hour(timestamp) % 8 <> 4),
+merged AS (SELECT * FROM stored UNION ALL SELECT * FROM landed l WHERE NOT EXISTS (
+  SELECT 1 FROM stored s WHERE {' AND '.join(f's.{k} = l.{k}' for k in [*series_keys(kind), 'timestamp'])}))"""]
+
+
+def _synced(kind: str, spark: SparkSession, sf: str) -> tuple[SeriesStore, SyncReport]:
+    """A store without every fourth hour, synchronised from records without every eighth."""
+    adapter, _, _, changed = _SYNC[kind]
+    rows, hour = stored(adapter, spark, sf), F.hour("timestamp")
+    if kind == "open_interest":
+        rows = rows.withColumn("open_interest_value_usd", F.col("open_interest"))
+    rows = rows.withColumn("ingest_seq", F.lit(0).cast("bigint"))
+    store = SeriesStore(spark, f"{shared_folder(spark)}/perpflow-sync-{uuid.uuid4().hex}")
+    store.write(kind, rows.filter(F.pmod(hour, F.lit(4)) != 0))
+    landed = rows.filter(F.pmod(hour, F.lit(8)) != 4).withColumns({c: F.expr(v) for c, v in changed.items()})
+    ranges = rows.groupBy(*series_keys(kind)).agg(F.min("timestamp").alias("range_start"), F.max("timestamp").alias("range_end"))
+    return store, sync_store(store, kind, landed, ranges, HOURLY)
+
+
+def _register_sync(kind: str) -> None:
+    columns = list(_SYNC[kind][3])
+    keys = ", ".join(series_keys(kind))
+
+    @query(f"sync_{kind}", rounded(with_ctes(*_sync_ctes(kind), body=f"SELECT {keys}, timestamp, {', '.join(columns)} FROM merged"), columns, 4))
+    def rows_after(spark: SparkSession, sf: str) -> DataFrame:
+        """What the store holds afterwards: its own readings, and landed ones where it had none."""
+        return tidy(_synced(kind, spark, sf)[0].read(kind).select(*series_keys(kind), "timestamp", *columns), 4)
+
+
+for _kind in _SYNC:
+    _register_sync(_kind)
+
+
+_OPEN = """span AS (SELECT exchange, symbol, min(timestamp) AS a, max(timestamp) AS b FROM {name} GROUP BY exchange, symbol),
+grid AS (SELECT exchange, symbol, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS timestamp FROM span),
+missing AS (SELECT g.* FROM grid g ANTI JOIN merged f ON g.exchange = f.exchange AND g.symbol = f.symbol AND g.timestamp = f.timestamp)
+SELECT '{kind}' AS kind, exchange, symbol, min(timestamp) AS gap_start, max(timestamp) AS gap_end, count(*) AS missing FROM (
+  SELECT *, epoch(timestamp)::BIGINT // 3600 - row_number() OVER (PARTITION BY exchange, symbol ORDER BY timestamp) AS island FROM missing) AS m
+GROUP BY exchange, symbol, island"""
+
+
+def _open_sql(kind: str) -> str:
+    return "SELECT * FROM (" + with_ctes(*_sync_ctes(kind), body=", " + _OPEN.format(kind=kind, name=_SYNC[kind][2])).replace("\n, span", ",\nspan") + ") AS t"
+
+
+@query("sync_remaining", " UNION ALL ".join(_open_sql(kind) for kind in _SYNC))
+def sync_remaining(spark: SparkSession, sf: str) -> DataFrame:
+    """Gaps that stay open after synchronising, of all record kinds."""
+    parts = [_synced(kind, spark, sf)[1].remaining.select(F.lit(kind).alias("kind"), "exchange", "symbol", "gap_start", "gap_end", "missing") for kind in _SYNC]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return tidy(whole)
+
+
 # --- quality ----------------------------------------------------------------------------------
 
 _RAW_FUNDING_SQL = """raw AS (SELECT concat('EX', user_id % 3) AS exchange,
@@ -414,3 +555,15 @@ def quality_liquidity(spark: SparkSession, sf: str) -> DataFrame:
         "liquidations": A.liquidation_events(spark, sf),
     }
     return tidy(quality.liquidity_report(sources, HOURLY, outlier_zscore=3.0, expected_interval=7_200_000_000))
+
+
+_SELECTED = ["EX0", "EX2", "EX7", "NOWHERE"]
+
+
+@query("quality_unknown_exchanges", with_ctes(LIQUIDATIONS, body=f"""
+  SELECT e AS exchange, 'WARNING' AS severity, 'exchange not observed' AS problem FROM (SELECT unnest({_SELECTED}) AS e) AS s
+  WHERE e NOT IN (SELECT exchange FROM liq WHERE exchange IS NOT NULL UNION SELECT concat('EX', user_id % 2) FROM events)"""))
+def quality_unknown_exchanges(spark: SparkSession, sf: str) -> DataFrame:
+    """Selected exchanges that neither of two inputs contains."""
+    other = A.table(spark, sf, "events").select(F.concat(F.lit("EX"), F.pmod("user_id", F.lit(2)).cast("string")).alias("exchange"))
+    return quality.unknown_exchanges(_SELECTED, [A.liquidation_events(spark, sf), other])

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from perpflow.functions.numeric import identifier, is_bad
+from perpflow.functions.numeric import identifier
 from perpflow.schema import RECORD_TYPES, SUPPORTED_MARKET
+from perpflow.session import cut_lineage
 
 # Payload field names of each record type.
 FIELDS = {
@@ -30,9 +31,26 @@ RATIO_FIELDS = {
 AGGREGATED = "AGGREGATED"
 
 
+#: Where a landed payload comes from; mappers hand these on with records and rejects.
+PROVENANCE = ["file", "line"]
+
+
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Landed files, one payload per line; partition folders give exchange, symbol, timeframe."""
-    return spark.read.text(path).withColumnRenamed("value", "payload")
+    """Landed files, one payload per line, with ``file`` and ``line`` (from 1); partition folders give exchange, symbol, timeframe.
+
+    Large files are read in splits. Lines are counted inside each split, and one row per split tells how many
+    lines of its file came before, so no task reads a whole file.
+    """
+    raw = spark.read.text(path)
+    ids = [c for c in raw.columns if c != "value"]
+    lines = cut_lineage(raw.select(
+        *ids, F.col("value").alias("payload"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_row")))
+    before = W.partitionBy("file").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
+    counts = lines.groupBy("file", "_split").agg(F.count(F.lit(1)).alias("_n")).select(
+        "file", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy("file", "_split").orderBy("_row"))
+    return lines.withColumn("_own", own).join(counts, ["file", "_split"]).select(*ids, "payload", "file", (F.col("_own") + F.col("_before")).alias("line"))
 
 
 def _items(payloads: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -131,7 +149,7 @@ def _map(payloads: DataFrame, kind: str, required: Sequence[str], columns: dict[
          source_label: str | None, mode: str) -> tuple[DataFrame, DataFrame]:
     if source_label is not None:
         payloads = payloads.withColumn("exchange", F.lit(source_label))
-    id_columns = [c for c in ("exchange", "symbol", "timeframe") if c in payloads.columns]
+    id_columns = [c for c in ("exchange", "symbol", "timeframe", *PROVENANCE) if c in payloads.columns]
     rows = _checked(_items(payloads, id_columns), required).withColumns(columns)
     rule = failed_rules(kind)
     reason = F.coalesce(F.col("_reason"), F.when(F.size(rule) > 0, F.concat(F.lit("rule: "), F.array_join(rule, ","))))
@@ -143,7 +161,7 @@ def _map(payloads: DataFrame, kind: str, required: Sequence[str], columns: dict[
         {"exchange": identifier("exchange"), "symbol": identifier("symbol")}
     )
     return (
-        good.select(*[f.name for f in RECORD_TYPES[kind]]),
+        good.select(*[f.name for f in RECORD_TYPES[kind]], *[c for c in PROVENANCE if c in id_columns]),
         judged.filter("reason IS NOT NULL").select(*id_columns, "raw", "reason"),
     )
 
@@ -207,11 +225,3 @@ def map_supported_markets(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
         identifier("exchange").alias("exchange"), *[identifier(F.col("_f")[n]).alias(n) for n in names])
     bad = judged.filter("reason IS NOT NULL").select("exchange", "raw", "reason")
     return good.select(*[f.name for f in SUPPORTED_MARKET]), bad.unionByName(no_list).unionByName(no_map)
-
-
-def non_finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows with a NaN or infinite number in any of the columns."""
-    flag = F.lit(False)
-    for c in columns:
-        flag = flag | is_bad(F.col(c))
-    return df.filter(flag)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from perpflow.operators.dedupe import merge_last_wins
 from perpflow.schema import FEATURE_VALUE, FEATURE_VERSION, RECORD_TYPES
-from perpflow.session import use_utc
+from perpflow.session import cut_lineage, drop_written, use_utc
 
 
 def _period(column: str = "timestamp") -> Column:
@@ -55,7 +55,8 @@ class _Table:
         return self.upgrade(self.spark.read.schema(self.schema).parquet(self.path))
 
     def upsert(self, batch: DataFrame, seq: str) -> None:
-        touched = batch.withColumn("period", _period())
+        # Written once: the edges, the partitions and the merge read it, whatever the batch costs to make.
+        touched = cut_lineage(batch.withColumn("period", _period()))
         # First and last value of each partition column, one row, prune the read; the join does the rest.
         edges = touched.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in self.partitions for f in (F.min, F.max)]).first()
         stored = self.load()
@@ -73,6 +74,7 @@ class _Table:
             .partitionBy(*self.partitions)
             .parquet(self.path)
         )
+        drop_written(touched)
 
 
 class SeriesStore:

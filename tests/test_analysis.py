@@ -153,7 +153,7 @@ def test_quality_sees_raw_rows(spark, hour):
     report = quality.series_report(df, ["symbol"], "funding_rate", GRID, expected_interval="1h")
     assert sorted(r.problem for r in report.collect()) == ["duplicate timestamp", "gap", "missing funding_rate"]
     naive = df.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
-    assert quality.row_checks(naive, ["symbol"], [], "x").count() == 3
+    assert quality.series_report(naive, ["symbol"], "funding_rate", Grid("1h")).where("problem = 'naive timestamp'").count() == 3
     other = spark.createDataFrame([("OKX",)], "exchange string")
     assert [r.exchange for r in quality.unknown_exchanges(("OKX", "BYBIT"), [other]).collect()] == ["BYBIT"]
 

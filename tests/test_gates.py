@@ -1,5 +1,6 @@
 """Fail-closed behaviour of scores and gates."""
 
+import random
 from datetime import timedelta
 
 import pytest

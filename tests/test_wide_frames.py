@@ -41,7 +41,7 @@ def plain(df, name, kind, n, shift=0):
     return df.withColumn(name, column)
 
 
-@pytest.mark.parametrize("width,shift", [(1, 0), (2, 0), (5, 1), (64, 0), (100, 3), (1000, 0)])
+@pytest.mark.parametrize("width,shift", [(1, 0), (5, 1), (100, 3), (1000, 0)])
 def test_every_statistic_matches_sliding_frames(spark, series, width, shift):
     kinds = ["count", "sum", "mean", "max", "min", "std", "slope"]
     rolls = {k: WF.Roll(k, F.col("x"), width, shift=shift) for k in kinds}
