@@ -351,8 +351,11 @@ def near_duplicates(docs: DataFrame, target: float = TARGET) -> DataFrame:
             groups = settle(_to_hubs(large, sets))
     if deeper:
         groups = settle(_gathered(_several_components(_all(deeper), groups), sets, _forest))
-    rest = _gathered(_several_components(_all([*small, *deeper]), groups), sets, _crossing).join(_all(judged), ["u", "v"], "left_anti")
-    links.append(cut_lineage(_confirm(cut_lineage(rest), met)))
+    # Written first: a pair may come from several nodes, and a join before they are put together would carry all its copies.
+    crossing = cut_lineage(_gathered(_several_components(_all([*small, *deeper]), groups), sets, _crossing))
+    rest = cut_lineage(crossing.join(_all(judged), ["u", "v"], "left_anti"))
+    links.append(cut_lineage(_confirm(rest, met)))
+    written += [crossing, rest]
     final = cut_lineage(_whole_components(_all([*links, copies])))
     for table in (*written, *judged, *links, copies, sets, met):
         drop_written(table)
