@@ -141,5 +141,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without a benchmark passage, with all their columns."""
     found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_digest"))
+    same = docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["_digest"])
     return docs.join(found, same, "left_anti")

@@ -256,6 +256,9 @@ def linked_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies, that of the smallest doc_id, with all columns; rows without links stay."""
-    stay = linked_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(stay.select(F.col("doc_id").alias("_gone")), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """One document of each group of near copies, that of the smallest doc_id, with all columns; rows without links stay.
+
+    Rows that repeat the smallest doc_id are one document and all stay.
+    """
+    gone = linked_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

@@ -122,7 +122,7 @@ def _ids(path: str, column: str):
 
 
 def encode(rows: DataFrame, path: str, column: str = "text") -> DataFrame:
-    """The rows with ``ids``, the token ids of the column."""
+    """The rows with ``ids``, the token ids of the column, in place of a column of that name."""
     steady(rows.sparkSession)
     kept = rows.drop("ids")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
@@ -140,7 +140,7 @@ def _texts(path: str, column: str):
 
 
 def decode(rows: DataFrame, path: str, column: str = "decoded") -> DataFrame:
-    """The rows with ``column``, the text of their ``ids``."""
+    """The rows with ``column``, the text of their ``ids``, in place of a column of that name."""
     steady(rows.sparkSession)
     kept = rows.drop(column)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)

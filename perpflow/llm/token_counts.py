@@ -7,6 +7,9 @@ whatever the corpus) and broadcast. Tier two is a cache in each worker that enco
 tokenizers library, each distinct pre-token once, and is emptied at ``CACHE_ROWS``. Both tiers
 only save time: the count of a pre-token is the library's own.
 
+Whether a code point is a letter may differ between the package that cuts and the library if a Unicode version has only just
+assigned it. Texts with a code point that is unassigned in Python's own tables go to the library whole.
+
 Special strings inside texts count as the library does by default: one token each, and the text
 between them is split on its own.
 
@@ -17,6 +20,7 @@ give repeated rows; an empty table gives an empty result; extra columns are igno
 from __future__ import annotations
 
 import json
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -55,6 +59,17 @@ def _library(path: str):
     return tokenizer, regex.compile("|".join(map(regex.escape, special))) if special else None
 
 
+_assigned: set[str] = set()
+
+
+def _has_unassigned(text: str) -> bool:
+    """Whether a code point is not assigned in Python's tables; those seen to be are remembered."""
+    fresh = set(text) - _assigned
+    missing = {c for c in fresh if unicodedata.category(c) == "Cn"}
+    _assigned.update(fresh - missing)
+    return bool(missing)
+
+
 class _Lengths(dict):
     """Pre-token to number of tokens; a miss is encoded once."""
 
@@ -77,6 +92,8 @@ _lengths: dict[tuple[str, str], _Lengths] = {}
 
 
 def _count(lengths: _Lengths, special, text: str) -> int:
+    if not text.isascii() and _has_unassigned(text):
+        return len(_library(lengths.path)[0].encode(text, add_special_tokens=False).ids)
     parts = special.split(text) if special is not None else [text]
     return len(parts) - 1 + sum(sum(map(lengths.__getitem__, _cut.findall(p))) for p in parts if p)
 

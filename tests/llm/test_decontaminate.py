@@ -85,3 +85,16 @@ def test_empty_tables(spark, corpus):
     b = spark.createDataFrame(items, "item_id long, text string")
     assert D.contaminated(none, b).count() == 0
     assert D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), b.limit(0)).count() == 0
+
+
+def test_columns_with_the_names_of_helpers(spark):
+    from perpflow.llm import decontaminate, jaccard
+
+    said = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, said, 5, 6, 7), (2, said + " x", 5, 6, 7), (3, "another text of its own words here", 5, 6, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _digest int, _gone int")
+    bench = spark.createDataFrame([(9, said)], "item_id long, text string")
+    left = decontaminate.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [3]
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]

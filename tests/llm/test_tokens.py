@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 
 import public_tokenizers
 import pytest
@@ -79,3 +80,12 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert P.digests(none, MODEL).count() == 0
     assert C.token_counts(none, VOCAB).count() == 0
+
+
+def test_every_code_point_counts_as_in_the_library():
+    """All code points in one short text each, also those that a Unicode version has only just made letters."""
+    library = Tokenizer.from_file(VOCAB)
+    lengths, special = C._Lengths(VOCAB, {}), C._library(VOCAB)[1]
+    texts = [f"a{chr(c)}b {chr(c)}" for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and not 0x40000 <= c < 0xE0000 and not c >= 0xF0000]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [C._count(lengths, special, t) for t in texts] == want
