@@ -6,7 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from perpflow.operators import research as R, signals as S
+from perpflow.operators import research as R, signals as S, strategies as ST
 from perpflow.operators.backtest import Backtest, run_backtests, run_per_symbol
 from perpflow.operators.equity import mark_to_market
 from perpflow.operators.quantiles import exact_percentiles
@@ -300,6 +300,41 @@ def backtest_flips(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(bt.trades.drop("run_id", "step", "fee"))
 
 
+# A stop leads to a pause, which only a fall ends: what a bar asks for depends on the position.
+_REVERSE = ST.StateRules(
+    states=["FLAT", "LONG", "SHORT", "PAUSED"],
+    moves={"up": {"FLAT": "LONG", "SHORT": "LONG"}, "down": {"LONG": "SHORT", "PAUSED": "FLAT"}, "stop": {"LONG": "PAUSED", "SHORT": "FLAT"}},
+    actions={("FLAT", "LONG"): "ENTER_LONG", ("SHORT", "LONG"): "ENTER_LONG", ("LONG", "SHORT"): "ENTER_SHORT", ("LONG", "PAUSED"): "EXIT", ("SHORT", "FLAT"): "EXIT"})
+_WALK = """seen AS (SELECT symbol, timestamp, row_number() OVER (PARTITION BY symbol ORDER BY timestamp) AS rn,
+    CASE WHEN high - low > 150 THEN 'stop' WHEN close > open * 1.5 THEN 'up' WHEN close < open / 1.5 THEN 'down' END AS k FROM candles),
+walk AS (SELECT symbol, 0::BIGINT AS rn, NULL::TIMESTAMP AS timestamp, 'FLAT' AS before, 'FLAT' AS after FROM (SELECT DISTINCT symbol FROM seen) AS s
+  UNION ALL SELECT n.symbol, n.rn, n.timestamp, w.after,
+    CASE WHEN n.k = 'up' AND w.after IN ('FLAT', 'SHORT') THEN 'LONG' WHEN n.k = 'down' AND w.after = 'LONG' THEN 'SHORT' WHEN n.k = 'down' AND w.after = 'PAUSED' THEN 'FLAT'
+      WHEN n.k = 'stop' AND w.after = 'LONG' THEN 'PAUSED' WHEN n.k = 'stop' AND w.after = 'SHORT' THEN 'FLAT' ELSE w.after END
+  FROM walk w JOIN seen n ON n.symbol = w.symbol AND n.rn = w.rn + 1),
+moves AS (SELECT symbol, timestamp, before, after, CASE WHEN after = 'LONG' AND before <> 'LONG' THEN 'ENTER_LONG' WHEN after = 'SHORT' AND before = 'LONG' THEN 'ENTER_SHORT'
+    WHEN before = 'LONG' AND after = 'PAUSED' OR before = 'SHORT' AND after = 'FLAT' THEN 'EXIT' END AS action FROM walk WHERE rn > 0)"""
+
+
+def _reversing(bars: DataFrame) -> DataFrame:
+    close, opened = F.col("close"), F.col("open")
+    seen = F.when(F.col("high") - F.col("low") > 150, "stop").when(close > opened * 1.5, "up").when(close < opened / 1.5, "down")
+    return ST.states_along(bars, ["exchange", "symbol", "timeframe"], "timestamp", seen, _REVERSE, HOURLY)
+
+
+@query("states_stop_and_reverse", with_ctes(CANDLES_HOURLY, _WALK, body="SELECT symbol, timestamp, before AS state_before, after AS state_after FROM moves", recursive=True))
+def states_stop_and_reverse(spark: SparkSession, sf: str) -> DataFrame:
+    """The position that a strategy of four states is in, as of every bar."""
+    return tidy(_reversing(hourly_bars(spark, sf)).select("symbol", "timestamp", "state_before", "state_after"))
+
+
+@query("signals_stop_and_reverse", with_ctes(CANDLES_HOURLY, _WALK, body="""
+  SELECT symbol, timestamp, action, CASE WHEN action <> 'EXIT' THEN 2.0e0 END AS quantity FROM moves WHERE action IS NOT NULL""", recursive=True))
+def signals_stop_and_reverse(spark: SparkSession, sf: str) -> DataFrame:
+    """The signals of that strategy: it reverses when the trend turns and pauses after a stop."""
+    return tidy(ST.state_signals(_reversing(hourly_bars(spark, sf)), _REVERSE, 2.0).select("symbol", "timestamp", "action", "quantity"))
+
+
 # --- research ---------------------------------------------------------------------------------
 
 _SPAN = """span AS (SELECT symbol, min(timestamp) AS range_start, max(timestamp) AS range_end FROM daily GROUP BY symbol),
