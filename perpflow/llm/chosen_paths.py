@@ -142,7 +142,10 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(node, id, id, estimate) of the candidates of every node of a batch; ``group`` keeps pairs of one component apart."""
+    """(node, place, place, estimate) of the candidates of every node, by places in the flat list of members.
+
+    ``group`` keeps pairs of one component apart.
+    """
     lists = batch.column("members")
     members = lists.flatten()
     ids, sizes, groups = (members.field(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "group"))
@@ -161,7 +164,7 @@ def _compared(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarr
             i, j = i[apart], j[apart]
             if len(i):
                 estimate, near = _agreement(sketch[i], sketch[j], sizes[i], sizes[j])
-                yield node, ids[i[near]], ids[j[near]], estimate[near]
+                yield node, i[near], j[near], estimate[near]
 
 
 def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -172,7 +175,9 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each node the candidates of a spanning forest, the most similar ones first."""
     for batch in _few(batches):
         by_node: dict[int, list[tuple[float, int, int]]] = {}
-        for node, u, v, estimate in _compared(batch):
+        ids = _ids(batch)
+        for node, i, j, estimate in _compared(batch):
+            u, v = ids[i], ids[j]
             by_node.setdefault(node, []).extend(zip((-estimate).tolist(), u.tolist(), v.tolist(), strict=True))
         chosen = []
         for found in by_node.values():
@@ -192,11 +197,26 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All candidates of each node between different components."""
+    """All candidates between different components, each from the first of the nodes that hold both."""
     for batch in _few(batches):
-        for _, u, v, _ in _compared(batch):
-            if len(u):
-                yield _pairs(u, v)
+        ids, keys = _ids(batch), batch.column("key").to_numpy()
+        homes = batch.column("members").flatten().field("homes")
+        counts = np.diff(homes.offsets.to_numpy())
+        width = int(counts.max(initial=1))
+        table = np.full((len(counts), width), np.iinfo(np.int64).max)
+        table[np.repeat(np.arange(len(counts)), counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)] = homes.flatten().to_numpy()
+        for node, i, j, _ in _compared(batch):
+            for at in range(0, len(i), 4096):
+                a, b = i[at : at + 4096], j[at : at + 4096]
+                earlier = table[a][:, :, None] == table[b][:, None, :]
+                earlier &= (table[a] < keys[node])[:, :, None]
+                first = ~earlier.any(axis=(1, 2))
+                if first.any():
+                    yield _pairs(ids[a[first]], ids[b[first]])
+
+
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("members").flatten().field("id").to_numpy(zero_copy_only=False)
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,9 +292,11 @@ def _several_components(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
 
 
 def _gathered(rows: DataFrame, sets: DataFrame, compare: Callable) -> DataFrame:
-    """Distinct pairs (u, v) that ``compare`` takes from small nodes."""
-    full = rows.select("key", "id", "group").join(sets.select("id", "n", "sketch"), "id")
-    nodes = full.groupBy("key").agg(F.collect_list(F.struct("id", "n", "group", "sketch")).alias("members")).select("members")
+    """Distinct pairs (u, v) that ``compare`` takes from small nodes; ``homes`` are all nodes of a member."""
+    rows = rows.select("key", "id", "group").distinct()
+    homes = rows.groupBy("id").agg(F.collect_list("key").alias("homes"))
+    full = rows.join(homes, "id").join(sets.select("id", "n", "sketch"), "id")
+    nodes = full.groupBy("key").agg(F.collect_list(F.struct("id", "n", "group", "sketch", "homes")).alias("members")).select("key", "members")
     return nodes.mapInArrow(compare, "u long, v long").distinct()
 
 
