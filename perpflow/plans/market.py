@@ -128,6 +128,7 @@ def land_supported_markets(spark: SparkSession, sf: str) -> DataFrame:
     return L.map_supported_markets(payloads)[0]
 
 
+EXCHANGE = "ex"
 _DAMAGE = """CASE event_id % 7 WHEN 0 THEN 'missing field: close' WHEN 1 THEN 'not a number: close' WHEN 2 THEN 'not an epoch in milliseconds: time'
       WHEN 3 THEN 'item is not an object' WHEN 4 THEN 'payload has no list of data' END"""
 
@@ -145,14 +146,17 @@ def _damaged(spark: SparkSession, sf: str) -> DataFrame:
     )
     body = F.when(kind == 4, F.concat(F.lit('{"data":{"close":'), value, F.lit("}}"))).otherwise(
         F.concat(F.lit('{"data":['), item, F.lit("]}")))
-    return A.table(spark, sf, "events").select(F.lit("ex").alias("exchange"), F.col("event_type").alias("symbol"), "event_id", body.alias("payload"))
+    return A.table(spark, sf, "events").select(F.lit(EXCHANGE).alias("exchange"), F.col("event_type").alias("symbol"), "event_id", body.alias("payload"))
 
 
 def _landed(spark: SparkSession, sf: str) -> DataFrame:
     """The damaged payloads as landed text files, one per symbol, read back with their places."""
     folder = f"{shared_folder(spark)}/perpflow-landed-{uuid.uuid4().hex}"
-    rows = _damaged(spark, sf).repartition("exchange", "symbol").sortWithinPartitions("exchange", "symbol", "event_id")
-    rows.select("exchange", "symbol", "payload").write.partitionBy("exchange", "symbol").text(folder)
+    # The writer keeps this order only if it already begins with its own, the partition columns; it sorts anew by those
+    # alone for a column that is constant or may be NULL. The exchange is one, so it is a folder; an empty name is written as NULL.
+    rows = _damaged(spark, sf).withColumn("symbol", F.coalesce("symbol", F.lit("")))
+    rows = rows.repartition("symbol").sortWithinPartitions("symbol", "event_id")
+    rows.select("symbol", "payload").write.partitionBy("symbol").text(f"{folder}/exchange={EXCHANGE}")
     return L.read_payloads(spark, folder)
 
 

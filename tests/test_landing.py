@@ -76,3 +76,19 @@ def test_supported_markets(spark):
     assert [tuple(r) for r in good.collect()] == [("BINANCE", "BTC_USDT", "BTC", "USDT")]
     assert sorted(r.reason for r in bad.collect()) == [
         "exchange has no list of pairs", "missing field: instrument_id", "pair is not an object", "payload has no map of data"]
+
+
+def test_landed_files_keep_the_order_of_their_events(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from perpflow.plans import market
+
+    start, n = datetime(2024, 1, 1), 400
+    rows = [(i, start + timedelta(seconds=i), i, ["a", "b", None][i % 3], float(i)) for i in reversed(range(n))]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    events.repartition(7).write.parquet(str(tmp_path / "events.parquet"))
+    landed = {(r.symbol, r.line): r.timestamp for r in market.land_files_records(spark, str(tmp_path)).collect()}
+    for k, name in enumerate("AB"):
+        ids = range(k, n, 3)
+        assert {line: at for (s, line), at in landed.items() if s == name} == {
+            line: start + timedelta(seconds=i) for line, i in enumerate(ids, 1) if i % 7 > 4}
