@@ -75,19 +75,19 @@ def placed_rows(df: DataFrame, keys: Sequence[str], order: str, grid: Grid) -> D
     shuffle identical, so that Spark runs it once.
     """
     part = [*keys, CHUNK]
-    return df.withColumn(CHUNK, grid.chunk(df, order)).filter(_known(part)).repartition(*part)
+    return df.withColumn(CHUNK, grid.chunk(df, order)).filter(known(part)).repartition(*part)
 
 
-def _known(columns: Sequence[str]) -> Column:
-    known = F.lit(True)
+def known(columns: Sequence[str]) -> Column:
+    every = F.lit(True)
     for name in columns:
-        known = known & F.col(name).isNotNull()
-    return known
+        every = every & F.col(name).isNotNull()
+    return every
 
 
 def unplaced(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The rows that belong to no series: without a key or a position. Every chunked operator leaves them out."""
-    return df.filter(~_known([*keys, order]))
+    return df.filter(~known([*keys, order]))
 
 
 def lead_in(df: DataFrame, keys: Sequence[str], order: str, grid: Grid, before: int,
@@ -101,7 +101,7 @@ def lead_in(df: DataFrame, keys: Sequence[str], order: str, grid: Grid, before:
     """
     part = [*keys, CHUNK]
     if before <= 0:
-        return df.withColumn(CHUNK, grid.chunk(df, order)).filter(_known(part)).withColumn(OWN, F.lit(True))
+        return df.withColumn(CHUNK, grid.chunk(df, order)).filter(known(part)).withColumn(OWN, F.lit(True))
 
     basis = df if count_on is None else count_on
     placed_keys = basis.select(*keys, grid.chunk(basis, order).alias(CHUNK), grid.slot(basis, order).alias("_slot"))

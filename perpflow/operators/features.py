@@ -183,7 +183,7 @@ def add_steps(df: DataFrame, keys: Sequence[str], grid: Grid, before: int, steps
             led = led.withColumns(step)
         return own(led)
     before = sum(widths) + before
-    led = chunked_by_number(numbered(df, keys, "timestamp", grid), keys, before, max(before, grid.rows))
+    led = chunked_by_number(numbered(df, keys, "timestamp"), keys, before, max(before, grid.rows))
     for step, wides in zip(made, wide, strict=True):
         led = led.withColumns({n: c for n, c in step.items() if n not in wides})
         rolls = {f"_{name}_{k}": r for name, c in wides.items() for k, r in c.rolls.items()}

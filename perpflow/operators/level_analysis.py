@@ -92,7 +92,7 @@ def _describe_wide(rows: DataFrame, keys: Sequence[str], grid: Grid, config: Lev
     rolls = _wide_rolls(config, relative)
     # Two rows more, so that the change of the first row that counts is known.
     before = max(reach(rolls), NARROW) + 2
-    placed = chunked_by_number(numbered(rows, keys, "timestamp", grid), keys, before, max(before, grid.rows))
+    placed = chunked_by_number(numbered(rows, keys, "timestamp"), keys, before, max(before, grid.rows))
     over = window(keys, IDX)
     placed = placed.withColumn("change", F.col("x") - F.lag("x").over(over))
     return _describe(add_rolls(placed, keys, rolls), over, config, relative, rolls).filter(F.col(OWN)).drop(CHUNK, OWN)

@@ -109,7 +109,7 @@ def _with_wide_range(rows: DataFrame, keys: Sequence[str], grid: Grid, config: R
         width, shift, high, low = config.lookback, 0, "high", "low"
     rolls = {"active_high": Roll("max", F.col(high), width, shift=shift), "active_low": Roll("min", F.col(low), width, shift=shift)}
     before = reach(rolls) + 2 * config.strength
-    placed = chunked_by_number(numbered(rows, keys, "timestamp", grid), keys, before, max(before, grid.rows))
+    placed = chunked_by_number(numbered(rows, keys, "timestamp"), keys, before, max(before, grid.rows))
     if config.method == "FRACTAL":
         placed = mark_swings(placed, window(keys, IDX), config.strength)
     return add_rolls(placed, keys, rolls).filter(F.col(OWN)).drop(CHUNK, OWN)

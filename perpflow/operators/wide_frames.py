@@ -11,8 +11,9 @@ Both parts are running aggregates, one forward and one backward, and the first o
 are merged, so a flat stretch after a steep one has no cancellation error.
 
 Rows travel twice whatever the width: once by time to be numbered, once by number, where every
-chunk also gets the ``width`` rows before it. Chunks are cut by row number, hence equally full for sparse
-and dense series; a chunk holds as many rows as the widest frame at least.
+chunk also gets the ``width`` rows before it. Both times a task gets about ``TASK_ROWS`` rows, however many there are: ranges of
+time are cut where the rows lie, chunks by row number. So sparse and dense series are equally well spread; a chunk holds
+as many rows as the widest frame at least.
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from perpflow.operators.chunks import CHUNK, OWN, Grid, chunk_totals, placed_rows, window
+from perpflow.operators.chunks import CHUNK, OWN, Grid, known, window
+from perpflow.session import cut_lineage
 
 IDX = "_idx"
 #: Up to this width a sliding frame costs less than numbering the series.
 NARROW = 64
+#: Rows that a task is given, about.
+TASK_ROWS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -57,13 +61,25 @@ _PARTS = {
 }
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: str, grid: Grid) -> DataFrame:
-    """Rows of each series numbered from 0 in ``order``; no window spans a series."""
-    placed = placed_rows(df, keys, order, grid)
-    one = {"_n": ("count", F.lit(1))}
-    bases = chunk_totals(df.withColumn(CHUNK, grid.chunk(df, order)), keys, one)
-    inner = placed.withColumn(IDX, F.row_number().over(window(keys, order)).cast("bigint") - 1)
-    return inner.join(bases, [*keys, CHUNK]).withColumn(IDX, F.col(IDX) + F.coalesce("_base__n", F.lit(0))).drop(CHUNK, "_base__n")
+def _tasks(df: DataFrame) -> int:
+    """Partitions for a shuffle of these rows: no fewer than the session makes."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS))
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Rows of each series numbered from 0 in ``order``; no task takes a series or a fixed span of time.
+
+    Sorted ranges of rows are written with their place; one row per range and series tells how many rows of the
+    series came before.
+    """
+    rows = df.filter(known([*keys, order]))
+    ranges = rows.repartitionByRange(_tasks(rows), *keys, order).sortWithinPartitions(*keys, order)
+    laid = cut_lineage(ranges.withColumn(IDX, F.monotonically_increasing_id()))
+    laid = laid.withColumn("_range", F.shiftright(IDX, 33))
+    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    begins = laid.groupBy(*keys, "_range").agg(F.min(IDX).alias("_first"), F.count(F.lit(1)).alias("_n")).select(
+        *keys, "_range", (F.col("_first") - F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("_off"))
+    return laid.join(begins, [*keys, "_range"]).withColumn(IDX, F.col(IDX) - F.col("_off")).drop("_range", "_off")
 
 
 def chunked_by_number(rows: DataFrame, keys: Sequence[str], before: int, size: int) -> DataFrame:
@@ -74,7 +90,7 @@ def chunked_by_number(rows: DataFrame, keys: Sequence[str], before: int, size: i
     lent = F.pmod(F.col(IDX), F.lit(size)) >= size - before
     places = F.when(lent, F.array(home, home + 1)).otherwise(F.array(home))
     placed = rows.withColumn(CHUNK, F.explode(places))
-    return placed.withColumn(OWN, F.col(CHUNK) == home).repartition(*keys, CHUNK)
+    return placed.withColumn(OWN, F.col(CHUNK) == home).repartition(_tasks(rows), *keys, CHUNK)
 
 
 def _parts(value: Column, over, wanted: set[str]) -> dict[str, Column]:
@@ -155,5 +171,5 @@ def reach(rolls: Mapping[str, Roll]) -> int:
 def roll(df: DataFrame, keys: Sequence[str], order: str, grid: Grid, rolls: Mapping[str, Roll]) -> DataFrame:
     """``df`` with one column for each of ``rolls``, along every series of ``keys``."""
     before = reach(rolls)
-    placed = chunked_by_number(numbered(df, keys, order, grid), keys, before, max(before, grid.rows))
+    placed = chunked_by_number(numbered(df, keys, order), keys, before, max(before, grid.rows))
     return add_rolls(placed, keys, rolls).filter(F.col(OWN)).drop(CHUNK, OWN, IDX)

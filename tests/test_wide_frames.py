@@ -114,3 +114,16 @@ def test_feature_modules_alike_with_wide_and_sliding_frames(spark, series, monke
         for key, w in b.items():
             for name, value in w.asDict().items():
                 assert a[key][name] == (pytest.approx(value, rel=1e-6, abs=1e-9) if isinstance(value, float) else value), name
+
+
+def test_a_dense_stretch_is_dealt_over_tasks(spark, monkeypatch):
+    """All rows in one second: numbered rightly, in ranges and chunks that no task takes whole."""
+    monkeypatch.setattr(WF, "TASK_ROWS", 500)
+    rows = spark.range(0, 6000, 1, 3).select(
+        F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("k"), F.timestamp_micros(F.lit(10**15) + (F.col("id") * 7919) % 6000).alias("timestamp"), F.col("id").cast("double").alias("x"))
+    got = WF.numbered(rows, ["k"], "timestamp")
+    plain = F.row_number().over(W.partitionBy("k").orderBy("timestamp")) - 1
+    assert got.withColumn("n", plain).filter(F.col("n") != F.col(WF.IDX)).count() == 0 and got.count() == 6000
+    placed = WF.chunked_by_number(got, ["k"], 20, 100)
+    most = placed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert placed.rdd.getNumPartitions() >= 12 and most < 2000
