@@ -5,8 +5,8 @@ every condition on that feature either holds or does not, so a cell is a row of
 conditions on this feature fulfilled, and which have one. A moment falls into one cell of each feature, and all
 sections are judged at once: ALL by the *and* of its rows, ANY by the *or*.
 
-Sections are dealt over slabs of about ``SLAB`` and moments over blocks of about ``BLOCK``; a task takes a slab and
-a block. What a slab or a block holds is bounded, and only sections that pass become rows.
+Sections are dealt over shelves of about ``SHELF`` and moments over blocks of about ``BLOCK``; a task takes a shelf and
+a block, and goes through the shelf in slabs of ``SLAB``. What each holds is bounded, and only sections that pass become rows.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-SLAB, BLOCK = 512, 4096
+SLAB, SHELF, BLOCK = 512, 8192, 4096
 # How a section joins its conditions.
 ALL, ANY = "ALL", "ANY"
 
@@ -86,30 +86,35 @@ class Slab:
 _OUT = "symbol string, timestamp timestamp, strategy string, section string"
 
 
+def _slab(sections: pa.StructArray) -> Slab:
+    lists = sections.field("conditions")
+    conditions, starts = lists.flatten(), lists.offsets.to_numpy()
+    number = lambda c: conditions.field(c).to_numpy(zero_copy_only=False).astype(float)
+    text = lambda c: conditions.field(c).to_numpy(zero_copy_only=False)
+    return Slab(sections.field("logic").to_pylist(), {
+        "section": np.repeat(np.arange(len(sections)), np.diff(starts)), "feature": text("feature"), "operator": text("operator"),
+        "value": number("value"), "value_high": number("value_high")})
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            sections, moments = (batch.column(c)[i].values for c in ("sections", "moments"))
-            lists = sections.field("conditions")
-            conditions = lists.flatten()
-            owner = np.repeat(np.arange(len(sections)), np.diff(lists.offsets.to_numpy()))
-            number = lambda c: conditions.field(c).to_numpy(zero_copy_only=False).astype(float)  # noqa: B023, E731
-            text = lambda c: conditions.field(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-            slab = Slab(sections.field("logic").to_pylist(), {
-                "section": owner, "feature": text("feature"), "operator": text("operator"), "value": number("value"), "value_high": number("value_high")})
+            shelf, moments = (batch.column(c)[i].values for c in ("sections", "moments"))
             given = moments.field("given")
             entries = given.flatten()
             who = np.repeat(np.arange(len(moments)), np.diff(given.offsets.to_numpy()))
             names, read = entries.field("feature_name").to_numpy(zero_copy_only=False), entries.field("value").to_numpy(zero_copy_only=False).astype(float)
             values = {}
-            for feature in slab.features:
+            for feature in set(names) - {None}:
                 mine = names == feature
                 values[feature] = np.full(len(moments), np.nan)
                 values[feature][who[mine]] = read[mine]
-            at, which = (pa.array(x) for x in slab.passing(values, len(moments)))
-            yield pa.RecordBatch.from_arrays(
-                [moments.field("symbol").take(at), moments.field("timestamp").take(at), sections.field("strategy").take(which),
-                 sections.field("section").take(which)], ["symbol", "timestamp", "strategy", "section"])
+            for start in range(0, len(shelf), SLAB):
+                sections = shelf.take(pa.array(np.arange(start, min(start + SLAB, len(shelf)))))
+                at, which = (pa.array(x) for x in _slab(sections).passing(values, len(moments)))
+                yield pa.RecordBatch.from_arrays(
+                    [moments.field("symbol").take(at), moments.field("timestamp").take(at), sections.field("strategy").take(which),
+                     sections.field("section").take(which)], ["symbol", "timestamp", "strategy", "section"])
 
 
 def passing(moments: DataFrame, sections: DataFrame) -> DataFrame:
@@ -118,12 +123,14 @@ def passing(moments: DataFrame, sections: DataFrame) -> DataFrame:
     ``moments`` is (symbol, timestamp, given: array of feature_name and value), ``sections``
     (strategy, section, logic, conditions: array of feature, operator, value, value_high).
     """
-    n_slabs, n_blocks = (max(1, -(-t.count() // size)) for t, size in ((sections, SLAB), (moments, BLOCK)))
+    n_shelves, n_blocks = (max(1, -(-t.count() // size)) for t, size in ((sections, SHELF), (moments, BLOCK)))
     deal = lambda columns, n: F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
-    slabs = sections.groupBy(deal(["strategy", "section"], n_slabs).alias("slab")).agg(
+    shelves = sections.groupBy(deal(["strategy", "section"], n_shelves).alias("shelf")).agg(
         F.collect_list(F.struct("strategy", "section", "logic", "conditions")).alias("sections"))
     blocks = moments.groupBy(deal(["symbol", "timestamp"], n_blocks).alias("block")).agg(
         F.collect_list(F.struct("symbol", "timestamp", "given")).alias("moments"))
-    met = blocks.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(n_slabs - 1)))).join(slabs, "slab")
+    copies = blocks.withColumn("shelf", F.explode(F.sequence(F.lit(0), F.lit(n_shelves - 1))))
+    # Neither side is ever broadcast: sections grow with their number, blocks are there once for each shelf.
+    met = copies.hint("merge").join(shelves, "shelf")
     # A row is a whole task's work: as many tasks as rows, up to what the session shuffles into.
-    return met.select("slab", "block", "sections", "moments").repartition("slab", "block").drop("slab", "block").mapInArrow(_pairs, _OUT)
+    return met.select("shelf", "block", "sections", "moments").repartition("shelf", "block").drop("shelf", "block").mapInArrow(_pairs, _OUT)

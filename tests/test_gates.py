@@ -174,3 +174,19 @@ def test_no_rules_and_no_features(spark, hour):
     none = rules.where("false")
     for f, r in ((empty, rules), (some, none), (empty, none)):
         assert RL.apply_rules(f, r).count() == 0 and RL.passing_sections(f, r).count() == 0
+
+
+def test_many_sections_are_not_broadcast(spark, monkeypatch):
+    """Moments are there once for each shelf of sections, which no estimate of their size knows."""
+    from perpflow.operators import rule_index
+
+    for name, size in (("SLAB", 8), ("SHELF", 30), ("BLOCK", 20)):
+        monkeypatch.setattr(rule_index, name, size)
+    number = F.col("id").cast("double")
+    moments = spark.range(50).select(F.lit("A").alias("symbol"), F.timestamp_seconds("id").alias("timestamp"),
+                                     F.array(F.struct(F.lit("x").alias("feature_name"), number.alias("value"))).alias("given"))
+    condition = F.struct(F.lit("c").alias("name"), F.lit("x").alias("feature"), F.lit("GTE").alias("operator"), number.alias("value"), F.lit(None).cast("double").alias("value_high"))
+    sections = spark.range(100).select(F.col("id").cast("string").alias("strategy"), F.lit("e").alias("section"), F.lit("ALL").alias("logic"), F.array(condition).alias("conditions"))
+    hits = rule_index.passing(moments, sections)
+    assert "BroadcastHashJoin" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert {(r.timestamp.minute * 60 + r.timestamp.second, int(r.strategy)) for r in hits.collect()} == {(m, s) for m in range(50) for s in range(m + 1)}
