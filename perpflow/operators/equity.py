@@ -10,6 +10,7 @@ from perpflow.functions.numeric import profit_factor
 from perpflow.operators.asof import previous_row
 from perpflow.operators.chunks import Grid, lead_in, own, running_path, window
 from perpflow.operators.signals import RUN
+from perpflow.session import weighed
 
 
 def mark_to_market(bars: DataFrame, fills: DataFrame, grid: Grid) -> DataFrame:
@@ -44,7 +45,7 @@ def equity_curve(jobs: DataFrame, bars: DataFrame, fills: DataFrame, grid: Grid)
     account = replace(grid, rows=max(grid.rows // 32, 1))
     path = running_path(steps, ["run_id"], ["timestamp", "symbol"], account, "delta")
     start = F.col("initial_cash")
-    curve = path.join(jobs.select("run_id", "initial_cash"), "run_id").select(
+    curve = path.join(weighed(jobs.select("run_id", "initial_cash"), "run_id"), "run_id").select(
         "run_id", "timestamp", "symbol", (start + F.col("gain")).alias("equity"), (start + F.col("high")).alias("peak"))
     return curve.withColumn("drawdown", drawdown(F.col("equity"), F.col("peak")))
 

@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from perpflow.schema import step_micros
+from perpflow.session import weighed
 
 MOST = 12
 #: With fewer ranges than this for each key, points meet them by key: nothing is taken apart.
@@ -72,9 +73,10 @@ def interval_join(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at:
     seen = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.flatten(F.collect_set(F.transform("_pieces", lambda p: p[_SIZE])))).alias("sizes"))
     most, sizes = seen.agg(F.max("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("sizes"))))).first()
     if most is None or most < FEW:
-        return points.join(bounded, [*keys]).filter(inside).drop("_from", "_to")
+        return weighed(points, *keys).join(weighed(bounded, *keys), [*keys]).filter(inside).drop("_from", "_to")
     laid = pieces.select(*[c for c in pieces.columns if c != "_pieces"], F.inline("_pieces"))
     cell = _cell(_micros(points, at), width)
     places = F.array(*[F.struct(F.lit(s).alias(_SIZE), F.shiftright(cell, s).alias(_STRETCH)) for s in sizes])
     placed = points.select(*points.columns, F.inline(places))
-    return placed.join(laid, [*keys, _SIZE, _STRETCH]).filter(inside).drop("_from", "_to", _SIZE, _STRETCH)
+    # What is taken apart is much larger than the planner believes: never through the driver.
+    return placed.join(laid.hint("merge"), [*keys, _SIZE, _STRETCH]).filter(inside).drop("_from", "_to", _SIZE, _STRETCH)

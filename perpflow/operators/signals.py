@@ -9,6 +9,7 @@ from perpflow.operators.asof import next_row
 from perpflow.operators.chunks import Grid
 from perpflow.operators.interval_join import interval_join
 from perpflow.schema import DEFAULT_FEE_RATE, DEFAULT_SLIPPAGE_BPS
+from perpflow.session import weighed
 
 RUN = ["run_id", "symbol"]
 # What a signal may ask for.
@@ -76,7 +77,7 @@ def screen_signals(jobs: DataFrame, signals: DataFrame) -> tuple[DataFrame, Data
     Whether an EXIT finds an open position is decided by the position fold.
     """
     known = job_symbols(jobs).select("run_id", "symbol", F.lit(True).alias("_known"))
-    judged = signals.join(known, RUN, "left").withColumn(
+    judged = signals.join(weighed(known, *RUN), RUN, "left").withColumn(
         "reason",
         F.when(F.col("_known").isNull(), "unknown symbol")
         .when(F.col("action").isin(ENTRIES) & ~F.coalesce(F.col("quantity") > 0, F.lit(False)), "entry needs a positive quantity")
@@ -99,7 +100,7 @@ def next_bar_orders(signals: DataFrame, bars: DataFrame, grid: Grid) -> DataFram
 def priced(orders: DataFrame, jobs: DataFrame) -> DataFrame:
     """Filled orders with buy and sell price after slippage and the fee rate of their run."""
     costs = jobs.select("run_id", "fee_rate", "slippage_bps")
-    return orders.filter("fill_time IS NOT NULL").join(costs, "run_id").withColumns({
+    return orders.filter("fill_time IS NOT NULL").join(weighed(costs, "run_id"), "run_id").withColumns({
         "buy_price": fill_price(F.col("fill_open"), F.lit(True), F.col("slippage_bps")),
         "sell_price": fill_price(F.col("fill_open"), F.lit(False), F.col("slippage_bps")),
     })

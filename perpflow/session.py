@@ -63,6 +63,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def weighed(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by the keys of a join that follows.
+
+    The planner judges a written table by its compressed files and exploded rows by what they came from, and would
+    broadcast through the driver what is many times larger. Dealt rows are judged by what they weigh.
+    """
+    return df.repartition(*keys)
+
+
 def drop_written(df: DataFrame) -> None:
     """Remove the table behind a result of ``cut_lineage`` once no later step reads it."""
     spark = df.sparkSession

@@ -66,3 +66,22 @@ def test_gaps_of_many_overlapping_ranges(spark):
     ranges = spark.createDataFrame([("a", T0 + timedelta(hours=a), T0 + timedelta(hours=b)) for a, b in spans], "k string, range_start timestamp, range_end timestamp")
     missing = find_gaps(rows, ranges, ["k"], Grid("1h", 16)).agg(F.sum("missing")).first()[0]
     assert missing == sum(1 for a, b in spans for h in range(a, b + 1) if h % 7 == 0)
+
+
+def test_many_like_ranges_are_not_broadcast(spark):
+    """Their file is small, taken apart they are not."""
+    from perpflow.session import cut_lineage
+
+    hour = 3_600_000_000
+    ranges = cut_lineage(spark.range(3000).select(F.lit("a").alias("k"), (F.col("id") % 2 * hour).alias("start"), F.lit(500 * hour).alias("end")))
+    points = spark.range(0, 2000).select(F.lit("a").alias("k"), (F.col("id") * hour).alias("at"), F.lit("x" * 60).alias("more"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50000")
+    try:
+        met = IJ.interval_join(points, ranges, ["k"], "at", "start", "end", hour)
+        assert met.count() == 1500 * 501 + 1500 * 500
+        met = met.groupBy("k").agg(F.count("at"))
+        met.collect()
+        assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
