@@ -6,17 +6,22 @@ union. Which of two ways finds a candidate depends on the size of the set:
 * light sets enumerate all subsets of the overlap that a link of two such sets needs (a fixed size for
   each pair of sizes); sets with a common subset of that size meet in one equi-join;
 * heavy sets are found in inverted lists: of the shingles in one order for all documents, a set looks
-  only at the first n - ceil(0.8 n) + 1, since a linked pair shares one of those. The order puts
-  shingles of very many documents last, then goes by hash, so lists stay short.
+  only at the first n - ceil(0.8 n) + 1, since a linked pair shares one of those. The order puts rare shingles first.
+  Most shingles of a text are nowhere else: a set whose prefix is full of them is in no list at all. Two rounds find how
+  rare they are: the first counts those whose hash is below ``COUNTED``, about a quarter, which come before all others, and
+  leaves only sets that may meet another one; the second counts all shingles of the sets that are left.
 
 The boundary is the size at which subsets cost more than list entries, from the size counts and the list
 lengths of all small sets of the corpus.
 
+Two linked sets of n and m shingles share ceil(4 (n + m) / 9), so the first shingle they share has so many at least from its
+rank to the end of either set. A list entry therefore knows what it can still reach, 5 n - 9 rank: it meets
+entries of sets of m with 4 m at most that, and they it (``_meets``).
+
 Groups of copies would make lists with all pairs of the group. Therefore equal sets are one node, then
-each list links its members to its smallest document only, and verified links are joined into components
-first. After that, lists are looked at again for pairs of different components, and all of those are verified.
-No link between components is lost, and no pair inside one is enumerated. A pair that shares too few of
-its prefixes for a link is left out by counting, before any text is read.
+each list links its members to its smallest document only, and then to the one that reaches farthest, and verified links
+are joined into components first. After that, lists are looked at again for pairs of different components, and all of those are verified.
+No link between components is lost, and no pair inside one is enumerated.
 
 Candidates are verified on whole texts. Shingles are 64-bit hashes; sets are told apart by 128 bits.
 
@@ -29,12 +34,13 @@ empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from perpflow.llm.components import components
 from perpflow.llm.text import mixed, shingle_sets, slices, steady
@@ -43,9 +49,10 @@ from perpflow.session import cut_lineage, drop_written
 SIZE = 5
 #: Largest set for which subsets are considered at all.
 LIGHT_MOST = 24
-#: A shingle in more prefixes than this, and than this share of the documents, goes last in the order.
-CROWD, CROWD_SHARE = 64, 1e-4
-FIRST = 3
+#: Shingles with a hash below this are counted.
+COUNTED = 1 << 62
+#: Shingles in more sets than this are equally frequent in the order.
+CROWD = 1 << 16
 
 
 def prefix_length(n):
@@ -72,50 +79,39 @@ def boundary(sizes: dict[int, int], list_length: float) -> int:
     return at
 
 
-def _prefixes(o: np.ndarray, v: np.ndarray, crowded: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, shingle and rank of the prefix of every set, and all set sizes."""
-    sizes = np.bincount(o, minlength=n)
-    last = np.zeros(len(v), dtype=bool)
-    if len(crowded):
-        spot = np.minimum(np.searchsorted(crowded, v), len(crowded) - 1)
-        last = crowded[spot] == v
-    order = np.lexsort((v, last, o))
-    o, v = o[order], v[order]
-    rank = np.arange(len(o)) - (np.cumsum(sizes) - sizes)[o]
-    keep = rank < prefix_length(sizes)[o]
-    return o[keep], v[keep], rank[keep], sizes
-
-
-_SETS = "kind int, doc_id long, n long, first long, second long, small array<long>, crowd array<struct<key: long, n: long>>"
+_SETS = "doc_id long, n long, first long, second long, counted int, keys array<long>"
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and 128-bit print of every set, prefixes of small ones; at the end, shingles in many prefixes of this task."""
-    crowd = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
-    seen, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _sets(batches: Iterator[pa.RecordBatch], limit: int = COUNTED) -> Iterator[pa.RecordBatch]:
+    """Size and 128-bit print of every set, and its counted shingles; more by hash where those are no prefix; all of small sets."""
     for batch in slices(batches):
         n = batch.num_rows
         o, v = shingle_sets(batch.column("text"), SIZE)
-        po, pv, _, sizes = _prefixes(o, v, np.zeros(0, np.uint64), n)
+        sizes = np.bincount(o, minlength=n)
         cut = np.concatenate([[0], np.cumsum(sizes)])
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(v), dtype=np.uint64)])
         other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(v ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-        small = sizes[po] <= LIGHT_MOST
-        counts = np.bincount(po[small], minlength=n)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(pv[small].view(np.int64)))
+        rank = np.arange(len(o)) - cut[o]
+        counted = v <= np.uint64(limit - 1)
+        keep = counted | (rank < prefix_length(sizes)[o]) | (sizes[o] <= LIGHT_MOST)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(o[keep], minlength=n))]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.zeros(n, np.int32)), batch.column("doc_id"), pa.array(sizes.astype(np.int64)),
+            batch.column("doc_id"), pa.array(sizes.astype(np.int64)),
             pa.array((total[cut[1:]] - total[cut[:-1]]).view(np.int64)), pa.array((other[cut[1:]] - other[cut[:-1]]).view(np.int64)),
-            lists, pa.nulls(n, crowd)], ["kind", "doc_id", "n", "first", "second", "small", "crowd"])
-        both, index = np.unique(np.concatenate([seen, pv]), return_inverse=True)
-        times = np.bincount(index, np.concatenate([times, np.ones(len(pv), np.int64)]), minlength=len(both)).astype(np.int64)
-        seen = both
-    many = times >= 3
-    rows = [[{"key": int(k), "n": int(t)} for k, t in zip(seen[many].view(np.int64), times[many], strict=True)]]
-    none = [pa.nulls(1, pa.int64())] * 4
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([1], pa.int32()), *none, pa.nulls(1, pa.list_(pa.int64())), pa.array(rows, crowd)],
-        ["kind", "doc_id", "n", "first", "second", "small", "crowd"])
+            pa.array(np.bincount(o[counted], minlength=n).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(v[keep].view(np.int64)))],
+            ["doc_id", "n", "first", "second", "counted", "keys"])
+
+
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same with all shingles."""
+    return _sets(batches, 1 << 64)
+
+
+def _nodes(sets: DataFrame) -> DataFrame:
+    """Equal sets as one node, named by their smallest document."""
+    whole = sets.groupBy("first", "second", "n").agg(
+        *(f(c).alias(c) for f, c in ((F.min, "doc_id"), (F.any_value, "counted"), (F.any_value, "keys"))))
+    return cut_lineage(whole.withColumn("node", F.monotonically_increasing_id()))
 
 
 def _subset_keys(values: np.ndarray) -> list[int]:
@@ -126,27 +122,15 @@ def _subset_keys(values: np.ndarray) -> list[int]:
     return keys
 
 
-def _keys(crowded, light: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = crowded.value
-        for batch in slices(batches):
-            o, v = shingle_sets(batch.column("text"), SIZE)
-            po, pv, rank, sizes = _prefixes(o, v, last, batch.num_rows)
-            keep = 5 * sizes[po] >= 4 * (light + 1)
-            doc, key, rank = [po[keep]], [pv[keep]], [rank[keep]]
-            n_listed = len(doc[0])
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            for i in np.flatnonzero((sizes > 0) & (sizes <= light)):
-                keys = mixed(np.array(_subset_keys(v[starts[i] : starts[i + 1]]), dtype=np.uint64))
-                doc.append(np.full(len(keys), i))
-                key.append(keys)
-                rank.append(np.where(np.arange(len(keys)) == len(keys) - 1, 0, FIRST))
-            doc, key, rank = np.concatenate(doc), np.concatenate(key), np.concatenate(rank)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), batch.column("doc_id").take(pa.array(doc)), pa.array(sizes[doc].astype(np.int32)),
-                 pa.array(rank < FIRST), pa.array(np.arange(len(doc)) >= n_listed)], ["key", "doc_id", "n", "early", "subset"])
-
-    return run
+def _subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The subset keys of light sets."""
+    for batch in batches:
+        made = [mixed(np.array(_subset_keys(np.array(k, dtype=np.int64).view(np.uint64)), dtype=np.uint64)) for k in batch.column("keys").to_pylist()]
+        counts = np.array([len(m) for m in made], dtype=np.int64)
+        row = pa.array(np.repeat(np.arange(len(made)), counts))
+        keys = np.concatenate([np.zeros(0, np.uint64), *made])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys.view(np.int64)), batch.column("doc_id").take(row), batch.column("n").take(row)], ["key", "doc_id", "n"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,14 +148,32 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], ["u", "v"])
 
 
-def _enough(n: str, other: str) -> str:
-    """SQL: so few of a prefix are missing on the other side that the pair may still link.
+#: SQL: two sets may share as much as a link needs, judged by where in their prefixes they meet.
+_MEETS = "4 * n_b <= reach_a AND 4 * n_a <= reach_b"
 
-    Of two prefixes, take the one that ends first in the order. What it shares with the other set it
-    shares with the other prefix, so all the rest of it is missing there; a link allows
-    n - ceil(4 (n + other) / 9) to be missing. Which ends first isn't looked up: one of both has to hold.
-    """
-    return f"({n} - floor((4 * {n} + 4) / 5) + 1 - common <= {n} - floor((4 * ({n} + {other}) + 8) / 9))"
+
+def _listed(nodes: DataFrame, light: int, limit: int = COUNTED) -> DataFrame:
+    """(key, doc_id, n, reach): prefixes, rare shingles first, of the sets that may link with one that is not light."""
+    prefix = "n - floor((4 * n + 4) / 5) + 1"
+    keys = nodes.where(5 * F.col("n") >= 4 * (light + 1)).select(
+        "node", F.explode(F.expr(f"slice(keys, 1, cast(greatest(counted, {prefix}) AS int))")).alias("key"))
+    # Written, so that the join sees two plain shuffles and can split a shingle that very many sets have.
+    often = cut_lineage(keys.groupBy("key").agg(F.least(F.count(F.lit(1)), F.lit(CROWD)).alias("often")).where("often > 1"))
+    shared = keys.join(often, "key").join(nodes.select("node", "doc_id", "n", "counted"), "node")
+    late = F.lit(False) if limit > 1 << 63 else (F.col("key") < 0) | (F.col("key") >= limit)
+    of_set = W.partitionBy("node")
+    order = of_set.orderBy(late, F.when(~late, F.col("often")), F.col("key") < 0, "key")
+    # Shingles of no other set come first. Late ones of no other set are not seen: such a rank is a lower bound.
+    ranked = shared.withColumn("place", F.row_number().over(order) - 1).withColumn(
+        "rank", F.col("place") + F.col("counted") - F.count_if(~late).over(of_set))
+    return ranked.where(f"rank < {prefix}").select("key", "doc_id", "n", F.expr("5 * n - 9 * rank").alias("reach"))
+
+
+def _meeting(entries: DataFrame) -> DataFrame:
+    """Documents that may meet another one in a list."""
+    lists = entries.groupBy("key").agg(
+        F.min("n").alias("least"), F.max("reach").alias("most"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
+    return entries.join(lists.drop("lo", "hi"), "key").where("4 * least <= reach AND 4 * n <= most").select("doc_id")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -181,12 +183,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "left", "right").mapInArrow(_linked, "u long, v long").distinct()
 
 
-def _ordered(pairs: DataFrame, same: DataFrame) -> DataFrame:
-    """Pairs of documents as pairs of nodes: the smallest document of each equal set; each pair once."""
-    a = pairs.join(same.select(F.col("doc_id").alias("u"), F.col("node").alias("nu")), "u", "left")
-    b = a.join(same.select(F.col("doc_id").alias("v"), F.col("node").alias("nv")), "v", "left")
-    nodes = b.select(F.coalesce("nu", "u").alias("x"), F.coalesce("nv", "v").alias("y"))
-    return nodes.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
+
+
+def _to_hubs(placed: DataFrame, pick: Column) -> DataFrame:
+    """Pairs of the members of each list with the one that ``pick`` takes, if it is in another component."""
+    hubs = placed.groupBy("key").agg(pick.alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(
+        "key", F.col("hub.doc_id").alias("v"), *(F.col(f"hub.{c}").alias(f"{c}_b") for c in ("n", "reach", "component")))
+    members = placed.select("key", F.col("doc_id").alias("u"), *(F.col(c).alias(f"{c}_a") for c in ("n", "reach", "component")))
+    return _pairs(members.join(hubs, "key").where(f"component_a <> component_b AND {_MEETS}"))
 
 
 def linked_components(docs: DataFrame) -> DataFrame:
@@ -194,53 +200,50 @@ def linked_components(docs: DataFrame) -> DataFrame:
     spark = steady(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = cut_lineage(texts.mapInArrow(_sets, _SETS))
-    sets = found.where("kind = 0")
+    known = texts.where("doc_id IS NOT NULL")
+
+    real = found.where("n > 0 AND doc_id IS NOT NULL")
+    nodes = _nodes(real)
+    same = cut_lineage(
+        real.select("doc_id", "first", "second", "n").join(nodes.select("first", "second", "n", F.col("doc_id").alias("node")), ["first", "second", "n"])
+        .where("doc_id <> node").select("doc_id", "node").distinct())
 
-    sizes = {r.n: r.docs for r in sets.where(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count(F.lit(1)).alias("docs")).collect()}
-    lists = sets.where(F.col("n") <= LIGHT_MOST).select(F.explode("small").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    small = nodes.where(F.col("n") <= LIGHT_MOST)
+    sizes = {r.n: r.sets for r in small.groupBy("n").agg(F.count(F.lit(1)).alias("sets")).collect()}
+    lists = small.select(F.explode(F.expr("slice(keys, 1, cast(n - floor((4 * n + 4) / 5) + 1 AS int))")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     length = lists.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 1.0
     light = boundary(sizes, float(length))
 
-    n_docs = sets.count()
-    crowd = max(CROWD, CROWD_SHARE * n_docs)
-    crowded = (
-        found.where("kind = 1").select(F.explode("crowd").alias("c")).groupBy("c.key").agg(F.sum("c.n").alias("n")).where(F.col("n") > crowd)
-        .select("key").collect())
-    last = spark.sparkContext.broadcast(np.sort(np.array([r.key for r in crowded], dtype=np.int64).view(np.uint64)))
-    known = texts.where("doc_id IS NOT NULL")
-    keys = cut_lineage(known.mapInArrow(_keys(last, light), "key long, doc_id long, n int, early boolean, subset boolean"))
-
-    nodes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("first", "second", "n").agg(F.min("doc_id").alias("node"))
-    same = cut_lineage(
-        sets.where("n > 0 AND doc_id IS NOT NULL").join(nodes, ["first", "second", "n"]).where("doc_id <> node").select("doc_id", "node").distinct())
-
-    early = keys.where("early").select("key", "doc_id")
-    hubs = early.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub <> top").select("key", "hub")
-    to_hub = early.join(hubs, "key").where("doc_id <> hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v"))
-    edges = cut_lineage(
-        verified(cut_lineage(_ordered(to_hub, same)), known).union(same.select(F.col("node").alias("u"), F.col("doc_id").alias("v"))))
-    groups = cut_lineage(components(edges))
-
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
-    placed = cut_lineage(
-        keys.select("key", "doc_id", "n", "subset").join(shared, "key").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("key", "doc_id", "n", "subset", F.coalesce("component", "doc_id").alias("component")))
+    subsets = nodes.where(F.col("n") <= light).select("doc_id", "n", "keys").mapInArrow(_subsets, "key long, doc_id long, n long")
+    subsets = cut_lineage(subsets.select("key", "doc_id", "n", F.expr("5 * n").alias("reach")))
+    rough = cut_lineage(_listed(nodes, light))
+    drop_written(nodes)
+    known = cut_lineage(known.join(_meeting(rough).union(_meeting(subsets)).distinct(), "doc_id", "left_semi"))
+    drop_written(rough)
+    left = _nodes(known.mapInArrow(_whole_sets, _SETS).where("n > 0"))
+    keys = cut_lineage(_listed(left, light, 1 << 64).union(subsets))
+    drop_written(left)
+
+    edges = [same.select(F.col("node").alias("u"), F.col("doc_id").alias("v"))]
+    placed = keys.withColumn("component", F.col("doc_id"))
+    for pick in (F.min(F.struct("doc_id", "n", "reach", "component")), F.max_by(F.struct("doc_id", "n", "reach", "component"), F.struct("reach", "doc_id"))):
+        edges.append(cut_lineage(verified(cut_lineage(_to_hubs(placed, pick)), known)))
+        groups = cut_lineage(components(reduce(DataFrame.union, edges)))
+        placed = cut_lineage(
+            keys.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+            .select("key", "doc_id", "n", "reach", F.coalesce("component", "doc_id").alias("component")))
     drop_written(keys)
     mixed_lists = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_lists = cut_lineage(placed.join(mixed_lists, "key"))
     drop_written(placed)
-    blocks = open_lists.groupBy("key", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    a, b = (blocks.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("component", "lo", "hi"))) for side in "ab")
-    met = a.join(b, "key").where("component_a < component_b AND 5 * hi_a >= 4 * lo_b AND 5 * hi_b >= 4 * lo_a").select("key", "component_a", "component_b")
-    member = lambda side, id_: open_lists.select("key", F.col("component").alias(f"component_{side}"), F.col("doc_id").alias(id_), F.col("n").alias(f"n_{side}"), F.col("subset").alias(f"subset_{side}"))
-    across = met.join(member("a", "u"), ["key", "component_a"]).join(member("b", "v"), ["key", "component_b"])
-    common = (
-        across.where("5 * n_a >= 4 * n_b AND 5 * n_b >= 4 * n_a").groupBy("u", "v", "n_a", "n_b")
-        .agg(F.count(F.lit(1)).alias("common"), F.bool_or(F.expr("subset_a AND subset_b")).alias("subset")))
-    rest = _ordered(common.where(f"subset OR {_enough('n_a', 'n_b')} OR {_enough('n_b', 'n_a')}").select("u", "v").distinct(), same)
-    more = cut_lineage(verified(cut_lineage(rest), known))
-    # Links between components: their smallest documents stand for them.
+    blocks = open_lists.groupBy("key", "component").agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
+    a, b = (blocks.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("component", "n", "reach"))) for side in "ab")
+    met = a.join(b, "key").where(f"component_a < component_b AND {_MEETS}").select("key", "component_a", "component_b")
+    member = lambda side, id_: open_lists.select("key", F.col("doc_id").alias(id_), *(F.col(c).alias(f"{c}_{side}") for c in ("component", "n", "reach")))
+    across = met.join(member("a", "u"), ["key", "component_a"]).join(member("b", "v"), ["key", "component_b"]).where(_MEETS)
+    more = cut_lineage(verified(cut_lineage(_pairs(across)), known))
     label = groups.select("id", "component")
+    # Links between components: their smallest documents stand for them.
     bridges = (
         more.join(label.select(F.col("id").alias("u"), F.col("component").alias("cu")), "u", "left")
         .join(label.select(F.col("id").alias("v"), F.col("component").alias("cv")), "v", "left")
@@ -249,9 +252,9 @@ def linked_components(docs: DataFrame) -> DataFrame:
     final = label.join(joined, "component", "full").select(
         F.coalesce("id", "component").alias("doc_id"), F.coalesce("whole", "component").alias("whole"))
     final = final.groupBy("doc_id").agg(F.min("whole").alias("whole"))
-    for used in (open_lists, edges):
+    for used in (open_lists, *edges[1:], subsets, known):
         drop_written(used)
-    return sets.select("doc_id", "n").join(final, "doc_id", "left").select(
+    return found.select("doc_id", "n").join(final, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("whole", "doc_id").alias("component_id"))
 
 

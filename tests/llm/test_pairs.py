@@ -73,6 +73,24 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, crowd):
         assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_unlike_texts_of_one_origin_are_no_candidates(spark, monkeypatch):
+    """Sixty texts that share three quarters of their words in runs: no two link, and hardly a pair is read."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for j in rng.sample(range(200), 8):
+            w[j] = f"only{i}x{j}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, t + " end") for i, t in rows[:5]]
+    read, plain = [], J.verified
+    monkeypatch.setattr(J, "verified", lambda pairs, texts: read.append(pairs.count()) or plain(pairs, texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.linked_components(docs).collect()} == brute_components(rows)
+    assert 5 <= sum(read) < 100
+
+
 def test_boundary_and_overlaps():
     for n in range(1, 60):
         for m in range(1, 60):
