@@ -253,39 +253,110 @@ def extend(a: np.ndarray, b: np.ndarray, after: int = 3) -> tuple[int, int, tupl
             return i, j, (np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]))
 
 
+def _distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of the different texts end to end, and where those of each row begin and end; joins repeat a text for each chain."""
+    coded = texts.dictionary_encode()
+    data, bounds = joined(coded.dictionary)
+    _, _, word, owner = words(data, bounds)
+    first = np.searchsorted(owner, np.arange(len(bounds)))
+    row = coded.indices.to_numpy()
+    return word, first[row], first[row + 1]
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column end to end, and where each row begins (one more at the end)."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy(), offsets - offsets[0]
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of the document around each chain, as hashes, with as many more as the source could still add."""
     for batch in slices(batches):
-        data, bounds = joined(batch.column("text"))
-        _, _, word, owner = words(data, bounds)
-        first = np.searchsorted(owner, np.arange(len(bounds)))
-        xs, ys, sizes = (batch.column(c).to_pylist() for c in ("x", "y", "size"))
-        start, part = [], []
-        for i, (x, y, n) in enumerate(zip(xs, ys, sizes, strict=True)):
-            mine = word[first[i] : first[i + 1]]
-            a = max(0, x[0] - min(y[0], 4 * K))
-            start.append(a)
-            part.append(mine[a : x[-1] + n[-1] + 4 * K].view(np.int64))
+        word, begin, end = _distinct_words(batch.column("text"))
+        (x, at), (y, _), (size, _) = (_flat(batch.column(c)) for c in ("x", "y", "size"))
+        head, tail = at[:-1], at[1:] - 1
+        start = np.maximum(0, x[head] - np.minimum(y[head], 4 * K)).astype(np.int64)
+        start = np.minimum(start, end - begin)
+        stop = np.maximum(start, np.minimum(x[tail].astype(np.int64) + size[tail] + 4 * K, end - begin))
+        ends = np.concatenate([[0], np.cumsum(stop - start)])
+        index = np.repeat(begin + start - ends[:-1], stop - start) + np.arange(ends[-1])
+        part = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(word[index].view(np.int64)))
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("doc_id", "source", "x", "y", "size")), pa.array(start, pa.int32()), pa.array(part, pa.list_(pa.int64()))],
+            [*(batch.column(c) for c in ("doc_id", "source", "x", "y", "size")), pa.array(start.astype(np.int32)), part],
             ["doc_id", "source", "x", "y", "size", "first", "words"])
 
 
+def extend_all(doc: np.ndarray, source: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, step: int,
+               after: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``extend`` of many rows at once: words passed on both sides, and how many agree.
+
+    Row r goes on from doc[a[r]] and source[b[r]] by ``step`` (1 or -1), up to a_end[r] and b_end[r], which do not count.
+    """
+    i, j, agree = (np.zeros(len(a), dtype=np.int64) for _ in range(3))
+    la, lb = (a_end - a) * step, (b_end - b) * step
+
+    def same(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = (i < la[rows]) & (j < lb[rows])
+        ok = rows[out]
+        out[out] = doc[a[ok] + step * i[out]] == source[b[ok] + step * j[out]]
+        return out
+
+    rows = np.arange(len(a))
+    while len(rows):
+        goes = same(rows, i[rows], j[rows])
+        on, stuck = rows[goes], rows[~goes]
+        i[on] += 1
+        j[on] += 1
+        agree[on] += 1
+        passed = []
+        for di, dj in ((1, 1), (1, 0), (0, 1)):
+            good = np.ones(len(stuck), dtype=bool)
+            for k in range(after):
+                good[good] = same(stuck[good], i[stuck[good]] + di + k, j[stuck[good]] + dj + k)
+            i[stuck[good]] += di
+            j[stuck[good]] += dj
+            passed.append(stuck[good])
+            stuck = stuck[~good]
+        rows = np.concatenate([on, *passed])
+    return i, j, agree
+
+
 def _aligned(identity: float):
     names = ["doc_id", "source", "start", "stop", "source_start", "source_stop", "agree"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            known: dict[str, np.ndarray] = {}
+            doc, source, begin = (batch.column(c).to_numpy() for c in ("doc_id", "source", "first"))
+            (x, at), (y, _), (size, _) = (_flat(batch.column(c)) for c in ("x", "y", "size"))
+            mine, place = _flat(batch.column("words"))
+            mine = mine.view(np.uint64)
+            other, low, high = _distinct_words(batch.column("text"))
+            # One segment, and of the identity as a whole: nearly all of them.
+            h, n = at[:-1], size[at[:-1]].astype(np.int64)
+            a, b = place[:-1] + x[h] - begin, low + y[h]
+            lone = (at[1:] - h == 1) & (a + n <= place[1:]) & (b + n <= high)
+            r = np.flatnonzero(lone)
+            a, b, n = a[r], b[r], n[r]
+            left, left_y, before = extend_all(mine, other, a - 1, place[r] - 1, b - 1, low[r] - 1, -1)
+            right, right_y, behind = extend_all(mine, other, a + n, place[r + 1], b + n, high[r], 1)
+            ends = np.cumsum(n)
+            offset = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n)
+            equal = mine[np.repeat(a, n) + offset] == other[np.repeat(b, n) + offset]
+            agree = before + behind + np.bincount(np.repeat(np.arange(len(r)), n)[equal], minlength=len(r))
+            start, stop, y0, y1 = a - left, a + n + right, b - left_y, b + n + right_y
+            whole = (agree >= identity * np.maximum(stop - start, y1 - y0) - 1e-9) | (agree < K)
+            q = r[whole]
+            shift, base = (begin[q] - place[q]).astype(np.int64), low[q]
+            made = [doc[q], source[q], start[whole] + shift, stop[whole] + shift, y0[whole] - base, y1[whole] - base, agree[whole]]
+            lone[r[~whole]] = False
             rows = []
-            for r in batch.to_pylist():
-                if r["text"] not in known:
-                    known[r["text"]] = words(*joined(pa.array([r["text"]], pa.string())))[2]
-                x = [a - r["first"] for a in r["x"]]
-                found = align(np.array(r["words"], dtype=np.int64).view(np.uint64), known[r["text"]], x, r["y"], r["size"], identity)
-                rows += [(r["doc_id"], r["source"], f[0] + r["first"], f[1] + r["first"], *f[2:]) for f in found]
+            for i in np.flatnonzero(~lone).tolist():
+                s = slice(at[i], at[i + 1])
+                found = align(mine[place[i] : place[i + 1]], other[low[i] : high[i]], x[s] - begin[i], y[s], size[s], identity)
+                rows += [(doc[i], source[i], f[0] + begin[i], f[1] + begin[i], *f[2:]) for f in found]
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([m, np.array(c, dtype=np.int64)])) for m, c in zip(made, columns, strict=True)], names)
 
     return run
 

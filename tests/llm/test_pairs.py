@@ -199,6 +199,31 @@ def test_a_lone_seed_is_aligned():
     assert [r for b in P._chain_pairs(table) for r in b.to_pylist()] == [{"doc_id": 5, "source": 1, "x": [10], "y": [20], "size": [P.K]}]
 
 
+def test_many_rows_extend_as_one_does():
+    rng = np.random.default_rng(6)
+    doc, source = rng.integers(0, 3, 400, dtype=np.uint64), rng.integers(0, 3, 400, dtype=np.uint64)
+    source[100:160] = doc[200:260]
+    a, b = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
+    a[:30], b[:30] = np.arange(200, 230), np.arange(100, 130)
+    for step, end in ((1, 400), (-1, -1)):
+        ends = np.full(300, end)
+        i, j, agree = P.extend_all(doc, source, a, ends, b, ends, step)
+        for r in range(300):
+            one = (doc[a[r] :], source[b[r] :]) if step == 1 else (doc[a[r] :: -1], source[b[r] :: -1])
+            x, y, runs = P.extend(*one)
+            assert (i[r], j[r], agree[r]) == (x, y, len(runs[0]))
+
+
+def test_a_text_is_cut_into_words_once_for_all_its_chains(monkeypatch):
+    texts = ["one two three four five six seven eight nine ten"] * 50
+    table = pa.table({"doc_id": [5] * 50, "source": list(range(50)), **{c: pa.array([[v]] * 50, pa.list_(pa.int32())) for c, v in (("x", 1), ("y", 0), ("size", 8))}, "text": texts})
+    seen, plain = [], P.words
+    monkeypatch.setattr(P, "words", lambda data, bounds: seen.append(len(data)) or plain(data, bounds))
+    cut = [r for b in P._cut(iter(table.to_batches())) for r in b.to_pylist()]
+    assert len(cut) == 50 and all(r["first"] == 1 and len(r["words"]) == 9 for r in cut)
+    assert sum(seen) == len(texts[0])
+
+
 def test_chains_equal_a_quadratic_search():
     rng = np.random.default_rng(2)
     for _ in range(40):
