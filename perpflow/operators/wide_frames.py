@@ -29,8 +29,8 @@ from perpflow.session import cut_lineage
 IDX = "_idx"
 #: Up to this width a sliding frame costs less than numbering the series.
 NARROW = 64
-#: Rows that a task is given, about.
-TASK_ROWS = 1 << 17
+#: Rows that a task is given, about, lent ones included; the windows of a module hold some 2 KB for each.
+TASK_ROWS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -61,9 +61,10 @@ _PARTS = {
 }
 
 
-def _tasks(df: DataFrame) -> int:
-    """Partitions for a shuffle of these rows: no fewer than the session makes."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS))
+def _tasks(df: DataFrame, before: int = 0, size: int = 1) -> int:
+    """Partitions for a shuffle of these rows, of which ``before`` in ``size`` go twice: no fewer than the session makes."""
+    rows = df.count() * (size + before) // size
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -90,7 +91,7 @@ def chunked_by_number(rows: DataFrame, keys: Sequence[str], before: int, size: i
     lent = F.pmod(F.col(IDX), F.lit(size)) >= size - before
     places = F.when(lent, F.array(home, home + 1)).otherwise(F.array(home))
     placed = rows.withColumn(CHUNK, F.explode(places))
-    return placed.withColumn(OWN, F.col(CHUNK) == home).repartition(_tasks(rows), *keys, CHUNK)
+    return placed.withColumn(OWN, F.col(CHUNK) == home).repartition(_tasks(rows, before, size), *keys, CHUNK)
 
 
 def _parts(value: Column, over, wanted: set[str]) -> dict[str, Column]:

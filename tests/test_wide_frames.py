@@ -127,3 +127,12 @@ def test_a_dense_stretch_is_dealt_over_tasks(spark, monkeypatch):
     placed = WF.chunked_by_number(got, ["k"], 20, 100)
     most = placed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert placed.rdd.getNumPartitions() >= 12 and most < 2000
+
+
+def test_lent_rows_count_as_rows_of_a_task(spark, monkeypatch):
+    """A lead-in as long as the chunk doubles the rows, and so the tasks."""
+    assert WF.TASK_ROWS <= 1 << 15
+    monkeypatch.setattr(WF, "TASK_ROWS", 500)
+    rows = spark.range(6000).select(F.lit("a").alias("k"), F.col("id").alias(WF.IDX))
+    placed = WF.chunked_by_number(rows, ["k"], 50, 50)
+    assert placed.count() == 12000 and placed.rdd.getNumPartitions() >= 24
