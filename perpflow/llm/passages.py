@@ -9,6 +9,8 @@
    Fenwick tree over positions in the source.
 4. Chains are aligned on the words themselves: segments are extended while words agree, and gaps between
    them get a longest common subsequence. A stretch below ``IDENTITY`` is split into its longest parts of that identity and what is between.
+   For that a document's text meets its matches once, and chains go to their source in blocks: stretches of a document that overlap travel
+   once, and a source's text once for ``BLOCK_WORDS`` words. A source of any number of chains is many rows, which the join may deal out.
 5. Aligned pieces of one document that touch (``APART`` words between them at most) are a union, whichever sources they come from.
    Each word counts as much as the best piece over it, words between pieces nothing. A union of ``MIN_WORDS`` words and of ``IDENTITY``
    or more is a passage; of other unions the longest runs of pieces that are. The first occurrence stays.
@@ -24,9 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from perpflow.llm.text import grams, joined, minimizers, slices, steady, words
+from perpflow.llm.text import BATCH_BYTES, grams, joined, minimizers, slices, steady, words
 from perpflow.session import cut_lineage, drop_written
 
 K = 8
@@ -37,6 +40,10 @@ IDENTITY = 0.8
 GAP_MOST = 24
 #: Stretches of one document with this many words between them, or fewer, are one passage.
 APART = 3
+#: Bytes of texts and matches that a task takes chains of at once, pieces that it joins at once.
+HELD_BYTES, HELD_ROWS = 4_000_000, 20_000
+#: Words of documents that go with one copy of their source's text.
+BLOCK_WORDS = 8192
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,25 +116,8 @@ def chains(x: np.ndarray, y: np.ndarray, size: np.ndarray, gap_cost: float = GAP
     return out
 
 
-_CHAIN = "doc_id long, source long, x array<int>, y array<int>, size array<int>"
-
-
-def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (doc_id, source); a pair is held until its last row is there."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        rest = table if rest is None else pa.concat_tables([rest, table])
-        doc, source = rest.column("doc_id").to_numpy(), rest.column("source").to_numpy()
-        open_ = np.flatnonzero((doc != doc[-1]) | (source != source[-1])) if len(doc) else doc
-        if len(open_):
-            yield from _chain_pairs(rest.slice(0, int(open_[-1]) + 1))
-            rest = rest.slice(int(open_[-1]) + 1)
-    if rest is not None and rest.num_rows:
-        yield from _chain_pairs(rest)
-
-
 def _chain_pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The chains of matches that come sorted by (doc_id, source)."""
     doc, source, x, y = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "source", "at", "source_at"))
     pair = np.cumsum(np.concatenate([[False], (doc[1:] != doc[:-1]) | (source[1:] != source[:-1])]))
     order = np.lexsort((x, y - x, pair))
@@ -136,20 +126,25 @@ def _chain_pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
     new[1:] = (p[1:] != p[:-1]) | (d[1:] != d[:-1]) | (a[1:] > a[:-1] + K)
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(p)) - 1
-    p, start, size, d = p[head], a[head], a[tail] - a[head] + K, d[head]
-    bounds = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1], [True]]))
-    out: dict[str, list] = {c: [] for c in ("doc_id", "source", "x", "y", "size")}
-    row = np.searchsorted(pair, p[bounds[:-1]])
-    for i, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        sx, sy, sn = start[s:e], start[s:e] + d[s:e], size[s:e]
-        for chain in chains(sx, sy, sn):
-            out["doc_id"].append(doc[row[i]])
-            out["source"].append(source[row[i]])
-            for c, v in (("x", sx), ("y", sy), ("size", sn)):
-                out[c].append(v[chain].astype(np.int32))
-    ints = pa.list_(pa.int32())
+    p, x, size, y = p[head], a[head], a[tail] - a[head] + K, a[head] + d[head]
+    row = order[head]
+    start = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    # Where every segment ends behind the last start on either side, none has a predecessor. A run of one word is thousands of these.
+    alone = np.minimum.reduceat(x + size, start) > np.maximum.reduceat(x, start)
+    alone |= np.minimum.reduceat(y + size, start) > np.maximum.reduceat(y, start)
+    stop = np.append(start[1:], len(p))
+    lone = np.flatnonzero(np.repeat(alone, stop - start))
+    made, lengths = [lone], [np.ones(len(lone), dtype=np.int64)]
+    for i in np.flatnonzero(~alone).tolist():
+        found = chains(x[start[i] : stop[i]], y[start[i] : stop[i]], size[start[i] : stop[i]])
+        made.append(start[i] + np.array([k for chain in found for k in chain], dtype=np.int64))
+        lengths.append(np.array([len(chain) for chain in found], dtype=np.int64))
+    segment, offsets = np.concatenate(made), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+    row = row[segment[offsets[:-1]]]
+    at = pa.array(offsets.astype(np.int32))
     yield pa.RecordBatch.from_arrays(
-        [pa.array(out["doc_id"], pa.int64()), pa.array(out["source"], pa.int64()), *(pa.array(out[c], ints) for c in ("x", "y", "size"))], list(out))
+        [pa.array(doc[row]), pa.array(source[row]), *(pa.ListArray.from_arrays(at, pa.array(v[segment].astype(np.int32))) for v in (x, y, size))],
+        ["doc_id", "source", "x", "y", "size"])
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -269,23 +264,116 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), offsets - offsets[0]
 
 
+def _bounds(x: np.ndarray, y: np.ndarray, size: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word of the document that each chain may need and the one behind the last: as many around it as the source could still add."""
+    head, tail = at[:-1], at[1:] - 1
+    start = np.minimum(np.maximum(0, x[head] - np.minimum(y[head], 4 * K)).astype(np.int64), length)
+    return start, np.maximum(start, np.minimum(x[tail].astype(np.int64) + size[tail] + 4 * K, length))
+
+
+def _spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All indices of the ranges, one range after the other."""
+    ends = np.cumsum(stop - start)
+    return np.repeat(stop - ends, stop - start) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the document around each chain, as hashes, with as many more as the source could still add."""
+    """The words of the document around each chain, as hashes: the plain way, a row a chain. ``_blocks`` ships the same words and is tested against it."""
     for batch in slices(batches):
         word, begin, end = _distinct_words(batch.column("text"))
         (x, at), (y, _), (size, _) = (_flat(batch.column(c)) for c in ("x", "y", "size"))
-        head, tail = at[:-1], at[1:] - 1
-        start = np.maximum(0, x[head] - np.minimum(y[head], 4 * K)).astype(np.int64)
-        start = np.minimum(start, end - begin)
-        stop = np.maximum(start, np.minimum(x[tail].astype(np.int64) + size[tail] + 4 * K, end - begin))
+        start, stop = _bounds(x, y, size, at, end - begin)
         ends = np.concatenate([[0], np.cumsum(stop - start)])
-        index = np.repeat(begin + start - ends[:-1], stop - start) + np.arange(ends[-1])
-        part = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(word[index].view(np.int64)))
+        part = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(word[_spans(begin + start, begin + stop)].view(np.int64)))
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in ("doc_id", "source", "x", "y", "size")), pa.array(start.astype(np.int32)), part],
             ["doc_id", "source", "x", "y", "size", "first", "words"])
 
 
+_BLOCK = ("source long, doc_id array<long>, segments array<int>, x array<int>, y array<int>, size array<int>, "
+          "first array<int>, place array<int>, length array<int>, words array<long>")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by doc_id, the texts of a document before its matches; a document is held until its last row is there."""
+    held, size, most = [], 0, HELD_BYTES
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size < most:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        doc = table.column("doc_id").to_numpy()
+        last = int(np.searchsorted(doc, doc[-1]))
+        yield from _block(table.slice(0, last))
+        held = table.slice(last).to_batches()
+        size = sum(b.nbytes for b in held)
+        most = max(HELD_BYTES, 2 * size)
+    if held:
+        yield from _block(pa.Table.from_batches(held).combine_chunks())
+
+
+def _block(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """One row for each source of these documents, or more if the words its chains need are many."""
+    is_text = table.column("source").is_null()
+    matches, texts = table.filter(pc.invert(is_text)), table.filter(is_text)
+    if not matches.num_rows:
+        return
+    texts = texts.filter(pa.array(np.isin(texts.column("doc_id").to_numpy(), matches.column("doc_id").to_numpy())))
+    text_doc, word, length = texts.column("doc_id").to_numpy(), [], []
+    for batch in slices(iter(texts.combine_chunks().to_batches())):
+        data, bounds = joined(batch.column("text"))
+        _, _, hashes, owner = words(data, bounds)
+        word.append(hashes)
+        length.append(np.bincount(owner, minlength=batch.num_rows))
+    word, length = np.concatenate(word), np.concatenate(length)
+    first = np.cumsum(length) - length
+    for batch in _chain_pairs(matches):
+        doc, source = batch.column("doc_id").to_numpy(), batch.column("source").to_numpy()
+        (x, at), (y, _), (size, _) = (_flat(batch.column(c)) for c in ("x", "y", "size"))
+        # A chain meets each text of its document, and takes the place of its words in all words here.
+        low = np.searchsorted(text_doc, doc)
+        times = np.searchsorted(text_doc, doc, side="right") - low
+        chain, text = np.repeat(np.arange(len(doc)), times), _spans(low, low + times)
+        segment = _spans(at[chain], at[chain + 1])
+        x, y, size, at = x[segment], y[segment], size[segment], np.concatenate([[0], np.cumsum(at[chain + 1] - at[chain])])
+        start, stop = _bounds(x, y, size, at, length[text])
+        low, high = first[text] + start, first[text] + stop
+        order = np.lexsort((low, source[chain]))
+        chain, text, low, high, start = chain[order], text[order], low[order], high[order], start[order]
+        segments = (at[1:] - at[:-1])[order]
+        segment = _spans(at[:-1][order], at[1:][order])
+        doc, source = doc[chain], source[chain]
+        # Stretches that overlap are shipped once.
+        shift = np.cumsum(np.concatenate([[0], source[1:] != source[:-1]])) * (len(word) + 1)
+        reach = np.maximum.accumulate(shift + high)
+        new = np.concatenate([[True], (shift + low)[1:] > reach[:-1]])
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(low)) - 1
+        part = np.cumsum(new) - 1
+        width = reach[tail] - shift[tail] - low[head]
+        offset = np.cumsum(width) - width
+        base = offset[np.searchsorted(shift[head], shift[head])]
+        block = (offset - base) // BLOCK_WORDS
+        row_head = np.flatnonzero(np.concatenate([[True], (shift[head][1:] != shift[head][:-1]) | (block[1:] != block[:-1])]))
+        row_words, row_chains = np.append(offset[row_head], width.sum()), np.append(head[row_head], len(low))
+        row_segments = np.concatenate([[0], np.cumsum(segments)])[row_chains]
+        place = offset[part] + low - low[head][part]
+        place -= np.repeat(row_words[:-1], np.diff(row_chains))
+        needed = word[_spans(low[head], low[head] + width)].view(np.int64)
+
+        def lists(offsets: np.ndarray, values: np.ndarray, kind=np.int32) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(kind)))
+
+        made = pa.RecordBatch.from_arrays(
+            [pa.array(source[row_chains[:-1]]), lists(row_chains, doc, np.int64), lists(row_chains, segments),
+             *(lists(row_segments, v[segment]) for v in (x, y, size)), lists(row_chains, start), lists(row_chains, place),
+             lists(row_chains, high - low), lists(row_words, needed, np.int64)],
+            ["source", "doc_id", "segments", "x", "y", "size", "first", "place", "length", "words"])
+        for i in range(0, made.num_rows, 512):
+            yield made.slice(i, 512)
+
+
 def extend_all(doc: np.ndarray, source: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, step: int,
                after: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``extend`` of many rows at once: words passed on both sides, and how many agree.
@@ -325,34 +413,39 @@ def _aligned(identity: float):
     names = ["doc_id", "source", "start", "stop", "source_start", "source_stop", "agree"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            doc, source, begin = (batch.column(c).to_numpy() for c in ("doc_id", "source", "first"))
-            (x, at), (y, _), (size, _) = (_flat(batch.column(c)) for c in ("x", "y", "size"))
-            mine, place = _flat(batch.column("words"))
+        for batch in slices(batches, most=4 * BATCH_BYTES):
+            doc, chains_at = _flat(batch.column("doc_id"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(chains_at))
+            source = batch.column("source").to_numpy()[row]
+            (x, _), (y, _), (size, _) = (_flat(batch.column(c)) for c in ("x", "y", "size"))
+            segments, begin, place, length = (_flat(batch.column(c))[0].astype(np.int64) for c in ("segments", "first", "place", "length"))
+            at = np.concatenate([[0], np.cumsum(segments)])
+            mine, words_at = _flat(batch.column("words"))
             mine = mine.view(np.uint64)
+            place += words_at[row]
+            limit = place + length
             other, low, high = _distinct_words(batch.column("text"))
+            low, high = low[row], high[row]
             # One segment, and of the identity as a whole: nearly all of them.
             h, n = at[:-1], size[at[:-1]].astype(np.int64)
-            a, b = place[:-1] + x[h] - begin, low + y[h]
-            lone = (at[1:] - h == 1) & (a + n <= place[1:]) & (b + n <= high)
+            a, b = place + x[h] - begin, low + y[h]
+            lone = (segments == 1) & (a + n <= limit) & (b + n <= high)
             r = np.flatnonzero(lone)
             a, b, n = a[r], b[r], n[r]
             left, left_y, before = extend_all(mine, other, a - 1, place[r] - 1, b - 1, low[r] - 1, -1)
-            right, right_y, behind = extend_all(mine, other, a + n, place[r + 1], b + n, high[r], 1)
-            ends = np.cumsum(n)
-            offset = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n)
-            equal = mine[np.repeat(a, n) + offset] == other[np.repeat(b, n) + offset]
+            right, right_y, behind = extend_all(mine, other, a + n, limit[r], b + n, high[r], 1)
+            equal = mine[_spans(a, a + n)] == other[_spans(b, b + n)]
             agree = before + behind + np.bincount(np.repeat(np.arange(len(r)), n)[equal], minlength=len(r))
             start, stop, y0, y1 = a - left, a + n + right, b - left_y, b + n + right_y
             whole = (agree >= identity * np.maximum(stop - start, y1 - y0) - 1e-9) | (agree < K)
             q = r[whole]
-            shift, base = (begin[q] - place[q]).astype(np.int64), low[q]
+            shift, base = begin[q] - place[q], low[q]
             made = [doc[q], source[q], start[whole] + shift, stop[whole] + shift, y0[whole] - base, y1[whole] - base, agree[whole]]
             lone[r[~whole]] = False
             rows = []
             for i in np.flatnonzero(~lone).tolist():
                 s = slice(at[i], at[i + 1])
-                found = align(mine[place[i] : place[i + 1]], other[low[i] : high[i]], x[s] - begin[i], y[s], size[s], identity)
+                found = align(mine[place[i] : limit[i]], other[low[i] : high[i]], x[s] - begin[i], y[s], size[s], identity)
                 rows += [(doc[i], source[i], f[0] + begin[i], f[1] + begin[i], *f[2:]) for f in found]
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays(
@@ -403,18 +496,33 @@ def _merged(least: int, identity: float):
     """Passages of the touching pieces of each document; rows come sorted by (doc_id, start, source)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, stop, union = None, 0, []
+        held, count, most = [], 0, HELD_ROWS
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                share = r["agree"] / max(r["stop"] - r["start"], r["source_stop"] - r["source_start"], 1)
-                if union and (doc != r["doc_id"] or r["start"] > stop + APART):
-                    out += [(doc, *p) for p in passages(union, least, identity)]
-                    union = []
-                doc, stop = r["doc_id"], max(stop, r["stop"]) if union else r["stop"]
-                union.append((r["start"], r["stop"], share, r["source"]))
-            yield pack(out)
-        yield pack([(doc, *p) for p in passages(union, least, identity)] if union else [])
+            held.append(batch)
+            count += batch.num_rows
+            if count >= most:
+                made, rest = unions(pa.Table.from_batches(held), False)
+                yield pack(made)
+                held, count = rest.to_batches(), rest.num_rows
+                most = max(HELD_ROWS, 2 * count)
+        yield pack(unions(pa.Table.from_batches(held), True)[0] if count else [])
+
+    def unions(table: pa.Table, over: bool) -> tuple[list, pa.Table]:
+        """The passages of all unions (the last one may go on, unless ``over``), and the rows of the one that is left."""
+        doc, source, start, stop, y0, y1, agree = (table.column(c).to_numpy() for c in ("doc_id", "source", "start", "stop", "source_start", "source_stop", "agree"))
+        share = agree / np.maximum(np.maximum(stop - start, y1 - y0), 1)
+        shift = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) * (int(stop.max()) + APART + 1)
+        reach = np.maximum.accumulate(shift + stop)
+        head = np.flatnonzero(np.concatenate([[True], (shift + start)[1:] > reach[:-1] + APART]))
+        tail = np.append(head[1:], len(doc))
+        last = len(head) if over else len(head) - 1
+        long = reach[tail - 1] - shift[tail - 1] - start[head] >= least
+        out = []
+        for i in np.flatnonzero(long[:last]).tolist():
+            s = slice(head[i], tail[i])
+            union = list(zip(start[s].tolist(), stop[s].tolist(), share[s].tolist(), source[s].tolist(), strict=True))
+            out += [(int(doc[head[i]]), *p) for p in passages(union, least, identity)]
+        return out, table.slice(0, 0) if over else table.slice(int(head[-1]))
 
     def pack(rows: list) -> pa.RecordBatch:
         kinds = pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())
@@ -436,16 +544,15 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, identity: float =
     # Written, so that the join sees two plain shuffles and can split a seed that very many documents have.
     first = cut_lineage(first)
     matches = seeds.join(first, "seed").where("doc_id > source").select("doc_id", "source", "at", "source_at")
-    found = cut_lineage(
-        matches.repartition(parts, "doc_id", "source").sortWithinPartitions("doc_id", "source").mapInArrow(_chained, _CHAIN))
-    around = (
-        found.join(texts, "doc_id").select("doc_id", "source", "x", "y", "size", "text")
-        .mapInArrow(_cut, _CHAIN + ", first int, words array<long>"))
-    around = cut_lineage(around)
-    lined = around.join(texts.withColumnRenamed("doc_id", "source"), "source").select("doc_id", "source", "x", "y", "size", "first", "words", "text")
-    lined = cut_lineage(lined.mapInArrow(
-        _aligned(identity), "doc_id long, source long, start long, stop long, source_start long, source_stop long, agree long"))
-    for used in (first, found, around):
+    # A text travels once to all the matches of its document, and once to each block of chains of its source.
+    beside = texts.select("doc_id", F.lit(None).cast("long").alias("source"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("source_at"), "text")
+    blocks = cut_lineage(
+        matches.withColumn("text", F.lit(None).cast("string")).unionByName(beside)
+        .repartition(parts, "doc_id").sortWithinPartitions("doc_id", "source").mapInArrow(_blocks, _BLOCK))
+    lined = blocks.join(texts.withColumnRenamed("doc_id", "source"), "source").mapInArrow(
+        _aligned(identity), "doc_id long, source long, start long, stop long, source_start long, source_stop long, agree long")
+    lined = cut_lineage(lined)
+    for used in (first, blocks):
         drop_written(used)
     return (
         lined.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "start", "source", "stop").mapInArrow(_merged(least, identity), _PASSAGE)

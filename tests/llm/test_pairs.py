@@ -224,6 +224,84 @@ def test_a_text_is_cut_into_words_once_for_all_its_chains(monkeypatch):
     assert sum(seen) == len(texts[0])
 
 
+def test_texts_do_not_travel_with_each_chain(spark, monkeypatch):
+    # A run of one word has a seed at every word, each a chain of its own.
+    rows = [(1, "x " * 600), (2, "y z " + "x " * 1500), (3, "x " * 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kind, seen = type(docs), []
+    plain = kind.mapInArrow
+
+    def spy(self, *given, **named):
+        if "text" in self.columns:
+            seen.append(self.selectExpr("coalesce(sum(length(text)), 0)").first()[0])
+        return plain(self, *given, **named)
+
+    monkeypatch.setattr(kind, "mapInArrow", spy)
+    got = {r.doc_id: (r.start_word, r.stop_word, r.source_doc_id) for r in P.repeated_passages(docs).collect()}
+    assert got == {2: (2, 1502, 1), 3: (0, 900, 1)}
+    assert sum(seen) <= 4 * sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("held, block", [(1, 1), (3000, 90), (4_000_000, 8192)])
+def test_blocks_of_chains_are_aligned_as_single_chains(monkeypatch, held, block):
+    monkeypatch.setattr(P, "HELD_BYTES", held)
+    monkeypatch.setattr(P, "BLOCK_WORDS", block)
+    rng = random.Random(9)
+    base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(150)] for _ in range(4)] + [["x"] * 150]
+    texts, spots = [], {}
+    for doc in range(12):
+        for _ in range(1 + (doc in (4, 7))):  # 4 and 7 have two texts each
+            w = []
+            for _ in range(3):
+                b, s = rng.choice(base), rng.randrange(100)
+                w += [rng.choice("pqrst") for _ in range(rng.randrange(4))] + b[s : s + 50]
+                if rng.random() < 0.5:
+                    w[-rng.randrange(1, 40)] = "changed"
+            texts.append((doc, " ".join(w)))
+            for at in range(0, len(w) - P.K + 1, 3):
+                spots.setdefault(tuple(w[at : at + P.K]), []).append((doc, at))
+    matches = sorted({(d, *min(v), at) for v in spots.values() for d, at in v if d > min(v)[0]})
+    assert len(matches) > 100
+    matches = [(d, s, at, s_at) for d, s, s_at, at in matches]
+    table = pa.table({c: [m[i] for m in matches] for i, c in enumerate(("doc_id", "source", "at", "source_at"))})
+    whole = lambda rows, **more: [dict(r, text=t, **more) for r in rows for d, t in texts if d == r["doc_id"]]
+    single = pa.Table.from_pylist(whole([r for b in P._chain_pairs(table) for r in b.to_pylist()]))
+    single = single.cast(pa.schema([(f.name, pa.list_(pa.int32()) if f.name in ("x", "y", "size") else f.type) for f in single.schema]))
+    want = []
+    for r in (r for b in P._cut(iter(single.to_batches())) for r in b.to_pylist()):
+        mine = np.array(r["words"], dtype=np.int64).view(np.uint64)
+        for other in (P._distinct_words(pa.array([t]))[0] for d, t in texts if d == r["source"]):
+            for a, b, c, d, n in P.align(mine, other, [x - r["first"] for x in r["x"]], r["y"], r["size"]):
+                want.append((r["doc_id"], r["source"], a + r["first"], b + r["first"], c, d, n))
+    rows = [(d, None, None, None, t) for d, t in texts] + [(*m, None) for m in matches]
+    rows.sort(key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+    given = pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))],
+                     ["doc_id", "source", "at", "source_at", "text"])
+    blocks = pa.Table.from_batches(P._blocks(iter(given.to_batches(max_chunksize=40))))
+    to, text = zip(*((i, t) for i, s in enumerate(blocks.column("source").to_pylist()) for d, t in texts if d == s), strict=True)
+    lined = blocks.take(pa.array(to)).append_column("text", pa.array(text)).combine_chunks()
+    got = [tuple(r.values()) for b in P._aligned(P.IDENTITY)(iter(lined.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+    assert sorted(got) == sorted(want)
+
+
+def test_unions_do_not_depend_on_how_rows_arrive(monkeypatch):
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(6), s := rng.randrange(600), rng.randrange(4), s + rng.randrange(8, 40), rng.randrange(6, 36)) for _ in range(300))
+    table = pa.table({"doc_id": [r[0] for r in rows], "source": [r[2] for r in rows], "start": [r[1] for r in rows], "stop": [r[3] for r in rows],
+                      "source_start": [0] * 300, "source_stop": [r[3] - r[1] for r in rows], "agree": [min(r[4], r[3] - r[1]) for r in rows]})
+    want, union = [], []
+    for r in [*rows, (99, 0, 0, 0, 0)]:
+        if union and (union[0][0] != r[0] or r[1] > max(u[3] for u in union) + P.APART):
+            want += [(union[0][0], *p) for p in P.passages([(u[1], u[3], min(u[4], u[3] - u[1]) / (u[3] - u[1]), u[2]) for u in union], 40, 0.8)]
+            union = []
+        union.append(r)
+    assert want
+    for size, held in ((1, 1), (7, 30), (300, 20_000)):
+        monkeypatch.setattr(P, "HELD_ROWS", held)
+        got = [tuple(r.values()) for b in P._merged(40, 0.8)(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert got == want
+
+
 def test_chains_equal_a_quadratic_search():
     rng = np.random.default_rng(2)
     for _ in range(40):
