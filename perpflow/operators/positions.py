@@ -12,7 +12,7 @@ Quantities are counted in whole ``UNIT``s, so sums do not depend on how a series
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from perpflow.operators.chunks import CHUNK, Grid
 from perpflow.operators.scans import carry_affine
@@ -24,6 +24,12 @@ _ORDER = ["fill_time", "timestamp", "emit_symbol", "seq"]
 UNIT = 1e-8
 
 
+def asked_units() -> Column:
+    """Signed units that an entry asks for; NULL for an exit."""
+    units = F.round(F.col("quantity") / F.lit(UNIT)).cast("bigint")
+    return F.when(F.col("action") == "ENTER_LONG", units).when(F.col("action") == "ENTER_SHORT", -units)
+
+
 def settle(orders: DataFrame, grid: Grid, *, checkpoint: bool = True) -> DataFrame:
     """Orders with their signed quantity and the quantity held before, in units; NULL for an exit without a position.
 
@@ -31,9 +37,7 @@ def settle(orders: DataFrame, grid: Grid, *, checkpoint: bool = True) -> DataFra
     bar it is a running sum.
     """
     placed = orders.withColumn("emit_symbol", F.coalesce("emit_symbol", "symbol")).withColumn(CHUNK, grid.chunk(orders, "fill_time"))
-    units = F.round(F.col("quantity") / F.lit(UNIT)).cast("bigint")
-    asked = F.when(F.col("action") == "ENTER_LONG", units).when(F.col("action") == "ENTER_SHORT", -units)
-    placed = placed.withColumn("_asked", asked)
+    placed = placed.withColumn("_asked", asked_units())
     per_bar = placed.groupBy(*RUN, CHUNK, "fill_time").agg(
         (F.lit(1).cast("bigint") - F.count_if(F.col("action") == EXIT)).alias("_a"), F.coalesce(F.sum("_asked"), F.lit(0).cast("bigint")).alias("_b"))
     bars = carry_affine(per_bar, RUN, CHUNK, ["fill_time"], "_a", "_b", "_held", "bigint").drop("_a", "_b")

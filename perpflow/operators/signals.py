@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from perpflow.functions.numeric import fill_price
 from perpflow.operators.asof import next_row
@@ -71,6 +71,13 @@ def job_signals(jobs: DataFrame, signals: DataFrame, step: str | int = "1h") ->
     return interval_join(signals.drop("run_id"), wanted, ["symbol"], "timestamp", "start", "end", step).drop("start", "end")
 
 
+def fault() -> Column:
+    """Why no run can accept a signal; NULL if one can."""
+    return (
+        F.when(F.col("action").isin(ENTRIES) & ~F.coalesce(F.col("quantity") > 0, F.lit(False)), "entry needs a positive quantity")
+        .when(~F.col("action").isin([*ENTRIES, EXIT]), "unknown action"))
+
+
 def screen_signals(jobs: DataFrame, signals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(acceptable signals, rejects with a reason) by the rules that need no position.
 
@@ -78,23 +85,21 @@ def screen_signals(jobs: DataFrame, signals: DataFrame) -> tuple[DataFrame, Data
     """
     known = job_symbols(jobs).select("run_id", "symbol", F.lit(True).alias("_known"))
     judged = signals.join(weighed(known, *RUN), RUN, "left").withColumn(
-        "reason",
-        F.when(F.col("_known").isNull(), "unknown symbol")
-        .when(F.col("action").isin(ENTRIES) & ~F.coalesce(F.col("quantity") > 0, F.lit(False)), "entry needs a positive quantity")
-        .when(~F.col("action").isin([*ENTRIES, EXIT]), "unknown action"),
-    ).drop("_known")
+        "reason", F.when(F.col("_known").isNull(), "unknown symbol").otherwise(fault())).drop("_known")
     return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL")
 
 
-def next_bar_orders(signals: DataFrame, bars: DataFrame, grid: Grid) -> DataFrame:
-    """Signals with ``fill_time`` and ``fill_open`` of the next bar of their symbol; NULL if none.
-
-    Bars of one timestamp are visited in symbol order. A signal emitted by the bar of a
+def fills_on_same_bar() -> Column:
+    """Bars of one timestamp are visited in symbol order. A signal emitted by the bar of a
     symbol that sorts earlier therefore still fills on the target's bar of that timestamp.
     """
-    earlier = F.coalesce("emit_symbol", "symbol") < F.col("symbol")
+    return F.coalesce("emit_symbol", "symbol") < F.col("symbol")
+
+
+def next_bar_orders(signals: DataFrame, bars: DataFrame, grid: Grid) -> DataFrame:
+    """Signals with ``fill_time`` and ``fill_open`` of the next bar of their symbol; NULL if none."""
     at = bars.select(*RUN, "timestamp", F.col("timestamp").alias("_t"), "open")
-    return next_row(signals, at, RUN, "timestamp", grid, {"_t": "fill_time", "open": "fill_open"}, tie=earlier)
+    return next_row(signals, at, RUN, "timestamp", grid, {"_t": "fill_time", "open": "fill_open"}, tie=fills_on_same_bar())
 
 
 def priced(orders: DataFrame, jobs: DataFrame) -> DataFrame:

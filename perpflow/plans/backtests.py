@@ -10,6 +10,7 @@ from perpflow.operators import research as R, signals as S, strategies as ST
 from perpflow.operators.backtest import Backtest, run_backtests, run_per_symbol
 from perpflow.operators.equity import mark_to_market
 from perpflow.operators.quantiles import exact_percentiles
+from perpflow.operators.range_replay import range_trades
 from perpflow.plans.common import CANDLES_DAILY, CANDLES_HOURLY, HOURLY, daily_bars, hourly_bars, query, rounded, tidy, with_ctes
 from perpflow.schema import JOB
 from perpflow.session import cut_lineage
@@ -251,8 +252,8 @@ def backtest_many_ranges(spark: SparkSession, sf: str) -> DataFrame:
     """A job for every customer over a range of its own, all in one replay; runs without a trade have no row."""
     bars = hourly_bars(spark, sf)
     jobs = cut_lineage(_customer_jobs(spark, sf, bars))
-    bt = run_backtests(jobs, bars, S.job_signals(jobs, _cross(bars)), HOURLY)
-    return tidy(bt.trades.groupBy("run_id").agg(
+    trades = range_trades(jobs, bars, _cross(bars).drop("run_id"), HOURLY)
+    return tidy(trades.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("num_trades"), F.sum("realized_pnl").alias("realized_pnl"), F.sum("fee").alias("closing_fees")))
 
 
