@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from perpflow.operators import rule_index
+from perpflow.operators import rule_index, rule_summary
 from perpflow.session import cut_lineage
 
 SECTION = ["strategy", "section"]
@@ -67,6 +67,15 @@ def passing_sections(features: DataFrame, rules: DataFrame) -> DataFrame:
     return rule_index.passing(cut_lineage(moments_of(features, active)), cut_lineage(sections_of(rules)))
 
 
+def section_summary(features: DataFrame, rules: DataFrame) -> DataFrame:
+    """(strategy, section, logic, symbol, passed, first, last): how often each section passes, and the first and last time.
+
+    ``passing_sections`` counted by section and symbol, but no row is made for what passes: see ``rule_summary``.
+    """
+    active = rules.filter("section_enabled AND enabled")
+    return rule_summary.summary(cut_lineage(moments_of(features, active)), active)
+
+
 def apply_rules(features: DataFrame, rules: DataFrame) -> DataFrame:
     """Per (symbol, timestamp, section): ``passed`` by ALL / ANY over the enabled conditions.
 
